@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import exact_dedup, mixing, secret_scan, warc
+from cairn.llm import exact_dedup, language_id, mixing, quality_classifier, quality_rules, secret_scan, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and certified cutoffs over documents."""
+    out = quality_rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal texts of documents; the largest doc_id stays."""
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
@@ -28,6 +34,18 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(_table(spark, sf_dir, "pages"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    out = language_id.language_id(_table(spark, sf_dir, "documents"))
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a sparse rule ensemble."""
+    return quality_classifier.quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in documents, each distinct text scanned once."""
     return secret_scan.secret_scan(_table(spark, sf_dir, "documents"))
@@ -35,7 +53,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Query name to callable(spark, sf_dir)."""
-    return {f.__name__: f for f in (op2_exact_dedup, op6_mixing, op7_warc, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op6_mixing, op7_warc, op8_language_id, op9_quality_classifier, op10_secret_scan)}
 
 
 OP2_SQL = """
