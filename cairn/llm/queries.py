@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import best_fit_packing, exact_dedup, language_id, mixing, quality_classifier, quality_rules, secret_scan, warc
+from cairn.llm import best_fit_packing, exact_dedup, language_id, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.best_fit_packing(_table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies among documents."""
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents")).drop("class_id")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of documents mixed to capped targets."""
     out = mixing.mix(_table(spark, sf_dir, "documents"))
@@ -58,7 +63,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Query name to callable(spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_best_fit_packing, op6_mixing, op7_warc, op8_language_id, op9_quality_classifier, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_best_fit_packing, op4_ngram_join, op6_mixing, op7_warc, op8_language_id, op9_quality_classifier, op10_secret_scan)}
 
 
 OP2_SQL = """
