@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import best_fit_packing, exact_dedup, language_id, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, warc
+from cairn.llm import best_fit_packing, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,12 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents")).drop("class_id")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later copies of runs of lines deleted from documents; the clean text by its digest."""
+    out = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "runs", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of documents mixed to capped targets."""
     out = mixing.mix(_table(spark, sf_dir, "documents"))
@@ -61,9 +67,16 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     """Query name to callable(spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_best_fit_packing, op4_ngram_join, op6_mixing, op7_warc, op8_language_id, op9_quality_classifier, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_best_fit_packing, op4_ngram_join, op5_line_dedup, op6_mixing, op7_warc, op8_language_id, op9_quality_classifier, op10_secret_scan, pipeline)}
 
 
 OP2_SQL = """
@@ -74,4 +87,4 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
 
 def oracle_sql() -> dict:
     """Query name to DuckDB SQL."""
-    return {"op2_exact_dedup": OP2_SQL, "op6_mixing": mixing.sql()}
+    return {"op2_exact_dedup": OP2_SQL, "op5_line_dedup": line_dedup.SQL, "op6_mixing": mixing.sql()}
