@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from cairn.plans import points, survey
+
 
 def queries() -> dict:
     """Query name to callable(spark, sf_dir)."""
-    return {}
+    return points.QUERIES | survey.QUERIES
 
 
 def oracle_sql() -> dict:
     """Query name to DuckDB SQL."""
-    return {}
+    return points.SQL | survey.SQL
