@@ -10,7 +10,8 @@ over rare-first prefixes. The boundary is where the two costs, counted from the
 histogram, sum to least. Rareness comes from a mergeable count of every task's
 repeated grams; it orders the lists and never decides a result.
 
-A list of near copies is not paired up: its members are compared with one leader, the
+Pairs are first held against parity signatures, which rule most out for certain, then
+decided by whole sets. A list of near copies is not paired up: its members are compared with one leader, the
 links are contracted to components, lists that still span several components get
 another leader, and when what is left is linear in the lists, every pair across
 components is compared. A pair inside one component cannot change it, a pair across
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.exact_dedup import text_bytes
-from cairn.llm.graph import components
+from cairn.operators.graph import components
 from cairn.session import cut
 
 WORDS = 5
@@ -46,8 +47,12 @@ BATCH_HEAVY, HEAVY = 1 << 16, 1 << 18
 HEAVY_COUNT = 8
 #: Largest size for which subsets are considered, and what a list entry costs in subsets.
 MOST_LIGHT, ENTRY_COST = 24, 8.0
-#: Bits of the filters that spare work before an exact join; fixed, 4 MB.
-FILTER_BITS = 25
+#: Bits of the filters that spare work before an exact join, as a power of two; fixed, 2 MB.
+FILTER_BITS = 24
+#: Bits of a set's parity signature: no two sets differ in fewer grams than their signatures in bits.
+SIGN_BITS = 1024
+#: Texts whose words are held at once.
+STEP = 1000
 #: Leader rounds go on while pairs across components outnumber list entries by this factor, up to so many rounds.
 PAIRS_PER_ENTRY, ROUNDS = 2.0, 6
 _FACTORS = [pow(0x9E3779B97F4A7C15, k + 2, 1 << 64) | 1 for k in range(WORDS)]
@@ -63,6 +68,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def gram_sets(texts: pa.Array) -> list[np.ndarray]:
     """The sorted distinct gram hashes of each text."""
+    return [s for k in range(0, len(texts), STEP) for s in _gram_sets(texts.slice(k, STEP))]
+
+
+def _gram_sets(texts: pa.Array) -> list[np.ndarray]:
     words = [raw.tobytes().lower().split() for raw in text_bytes(texts)]
     flat = list(itertools.chain.from_iterable(words))
     if not flat:
@@ -77,10 +86,8 @@ def gram_sets(texts: pa.Array) -> list[np.ndarray]:
         if len(own) >= WORDS:
             out.append(np.unique(sums[at : at + len(own) - WORDS + 1]))
         elif own:
-            whole = np.uint64(len(own))
-            for k in range(len(own)):
-                whole = whole * np.uint64(_FACTORS[0]) + ids[at + k]
-            out.append(_mix(np.array([whole], np.uint64)))
+            turned = ids[at : at + len(own)] * np.array(_FACTORS[: len(own)], np.uint64)
+            out.append(_mix(turned.sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own))))
         else:
             out.append(np.zeros(0, np.uint64))
         at += len(own)
@@ -92,6 +99,11 @@ def class_key(grams: np.ndarray) -> int:
     return int(_mix(grams + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64).astype(np.int64))
 
 
+def signature(grams: np.ndarray) -> bytes:
+    """Parities of the grams over SIGN_BITS places."""
+    return np.packbits(np.bincount((grams >> np.uint64(54)).astype(np.int64), minlength=SIGN_BITS) & 1).tobytes()
+
+
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: (doc_id, class, size); kind 1: (null, gram, count in this batch)."""
     for b in batches:
@@ -138,19 +150,20 @@ def choose_boundary(histogram: dict[int, int], entry_cost: float = ENTRY_COST) -
 
 
 def _listed(shared, boundary: int):
-    """kind 0: (class, size, share of rare grams, prefix); kind 1: (class, size, subset key as two numbers)."""
+    """kind 0: (class, size, share of rare grams, prefix, signature); kind 1: (class, size, subset key as two numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, counts = shared.value
         seen: set[tuple[int, int]] = set()
         for b in batches:
             rows = {k: [] for k in ("kind", "cls", "n", "prio", "key", "other", "side")}
-            lists = []
+            lists, signs = [], []
 
-            def add(kind, cls, n, prio, key, other, side, tokens):
+            def add(kind, cls, n, prio, key, other, side, tokens, sign=None):
                 for k, v in zip(rows, (kind, cls, n, prio, key, other, side), strict=True):
                     rows[k].append(v)
                 lists.append(tokens)
+                signs.append(sign)
 
             for own in gram_sets(b.column("text")):
                 n = len(own)
@@ -164,7 +177,7 @@ def _listed(shared, boundary: int):
                     heavy = np.where(grams[at] == own, counts[at], 0) if at is not None else np.zeros(n, np.int64)
                     order = np.lexsort((own, heavy))[: prefix(n)]
                     rare = int((heavy[order] == 0).sum())
-                    add(0, mark[0], n, rare * 1000 // len(order), 0, 0, 0, own[order].astype(np.int64))
+                    add(0, mark[0], n, rare * 1000 // len(order), 0, 0, 0, own[order].astype(np.int64), signature(own))
                 for t in partners(n) if n <= 5 * boundary // 4 + 1 else ():
                     if min(n, t) <= boundary:
                         low, high = min(n, t), max(n, t)
@@ -175,12 +188,12 @@ def _listed(shared, boundary: int):
                                 rows["side"][-1] = 2
             if lists:
                 types = {"kind": pa.int8(), "cls": pa.int64(), "n": pa.int32(), "prio": pa.int32(), "key": pa.int64(), "other": pa.int64(), "side": pa.int8()}
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, types[k]) for k, v in rows.items()} | {"grams": pa.array(lists, pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({k: pa.array(v, types[k]) for k, v in rows.items()} | {"grams": pa.array(lists, pa.list_(pa.int64())), "sign": pa.array(signs, pa.binary())})
 
     return run
 
 
-LISTED = "kind tinyint, cls long, n int, prio int, key long, other long, side tinyint, grams array<long>"
+LISTED = "kind tinyint, cls long, n int, prio int, key long, other long, side tinyint, grams array<long>, sign binary"
 
 
 def _filter_words(values: DataFrame, column: str) -> np.ndarray:
@@ -221,7 +234,7 @@ def list_entries(lists: DataFrame) -> DataFrame:
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """cls, n, grams (sorted, packed) of the wanted (rep, cls, n)."""
+    """cls, grams (sorted, packed) of the wanted (rep, cls, n)."""
     spark = docs.sparkSession
     words = spark.sparkContext.broadcast(_filter_words(wanted.where("rep is not null"), "rep"))
     nulls = bool(wanted.where("rep is null").take(1))
@@ -239,26 +252,54 @@ def class_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> Da
     found = rows.mapInArrow(kept, "id long, cls long, n int, grams binary")
     f, w = found.alias("f"), wanted.alias("w")
     same = F.col("f.id").eqNullSafe(F.col("w.rep")) & (F.col("f.cls") == F.col("w.cls")) & (F.col("f.n") == F.col("w.n"))
-    return cut(f.join(w, same, "left_semi").dropDuplicates(["cls", "n"]).select("cls", "grams"), "class_sets")
+    return cut(f.join(w, same, "left_semi").dropDuplicates(["cls"]).select("cls", "grams"), "class_sets")
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose signatures do not rule a link out: it needs at most (n + m) / 9 grams on one side only."""
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, SIGN_BITS // 64) for c in ("x", "y"))
+        apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+        sizes = b.column("n").to_numpy().astype(np.int64) + b.column("m").to_numpy()
+        yield b.select(["a", "b"]).filter(pa.array(9 * apart <= sizes))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= 80 * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    x, y = (sets.select(F.col("cls").alias(k), F.col("grams").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that link by their whole sets."""
+    for b in batches:
+        keep = []
+        for x, y in zip(b.column("x"), b.column("y"), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            if len(x) > len(y):
+                x, y = y, x
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            both = int((y[at] == x).sum())
+            keep.append(100 * both >= 80 * (len(x) + len(y) - both))
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+class Verifier:
+    """Decides pairs of classes; whole sets are fetched once, for pairs that signatures leave open."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, signs: DataFrame, text: str, doc_id: str):
+        self.docs, self.classes, self.signs, self.text, self.doc_id = docs, classes, signs, text, doc_id
+        self.sets: DataFrame | None = None
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link."""
+        x, y = (self.signs.select(F.col("cls").alias(k), F.col("sign").alias(v), F.col("n").alias(m)) for k, v, m in (("a", "x", "n"), ("b", "y", "m")))
+        near = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(_near, "a long, b long"), "near_pairs")
+        wanted = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("cls"), "cls", "left_anti")
+        wanted = cut(self.classes.join(wanted, "cls", "left_semi").select("rep", "cls", "n"), "wanted")
+        if wanted.take(1):
+            more = class_sets(self.docs, wanted, self.text, self.doc_id)
+            self.sets = more if self.sets is None else self.sets.unionByName(more)
+        if self.sets is None:
+            return near
+        x, y = (self.sets.select(F.col("cls").alias(k), F.col("grams").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+        return cut(near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), "links")
 
 
 def _possible(p: str, q: str) -> Column:
@@ -292,9 +333,9 @@ def spanning(entries: DataFrame, comps: DataFrame) -> DataFrame:
     return cut(held.join(mixed, "gram"), "spanning")
 
 
-def heavy_links(entries: DataFrame, sets: DataFrame) -> DataFrame:
+def heavy_links(entries: DataFrame, verifier: Verifier) -> DataFrame:
     """Links that connect whatever links connect among the classes of the lists."""
-    edges = linked(leader_pairs(entries, F.col("prio"), F.lit(True), F.lit(True)), sets)
+    edges = verifier.linked(leader_pairs(entries, F.col("prio"), F.lit(True), F.lit(True)))
     for number in range(1, ROUNDS + 1):
         mixed = spanning(entries, components(edges))
         work, n = mixed.agg(F.sum(F.when(F.col("comp") != F.col("main"), F.col("all"))), F.count("*")).first()
@@ -303,11 +344,11 @@ def heavy_links(entries: DataFrame, sets: DataFrame) -> DataFrame:
         if work <= PAIRS_PER_ENTRY * n or number == ROUNDS:
             break
         more = leader_pairs(mixed, F.xxhash64("cls", F.lit(number)), F.expr("comp = main"), F.expr("comp <> main"))
-        edges = edges.unionByName(linked(more, sets))
+        edges = edges.unionByName(verifier.linked(more))
     p, q = mixed.where("comp <> main").alias("p"), mixed.alias("q")
     apart = (F.col("p.comp") != F.col("q.comp")) & ((F.col("q.comp") == F.col("q.main")) | (F.col("p.cls") < F.col("q.cls")))
     pairs = p.join(q, (F.col("p.gram") == F.col("q.gram")) & apart & _possible("p", "q")).select(*_pair("p", "q")).distinct()
-    return edges.unionByName(linked(pairs, sets))
+    return edges.unionByName(verifier.linked(pairs))
 
 
 def light_links(subs: DataFrame) -> DataFrame:
@@ -338,8 +379,9 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     listed = cut(rows.mapInArrow(_listed(shared, boundary), LISTED), "listed")
     entries = list_entries(listed.where("kind = 0"))
     classes = cut(held.where("n > 0").groupBy("cls", "n").agg(F.min("id").alias("rep"), F.count("*").alias("k")), "classes")
-    wanted = cut(classes.join(entries.select("cls", "n").distinct(), ["cls", "n"], "left_semi").select("rep", "cls", "n"), "wanted")
-    edges = heavy_links(entries, class_sets(docs, wanted, text, doc_id)).unionByName(light_links(listed.where("kind = 1")))
+    signs = listed.where("kind = 0").select("cls", "n", "sign").join(entries.select("cls").distinct(), "cls", "left_semi")
+    verifier = Verifier(docs, classes, cut(signs.dropDuplicates(["cls"]), "signatures"), text, doc_id)
+    edges = heavy_links(entries, verifier).unionByName(light_links(listed.where("kind = 1")))
     comps = cut(components(edges), "components")
     joint = comps.join(classes.select(F.col("cls").alias("node"), "rep"), "node")
     roots = cut(joint.groupBy("comp").agg(F.min("rep").alias("root")), "roots")
