@@ -13,25 +13,27 @@ from pyspark.sql import functions as F
 from cairn.session import cut
 
 
-def _attach(edges: DataFrame, least: DataFrame) -> DataFrame:
-    return edges.join(least, "u")
+def _settled(stars: DataFrame) -> bool:
+    """Whether every node has one parent and no parent has one: all edges are then final."""
+    child = stars.groupBy("u").agg(F.count("*").alias("n"))
+    again = child.where("n > 1").select("u").unionByName(stars.select("v").distinct().join(child, F.col("v") == F.col("u"), "left_semi").select(F.col("v").alias("u")))
+    return not again.take(1)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
     """node, comp for every node of an edge; comp is the least node reachable."""
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    now, sign = cut(now, "edges"), None
+    now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     for _ in range(most):
+        if _settled(now):
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # a table of its own: the join with a node's many neighbours can then be split
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        grown = _attach(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        grown = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         grown = cut(grown, "large_star")
-        least = cut(grown.groupBy("u").agg(F.min("v").alias("m")), "least")
-        moved = _attach(grown, least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small_star")
-        last, sign = sign, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if sign == last:
-            break
+        least = grown.groupBy("u").agg(F.min("v").alias("m"))
+        moved = grown.join(least, "u").select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
+        now = cut(moved.distinct(), "small_star")
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
     own = now.groupBy("v").agg(F.count("*").alias("n")).select(F.col("v").alias("node"), F.col("v").alias("comp"))
