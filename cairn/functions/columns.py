@@ -25,6 +25,11 @@ def rotate(matrix: Matrix, x: str = "nx", y: str = "ny", z: str = "nz") -> list[
     return affine([[*m[:3], 0.0] for m in matrix[:3]], x, y, z)
 
 
+def held(rows, **columns: Column):
+    """rows plus the columns, computed once: what is filtered later is not expanded into what comes before."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def clip(c: Column, low: float, high: float) -> Column:
     """c held within [low, high]."""
     return F.greatest(F.lit(low), F.least(F.lit(high), c))

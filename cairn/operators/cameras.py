@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.columns import dist3
-from cairn.operators.spatial import ray_intercept
+from cairn.functions.columns import dist3, held
+from cairn.operators.spatial import near, ray_intercept
+from cairn.session import cut
 
 UNCERTAIN, DISCARD = 0.01, 0.5
+FAR, MAX_RADIUS = 5.0, 0.1
 POSE = [f"m{r}{c}" for r in range(3) for c in range(4)]
 
 
@@ -51,10 +53,10 @@ def project(rows: DataFrame, cal: Calibration, x: str = "x", y: str = "y", z: st
     """
     t = [F.col(c) - F.col(f"m{r}3") for r, c in enumerate((x, y, z))]
     q = [sum(F.col(f"m{r}{c}") * t[r] for r in range(3)) for c in range(3)]
-    rows = rows.withColumns({"q0": q[0], "q1": q[1], "q2": q[2]}).where("q2 <> 0")
-    rows = rows.withColumns({"xn": F.col("q0") / F.col("q2"), "yn": F.col("q1") / F.col("q2")})
+    rows = held(rows, q0=q[0], q1=q[1], q2=q[2])
+    rows = held(rows, xn=F.try_divide("q0", "q2"), yn=F.try_divide("q1", "q2")).where("q2 <> 0")
     xd, yd = distort(F.col("xn"), F.col("yn"), cal)
-    rows = rows.withColumns({"u0": cal.fx * xd + cal.cx, "v0": cal.fy * yd + cal.cy})
+    rows = held(rows, u0=cal.fx * xd + cal.cx, v0=cal.fy * yd + cal.cy)
     r2 = F.col("xn") * F.col("xn") + F.col("yn") * F.col("yn")
     view = (r2 * cal.fx * cal.fx < 1.01 * cal.width * cal.width) & F.col("u0").between(0, cal.width) & F.col("v0").between(0, cal.height)
     rows = rows.where(view & (F.col("q2") > 0) if require_front else view)
@@ -179,3 +181,48 @@ def depth_regression(cameras: DataFrame, depth: str = "depth") -> DataFrame:
     stats = stats.withColumns(out)
     explained = sum(F.col(f"b_{a}") * F.col(f"d_{a}") for a in names)
     return stats.select("n", *(f"b_{a}" for a in names), (F.col(f"m_{depth}") - sum(F.col(f"b_{a}") * F.col(f"m_{a}") for a in names)).alias("intercept"), F.try_divide(explained, F.col("v")).alias("r2"))
+
+
+def by_filename(cameras: DataFrame, name: str) -> DataFrame:
+    """The first camera by position whose file has the name, with or without .jpg."""
+    return cameras.where(F.col("filename").isin(name, f"{name}.jpg")).orderBy("pos").limit(1)
+
+
+def located(cameras: DataFrame, *needed: str) -> DataFrame:
+    """Cameras for which every needed column is known."""
+    keep = F.lit(True)
+    for c in needed:
+        keep = keep & F.col(c).isNotNull()
+    return cameras.where(keep)
+
+
+def pixel_points(pixels: DataFrame, points: DataFrame, cal: Calibration, radius: float = 0.001, most: float = MAX_RADIUS, far: float = FAR, threshold: float | None = None) -> DataFrame:
+    """Pixels (id, u, v, pose) with the point their ray meets and how far from the pixel it projects.
+
+    Pixels whose point is out of view, or farther than the threshold, give no row.
+    """
+    rays = pixel_rays(pixels, cal)
+    ends = rays.select("id", *(F.col(f"m{r}3").alias(f"o{a}") for r, a in enumerate("xyz")), *((F.col(f"m{r}3") + F.col(f"r{a}") * far).alias(f"t{a}") for r, a in enumerate("xyz")))
+    hits = ray_intercept(points, ends, radius, most).select(F.col("id").alias("hit"), "point_id", "x", "y", "z")
+    met = pixels.select(F.col("id"), F.col("u").alias("pu"), F.col("v").alias("pv"), *POSE).join(hits, F.col("id") == F.col("hit"))
+    back = project(met, cal).withColumn("pixel_error", F.hypot(F.col("u") - F.col("pu"), F.col("v") - F.col("pv")))
+    back = back if threshold is None else back.where(F.col("pixel_error") <= threshold)
+    return back.select("id", "point_id", "x", "y", "z", "pixel_error")
+
+
+def visible_intercepts(points: DataFrame, queries: DataFrame, cameras: DataFrame, cal: Calibration, radius: float, clear: float = UNCERTAIN) -> DataFrame:
+    """Queries (id, x, y): of the points within radius in xy, in order of distance from (x, y, median z),
+    the first that some camera sees unobstructed; where none is, the one nearest to the greatest z.
+    """
+    pairs = near(points, queries.withColumn("z", F.lit(0.0)), radius, flat=True)
+    bounds = pairs.groupBy("q_id").agg(F.median("z").alias("mid"), F.max("z").alias("top"))
+    pairs = pairs.join(bounds, "q_id")
+    gap = lambda z: F.sqrt(F.pow(F.col("x") - F.col("q_x"), 2) + F.pow(F.col("y") - F.col("q_y"), 2) + F.pow(F.col("z") - F.col(z), 2))
+    pairs = cut(pairs.select("q_id", "point_id", "x", "y", "z", gap("mid").alias("to_mid"), gap("top").alias("to_top")), "candidates")
+    named = pairs.select(F.concat_ws("#", "q_id", "point_id").alias("id"), "x", "y", "z")
+    seen = reprojection(candidates(named, cameras, cal), points, cal).where(F.col("reproj_error") <= clear)
+    seen = seen.select(F.col("ann_id").alias("name")).distinct()
+    marked = pairs.join(seen, F.concat_ws("#", "q_id", "point_id") == F.col("name"), "left").withColumn("hidden", F.col("name").isNull())
+    order = F.struct("hidden", F.when(F.col("hidden"), F.col("to_top")).otherwise(F.col("to_mid")).alias("gap"), "point_id", "x", "y", "z")
+    best = marked.groupBy("q_id").agg(F.min(order).alias("b"))
+    return best.select(F.col("q_id").alias("id"), "b.point_id", "b.x", "b.y", "b.z", (~F.col("b.hidden")).alias("is_seen"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.columns import clip, eigen3, eigenvector3
+from cairn.operators.graph import components
 from cairn.operators.spatial import near
 
 INLIER_RANGE = 0.01
@@ -174,3 +175,42 @@ def triangle_area(ax: str, bx: str, cx: str) -> Column:
     v = [F.col(f"{cx}{a}") - F.col(f"{ax}{a}") for a in "xyz"]
     n = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
     return F.sqrt(sum(k * k for k in n)) / 2
+
+
+def mesh_area(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
+    """Total area and number of triangles (a, b, c) over vertices (v, x, y, z)."""
+    out = triangles
+    for k in "abc":
+        out = out.join(vertices.select(F.col("v").alias(k), *(F.col(t).alias(f"{k}{t}") for t in "xyz")), k)
+    return out.agg(F.sum(triangle_area("a", "b", "c")).alias("area"), F.count("*").alias("triangles"))
+
+
+def mesh_clusters(triangles: DataFrame) -> DataFrame:
+    """t, comp: triangles (t, a, b, c) connected over shared edges."""
+    ends = F.array(*(F.struct(F.least(p, q).alias("lo"), F.greatest(p, q).alias("hi")) for p, q in (("a", "b"), ("b", "c"), ("a", "c"))))
+    edges = triangles.select("t", F.explode(ends).alias("e")).select("t", "e.lo", "e.hi")
+    first = edges.groupBy("lo", "hi").agg(F.min("t").alias("t0"))
+    links = edges.join(first, ["lo", "hi"]).where("t <> t0").select(F.col("t").alias("a"), F.col("t0").alias("b"))
+    labels = components(links).select(F.col("node").alias("t"), "comp")
+    return triangles.select("t").join(labels, "t", "left").select("t", F.coalesce("comp", "t").alias("comp"))
+
+
+def trim_density(vertices: DataFrame, share: float = 0.1) -> DataFrame:
+    """Vertices without those below the given quantile of density."""
+    low = F.broadcast(vertices.agg(F.percentile("density", F.lit(share)).alias("low")))  # one row
+    return vertices.crossJoin(low).where("density >= low").drop("low")
+
+
+def cell_area(points: DataFrame, size: float) -> DataFrame:
+    """Area of the occupied cells of one cloud seen along its own plane: a substitute for an alpha shape."""
+    fitted = planes(points.withColumn("q_id", F.lit(1)), align=False).select("a", "b", "c")
+    flat = points.crossJoin(F.broadcast(fitted))  # one row
+    helper = F.when(F.abs("a") < 0.9, F.struct(F.lit(1.0).alias("x"), F.lit(0.0).alias("y"))).otherwise(F.struct(F.lit(0.0).alias("x"), F.lit(1.0).alias("y")))
+    flat = flat.withColumn("h", helper).withColumns({"ux": -F.col("c") * F.col("h.y"), "uy": F.col("c") * F.col("h.x"), "uz": F.col("a") * F.col("h.y") - F.col("b") * F.col("h.x")})
+    n = F.sqrt(F.col("ux") ** 2 + F.col("uy") ** 2 + F.col("uz") ** 2)
+    flat = flat.withColumns({k: F.col(k) / n for k in ("ux", "uy", "uz")})
+    v = (F.col("b") * F.col("uz") - F.col("c") * F.col("uy"), F.col("c") * F.col("ux") - F.col("a") * F.col("uz"), F.col("a") * F.col("uy") - F.col("b") * F.col("ux"))
+    along = F.col("x") * F.col("ux") + F.col("y") * F.col("uy") + F.col("z") * F.col("uz")
+    across = F.col("x") * v[0] + F.col("y") * v[1] + F.col("z") * v[2]
+    cells = flat.select(F.floor(along / size).alias("i"), F.floor(across / size).alias("j")).distinct()
+    return cells.agg((F.count("*") * size * size).alias("area"))

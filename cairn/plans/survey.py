@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from cairn.functions.columns import dist3
 from cairn.operators import cameras as cam
 from cairn.operators import frames as fr
-from cairn.operators import matching, spatial
+from cairn.operators import images, matching, measures, spatial
 from cairn.plans.fixtures import load, sql
-from cairn.plans.points import r
+from cairn.plans.points import GAP, R, r
 from cairn.session import cut
 
 QUERIES, SQL = {}, {}
@@ -271,3 +271,73 @@ def ratio_test_matches(vectors):
     rows = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     out = matching.ratio_matches(rows.where("id % 20 = 0"), rows, 0.95)
     return out.select("q_id", "t_id", r(F.col("d1"), 5).alias("d1"), r(F.col("d2"), 5).alias("d2"))
+
+
+_P = r"CASE WHEN s_suppkey % 2 = 0 THEN 'D:\survey\reef\dive1\img' ELSE '/data/reef/dive2//img' END || CAST(s_suppkey AS VARCHAR) || '.jpg'"
+
+
+@query(f"""WITH p AS (SELECT s_suppkey AS pos, {_P} AS path FROM supplier)
+SELECT pos, regexp_replace(replace(path, 'reef', 'bank'), '[\\\\/]+', '/', 'g') AS replaced, regexp_replace('/mnt/new/reef' || substr(path, instr(path, 'reef') + 4), '[\\\\/]+', '/', 'g') AS rebased,
+ list_extract(regexp_split_to_array(path, '[\\\\/]+'), -1) AS filename FROM p""", table="supplier")
+def camera_paths(suppliers):
+    """Camera file paths under a replacement and under a new base folder."""
+    side = F.when(F.col("s_suppkey") % 2 == 0, F.lit("D:\\survey\\reef\\dive1\\img")).otherwise(F.lit("/data/reef/dive2//img"))
+    rows = suppliers.select(F.col("s_suppkey").alias("pos"), F.concat(side, F.col("s_suppkey").cast("string"), F.lit(".jpg")).alias("path"))
+    return rows.select("pos", images.updated_path(F.col("path"), "reef", "bank").alias("replaced"), images.updated_path(F.col("path"), None, "/mnt/new/reef/").alias("rebased"), F.element_at(F.split("path", r"[\\/]+"), -1).alias("filename"))
+
+
+@query(f"""WITH {proj()}, c AS (SELECT ann_id, cam_id, CAST(trunc(u - 15e1) AS INT) AS l, CAST(trunc(v - 1e2) AS INT) AS t FROM m)
+SELECT ann_id, cam_id, greatest(0, l) AS "left", greatest(0, t) AS top, least(4000, l + 300) AS "right", least(3000, t + 200) AS bottom FROM c""", "fx_annotations", "fx_cameras")
+def crop_boxes(anns, cams):
+    """Crop boxes about each match."""
+    rows = matches(anns, cams).withColumns({"w": F.lit(4000), "h": F.lit(3000)})
+    return images.crop_box(rows, 300, 200).select("ann_id", "cam_id", "left", "top", "right", "bottom")
+
+
+@query("""WITH i AS (SELECT s_suppkey AS pos, CAST(100 + s_suppkey % 57 AS INT) AS w, CAST(80 + s_suppkey % 31 AS INT) AS h FROM supplier), c AS (SELECT *, least(90, w, h) AS k FROM i)
+SELECT pos, CAST(floor((w-k)/2e0) AS INT) AS "left", CAST(floor((h-k)/2e0) AS INT) AS top, CAST(floor((w-k)/2e0) AS INT) + k AS "right", CAST(floor((h-k)/2e0) AS INT) + k AS bottom FROM c""", table="supplier")
+def center_crop(suppliers):
+    """Square crops in the middle of images."""
+    rows = suppliers.selectExpr("s_suppkey AS pos", "cast(100 + s_suppkey % 57 AS int) AS w", "cast(80 + s_suppkey % 31 AS int) AS h")
+    return images.center_crop(rows, 90).select("pos", "left", "top", "right", "bottom")
+
+
+_SMALL = GAP.replace("least(199,", "least(39,").replace("pi()*200", "pi()*40")
+
+
+@query(f"""WITH {_SMALL}, qs AS (SELECT DISTINCT q_id FROM px), g AS (SELECT i, j, CASE WHEN (i-20)*(i-20)+(j-20)*(j-20) <= 400 THEN 1 ELSE 0 END AS base FROM range(40) a(i), range(40) b(j)),
+im AS (SELECT q_id, i, j, CASE WHEN (q_id, i, j) IN (SELECT q_id, px, py FROM px) THEN 2 ELSE base END AS c FROM qs, g),
+f1(q_id, i, j, c) AS (SELECT * FROM im WHERE i = 20 AND j = 20 UNION SELECT im.q_id, im.i, im.j, im.c FROM f1 JOIN im ON im.q_id = f1.q_id AND im.c = f1.c AND abs(im.i-f1.i)+abs(im.j-f1.j) = 1),
+im2 AS (SELECT im.q_id, im.i, im.j, CASE WHEN f1.q_id IS NULL THEN im.c ELSE 3 END AS c FROM im LEFT JOIN f1 ON im.q_id = f1.q_id AND im.i = f1.i AND im.j = f1.j),
+f2(q_id, i, j, c) AS (SELECT * FROM im2 WHERE i = 20 AND j = 10 UNION SELECT im2.q_id, im2.i, im2.j, im2.c FROM f2 JOIN im2 ON im2.q_id = f2.q_id AND im2.c = f2.c AND abs(im2.i-f2.i)+abs(im2.j-f2.j) = 1),
+fl AS (SELECT q_id, i, j FROM f1 UNION SELECT q_id, i, j FROM f2), ar AS (SELECT count(*) AS n FROM g WHERE base = 1)
+SELECT q_id AS id, count(*) AS filled, round(count(*)/(max(ar.n)*1e0), 6) AS gap_fill FROM fl, ar GROUP BY q_id""", "fx_points", "fx_annotations")
+def gap_fraction_fill(points, anns):
+    """Share of the sky image that a fill from the centre and from upslope reaches."""
+    out = images.gap_fill(spatial.radius_join(points, anns, R), 40)
+    return out.select(F.col("q_id").alias("id"), "filled", r(F.col("gap_fill"), 6).alias("gap_fill"))
+
+
+_TRI = "SELECT point_id AS t, point_id AS a, point_id + 1 AS b, point_id + 2 AS c FROM fx_points WHERE point_id % 7 < 4"
+
+
+@query(f"""WITH tr AS ({_TRI}), e AS (SELECT p.x AS ax, p.y AS ay, p.z AS az, q.x-p.x AS ux, q.y-p.y AS uy, q.z-p.z AS uz, w.x-p.x AS vx, w.y-p.y AS vy, w.z-p.z AS vz
+ FROM tr JOIN fx_points p ON p.point_id = tr.a JOIN fx_points q ON q.point_id = tr.b JOIN fx_points w ON w.point_id = tr.c)
+SELECT count(*) AS triangles, round(sum(sqrt((uy*vz-uz*vy)*(uy*vz-uz*vy)+(uz*vx-ux*vz)*(uz*vx-ux*vz)+(ux*vy-uy*vx)*(ux*vy-uy*vx))/2), 3) AS area FROM e""", "fx_points")
+def mesh_area(points):
+    """Area of a mesh over the points."""
+    tri = points.where("point_id % 7 < 4").select(F.col("point_id").alias("t"), F.col("point_id").alias("a"), (F.col("point_id") + 1).alias("b"), (F.col("point_id") + 2).alias("c"))
+    return measures.mesh_area(points.withColumnRenamed("point_id", "v"), tri).select("triangles", r(F.col("area"), 3).alias("area"))
+
+
+@query(f"WITH tr AS ({_TRI}), s AS (SELECT t, lag(t) OVER (ORDER BY t) AS p FROM tr), g AS (SELECT t, sum(CASE WHEN p = t - 1 THEN 0 ELSE 1 END) OVER (ORDER BY t) AS k FROM s) SELECT t, min(t) OVER (PARTITION BY k) AS comp FROM g", "fx_points")
+def mesh_clusters(points):
+    """Triangles connected over shared edges."""
+    tri = points.where("point_id % 7 < 4").select(F.col("point_id").alias("t"), F.col("point_id").alias("a"), (F.col("point_id") + 1).alias("b"), (F.col("point_id") + 2).alias("c"))
+    return measures.mesh_clusters(tri)
+
+
+@query("WITH q AS (SELECT quantile_cont(z, 1e-1) AS low FROM fx_points) SELECT point_id FROM fx_points, q WHERE z >= low", "fx_points")
+def density_trim(points):
+    """Points without the lowest tenth of a measure."""
+    return measures.trim_density(points.withColumn("density", F.col("z"))).select("point_id")
