@@ -222,14 +222,14 @@ def grid_intercept(points):
     return spatial.grid_intercept(points, 0.5).select("ix", "iy", "point_id", r(F.col("d"), 5).alias("d"))
 
 
-@query("""WITH mk AS (SELECT pos, x, y, z FROM fx_annotations WHERE pos <= 50), sg AS (SELECT *, lead(x) OVER (ORDER BY pos) AS x2, lead(y) OVER (ORDER BY pos) AS y2, lead(z) OVER (ORDER BY pos) AS z2 FROM mk)
+@query("""WITH mk AS (SELECT pos, x, y, z FROM fx_annotations), sg AS (SELECT *, lead(x) OVER (ORDER BY pos) AS x2, lead(y) OVER (ORDER BY pos) AS y2, lead(z) OVER (ORDER BY pos) AS z2 FROM mk)
 SELECT pos, CAST(k AS INT) AS k, round(x + (x2-x)*k/49, 5) AS x, round(y + (y2-y)*k/49, 5) AS y, round(z + (z2-z)*k/49, 5) AS z FROM sg, range(50) t(k) WHERE x2 IS NOT NULL""", "fx_annotations")
 def transect_points(anns):
     """Points along the segments between markers."""
-    return spatial.transect_points(anns.where("pos <= 50")).select("pos", "k", *(r(F.col(a), 5).alias(a) for a in "xyz"))
+    return spatial.transect_points(anns).select("pos", "k", *(r(F.col(a), 5).alias(a) for a in "xyz"))
 
 
-@query("""WITH mk AS (SELECT pos, x, y, z FROM fx_annotations WHERE pos <= 50), sg AS (SELECT *, lead(x) OVER (ORDER BY pos) AS x2, lead(y) OVER (ORDER BY pos) AS y2 FROM mk),
+@query("""WITH mk AS (SELECT pos, x, y, z FROM fx_annotations), sg AS (SELECT *, lead(x) OVER (ORDER BY pos) AS x2, lead(y) OVER (ORDER BY pos) AS y2 FROM mk),
 tp AS (SELECT x + (x2-x)*k/49 AS tx, y + (y2-y)*k/49 AS ty FROM sg, range(50) t(k) WHERE x2 IS NOT NULL),
 b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM fx_points),
 n AS (SELECT i AS ix, j AS iy, x0 + i*5e-1 AS nx, y0 + j*5e-1 AS ny FROM b, range(30) a(i), range(30) c(j) WHERE i < ceil((x1-x0)/5e-1) AND j < ceil((y1-y0)/5e-1)),
@@ -238,7 +238,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY ix, iy ORDER BY d, point_id) AS
 SELECT CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, point_id, round(min(sqrt((x-tx)*(x-tx)+(y-ty)*(y-ty))), 5) AS d FROM k, tp WHERE rk = 1 AND sqrt((x-tx)*(x-tx)+(y-ty)*(y-ty)) <= 3e-1 GROUP BY ix, iy, point_id""", "fx_points", "fx_annotations")
 def transect_sample(points, anns):
     """Grid intercepts near a transect."""
-    return spatial.transect_sample(points, anns.where("pos <= 50"), 0.5, 0.3).select("ix", "iy", "point_id", r(F.col("d"), 5).alias("d"))
+    return spatial.transect_sample(points, anns, 0.5, 0.3).select("ix", "iy", "point_id", r(F.col("d"), 5).alias("d"))
 
 
 @query("SELECT a.id AS a, b.id AS b, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), 5) AS d FROM fx_annotations a, fx_annotations b", "fx_annotations")
@@ -277,13 +277,13 @@ def next_id(anns):
     return an.next_id(anns)
 
 
-_EXTRA = "SELECT id, pos*10 AS pos, x, y, z FROM fx_annotations UNION ALL SELECT id || '_left', pos*10+1, x-5e-2, y, z FROM fx_annotations WHERE pos % 20 = 0 UNION ALL SELECT id || '_right', pos*10+2, x+5e-2, y, z FROM fx_annotations WHERE pos % 20 = 0 UNION ALL SELECT 'orphan_left', 1, 0e0, 0e0, 0e0"
+_EXTRA = "SELECT id, pos*10 AS pos, x, y, z FROM fx_annotations UNION ALL SELECT id || '_left', pos*10+1, x-5e-2, y, z FROM fx_annotations UNION ALL SELECT id || '_right', pos*10+2, x+5e-2, y, z FROM fx_annotations UNION ALL SELECT 'orphan_left', 1, 0e0, 0e0, 0e0"
 
 
 def _extra(anns):
     spark = anns.sparkSession
     own = anns.select("id", (F.col("pos") * 10).alias("pos"), "x", "y", "z")
-    side = lambda name, k, d: anns.where("pos % 20 = 0").select(F.concat("id", F.lit(name)).alias("id"), (F.col("pos") * 10 + k).alias("pos"), (F.col("x") + d).alias("x"), "y", "z")
+    side = lambda name, k, d: anns.select(F.concat("id", F.lit(name)).alias("id"), (F.col("pos") * 10 + k).alias("pos"), (F.col("x") + d).alias("x"), "y", "z")
     orphan = spark.createDataFrame([("orphan_left", 1, 0.0, 0.0, 0.0)], own.schema)
     return own.unionByName(side("_left", 1, -0.05)).unionByName(side("_right", 2, 0.05)).unionByName(orphan)
 

@@ -215,12 +215,12 @@ def frame_stats(frames):
     return fr.statistics(_timed(frames)).select("n", *(r(F.col(c)).alias(c) for c in ("first", "last", "span")), r(F.col("mean_step"), 6).alias("mean_step"))
 
 
-@query(f"""WITH {FR}, s AS (SELECT frame_number, timestamp_s, brightness FROM f WHERE frame_number % 7 = 3),
+@query(f"""WITH {FR}, s AS (SELECT frame_number, frame_number/73e-1 AS timestamp_s FROM fx_frames),
 k AS (SELECT sec, frame_number, row_number() OVER (PARTITION BY sec ORDER BY abs(timestamp_s-sec), frame_number) AS rk FROM range(1, 21) t(sec), s WHERE abs(timestamp_s-sec) <= 5e-1)
 SELECT CAST(sec AS INT) AS second, frame_number FROM k WHERE rk = 1""", "fx_frames")
 def frame_per_second(frames):
-    """The nearest of some frames to each second."""
-    return fr.per_second(_timed(frames).where("frame_number % 7 = 3"), 1, 20).select("second", "frame_number")
+    """The nearest frame to each second at an uneven rate."""
+    return fr.per_second(frames.withColumn("timestamp_s", F.col("frame_number") / F.lit(7.3)), 1, 20).select("second", "frame_number")
 
 
 @query(f"WITH {FR} SELECT frame_number, printf('reef_%06d_%.2fs.jpg', frame_number, timestamp_s) AS name FROM f WHERE frame_number % 15 = 0", "fx_frames")
@@ -230,11 +230,11 @@ def frame_names(frames):
     return rows.select("frame_number", fr.frame_name("reef").alias("name"))
 
 
-MATCHES = "mt AS (SELECT 'cam_' || lpad(CAST(l_suppkey AS VARCHAR), 4, '0') AS cam_id, count(*) AS matches FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY l_suppkey)"
+MATCHES = "mt AS (SELECT 'cam_' || lpad(CAST(l_suppkey AS VARCHAR), 4, '0') AS cam_id, count(*) AS matches FROM lineitem WHERE l_discount >= 1e-1 AND l_quantity >= 5e1 GROUP BY l_suppkey)"
 
 
 def _counts(lineitem):
-    rows = lineitem.where("l_suppkey % 3 <> 0").groupBy("l_suppkey").agg(F.count("*").alias("matches"))
+    rows = lineitem.where("l_discount >= 1e-1 and l_quantity >= 5e1").groupBy("l_suppkey").agg(F.count("*").alias("matches"))
     return rows.select(F.concat(F.lit("cam_"), F.lpad(F.col("l_suppkey").cast("string"), 4, "0")).alias("cam_id"), "matches")
 
 
@@ -318,7 +318,7 @@ def gap_fraction_fill(points, anns):
     return out.select(F.col("q_id").alias("id"), "filled", r(F.col("gap_fill"), 6).alias("gap_fill"))
 
 
-_TRI = "SELECT point_id AS t, point_id AS a, point_id + 1 AS b, point_id + 2 AS c FROM fx_points WHERE point_id % 7 < 4"
+_TRI = "SELECT point_id AS t, point_id AS a, point_id + 1 AS b, point_id + 2 AS c FROM fx_points WHERE r < 6e-1"
 
 
 @query(f"""WITH tr AS ({_TRI}), e AS (SELECT p.x AS ax, p.y AS ay, p.z AS az, q.x-p.x AS ux, q.y-p.y AS uy, q.z-p.z AS uz, w.x-p.x AS vx, w.y-p.y AS vy, w.z-p.z AS vz
@@ -326,14 +326,14 @@ _TRI = "SELECT point_id AS t, point_id AS a, point_id + 1 AS b, point_id + 2 AS
 SELECT count(*) AS triangles, round(sum(sqrt((uy*vz-uz*vy)*(uy*vz-uz*vy)+(uz*vx-ux*vz)*(uz*vx-ux*vz)+(ux*vy-uy*vx)*(ux*vy-uy*vx))/2), 3) AS area FROM e""", "fx_points")
 def mesh_area(points):
     """Area of a mesh over the points."""
-    tri = points.where("point_id % 7 < 4").select(F.col("point_id").alias("t"), F.col("point_id").alias("a"), (F.col("point_id") + 1).alias("b"), (F.col("point_id") + 2).alias("c"))
+    tri = points.where("r < 6e-1").select(F.col("point_id").alias("t"), F.col("point_id").alias("a"), (F.col("point_id") + 1).alias("b"), (F.col("point_id") + 2).alias("c"))
     return measures.mesh_area(points.withColumnRenamed("point_id", "v"), tri).select("triangles", r(F.col("area"), 3).alias("area"))
 
 
 @query(f"WITH tr AS ({_TRI}), s AS (SELECT t, lag(t) OVER (ORDER BY t) AS p FROM tr), g AS (SELECT t, sum(CASE WHEN p = t - 1 THEN 0 ELSE 1 END) OVER (ORDER BY t) AS k FROM s) SELECT t, min(t) OVER (PARTITION BY k) AS comp FROM g", "fx_points")
 def mesh_clusters(points):
     """Triangles connected over shared edges."""
-    tri = points.where("point_id % 7 < 4").select(F.col("point_id").alias("t"), F.col("point_id").alias("a"), (F.col("point_id") + 1).alias("b"), (F.col("point_id") + 2).alias("c"))
+    tri = points.where("r < 6e-1").select(F.col("point_id").alias("t"), F.col("point_id").alias("a"), (F.col("point_id") + 1).alias("b"), (F.col("point_id") + 2).alias("c"))
     return measures.mesh_clusters(tri)
 
 
