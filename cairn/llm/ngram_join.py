@@ -8,12 +8,13 @@ subsets of the overlap's size; sharing one proves the link, so each subset's cla
 form a star and no pairs are listed. Heavy: larger sets are found in inverted lists
 over rare-first prefixes. The boundary is where the two costs, counted from the size
 histogram, sum to least. Rareness comes from a mergeable count of every task's
-repeated grams; it orders the lists and never decides a result.
+repeated grams, then from the lists themselves: grams of crowded lists move back in
+the order and the classes they led are listed anew. The order never decides a result.
 
 Pairs are first held against parity signatures, which rule most out for certain, then
-decided by whole sets. A list of near copies is not paired up: its members are compared with one leader, the
-links are contracted to components, lists that still span several components get
-another leader, and when what is left is linear in the lists, every pair across
+decided by whole sets. A list of near copies is not paired up: its members are compared with a few leaders,
+the links are contracted to components, lists that still span several components get
+other leaders, and when what is left is linear in the lists, every pair across
 components is compared. A pair inside one component cannot change it, a pair across
 components is always compared: no link between components is lost.
 
@@ -49,12 +50,16 @@ HEAVY_COUNT = 8
 MOST_LIGHT, ENTRY_COST = 24, 8.0
 #: Bits of the filters that spare work before an exact join, as a power of two; fixed, 2 MB.
 FILTER_BITS = 24
-#: Bits of a set's parity signature: no two sets differ in fewer grams than their signatures in bits.
-SIGN_BITS = 1024
+#: Bounds of the bits of a set's parity signature: no two sets differ in fewer grams than their signatures in bits.
+SIGN_BITS, MOST_SIGN_BITS = 1 << 10, 1 << 17
+#: Classes in a list from which its gram is ranked among the frequent ones.
+CROWD = 6
 #: Texts whose words are held at once.
 STEP = 1000
 #: Leader rounds go on while pairs across components outnumber list entries by this factor, up to so many rounds.
 PAIRS_PER_ENTRY, ROUNDS = 2.0, 6
+#: Leaders of a list in a round, in seeded orders; the first round has one more, the entry with fewest rare grams.
+LEADERS = 3
 _FACTORS = [pow(0x9E3779B97F4A7C15, k + 2, 1 << 64) | 1 for k in range(WORDS)]
 #: Class keys remembered by a task to skip copies; forgotten when full.
 REMEMBERED = 1 << 19
@@ -100,8 +105,18 @@ def class_key(grams: np.ndarray) -> int:
 
 
 def signature(grams: np.ndarray) -> bytes:
-    """Parities of the grams over SIGN_BITS places."""
-    return np.packbits(np.bincount((grams >> np.uint64(54)).astype(np.int64), minlength=SIGN_BITS) & 1).tobytes()
+    """Parities of the grams over a power of two of places that grows with the set."""
+    bits = min(MOST_SIGN_BITS, max(SIGN_BITS, 1 << len(grams).bit_length()))
+    return np.packbits(np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Grams that two sets differ in at least; the longer signature is folded onto the shorter."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,53 +230,95 @@ def _maybe(words: np.ndarray, *hashes: np.ndarray) -> np.ndarray:
     return keep
 
 
-def list_entries(lists: DataFrame) -> DataFrame:
-    """gram, cls, n, pos, prio of the lists that hold more than one class."""
-    spark = lists.sparkSession
-    entries = lists.select(F.posexplode("grams").alias("pos", "gram"), "cls", "n", "prio")
-    ends = entries.groupBy("gram").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least <> most").select("gram")
-    ends = cut(ends, "shared_grams")
-    words = spark.sparkContext.broadcast(_filter_words(ends, "gram"))
+def shared_grams(lists: DataFrame) -> DataFrame:
+    """gram, k of the lists that hold more than one class, with their length."""
+    entries = lists.select(F.explode("grams").alias("gram"), "cls")
+    ends = entries.groupBy("gram").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("k"))
+    return cut(ends.where("least <> most").select("gram", "k"), "shared_grams")
+
+
+def list_entries(lists: DataFrame, shared: DataFrame) -> DataFrame:
+    """gram, cls, n, pos, prio of the shared lists."""
+    words = lists.sparkSession.sparkContext.broadcast(_filter_words(shared, "gram"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = _maybe(words.value, b.column("h1").to_numpy(), b.column("h2").to_numpy())
             yield b.filter(pa.array(keep)).select(["gram", "cls", "n", "pos", "prio"])
 
+    entries = lists.select(F.posexplode("grams").alias("pos", "gram"), "cls", "n", "prio")
     hashed = entries.select("gram", "cls", "n", "pos", "prio", F.xxhash64("gram", F.lit(1)).alias("h1"), F.xxhash64("gram", F.lit(2)).alias("h2"))
     some = hashed.mapInArrow(kept, "gram long, cls long, n int, pos int, prio int")
-    return cut(some.join(ends, "gram", "left_semi").distinct(), "entries")
+    return cut(some.join(shared, "gram", "left_semi").distinct(), "entries")
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """cls, grams (sorted, packed) of the wanted (rep, cls, n)."""
-    spark = docs.sparkSession
-    words = spark.sparkContext.broadcast(_filter_words(wanted.where("rep is not null"), "rep"))
+def chosen(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, run, schema: str) -> DataFrame:
+    """run over the (id, text) batches of documents that are, or by a filter may be, wanted's rep."""
+    words = docs.sparkSession.sparkContext.broadcast(_filter_words(wanted.where("rep is not null"), "rep"))
     nulls = bool(wanted.where("rep is null").take(1))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = _maybe(words.value, b.column("h1").to_numpy(), b.column("h2").to_numpy())
             keep |= nulls & b.column("id").is_null().to_numpy(zero_copy_only=False)
-            b = b.filter(pa.array(keep))
-            sets = gram_sets(b.column("text"))
-            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "cls": pa.array([class_key(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()), "grams": pa.array([s.tobytes() for s in sets], pa.binary())})
+            yield b.filter(pa.array(keep))
 
     key = F.col(doc_id).cast("long")
     rows = docs.select(key.alias("id"), F.col(text).alias("text"), F.xxhash64(key, F.lit(1)).alias("h1"), F.xxhash64(key, F.lit(2)).alias("h2")).where("text is not null")
-    found = rows.mapInArrow(kept, "id long, cls long, n int, grams binary")
-    f, w = found.alias("f"), wanted.alias("w")
-    same = F.col("f.id").eqNullSafe(F.col("w.rep")) & (F.col("f.cls") == F.col("w.cls")) & (F.col("f.n") == F.col("w.n"))
-    return cut(f.join(w, same, "left_semi").dropDuplicates(["cls"]).select("cls", "grams"), "class_sets")
+    return rows.mapInArrow(lambda batches: run(kept(batches)), schema)
+
+
+def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = gram_sets(b.column("text"))
+        yield pa.RecordBatch.from_pydict({"cls": pa.array([class_key(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()), "grams": pa.array([s.tobytes() for s in sets], pa.binary())})
+
+
+def class_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """cls, grams (sorted, packed) of the wanted (rep, cls, n)."""
+    found = chosen(docs, wanted, text, doc_id, _whole_sets, "cls long, n int, grams binary")
+    return cut(found.join(wanted, ["cls", "n"], "left_semi").dropDuplicates(["cls"]).select("cls", "grams"), "class_sets")
+
+
+def _with_any(grams: np.ndarray, wanted: bool):
+    """Lists that hold one of the grams, or those that hold none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = b.column("grams").flatten().to_numpy()
+            at = np.minimum(np.searchsorted(grams, flat), len(grams) - 1)
+            ends = np.concatenate([[0], np.cumsum(grams[at] == flat)])
+            edge = b.column("grams").offsets.to_numpy() - b.column("grams").offsets[0].as_py()
+            yield b.filter(pa.array((ends[edge[1:]] > ends[edge[:-1]]) == wanted))
+
+    return run
+
+
+def relisted(docs: DataFrame, lists: DataFrame, crowded: np.ndarray, counts: np.ndarray, heavy, classes: DataFrame, boundary: int, text: str, doc_id: str) -> DataFrame:
+    """The lists after crowded grams were ranked among the frequent.
+
+    Only classes with a crowded gram in their prefix change: without one, the rarer
+    grams that make up a prefix are the same in both orders.
+    """
+    order = np.argsort(crowded)
+    grams, where = crowded[order], lists.sparkSession.sparkContext
+    changed = cut(lists.mapInArrow(_with_any(grams, True), lists.schema).select("cls", "n").distinct(), "changed")
+    wanted = cut(classes.join(changed, ["cls", "n"], "left_semi").select("rep", "cls", "n"), "wanted")
+    every = np.concatenate([heavy[0], grams.view(np.uint64)])
+    found, first = np.unique(every, return_index=True)
+    shared = where.broadcast((found, np.concatenate([heavy[1], counts[order]])[first]))
+    again = chosen(docs, wanted, text, doc_id, _listed(shared, boundary), LISTED).where("kind = 0")
+    again = cut(again.join(changed, ["cls", "n"], "left_semi"), "relisted")
+    return lists.mapInArrow(_with_any(grams, False), lists.schema).unionByName(again.select(lists.columns))
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures do not rule a link out: it needs at most (n + m) / 9 grams on one side only."""
+    """Pairs whose signatures do not rule a link out, which needs at most (n + m) / 9 grams on one side only."""
     for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, SIGN_BITS // 64) for c in ("x", "y"))
-        apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-        sizes = b.column("n").to_numpy().astype(np.int64) + b.column("m").to_numpy()
-        yield b.select(["a", "b"]).filter(pa.array(9 * apart <= sizes))
+        sizes = (b.column("n").to_numpy().astype(np.int64) + b.column("m").to_numpy()).tolist()
+        far = [apart(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column("x"), b.column("y"), strict=True)]
+        keep = pa.array([9 * d <= s for d, s in zip(far, sizes, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_pydict({"a": b.column("a"), "b": b.column("b"), "far": pa.array([d / s for d, s in zip(far, sizes, strict=True)], pa.float64())}).filter(keep)
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,6 +335,12 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def nearest_pairs(near: DataFrame) -> DataFrame:
+    """Each class's pair with least signature distance, from either side."""
+    best = lambda one, other: near.groupBy(one).agg(F.min(F.struct("far", other)).alias("p")).select(one, F.col(f"p.{other}").alias(other)).select("a", "b")
+    return best("a", "b").unionByName(best("b", "a")).distinct()
+
+
 class Verifier:
     """Decides pairs of classes; whole sets are fetched once, for pairs that signatures leave open."""
 
@@ -285,10 +348,13 @@ class Verifier:
         self.docs, self.classes, self.signs, self.text, self.doc_id = docs, classes, signs, text, doc_id
         self.sets: DataFrame | None = None
 
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link."""
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """a, b, far of the pairs that signatures leave open."""
         x, y = (self.signs.select(F.col("cls").alias(k), F.col("sign").alias(v), F.col("n").alias(m)) for k, v, m in (("a", "x", "n"), ("b", "y", "m")))
-        near = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(_near, "a long, b long"), "near_pairs")
+        return cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(_near, "a long, b long, far double"), "near_pairs")
+
+    def linked(self, near: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link."""
         wanted = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("cls"), "cls", "left_anti")
@@ -297,7 +363,7 @@ class Verifier:
             more = class_sets(self.docs, wanted, self.text, self.doc_id)
             self.sets = more if self.sets is None else self.sets.unionByName(more)
         if self.sets is None:
-            return near
+            return near.select("a", "b")
         x, y = (self.sets.select(F.col("cls").alias(k), F.col("grams").alias(v)) for k, v in (("a", "x"), ("b", "y")))
         return cut(near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), "links")
 
@@ -315,10 +381,12 @@ def _pair(p: str, q: str) -> list[Column]:
     return [F.least(f"{p}.cls", f"{q}.cls").alias("a"), F.greatest(f"{p}.cls", f"{q}.cls").alias("b")]
 
 
-def leader_pairs(entries: DataFrame, order: Column, leads: Column, others: Column) -> DataFrame:
-    """Each list's other entries with its leader, the least in the given order."""
-    lead = entries.where(leads).groupBy("gram").agg(F.min(F.struct(order.alias("o"), F.xxhash64("cls").alias("h"), "cls", "n", "pos")).alias("l"))
-    q = cut(lead.select("gram", "l.cls", "l.n", "l.pos"), "leaders").alias("q")
+def leader_pairs(entries: DataFrame, orders: list[Column], leads: Column, others: Column) -> DataFrame:
+    """Each list's other entries with its leaders, the least in each of the given orders."""
+    least = [F.min(F.struct(o.alias("o"), F.xxhash64("cls").alias("h"), "cls", "n", "pos")).alias(f"l{k}") for k, o in enumerate(orders)]
+    bare = F.array_distinct(F.array(*(F.struct(*(F.col(f"l{k}.{c}").alias(c) for c in ("cls", "n", "pos"))) for k in range(len(orders)))))
+    lead = entries.where(leads).groupBy("gram").agg(*least).select("gram", F.inline(bare))
+    q = cut(lead, "leaders").alias("q")
     p = entries.where(others).alias("p")
     return p.join(q, (F.col("p.gram") == F.col("q.gram")) & (F.col("p.cls") != F.col("q.cls")) & _possible("p", "q")).select(*_pair("p", "q")).distinct()
 
@@ -333,22 +401,44 @@ def spanning(entries: DataFrame, comps: DataFrame) -> DataFrame:
     return cut(held.join(mixed, "gram"), "spanning")
 
 
+def _seeded(number: int) -> list[Column]:
+    """Orders of a round's leaders."""
+    return [F.xxhash64("cls", F.lit(number * LEADERS + k)) for k in range(LEADERS)]
+
+
+def _apart(near: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose classes are in different components."""
+    side = lambda k: comps.select(F.col("node").alias(k), F.col("comp").alias(f"comp_{k}"))
+    rows = near.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return rows.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
+
+
 def heavy_links(entries: DataFrame, verifier: Verifier) -> DataFrame:
-    """Links that connect whatever links connect among the classes of the lists."""
-    edges = verifier.linked(leader_pairs(entries, F.col("prio"), F.lit(True), F.lit(True)))
+    """Links that connect whatever links connect among the classes of the lists.
+
+    In a round each class is verified with its nearest leader only; pairs that this
+    passes over are among the last step's, unless their classes are joined by then.
+    """
+    first = verifier.near(leader_pairs(entries, [F.col("prio")], F.lit(True), F.lit(True)))
+    edges, last = verifier.linked(cut(nearest_pairs(first), "nearest")), None
     for number in range(1, ROUNDS + 1):
         mixed = spanning(entries, components(edges))
         work, n = mixed.agg(F.sum(F.when(F.col("comp") != F.col("main"), F.col("all"))), F.count("*")).first()
         if not n:
             return edges
-        if work <= PAIRS_PER_ENTRY * n or number == ROUNDS:
+        if work <= PAIRS_PER_ENTRY * n or last and 2 * work > last or number == ROUNDS:
             break
-        more = leader_pairs(mixed, F.xxhash64("cls", F.lit(number)), F.expr("comp = main"), F.expr("comp <> main"))
-        edges = edges.unionByName(verifier.linked(more))
+        last = work
+        more = verifier.near(leader_pairs(mixed, _seeded(number), F.expr("comp = main"), F.expr("comp <> main")))
+        edges = edges.unionByName(verifier.linked(cut(nearest_pairs(more), "nearest")))
     p, q = mixed.where("comp <> main").alias("p"), mixed.alias("q")
-    apart = (F.col("p.comp") != F.col("q.comp")) & ((F.col("q.comp") == F.col("q.main")) | (F.col("p.cls") < F.col("q.cls")))
-    pairs = p.join(q, (F.col("p.gram") == F.col("q.gram")) & apart & _possible("p", "q")).select(*_pair("p", "q")).distinct()
-    return edges.unionByName(verifier.linked(pairs))
+    across = (F.col("p.comp") != F.col("q.comp")) & ((F.col("q.comp") == F.col("q.main")) | (F.col("p.cls") < F.col("q.cls")))
+    pairs = p.join(q, (F.col("p.gram") == F.col("q.gram")) & across & _possible("p", "q")).select(*_pair("p", "q")).distinct()
+    near = verifier.near(pairs)
+    tried = cut(nearest_pairs(near), "nearest")
+    edges = edges.unionByName(verifier.linked(tried))
+    rest = cut(_apart(near.join(tried, ["a", "b"], "left_anti"), components(edges)), "rest")
+    return edges.unionByName(verifier.linked(rest)) if rest.take(1) else edges
 
 
 def light_links(subs: DataFrame) -> DataFrame:
@@ -375,11 +465,17 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     order = np.argsort(grams)
     small = held.where((F.col("n") > 0) & (F.col("n") <= MOST_LIGHT * 5 // 4)).groupBy("n").agg(F.count("*").alias("k")).collect()
     boundary = choose_boundary({r.n: r.k for r in small})
-    shared = spark.sparkContext.broadcast((grams[order], top["n"].to_numpy(np.int64)[order]))
-    listed = cut(rows.mapInArrow(_listed(shared, boundary), LISTED), "listed")
-    entries = list_entries(listed.where("kind = 0"))
+    frequent = (grams[order], top["n"].to_numpy(np.int64)[order])
+    listed = cut(rows.mapInArrow(_listed(spark.sparkContext.broadcast(frequent), boundary), LISTED), "listed")
     classes = cut(held.where("n > 0").groupBy("cls", "n").agg(F.min("id").alias("rep"), F.count("*").alias("k")), "classes")
-    signs = listed.where("kind = 0").select("cls", "n", "sign").join(entries.select("cls").distinct(), "cls", "left_semi")
+    lists = listed.where("kind = 0").select("cls", "n", "prio", "grams", "sign")
+    shared = shared_grams(lists)
+    crowd = shared.where(F.col("k") > CROWD).orderBy(F.desc("k"), "gram").limit(HEAVY).toPandas()
+    if len(crowd):
+        lists = relisted(docs, lists, crowd["gram"].to_numpy(np.int64), crowd["k"].to_numpy(np.int64), frequent, classes, boundary, text, doc_id)
+        shared = shared_grams(lists)
+    entries = list_entries(lists, shared)
+    signs = lists.select("cls", "n", "sign").join(entries.select("cls").distinct(), "cls", "left_semi")
     verifier = Verifier(docs, classes, cut(signs.dropDuplicates(["cls"]), "signatures"), text, doc_id)
     edges = heavy_links(entries, verifier).unionByName(light_links(listed.where("kind = 1")))
     comps = cut(components(edges), "components")
