@@ -6,12 +6,14 @@ sorted arrays of such numbers with log probabilities beside them: interpolated
 trigrams and bigrams, back-off weights, and unigrams. A document gets the language
 of the least cross-entropy per character. Rejection is calibrated on labelled
 documents that the models were not fitted on: per language and length class, the
-cross-entropy that all but a stated share of its documents stay below.
+cross-entropy that all but a stated share of its documents stay below. A class with
+few of them borrows from neighbouring classes, then from its language, then from all
+languages, so that there is a limit for every class at every size.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; a null
 language label is not learned from; rows that repeat a doc_id are predicted each;
-with nothing to learn from everything is `und`; an empty table gives no rows; a
-very long text is read in pieces that overlap by two characters.
+with nothing to learn from everything is `und`; with no calibration document at all
+only `und` is rejected; an empty table gives no rows; a very long text is read in pieces that overlap by two characters.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,10 +35,10 @@ UNKNOWN = "und"
 PIECE = 1 << 21
 #: A model keeps this many trigrams of a language at most, the most frequent, so that what is broadcast is bounded.
 MODEL_NGRAMS = 1_000_000
-#: Share of a language's documents that calibration lets be rejected, and what is added to that limit, in nats.
-FALSE_REJECTION, MARGIN = 0.001, 0.5
-#: Width of the calibration histogram in nats, and documents that a length class needs to have a limit of its own.
-BIN, LEAST_DOCS = 0.01, 200
+#: Share of a language's documents that calibration lets be rejected, and standard errors by which what it estimates is raised.
+FALSE_REJECTION, ERRORS = 0.001, 3.0
+#: Width of the calibration histogram in nats, documents that a length class needs to borrow none, and the last class (by powers of two of letters).
+BIN, LEAST_DOCS, LAST_CLASS = 0.01, 200, 12
 #: Letters beyond which more evidence does not sharpen the score.
 SURE_LETTERS = 40
 BITS = 21
@@ -242,19 +245,70 @@ def score(docs: DataFrame, models: list[Model], keys: dict[str, Column], text: s
     return rows.mapInArrow(_scorer(shared, list(keys)), fields + ", lang_pred string, cross_entropy double, letters long, score double")
 
 
-def limits(scored: DataFrame, false_rejection: float = FALSE_REJECTION, margin: float = MARGIN) -> DataFrame:
-    """lang_pred, size_class, limit from calibration rows, by a histogram of cross-entropies."""
+def _tail(excess: np.ndarray, n: np.ndarray, share: float) -> tuple[float, float]:
+    """What all but `share` of excesses over a centre stay below, and the mean upper excess.
+
+    The limit is the quantile itself, or with too few documents to hold one the greatest
+    excess and an exponential tail beyond it; at least what such a tail makes of the upper
+    half. Means are raised for their error.
+    """
+    order = np.argsort(excess)
+    excess, n = excess[order], n[order]
+    total, up = n.sum(), np.cumsum(n)
+    over = lambda at: max(BIN, float(((excess - excess[at]) * n)[at:].sum() / n[at:].sum()))
+    half, tenth = (over(min(np.searchsorted(up, total * q), len(n) - 1)) for q in (0.5, 0.9))
+    raised = 1 + ERRORS * np.sqrt(2 / total)
+    quantile = float(excess[np.searchsorted(up, total * (1 - share))])
+    beyond = max(half, tenth) * raised * max(0.0, np.log(1 / (total * share)))
+    return max(quantile + beyond, half * raised * np.log(0.5 / share)), half
+
+
+def _median(values: np.ndarray, n: np.ndarray) -> float:
+    order = np.argsort(values)
+    return float(values[order][np.searchsorted(np.cumsum(n[order]), n.sum() / 2)])
+
+
+def calibrated(bins: pd.DataFrame, names: list[str], false_rejection: float = FALSE_REJECTION) -> list[tuple[str, int, float]]:
+    """(lang_pred, size_class, limit) for every language and class, from a histogram (lang_pred, size_class, bin, n).
+
+    A pool is as few classes about its own as hold LEAST_DOCS documents, of its language
+    or else of all, each language taken from its own median. Fewer letters spread more:
+    what longer texts exceed the centre by is scaled to the shorter length.
+    """
+    lang, size, n = bins["lang_pred"].to_numpy(object), bins["size_class"].to_numpy(int), bins["n"].to_numpy(float)
+    value = (bins["bin"].to_numpy(float) + 1) * BIN
+    if not n.sum():
+        return []
+    middle = {m: _median(value[lang == m], n[lang == m]) for m in set(lang)}
+    centred = value - np.array([middle[m] for m in lang])
+    out = []
+    for name in names:
+        for k in range(LAST_CLASS + 1):
+            spread = np.sqrt(2.0 ** np.maximum(size - k, 0))
+            for width in range(LAST_CLASS + 1):
+                own = (lang == name) & (np.abs(size - k) <= width)
+                if n[own].sum() >= LEAST_DOCS:
+                    centre = _median(value[own], n[own])
+                    limit = centre + _tail((value[own] - centre) * spread[own], n[own], false_rejection)[0]
+                    break
+            else:
+                width = next((w for w in range(LAST_CLASS) if n[np.abs(size - k) <= w].sum() >= LEAST_DOCS), LAST_CLASS)
+                near = np.abs(size - k) <= width
+                reach, mean = _tail((centred * spread)[near], n[near], false_rejection)
+                held = n[lang == name].sum()
+                limit = (middle[name] + ERRORS * mean / np.sqrt(held) if held else max(middle.values())) + reach
+            out.append((name, k, float(limit)))
+    return out
+
+
+def limits(scored: DataFrame, names: list[str], false_rejection: float = FALSE_REJECTION) -> DataFrame:
+    """lang_pred, size_class, limit from calibration rows; the driver sees only their histogram, a few bins a class."""
     bins = scored.where("letters > 0 and lang_true = lang_pred").groupBy("lang_pred", _size_class().alias("size_class"), F.floor(F.col("cross_entropy") / BIN).alias("bin")).agg(F.count("*").alias("n"))
-    up = Window.partitionBy("lang_pred", "size_class").orderBy("bin")
-    all_rows = Window.partitionBy("lang_pred", "size_class")
-    bins = bins.withColumns({"below": F.sum("n").over(up), "total": F.sum("n").over(all_rows)})
-    reached = F.min(F.when(F.col("below") >= F.col("total") * (1 - false_rejection), F.col("bin")))
-    out = bins.groupBy("lang_pred", "size_class").agg(reached.alias("bin"), F.max("total").alias("total"))
-    return out.where(F.col("total") >= LEAST_DOCS).select("lang_pred", "size_class", ((F.col("bin") + 1) * BIN + margin).alias("limit"))
+    return scored.sparkSession.createDataFrame(calibrated(bins.toPandas(), names, false_rejection), "lang_pred string, size_class int, limit double")
 
 
 def _size_class() -> Column:
-    return F.least(F.floor(F.log2(F.greatest("letters", F.lit(1)))), F.lit(12)).cast("int")
+    return F.least(F.floor(F.log2(F.greatest("letters", F.lit(1)))), F.lit(LAST_CLASS)).cast("int")
 
 
 def language_id(docs: DataFrame, learn: Column | None = None, calibrate: Column | None = None, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", keys: dict[str, Column] | None = None) -> DataFrame:
@@ -270,7 +324,7 @@ def language_id(docs: DataFrame, learn: Column | None = None, calibrate: Column
     models = fit_models(docs.where(learn), lang, text)
     inner = {f"key_{k}": c for k, c in keys.items()}
     scored = cut(score(docs, models, inner | {"lang_true": F.when(F.coalesce(calibrate, F.lit(False)), F.col(lang).cast("string"))}, text), "scored")
-    allowed = cut(limits(scored), "limits")
+    allowed = cut(limits(scored, [m.lang for m in models]), "limits")
     s, a = scored.withColumn("size_class", _size_class()).alias("s"), allowed.alias("a")
     out = s.join(a, (F.col("s.lang_pred") == F.col("a.lang_pred")) & (F.col("s.size_class") == F.col("a.size_class")), "left")
     over = (F.col("s.lang_pred") == UNKNOWN) | F.coalesce(F.col("s.cross_entropy") > F.col("a.limit"), F.lit(False))

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 
 from cairn.llm import language_id as x
 from tests.llm.rows import awkward, documents
@@ -59,3 +60,24 @@ def test_dense_and_sorted_distinct_agree():
 def test_awkward_and_empty(spark):
     assert len(x.language_id(documents(spark)).collect()) == len(awkward())
     assert x.language_id(documents(spark, [])).collect() == []
+
+
+def test_random_letters_are_rejected_at_every_size(spark):
+    rng = random.Random(9)
+    noise = lambda letters: " ".join("".join(rng.choice("bdfgjkpqvwxyz") for _ in range(6)) for _ in range(letters // 6))
+    foreign = "ἄνδρα μοι ἔννεπε μοῦσα πολύτροπον ὃς μάλα πολλὰ πλάγχθη"
+    strange = [(50_000 + i, t, None, *[None] * 5) for i, t in enumerate([noise(60), noise(300), noise(30_000), foreign, foreign * 200])]
+    for n in (120, 600, 6000):
+        rows = made(n)
+        got = {r.doc_id: r for r in x.language_id(documents(spark, rows + strange)).collect()}
+        assert all(got[r[0]].rejected for r in strange), n
+        held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
+        assert sum(got[r[0]].rejected for r in held) <= 0.005 * len(held), n
+
+
+def test_a_rare_language_has_limits_of_its_own():
+    bins = pd.DataFrame([("aa", k, 200 + i, 30) for k in (5, 6) for i in range(20)] + [("bb", 5, 400, 3)], columns=["lang_pred", "size_class", "bin", "n"])
+    got = {(m, k): limit for m, k, limit in x.calibrated(bins, ["aa", "bb", "cc"])}
+    assert len(got) == 3 * 13
+    assert 2.2 < got["aa", 5] < 3 and 2.2 < got["aa", 12] < 3 and got["aa", 0] > got["aa", 5]
+    assert 4.01 < got["bb", 5] < 5 and 4.01 < got["cc", 12] < 5
