@@ -3,8 +3,11 @@
 Text is lower-cased; every run of non-letters is one boundary. A trigram is one
 63-bit number (three code points of 21 bits), and each language's model is a set of
 sorted arrays of such numbers with log probabilities beside them: interpolated
-trigrams and bigrams, back-off weights, and unigrams. A document gets the language
-of the least cross-entropy per character. Rejection is calibrated on labelled
+trigrams and bigrams, back-off weights, and unigrams. A language with more trigrams
+than can be sent keeps them all in tables: the fit is made of grouped sums, the
+frequent trigrams are sent with their probabilities, and documents' other trigrams
+are looked up by joins. A document gets the language of the least cross-entropy per
+character. Rejection is calibrated on labelled
 documents that the models were not fitted on: per language and length class, the
 cross-entropy that all but a stated share of its documents stay below. A class with
 few of them borrows from neighbouring classes, then from its language, then from all
@@ -31,9 +34,10 @@ from pyspark.sql import functions as F
 from cairn.session import cut
 
 UNKNOWN = "und"
+TOLD = "lang_pred string, cross_entropy double, letters long, score double"
 #: Characters held at once; longer texts and batches are read in pieces.
 PIECE = 1 << 21
-#: A model keeps this many trigrams of a language at most, the most frequent, so that what is broadcast is bounded.
+#: Trigrams of a language up to which models are broadcast whole; beyond it they stay in tables, and as many numbers for each of four languages are broadcast.
 MODEL_NGRAMS = 1_000_000
 #: Share of a language's documents that calibration lets be rejected, and standard errors by which what it estimates is raised.
 FALSE_REJECTION, ERRORS = 0.001, 3.0
@@ -198,11 +202,90 @@ def count_trigrams(docs: DataFrame, lang: str = "lang", text: str = "text") -> D
     return rows.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def fit_models(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = MODEL_NGRAMS) -> list[Model]:
-    """A model for each language of docs, from all its texts; sent are at most `most` trigrams a language."""
-    ranked = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
-    held = count_trigrams(docs, lang, text).withColumn("at", F.row_number().over(ranked)).where(F.col("at") <= most).select("lang", "key", "n").toPandas()
-    return [fit_model(name, own["key"].to_numpy(), own["n"].to_numpy()) for name, own in held.groupby("lang")]
+@dataclass
+class Tables:
+    """All languages: natural logarithms of probabilities and back-off weights, by lang and code points."""
+
+    names: list[str]
+    counts: DataFrame
+    tri: DataFrame
+    pair: DataFrame
+    lead: DataFrame
+    mid: DataFrame
+    uni: DataFrame
+    whole: DataFrame
+
+
+def _sql_discount(n: str = "n") -> Column:
+    one, two = F.count_if(F.col(n) == 1), F.count_if(F.col(n) == 2)
+    return F.when(one > 0, F.least(F.lit(0.95), F.greatest(F.lit(0.1), one / (one + 2 * two)))).otherwise(0.5)
+
+
+def _lead(key: str) -> Column:
+    return F.shiftright(key, BITS)
+
+
+def _last(key: str, letters: int) -> Column:
+    return F.col(key).bitwiseAND(F.lit((1 << letters * BITS) - 1))
+
+
+def fit_tables(counts: DataFrame, names: list[str]) -> Tables:
+    """What fit_model gives for each language, as tables; a group has at most a row a letter."""
+    sums = F.sum("n").alias("total"), F.count("*").alias("types")
+    pairs = cut(counts.groupBy("lang", _last("key", 2).alias("pair")).agg(F.count("*").alias("n")), "pairs")
+    ends = pairs.groupBy("lang", _last("pair", 1).alias("uni")).agg(F.count("*").alias("n"))
+    d3, d2 = (F.broadcast(t.groupBy("lang").agg(_sql_discount().alias("d"))) for t in (counts, pairs))  # a row a language
+    floor = F.col("d") * F.col("types") / F.col("total") / (F.col("types") + 1000)
+    whole = cut(ends.groupBy("lang").agg(*sums, _sql_discount().alias("d")).withColumn("floor", floor), "whole")
+    less = F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")
+    uni = cut(ends.join(F.broadcast(whole), "lang").select("lang", "uni", (less + F.col("floor")).alias("p")), "uni")
+    back = (F.col("d") * F.col("types") / F.col("total")).alias("back")
+    mid = cut(pairs.groupBy("lang", _lead("pair").alias("mid")).agg(*sums).join(d2, "lang").select("lang", "mid", "total", back, "d"), "mid")
+    pair = pairs.withColumns({"mid": _lead("pair"), "uni": _last("pair", 1)}).join(mid, ["lang", "mid"]).join(uni, ["lang", "uni"])
+    pair = cut(pair.select("lang", "pair", (less + F.col("back") * F.col("p")).alias("p")), "pair")
+    lead = cut(counts.groupBy("lang", _lead("key").alias("lead")).agg(*sums).join(d3, "lang").select("lang", "lead", "total", back, "d"), "lead")
+    tri = counts.withColumns({"lead": _lead("key"), "pair": _last("key", 2)}).join(lead, ["lang", "lead"]).join(pair, ["lang", "pair"])
+    tri = cut(tri.select("lang", "key", F.log(less + F.col("back") * F.col("p")).alias("tri_log")), "tri")
+    return Tables(
+        names, counts, tri, pair.select("lang", "pair", F.log("p").alias("pair_log")), lead.select("lang", "lead", F.log("back").alias("lead_back")),
+        mid.select("lang", "mid", F.log("back").alias("mid_back")), uni.select("lang", "uni", F.log("p").alias("uni_log")), whole.select("lang", F.log("floor").alias("unseen")),
+    )
+
+
+def probabilities(keys: DataFrame, t: Tables) -> DataFrame:
+    """key and its natural logarithm of probability in each language, l0, l1, ..., for distinct keys."""
+    pairs = keys.select(_last("key", 2).alias("pair")).distinct().crossJoin(F.broadcast(t.whole))  # a row a language
+    pairs = pairs.withColumns({"mid": _lead("pair"), "uni": _last("pair", 1)})
+    pairs = pairs.join(t.pair, ["lang", "pair"], "left").join(t.mid, ["lang", "mid"], "left").join(t.uni, ["lang", "uni"], "left")
+    pairs = pairs.select("lang", "pair", F.coalesce("pair_log", F.coalesce("mid_back", F.lit(0.0)) + F.coalesce("uni_log", "unseen")).alias("low"))
+    rows = keys.crossJoin(F.broadcast(t.whole.select("lang"))).withColumns({"lead": _lead("key"), "pair": _last("key", 2)})
+    rows = rows.join(pairs, ["lang", "pair"]).join(t.tri, ["lang", "key"], "left").join(t.lead, ["lang", "lead"], "left")
+    log = F.coalesce("tri_log", F.coalesce("lead_back", F.lit(0.0)) + F.col("low"))
+    return rows.groupBy("key").agg(*(F.max(F.when(F.col("lang") == name, log)).alias(f"l{j}") for j, name in enumerate(t.names)))
+
+
+def fit_models(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = MODEL_NGRAMS) -> list[Model] | Tables:
+    """A model for each language of docs, from all its texts; tables where a language has over `most` trigrams."""
+    counts = cut(count_trigrams(docs, lang, text), "counts")
+    types = {r.lang: r["count"] for r in counts.groupBy("lang").count().collect()}
+    if max(types.values(), default=0) > most:
+        return fit_tables(counts, sorted(types))
+    return [fit_model(name, own["key"].to_numpy(), own["n"].to_numpy()) for name, own in counts.toPandas().groupby("lang")]
+
+
+def _told(names: list[str], sums: np.ndarray, n: np.ndarray) -> dict[str, pa.Array]:
+    """The language of each row from its sums of logarithms (rows x languages) over n trigrams."""
+    cross = -sums / np.maximum(n, 1)[:, None]
+    best = cross.argmin(1)
+    least = cross[np.arange(len(n)), best]
+    weight = 1 / np.exp((least[:, None] - cross) * np.minimum(n, SURE_LETTERS)[:, None]).sum(1)
+    some = n > 0
+    return {
+        "lang_pred": pa.array([names[k] if s else UNKNOWN for k, s in zip(best, some, strict=True)], pa.string()),
+        "cross_entropy": pa.array(np.where(some, least, 0.0)),
+        "letters": pa.array(n.astype(np.int64)),
+        "score": pa.array(np.where(some, weight, 0.0)),
+    }
 
 
 def _scorer(shared, names: list[str]):
@@ -219,30 +302,81 @@ def _scorer(shared, names: list[str]):
                 n[rows[starts]] += np.diff(np.r_[starts, len(rows)])
                 for j, m in enumerate(models):
                     sums[rows[starts], j] += np.add.reduceat(m.log_probability(found)[place], starts)
-            cross = -sums / np.maximum(n, 1)[:, None]
-            best = cross.argmin(1)
-            least = cross[np.arange(len(texts)), best]
-            weight = 1 / np.exp((least[:, None] - cross) * np.minimum(n, SURE_LETTERS)[:, None]).sum(1)
-            some = n > 0
+            yield pa.RecordBatch.from_pydict({k: b.column(k) for k in names} | _told([m.lang for m in models], sums, n))
+
+    return run
+
+
+def _head_scorer(shared, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, logs = shared.value
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            sums, n = np.zeros((len(texts), len(logs))), np.zeros(len(texts), np.int64)
+            left = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for keys, rows in trigrams(texts):
+                if not len(keys):
+                    continue
+                found, place = _distinct(keys)
+                at = np.minimum(np.searchsorted(head, found), len(head) - 1)
+                there = head[at] == found
+                starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+                n[rows[starts]] += np.diff(np.r_[starts, len(rows)])
+                for j, log in enumerate(logs):
+                    sums[rows[starts], j] += np.add.reduceat(np.where(there, log[at], 0.0)[place], starts)
+                out = ~there[place]
+                left.append((rows[out], keys[out]))
+            rows, keys = (np.concatenate(c) for c in zip(*left, strict=True))
+            order = np.lexsort((keys, rows))
+            rows, keys = rows[order], keys[order]
+            first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])]) if len(rows) else np.zeros(0, int)
+            many = pa.StructArray.from_arrays([pa.array(keys[first], pa.int64()), pa.array(np.diff(np.r_[first, len(rows)]).astype(np.int64))], ["key", "n"])
             made = {
-                "lang_pred": pa.array([models[k].lang if s else UNKNOWN for k, s in zip(best, some, strict=True)], pa.string()),
-                "cross_entropy": pa.array(np.where(some, least, 0.0)),
-                "letters": pa.array(n.astype(np.int64)),
-                "score": pa.array(np.where(some, weight, 0.0)),
+                "sums": pa.array(list(sums), pa.list_(pa.float64())),
+                "letters": pa.array(n),
+                "rest": pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[first], np.arange(len(texts) + 1)).astype(np.int32)), many),
             }
             yield pa.RecordBatch.from_pydict({k: b.column(k) for k in names} | made)
 
     return run
 
 
-def score(docs: DataFrame, models: list[Model], keys: dict[str, Column], text: str = "text") -> DataFrame:
+def _teller(langs: list[str], names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = np.stack([b.column(f"l{j}").to_numpy(zero_copy_only=False) for j in range(len(langs))], 1)
+            told = _told(langs, sums, b.column("letters").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_pydict({k: b.column(k) for k in names} | told)
+
+    return run
+
+
+def _score_by_tables(rows: DataFrame, t: Tables, names: list[str], fields: str, most: int) -> DataFrame:
+    """Frequent trigrams by a broadcast of 4 * most numbers, all others by joins on their distinct keys."""
+    logs = [f"l{j}" for j in range(len(t.names))]
+    top = t.counts.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(max(1, 4 * most // len(logs))).select("key")
+    head = probabilities(cut(top, "top"), t).orderBy("key").toArrow()
+    shared = rows.sparkSession.sparkContext.broadcast((head["key"].to_numpy(), [head[c].to_numpy() for c in logs]))
+    summed = rows.mapInArrow(_head_scorer(shared, names), fields + ", sums array<double>, letters long, rest array<struct<key: long, n: long>>")
+    summed = cut(summed.withColumn("row", F.monotonically_increasing_id()), "head")
+    rest = summed.select("row", F.inline("rest"))
+    found = cut(probabilities(cut(rest.select("key").distinct(), "keys"), t), "rest")
+    more = rest.join(found, "key").groupBy(F.col("row").alias("of")).agg(*(F.sum(F.col("n") * F.col(c)).alias(c) for c in logs))
+    both = summed.join(more, F.col("row") == F.col("of"), "left")
+    both = both.select(*names, "letters", *((F.col("sums")[j] + F.coalesce(c, F.lit(0.0))).alias(c) for j, c in enumerate(logs)))
+    return both.mapInArrow(_teller(t.names, names), f"{fields}, {TOLD}")
+
+
+def score(docs: DataFrame, models: list[Model] | Tables, keys: dict[str, Column], text: str = "text", most: int = MODEL_NGRAMS) -> DataFrame:
     """The key columns and lang_pred, cross_entropy, letters, score for every row."""
     rows = docs.select(*(c.alias(k) for k, c in keys.items()), F.col(text).alias("text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    if isinstance(models, Tables):
+        return _score_by_tables(rows, models, list(keys), fields, most)
     if not models:
         return rows.drop("text").withColumns({"lang_pred": F.lit(UNKNOWN), "cross_entropy": F.lit(0.0), "letters": F.lit(0).cast("long"), "score": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by MODEL_NGRAMS a language
-    return rows.mapInArrow(_scorer(shared, list(keys)), fields + ", lang_pred string, cross_entropy double, letters long, score double")
+    return rows.mapInArrow(_scorer(shared, list(keys)), f"{fields}, {TOLD}")
 
 
 def _tail(excess: np.ndarray, n: np.ndarray, share: float) -> tuple[float, float]:
@@ -311,7 +445,7 @@ def _size_class() -> Column:
     return F.least(F.floor(F.log2(F.greatest("letters", F.lit(1)))), F.lit(LAST_CLASS)).cast("int")
 
 
-def language_id(docs: DataFrame, learn: Column | None = None, calibrate: Column | None = None, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", keys: dict[str, Column] | None = None) -> DataFrame:
+def language_id(docs: DataFrame, learn: Column | None = None, calibrate: Column | None = None, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", keys: dict[str, Column] | None = None, most: int = MODEL_NGRAMS) -> DataFrame:
     """lang_pred, cross_entropy, letters, score, rejected and the keys for every row.
 
     learn and calibrate choose the rows whose label may be used to fit and to
@@ -321,10 +455,11 @@ def language_id(docs: DataFrame, learn: Column | None = None, calibrate: Column
     learn = fold.isin(0, 1) if learn is None else learn
     calibrate = fold == 3 if calibrate is None else calibrate
     keys = {"doc_id": F.col(doc_id).cast("long")} if keys is None else keys
-    models = fit_models(docs.where(learn), lang, text)
+    models = fit_models(docs.where(learn), lang, text, most)
+    names = models.names if isinstance(models, Tables) else [m.lang for m in models]
     inner = {f"key_{k}": c for k, c in keys.items()}
-    scored = cut(score(docs, models, inner | {"lang_true": F.when(F.coalesce(calibrate, F.lit(False)), F.col(lang).cast("string"))}, text), "scored")
-    allowed = cut(limits(scored, [m.lang for m in models]), "limits")
+    scored = cut(score(docs, models, inner | {"lang_true": F.when(F.coalesce(calibrate, F.lit(False)), F.col(lang).cast("string"))}, text, most), "scored")
+    allowed = cut(limits(scored, names), "limits")
     s, a = scored.withColumn("size_class", _size_class()).alias("s"), allowed.alias("a")
     out = s.join(a, (F.col("s.lang_pred") == F.col("a.lang_pred")) & (F.col("s.size_class") == F.col("a.size_class")), "left")
     over = (F.col("s.lang_pred") == UNKNOWN) | F.coalesce(F.col("s.cross_entropy") > F.col("a.limit"), F.lit(False))

@@ -81,3 +81,14 @@ def test_a_rare_language_has_limits_of_its_own():
     assert len(got) == 3 * 13
     assert 2.2 < got["aa", 5] < 3 and 2.2 < got["aa", 12] < 3 and got["aa", 0] > got["aa", 5]
     assert 4.01 < got["bb", 5] < 5 and 4.01 < got["cc", 12] < 5
+
+
+def test_more_trigrams_than_are_sent_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(x, "PIECE", 50)
+    rows = made(300) + [(10_000, None, "aa", *[None] * 5), (10_001, "12 !?", "bb", *[None] * 5), (10_002, "漢字かな交じり文 zzz ka", None, *[None] * 5)]
+    docs = documents(spark, rows + rows[:1])
+    whole, cut_off = (sorted(map(tuple, x.language_id(docs, most=most).collect())) for most in (x.MODEL_NGRAMS, 20))
+    assert len(whole) == len(rows) + 1
+    for a, b in zip(whole, cut_off, strict=True):
+        assert (a[0], a[1], a[3], a[5]) == (b[0], b[1], b[3], b[5])
+        assert np.allclose([a[2], a[4]], [b[2], b[4]])
