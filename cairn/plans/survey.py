@@ -263,6 +263,39 @@ def top_labels(cams, lineitem):
     return matching.top_labels(_counts(lineitem), 5)
 
 
+EVERY_MATCH = "mt AS (SELECT 'cam_' || lpad(CAST(l_suppkey AS VARCHAR), 4, '0') AS cam_id, count(*) AS matches FROM lineitem GROUP BY l_suppkey)"
+
+
+def _every_count(lineitem):
+    rows = lineitem.groupBy("l_suppkey").agg(F.count("*").alias("matches"))
+    return rows.select(F.concat(F.lit("cam_"), F.lpad(F.col("l_suppkey").cast("string"), 4, "0")).alias("cam_id"), "matches")
+
+
+@query(f"WITH {EVERY_MATCH} SELECT c.cam_id, coalesce(matches, 0) AS matches FROM fx_cameras c LEFT JOIN mt USING (cam_id)", "fx_cameras", table="lineitem")
+def match_heatmap_whole(cams, lineitem):
+    """Matches of every camera, of all rows."""
+    return matching.heatmap(cams, _every_count(lineitem)).select("cam_id", "matches")
+
+
+@query(f"""WITH {EVERY_MATCH}, h AS (SELECT c.*, coalesce(matches, 0) AS matches FROM fx_cameras c LEFT JOIN mt USING (cam_id)), b AS (SELECT min(cx)-5e-1 AS x0, min(cy)-5e-1 AS y0 FROM h)
+SELECT CAST(floor((cx-x0)/1e0) AS INT) AS i, CAST(floor((cy-y0)/1e0) AS INT) AS j, max(matches) AS most, count(*) AS cameras FROM h, b GROUP BY ALL""", "fx_cameras", table="lineitem")
+def match_grid_heatmap_whole(cams, lineitem):
+    """The most matches of each cell of cameras, of all rows."""
+    return matching.grid_heatmap(cams, _every_count(lineitem), 1.0)
+
+
+@query(f"WITH {EVERY_MATCH} SELECT cam_id, matches FROM mt JOIN fx_cameras USING (cam_id) ORDER BY matches DESC, pos LIMIT 1", "fx_cameras", table="lineitem")
+def best_match_whole(cams, lineitem):
+    """The camera with most matches, of all rows."""
+    return matching.best_match(cams.join(_every_count(lineitem), "cam_id")).select("cam_id", "matches")
+
+
+@query(f"WITH {EVERY_MATCH} SELECT cam_id, matches FROM mt WHERE matches > 0 ORDER BY matches DESC, cam_id LIMIT 5", "fx_cameras", table="lineitem")
+def top_labels_whole(cams, lineitem):
+    """The five cameras with most matches, of all rows."""
+    return matching.top_labels(_every_count(lineitem), 5)
+
+
 @query("""WITH d AS (SELECT a.vec_id AS q_id, b.vec_id AS t_id, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d
  FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d, t_id) AS rk, lead(d) OVER (PARTITION BY q_id ORDER BY d, t_id) AS d2 FROM d)
 SELECT q_id, t_id, round(d, 5) AS d1, round(d2, 5) AS d2 FROM k WHERE rk = 1 AND d < 95e-2*d2""", table="embeddings")
@@ -337,6 +370,24 @@ def mesh_clusters(points):
     return measures.mesh_clusters(tri)
 
 
+_EVERY_TRI = "SELECT point_id AS t, point_id AS a, point_id + 1 AS b, point_id + 2 AS c FROM fx_points"
+
+
+@query(f"""WITH tr AS ({_EVERY_TRI}), e AS (SELECT p.x AS ax, p.y AS ay, p.z AS az, q.x-p.x AS ux, q.y-p.y AS uy, q.z-p.z AS uz, w.x-p.x AS vx, w.y-p.y AS vy, w.z-p.z AS vz
+ FROM tr JOIN fx_points p ON p.point_id = tr.a JOIN fx_points q ON q.point_id = tr.b JOIN fx_points w ON w.point_id = tr.c)
+SELECT count(*) AS triangles, round(sum(sqrt((uy*vz-uz*vy)*(uy*vz-uz*vy)+(uz*vx-ux*vz)*(uz*vx-ux*vz)+(ux*vy-uy*vx)*(ux*vy-uy*vx))/2), 3) AS area FROM e""", "fx_points")
+def mesh_area_whole(points):
+    """Area of a mesh over all points."""
+    tri = points.selectExpr("point_id AS t", "point_id AS a", "point_id + 1 AS b", "point_id + 2 AS c")
+    return measures.mesh_area(points.withColumnRenamed("point_id", "v"), tri).select("triangles", r(F.col("area"), 3).alias("area"))
+
+
+@query(f"WITH tr AS ({_EVERY_TRI}), s AS (SELECT t, lag(t) OVER (ORDER BY t) AS p FROM tr), g AS (SELECT t, sum(CASE WHEN p = t - 1 THEN 0 ELSE 1 END) OVER (ORDER BY t) AS k FROM s) SELECT t, min(t) OVER (PARTITION BY k) AS comp FROM g", "fx_points")
+def mesh_clusters_whole(points):
+    """Triangles of all points connected over shared edges."""
+    return measures.mesh_clusters(points.selectExpr("point_id AS t", "point_id AS a", "point_id + 1 AS b", "point_id + 2 AS c"))
+
+
 @query("WITH q AS (SELECT quantile_cont(z, 1e-1) AS low FROM fx_points) SELECT point_id FROM fx_points, q WHERE z >= low", "fx_points")
 def density_trim(points):
     """Points without the lowest tenth of a measure."""
