@@ -1,7 +1,7 @@
-"""Bulk-synchronous best-fit packing of token pieces into sequences.
+"""Best-fit packing of token pieces into sequences, by a histogram of lengths on the driver.
 
 Documents become token ids and an end id; only documents longer than a sequence are
-cut. Pieces are range-sorted by length: within a length every piece has a rank, from
+cut. Within a length every piece has a rank, from
 block counts and a window inside each block, so no task holds a whole length. Gaps
 are held as runs of sequences with equal room. A superstep takes the longest
 lengths left, sweeps the runs of gaps upwards from the smallest that fits (the
@@ -9,7 +9,9 @@ successor), gives the pieces of lowest rank the gaps of lowest room, splits the
 where pieces or gaps end, updates the gaps and repeats; what finds no gap opens new
 sequences. As pieces of one length are alike, a sweep moves whole runs: its tables
 have at most a few rows a length, whatever the number of pieces, and the pieces
-themselves look their places up by rank where they lie.
+themselves look their places up by rank where they lie. The sweep runs on the driver, one
+length after the other: it takes the place of distributed sweeps and of conflicts resolved
+by rank, because its tables do not grow with the input beyond the 4096 lengths.
 
 Defined cases: a null text is empty, an empty document is the end id alone; rows that
 repeat a doc_id are packed each; ties go by doc_id and piece; an empty table gives
