@@ -191,6 +191,15 @@ def canopy_cover(points, anns):
     return measures.canopy_cover(points, anns, R, 0.05).select("id", "total", "covered", r(F.col("cover"), 6).alias("cover"))
 
 
+@query(f"""WITH {PAIRS}, s AS (SELECT q_id, dx/sqrt(dx*dx+dy*dy+dz*dz)/(1+dz/sqrt(dx*dx+dy*dy+dz*dz))*5e-1 AS sx, dy/sqrt(dx*dx+dy*dy+dz*dz)/(1+dz/sqrt(dx*dx+dy*dy+dz*dz))*5e-1 AS sy FROM pairs WHERE dz > 0),
+k AS (SELECT i, j, -5e-1 + i*1e-2 AS x, -5e-1 + j*1e-2 AS y FROM range(101) a(i), range(101) b(j)), n AS (SELECT * FROM k WHERE x*x+y*y <= 25e-2 + 1e-12),
+c AS (SELECT DISTINCT q_id, i, j FROM s JOIN n ON (x-sx)*(x-sx)+(y-sy)*(y-sy) <= 1e-4), t AS (SELECT count(*) AS total FROM n)
+SELECT a.id, t.total, count(c.i) AS covered, round(count(c.i)/(t.total*1e0), 6) AS cover FROM fx_annotations a CROSS JOIN t LEFT JOIN c ON a.id = c.q_id GROUP BY a.id, t.total""", "fx_points", "fx_annotations")
+def canopy_cover_fine(points, anns):
+    """The same at the operator's own spacing."""
+    return measures.canopy_cover(points, anns, R, measures.CANOPY_SPACING).select("id", "total", "covered", r(F.col("cover"), 6).alias("cover"))
+
+
 ZC = "zc AS (SELECT a.id, a.x AS ax, a.y AS ay, p.point_id, p.x, p.y, p.z, median(p.z) OVER (PARTITION BY a.id) AS mz, count(*) OVER (PARTITION BY a.id) AS n FROM fx_annotations a JOIN fx_points p ON sqrt((p.x-a.x)*(p.x-a.x)+(p.y-a.y)*(p.y-a.y)) <= {r})"
 
 

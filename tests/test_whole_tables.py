@@ -14,3 +14,8 @@ def test_every_match_and_triangle_counts(spark):
     assert len(run("top_labels_whole")) == 5
     assert run("mesh_area_whole")[0].triangles == points - 2
     assert len(run("mesh_clusters_whole")) == points
+
+
+def test_canopy_cover_at_the_spacing_of_the_reference(spark):
+    nodes = sum((i - 50) ** 2 + (j - 50) ** 2 <= 2500 for i in range(101) for j in range(101))
+    assert {q.total for q in catalog.queries()["canopy_cover_fine"](spark, SF).collect()} == {nodes}
