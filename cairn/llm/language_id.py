@@ -36,7 +36,7 @@ from cairn.session import cut
 UNKNOWN = "und"
 TOLD = "lang_pred string, cross_entropy double, letters long, score double"
 #: Characters held at once; longer texts and batches are read in pieces.
-PIECE = 1 << 21
+PIECE = 1 << 19
 #: Trigrams of a language up to which models are broadcast whole; beyond it they stay in tables, and as many numbers for each of four languages are broadcast.
 MODEL_NGRAMS = 1_000_000
 #: Share of a language's documents that calibration lets be rejected, and standard errors by which what it estimates is raised.

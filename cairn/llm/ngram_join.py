@@ -32,12 +32,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.exact_dedup import text_bytes
 from cairn.operators.graph import components
 from cairn.session import cut
 
@@ -54,8 +54,8 @@ FILTER_BITS = 24
 SIGN_BITS, MOST_SIGN_BITS = 1 << 10, 1 << 17
 #: Classes in a list from which its gram is ranked among the frequent ones.
 CROWD = 6
-#: Texts whose words are held at once.
-STEP = 1000
+#: Bytes of texts whose words are held at once, or a text that alone is larger; and grams counted at once.
+STEP_BYTES, STEP_GRAMS = 1 << 20, 1 << 20
 #: Leader rounds go on while pairs across components outnumber list entries by this factor, up to so many rounds.
 PAIRS_PER_ENTRY, ROUNDS = 2.0, 6
 #: Leaders of a list in a round, in seeded orders; the first round has one more, the entry with fewest rare grams.
@@ -71,31 +71,43 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def gram_sets(texts: pa.Array) -> list[np.ndarray]:
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in runs of some STEP_BYTES."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP_BYTES, "right")))
+        yield texts.slice(at, upto - at)
+        at = upto
+
+
+def gram_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     """The sorted distinct gram hashes of each text."""
-    return [s for k in range(0, len(texts), STEP) for s in _gram_sets(texts.slice(k, STEP))]
+    return itertools.chain.from_iterable(map(_gram_sets, slices(texts)))
 
 
 def _gram_sets(texts: pa.Array) -> list[np.ndarray]:
-    words = [raw.tobytes().lower().split() for raw in text_bytes(texts)]
-    flat = list(itertools.chain.from_iterable(words))
-    if not flat:
-        return [np.zeros(0, np.uint64)] * len(words)
-    ids = pd.util.hash_array(np.array(flat, object), categorize=False)
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    flat = words.flatten()
+    there = pc.not_equal(pc.binary_length(flat), 0)  # white space at either end of a text gives an empty word
+    edge = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])[words.offsets.to_numpy() - words.offsets[0].as_py()]
+    coded = flat.filter(there).dictionary_encode()
+    known = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    ids = known[coded.indices.to_numpy(zero_copy_only=False)]
     n = max(0, len(ids) - WORDS + 1)
     sums = np.zeros(n, np.uint64)
     for k in range(WORDS):
         sums += ids[k : k + n] * np.uint64(_FACTORS[k])
-    sums, out, at = _mix(sums), [], 0
-    for own in words:
-        if len(own) >= WORDS:
-            out.append(np.unique(sums[at : at + len(own) - WORDS + 1]))
+    sums, out = _mix(sums), []
+    for at, upto in itertools.pairwise(edge.tolist()):
+        own = upto - at
+        if own >= WORDS:
+            out.append(np.unique(sums[at : upto - WORDS + 1]))
         elif own:
-            turned = ids[at : at + len(own)] * np.array(_FACTORS[: len(own)], np.uint64)
-            out.append(_mix(turned.sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own))))
+            turned = ids[at:upto] * np.array(_FACTORS[:own], np.uint64)
+            out.append(_mix(turned.sum(dtype=np.uint64, keepdims=True) + np.uint64(own)))
         else:
             out.append(np.zeros(0, np.uint64))
-        at += len(own)
     return out
 
 
@@ -119,20 +131,32 @@ def apart(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
+def _repeated(held: list[np.ndarray]) -> pa.RecordBatch:
+    """(1, null, gram, count) of the grams that occur in several of the sets."""
+    flat = np.sort(np.concatenate([*held, np.zeros(0, np.uint64)]))
+    starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
+    counts = np.diff(np.r_[starts, len(flat)])
+    more = np.flatnonzero(counts > 1)
+    if len(more) > BATCH_HEAVY:
+        more = more[np.argpartition(counts[more], -BATCH_HEAVY)[-BATCH_HEAVY:]]
+    return pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(len(more), np.int8)), "id": pa.nulls(len(more), pa.int64()), "cls": pa.array(flat[starts[more]].astype(np.int64)), "n": pa.array(counts[more].astype(np.int32))})
+
+
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: (doc_id, class, size); kind 1: (null, gram, count in this batch)."""
+    """kind 0: (doc_id, class, size); kind 1: (null, gram, count in some STEP_GRAMS grams of this task)."""
+    held, total = [], 0
     for b in batches:
-        sets = gram_sets(b.column("text"))
-        keys, sizes = [class_key(s) for s in sets], [len(s) for s in sets]
-        yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(len(sets), np.int8)), "id": b.column("doc_id"), "cls": pa.array(keys, pa.int64()), "n": pa.array(sizes, pa.int32())})
-        flat = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
-        starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
-        counts = np.diff(np.r_[starts, len(flat)])
-        more = np.flatnonzero(counts > 1)
-        if len(more) > BATCH_HEAVY:
-            more = more[np.argpartition(counts[more], -BATCH_HEAVY)[-BATCH_HEAVY:]]
-        if len(more):
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(len(more), np.int8)), "id": pa.nulls(len(more), pa.int64()), "cls": pa.array(flat[starts[more]].astype(np.int64)), "n": pa.array(counts[more].astype(np.int32))})
+        keys, sizes = [], []
+        for s in gram_sets(b.column("text")):
+            keys.append(class_key(s))
+            sizes.append(len(s))
+            held.append(s)
+            total += len(s)
+            if total >= STEP_GRAMS:
+                yield _repeated(held)
+                held, total = [], 0
+        yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(len(keys), np.int8)), "id": b.column("doc_id"), "cls": pa.array(keys, pa.int64()), "n": pa.array(sizes, pa.int32())})
+    yield _repeated(held)
 
 
 def overlap(s: int, t: int) -> int:
@@ -170,7 +194,7 @@ def _listed(shared, boundary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, counts = shared.value
         seen: set[tuple[int, int]] = set()
-        for b in batches:
+        for texts in (t for b in batches for t in slices(b.column("text"))):
             rows = {k: [] for k in ("kind", "cls", "n", "prio", "key", "other", "side")}
             lists, signs = [], []
 
@@ -180,7 +204,7 @@ def _listed(shared, boundary: int):
                 lists.append(tokens)
                 signs.append(sign)
 
-            for own in gram_sets(b.column("text")):
+            for own in _gram_sets(texts):
                 n = len(own)
                 if not n or (mark := (class_key(own), n)) in seen:
                     continue
@@ -269,8 +293,8 @@ def chosen(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, run, sche
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = gram_sets(b.column("text"))
+    for text in (t for b in batches for t in slices(b.column("text"))):
+        sets = _gram_sets(text)
         yield pa.RecordBatch.from_pydict({"cls": pa.array([class_key(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()), "grams": pa.array([s.tobytes() for s in sets], pa.binary())})
 
 
