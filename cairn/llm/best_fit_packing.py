@@ -124,7 +124,7 @@ def _placed(shared, names: list[str]):
     return run
 
 
-def pack(pieces: DataFrame, size: int = SEQUENCE, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def pack(pieces: DataFrame, size: int = SEQUENCE, order: tuple[str, ...] = ("doc_id", "piece", "ids_crc32")) -> DataFrame:
     """pieces plus sequence_id and offset; lengths are 1 .. size, `order` breaks ties.
 
     To the driver come a count for each length and for each of at most BLOCKS + size blocks.

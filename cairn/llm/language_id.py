@@ -367,16 +367,17 @@ def _score_by_tables(rows: DataFrame, t: Tables, names: list[str], fields: str,
     return both.mapInArrow(_teller(t.names, names), f"{fields}, {TOLD}")
 
 
-def score(docs: DataFrame, models: list[Model] | Tables, keys: dict[str, Column], text: str = "text", most: int = MODEL_NGRAMS) -> DataFrame:
-    """The key columns and lang_pred, cross_entropy, letters, score for every row."""
+def score(docs: DataFrame, models: list[Model] | Tables, keys: dict[str, Column], text: str = "text", most: int = MODEL_NGRAMS, with_text: bool = False) -> DataFrame:
+    """The key columns, the text if wanted, and lang_pred, cross_entropy, letters, score for every row."""
     rows = docs.select(*(c.alias(k) for k, c in keys.items()), F.col(text).alias("text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    keys = [*keys, "text"] if with_text else list(keys)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)])
     if isinstance(models, Tables):
-        return _score_by_tables(rows, models, list(keys), fields, most)
+        return _score_by_tables(rows, models, keys, fields, most)
     if not models:
-        return rows.drop("text").withColumns({"lang_pred": F.lit(UNKNOWN), "cross_entropy": F.lit(0.0), "letters": F.lit(0).cast("long"), "score": F.lit(0.0)})
+        return rows.select(*keys).withColumns({"lang_pred": F.lit(UNKNOWN), "cross_entropy": F.lit(0.0), "letters": F.lit(0).cast("long"), "score": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by MODEL_NGRAMS a language
-    return rows.mapInArrow(_scorer(shared, list(keys)), f"{fields}, {TOLD}")
+    return rows.mapInArrow(_scorer(shared, keys), f"{fields}, {TOLD}")
 
 
 def _tail(excess: np.ndarray, n: np.ndarray, share: float) -> tuple[float, float]:
@@ -445,8 +446,8 @@ def _size_class() -> Column:
     return F.least(F.floor(F.log2(F.greatest("letters", F.lit(1)))), F.lit(LAST_CLASS)).cast("int")
 
 
-def language_id(docs: DataFrame, learn: Column | None = None, calibrate: Column | None = None, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", keys: dict[str, Column] | None = None, most: int = MODEL_NGRAMS) -> DataFrame:
-    """lang_pred, cross_entropy, letters, score, rejected and the keys for every row.
+def language_id(docs: DataFrame, learn: Column | None = None, calibrate: Column | None = None, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", keys: dict[str, Column] | None = None, most: int = MODEL_NGRAMS, with_text: bool = False) -> DataFrame:
+    """The keys, the text if wanted, and lang_pred, cross_entropy, letters, score, rejected for every row.
 
     learn and calibrate choose the rows whose label may be used to fit and to
     calibrate; by default those whose crc32(doc_id) % 4 is 0 or 1, and 3.
@@ -458,9 +459,9 @@ def language_id(docs: DataFrame, learn: Column | None = None, calibrate: Column
     models = fit_models(docs.where(learn), lang, text, most)
     names = models.names if isinstance(models, Tables) else [m.lang for m in models]
     inner = {f"key_{k}": c for k, c in keys.items()}
-    scored = cut(score(docs, models, inner | {"lang_true": F.when(F.coalesce(calibrate, F.lit(False)), F.col(lang).cast("string"))}, text, most), "scored")
+    scored = cut(score(docs, models, inner | {"lang_true": F.when(F.coalesce(calibrate, F.lit(False)), F.col(lang).cast("string"))}, text, most, with_text), "scored")
     allowed = cut(limits(scored, names), "limits")
     s, a = scored.withColumn("size_class", _size_class()).alias("s"), allowed.alias("a")
     out = s.join(a, (F.col("s.lang_pred") == F.col("a.lang_pred")) & (F.col("s.size_class") == F.col("a.size_class")), "left")
     over = (F.col("s.lang_pred") == UNKNOWN) | F.coalesce(F.col("s.cross_entropy") > F.col("a.limit"), F.lit(False))
-    return out.select(*(F.col(f"s.key_{k}").alias(k) for k in keys), "s.lang_pred", "s.cross_entropy", "s.letters", "s.score", over.alias("rejected"))
+    return out.select(*(F.col(f"s.key_{k}").alias(k) for k in keys), *(["s.text"] if with_text else []), "s.lang_pred", "s.cross_entropy", "s.letters", "s.score", over.alias("rejected"))

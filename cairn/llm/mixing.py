@@ -50,14 +50,16 @@ def fill_targets(sources: DataFrame, total: float | None = None, share: float =
     return rows.withColumn("target", F.least("cap", F.col("weight") * F.lit(level)) if weight else F.col("cap")).drop("cap")
 
 
-def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str | Column = "doc_id", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, copies for every row.
 
-    Weights go to sources in code-point order, repeating. Prefix sums of the seeded
-    order are split by hash blocks, so that no task holds a whole source.
+    Weights go to sources in code-point order, repeating. The seeded order is by the
+    MD5 of seed, doc_id and text; its prefix sums are split by hash blocks, so that no
+    task holds a whole source. doc_id may be an expression of any type.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(text).alias("size"))
-    rows = rows.withColumn("rank", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
+    doc_id = F.col(doc_id).cast("long") if isinstance(doc_id, str) else doc_id
+    rank = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text), F.lit("")))))
+    rows = docs.select(doc_id.alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(text).alias("size"), rank.alias("rank"))
     rows = cut(rows.withColumn("block", F.substring("rank", 1, BLOCK_DIGITS)), "sizes")
     blocks = cut(rows.groupBy("source", "block").agg(F.sum("size").alias("block_size")), "blocks")
     named = blocks.groupBy("source").agg(F.sum("block_size").alias("source_size"))
@@ -83,7 +85,7 @@ def sql(table: str = "documents", seed: str = SEED) -> str:
     return rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('{seed}:' || CAST(doc_id AS VARCHAR)) AS rank FROM {table}),
+         md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS rank FROM {table}),
 s0 AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size FROM d GROUP BY source),
 s AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS weight, 2e0 * source_size AS cap FROM s0),
 lv(i, level) AS (

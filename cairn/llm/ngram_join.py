@@ -72,8 +72,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """The texts in runs of some STEP_BYTES."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    """The texts, A-Z lower-cased and null as empty, in runs of some STEP_BYTES."""
+    texts = pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string())
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < len(texts):
         upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP_BYTES, "right")))
@@ -87,7 +88,7 @@ def gram_sets(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _gram_sets(texts: pa.Array) -> list[np.ndarray]:
-    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    words = pc.ascii_split_whitespace(texts)
     flat = words.flatten()
     there = pc.not_equal(pc.binary_length(flat), 0)  # white space at either end of a text gives an empty word
     edge = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])[words.offsets.to_numpy() - words.offsets[0].as_py()]
@@ -131,7 +132,7 @@ def apart(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
-def _repeated(held: list[np.ndarray]) -> pa.RecordBatch:
+def _repeated(held: list[np.ndarray], id_type: pa.DataType) -> pa.RecordBatch:
     """(1, null, gram, count) of the grams that occur in several of the sets."""
     flat = np.sort(np.concatenate([*held, np.zeros(0, np.uint64)]))
     starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
@@ -139,24 +140,24 @@ def _repeated(held: list[np.ndarray]) -> pa.RecordBatch:
     more = np.flatnonzero(counts > 1)
     if len(more) > BATCH_HEAVY:
         more = more[np.argpartition(counts[more], -BATCH_HEAVY)[-BATCH_HEAVY:]]
-    return pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(len(more), np.int8)), "id": pa.nulls(len(more), pa.int64()), "cls": pa.array(flat[starts[more]].astype(np.int64)), "n": pa.array(counts[more].astype(np.int32))})
+    return pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(len(more), np.int8)), "id": pa.nulls(len(more), id_type), "cls": pa.array(flat[starts[more]].astype(np.int64)), "n": pa.array(counts[more].astype(np.int32))})
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: (doc_id, class, size); kind 1: (null, gram, count in some STEP_GRAMS grams of this task)."""
-    held, total = [], 0
+    held, total, id_type = [], 0, pa.null()
     for b in batches:
-        keys, sizes = [], []
+        keys, sizes, id_type = [], [], b.column("doc_id").type
         for s in gram_sets(b.column("text")):
             keys.append(class_key(s))
             sizes.append(len(s))
             held.append(s)
             total += len(s)
             if total >= STEP_GRAMS:
-                yield _repeated(held)
+                yield _repeated(held, id_type)
                 held, total = [], 0
         yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(len(keys), np.int8)), "id": b.column("doc_id"), "cls": pa.array(keys, pa.int64()), "n": pa.array(sizes, pa.int32())})
-    yield _repeated(held)
+    yield _repeated(held, id_type)
 
 
 def overlap(s: int, t: int) -> int:
@@ -276,7 +277,7 @@ def list_entries(lists: DataFrame, shared: DataFrame) -> DataFrame:
     return cut(some.join(shared, "gram", "left_semi").distinct(), "entries")
 
 
-def chosen(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, run, schema: str) -> DataFrame:
+def chosen(docs: DataFrame, wanted: DataFrame, text: str, doc_id: Column, run, schema: str) -> DataFrame:
     """run over the (id, text) batches of documents that are, or by a filter may be, wanted's rep."""
     words = docs.sparkSession.sparkContext.broadcast(_filter_words(wanted.where("rep is not null"), "rep"))
     nulls = bool(wanted.where("rep is null").take(1))
@@ -287,8 +288,7 @@ def chosen(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, run, sche
             keep |= nulls & b.column("id").is_null().to_numpy(zero_copy_only=False)
             yield b.filter(pa.array(keep))
 
-    key = F.col(doc_id).cast("long")
-    rows = docs.select(key.alias("id"), F.col(text).alias("text"), F.xxhash64(key, F.lit(1)).alias("h1"), F.xxhash64(key, F.lit(2)).alias("h2")).where("text is not null")
+    rows = docs.select(doc_id.alias("id"), F.col(text).alias("text"), F.xxhash64(doc_id, F.lit(1)).alias("h1"), F.xxhash64(doc_id, F.lit(2)).alias("h2")).where("text is not null")
     return rows.mapInArrow(lambda batches: run(kept(batches)), schema)
 
 
@@ -298,7 +298,7 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"cls": pa.array([class_key(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()), "grams": pa.array([s.tobytes() for s in sets], pa.binary())})
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
+def class_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: Column) -> DataFrame:
     """cls, grams (sorted, packed) of the wanted (rep, cls, n)."""
     found = chosen(docs, wanted, text, doc_id, _whole_sets, "cls long, n int, grams binary")
     return cut(found.join(wanted, ["cls", "n"], "left_semi").dropDuplicates(["cls"]).select("cls", "grams"), "class_sets")
@@ -318,7 +318,7 @@ def _with_any(grams: np.ndarray, wanted: bool):
     return run
 
 
-def relisted(docs: DataFrame, lists: DataFrame, crowded: np.ndarray, counts: np.ndarray, heavy, classes: DataFrame, boundary: int, text: str, doc_id: str) -> DataFrame:
+def relisted(docs: DataFrame, lists: DataFrame, crowded: np.ndarray, counts: np.ndarray, heavy, classes: DataFrame, boundary: int, text: str, doc_id: Column) -> DataFrame:
     """The lists after crowded grams were ranked among the frequent.
 
     Only classes with a crowded gram in their prefix change: without one, the rarer
@@ -368,7 +368,7 @@ def nearest_pairs(near: DataFrame) -> DataFrame:
 class Verifier:
     """Decides pairs of classes; whole sets are fetched once, for pairs that signatures leave open."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, signs: DataFrame, text: str, doc_id: str):
+    def __init__(self, docs: DataFrame, classes: DataFrame, signs: DataFrame, text: str, doc_id: Column):
         self.docs, self.classes, self.signs, self.text, self.doc_id = docs, classes, signs, text, doc_id
         self.sets: DataFrame | None = None
 
@@ -474,14 +474,18 @@ def light_links(subs: DataFrame) -> DataFrame:
     return subs.join(least, key).select(F.col("cls").alias("a"), other.alias("b")).where("a <> b").distinct()
 
 
-def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def ngram_join(docs: DataFrame, text: str = "text", doc_id: str | Column = "doc_id") -> DataFrame:
     """doc_id, n_shingles, class_id, component_id for every row.
 
-    class_id and component_id are the least doc_id of the same set and of all that links reach.
+    class_id and component_id are the least doc_id of the same set and of all that
+    links reach. doc_id names a column of whole numbers or is an expression of any
+    type that has an order.
     """
     spark: SparkSession = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    seen = cut(rows.mapInArrow(_described, "kind tinyint, id long, cls long, n int"), "sets")
+    doc_id = F.col(doc_id).cast("long") if isinstance(doc_id, str) else doc_id
+    rows = docs.select(doc_id.alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    seen = cut(rows.mapInArrow(_described, f"kind tinyint, id {id_type}, cls long, n int"), "sets")
     held = seen.where("kind = 0")
     heavy = seen.where("kind = 1").groupBy(F.col("cls").alias("gram")).agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_COUNT)
     top = heavy.orderBy(F.desc("n"), "gram").limit(HEAVY).toPandas()

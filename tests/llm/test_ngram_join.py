@@ -61,6 +61,8 @@ def test_against_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(x, "HEAVY_COUNT", 2 + seed)
     monkeypatch.setattr(x, "PAIRS_PER_ENTRY", 0.2 * seed)
     monkeypatch.setattr(x, "CROWD", 2)
+    monkeypatch.setattr(x, "STEP_BYTES", 1000 * seed)
+    monkeypatch.setattr(x, "STEP_GRAMS", 700)
     rows = corpus(seed) + [(r[0] + 1000, *r[1:]) for r in awkward()]
     got = x.ngram_join(documents(spark, rows).repartition(3)).drop("class_id").collect()
     assert sorted(map(tuple, got)) == brute(rows)
