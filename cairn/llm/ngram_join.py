@@ -12,9 +12,9 @@ repeated grams, then from the lists themselves: grams of crowded lists move back
 the order and the classes they led are listed anew. The order never decides a result.
 
 Pairs are first held against parity signatures, which rule most out for certain, then
-decided by whole sets. A list of near copies is not paired up: its members are compared with a few leaders,
-the links are contracted to components, lists that still span several components get
-other leaders, and when what is left is linear in the lists, every pair across
+decided by whole sets. A list of near copies is not paired up: its members are compared
+with a leader, the links are contracted to components, lists that still span several
+components get other leaders, and when few are left, every pair of like sizes across
 components is compared. A pair inside one component cannot change it, a pair across
 components is always compared: no link between components is lost.
 
@@ -33,11 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.llm import bit_filter
+from cairn.llm.words import mix, slices, word_hashes
 from cairn.operators.graph import components
 from cairn.session import cut
 
@@ -48,14 +48,12 @@ BATCH_HEAVY, HEAVY = 1 << 16, 1 << 18
 HEAVY_COUNT = 8
 #: Largest size for which subsets are considered, and what a list entry costs in subsets.
 MOST_LIGHT, ENTRY_COST = 24, 8.0
-#: Bits of the filters that spare work before an exact join, as a power of two; fixed, 2 MB.
-FILTER_BITS = 24
 #: Bounds of the bits of a set's parity signature: no two sets differ in fewer grams than their signatures in bits.
 SIGN_BITS, MOST_SIGN_BITS = 1 << 10, 1 << 17
 #: Classes in a list from which its gram is ranked among the frequent ones.
 CROWD = 6
-#: Bytes of texts whose words are held at once, or a text that alone is larger; and grams counted at once.
-STEP_BYTES, STEP_GRAMS = 1 << 20, 1 << 20
+#: Grams that a task counts at once, and entries of lists that a bucket of the distributed count holds about.
+STEP_GRAMS, BUCKET_ENTRIES = 1 << 20, 1 << 20
 #: Leader rounds go on while pairs across components outnumber list entries by this factor, up to so many rounds.
 PAIRS_PER_ENTRY, ROUNDS = 2.0, 6
 #: Leaders of a list in a round, in seeded orders; the first round has one more, the entry with fewest rare grams.
@@ -65,48 +63,26 @@ _FACTORS = [pow(0x9E3779B97F4A7C15, k + 2, 1 << 64) | 1 for k in range(WORDS)]
 REMEMBERED = 1 << 19
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """The texts, A-Z lower-cased and null as empty, in runs of some STEP_BYTES."""
-    texts = pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string())
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
-    at = 0
-    while at < len(texts):
-        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP_BYTES, "right")))
-        yield texts.slice(at, upto - at)
-        at = upto
-
-
 def gram_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     """The sorted distinct gram hashes of each text."""
-    return itertools.chain.from_iterable(map(_gram_sets, slices(texts)))
+    return itertools.chain.from_iterable(itertools.starmap(_gram_sets, slices(texts)))
 
 
-def _gram_sets(texts: pa.Array) -> list[np.ndarray]:
-    words = pc.ascii_split_whitespace(texts)
-    flat = words.flatten()
-    there = pc.not_equal(pc.binary_length(flat), 0)  # white space at either end of a text gives an empty word
-    edge = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])[words.offsets.to_numpy() - words.offsets[0].as_py()]
-    coded = flat.filter(there).dictionary_encode()
-    known = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    ids = known[coded.indices.to_numpy(zero_copy_only=False)]
+def _gram_sets(raw: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    ids, edge = word_hashes(raw, ends)
     n = max(0, len(ids) - WORDS + 1)
     sums = np.zeros(n, np.uint64)
     for k in range(WORDS):
         sums += ids[k : k + n] * np.uint64(_FACTORS[k])
-    sums, out = _mix(sums), []
+    sums, out = mix(sums), []
     for at, upto in itertools.pairwise(edge.tolist()):
         own = upto - at
         if own >= WORDS:
-            out.append(np.unique(sums[at : upto - WORDS + 1]))
+            grams = np.sort(sums[at : upto - WORDS + 1])
+            out.append(grams[np.concatenate([[True], grams[1:] != grams[:-1]])])
         elif own:
             turned = ids[at:upto] * np.array(_FACTORS[:own], np.uint64)
-            out.append(_mix(turned.sum(dtype=np.uint64, keepdims=True) + np.uint64(own)))
+            out.append(mix(turned.sum(dtype=np.uint64, keepdims=True) + np.uint64(own)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -114,7 +90,7 @@ def _gram_sets(texts: pa.Array) -> list[np.ndarray]:
 
 def class_key(grams: np.ndarray) -> int:
     """One number of a whole set, whatever its order."""
-    return int(_mix(grams + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64).astype(np.int64))
+    return int(mix(grams + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64).astype(np.int64))
 
 
 def signature(grams: np.ndarray) -> bytes:
@@ -195,7 +171,7 @@ def _listed(shared, boundary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, counts = shared.value
         seen: set[tuple[int, int]] = set()
-        for texts in (t for b in batches for t in slices(b.column("text"))):
+        for raw, ends in (t for b in batches for t in slices(b.column("text"))):
             rows = {k: [] for k in ("kind", "cls", "n", "prio", "key", "other", "side")}
             lists, signs = [], []
 
@@ -205,7 +181,7 @@ def _listed(shared, boundary: int):
                 lists.append(tokens)
                 signs.append(sign)
 
-            for own in _gram_sets(texts):
+            for own in _gram_sets(raw, ends):
                 n = len(own)
                 if not n or (mark := (class_key(own), n)) in seen:
                     continue
@@ -223,7 +199,7 @@ def _listed(shared, boundary: int):
                         low, high = min(n, t), max(n, t)
                         for chosen in itertools.combinations(range(n), overlap(n, t)):
                             part = own[list(chosen)] + np.uint64(low * 1000 + high)
-                            add(1, mark[0], n, 0, class_key(part), int(_mix(part * np.uint64(3)).sum(dtype=np.uint64).astype(np.int64)), 0 if n == low else 1, None)
+                            add(1, mark[0], n, 0, class_key(part), int(mix(part * np.uint64(3)).sum(dtype=np.uint64).astype(np.int64)), 0 if n == low else 1, None)
                             if low == high:
                                 rows["side"][-1] = 2
             if lists:
@@ -236,55 +212,96 @@ def _listed(shared, boundary: int):
 LISTED = "kind tinyint, cls long, n int, prio int, key long, other long, side tinyint, grams array<long>, sign binary"
 
 
-def _filter_words(values: DataFrame, column: str) -> np.ndarray:
-    """A fixed-size bit filter of the values' hashes; built from one row for each of its words."""
-    place = lambda k: F.shiftright(F.xxhash64(column, F.lit(k)), 64 - FILTER_BITS).bitwiseAND((1 << FILTER_BITS) - 1)
-    bits = values.select(F.explode(F.array(place(1), place(2))).alias("p"))
-    bits = bits.select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
-    held = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    words = np.zeros(1 << FILTER_BITS - 6, np.uint64)
-    words[held["word"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64).view(np.uint64)
-    return words
+def _hashes(column: str | Column) -> list[Column]:
+    return [F.xxhash64(column, F.lit(k)) for k in (1, 2)]
+
+
+def _distinct_counts(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct grams and the sums of their counts."""
+    order = np.argsort(grams, kind="stable")
+    grams, counts = grams[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
+    return grams[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
 
-def _maybe(words: np.ndarray, *hashes: np.ndarray) -> np.ndarray:
-    keep = np.ones(len(hashes[0]), bool)
-    for h in hashes:
-        p = (h >> (64 - FILTER_BITS)) & ((1 << FILTER_BITS) - 1)
-        keep &= (words[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
-    return keep
+def _bucketed(buckets: int):
+    """bucket, grams, counts: each task's distinct grams in sorted runs, a bucket for each range of their values.
 
+    The bytes of a run lie plane by plane, so that the leading ones compress away.
+    """
+
+    def rows(grams: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        number = (grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        edge = np.searchsorted(number, np.arange(buckets + 1, dtype=np.uint64))
+        there = np.flatnonzero(np.diff(edge))
+        planes = [grams[edge[k] : edge[k + 1]].view(np.uint8).reshape(-1, 8).T.tobytes() for k in there]
+        sums = [counts[edge[k] : edge[k + 1]].astype("<u4").tobytes() for k in there]
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(there, pa.int32()), "grams": pa.array(planes, pa.binary()), "counts": pa.array(sums, pa.binary())})
 
-def shared_grams(lists: DataFrame) -> DataFrame:
-    """gram, k of the lists that hold more than one class, with their length."""
-    entries = lists.select(F.explode("grams").alias("gram"), "cls")
-    ends = entries.groupBy("gram").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("k"))
-    return cut(ends.where("least <> most").select("gram", "k"), "shared_grams")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for b in batches:
+            held.append(b.column("grams").flatten().to_numpy().view(np.uint64).copy())
+            total += len(held[-1])
+            if total >= 4 * STEP_GRAMS:
+                flat = np.concatenate(held)
+                yield rows(*_distinct_counts(flat, np.ones(len(flat), np.int64)))
+                held, total = [], 0
+        if total:
+            flat = np.concatenate(held)
+            yield rows(*_distinct_counts(flat, np.ones(len(flat), np.int64)))
+
+    return run
+
+
+def _bucket_total(table: pa.Table) -> pa.Table:
+    """gram, k of a bucket's grams that occur more than once."""
+    blobs = [x.as_buffer() for x in table.column("grams")]
+    grams = np.concatenate([np.frombuffer(x, np.uint8).reshape(8, -1).T.reshape(-1).view(np.uint64) for x in blobs])
+    counts = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table.column("counts")]).astype(np.int64)
+    grams, counts = _distinct_counts(grams, counts)
+    more = counts > 1
+    return pa.table({"gram": pa.array(grams[more].view(np.int64)), "k": pa.array(counts[more])})
+
+
+def shared_grams(lists: DataFrame, entries: int) -> DataFrame:
+    """gram, k of the lists with more than one entry; a class that two tasks met counts twice.
+
+    Tasks send sorted runs of their grams to buckets of some BUCKET_ENTRIES, where
+    equal grams meet; how many buckets there are follows from the number of entries.
+    """
+    spark = lists.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // BUCKET_ENTRIES)
+    runs = lists.select("grams").mapInArrow(_bucketed(buckets), "bucket int, grams binary, counts binary")
+    return cut(runs.groupBy("bucket").applyInArrow(_bucket_total, "gram long, k long"), "shared_grams")
 
 
 def list_entries(lists: DataFrame, shared: DataFrame) -> DataFrame:
-    """gram, cls, n, pos, prio of the shared lists."""
-    words = lists.sparkSession.sparkContext.broadcast(_filter_words(shared, "gram"))
+    """gram, cls, n, pos, prio of the lists with more than one class."""
+    words = lists.sparkSession.sparkContext.broadcast(bit_filter.build(shared, F.col("gram"), F.shiftleft("gram", bit_filter.BITS)))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = _maybe(words.value, b.column("h1").to_numpy(), b.column("h2").to_numpy())
-            yield b.filter(pa.array(keep)).select(["gram", "cls", "n", "pos", "prio"])
+            grams = b.column("grams").flatten().to_numpy()
+            sizes = np.diff(b.column("grams").offsets.to_numpy())
+            at = np.flatnonzero(bit_filter.maybe(words.value, grams, grams << bit_filter.BITS))
+            row = np.repeat(np.arange(len(b)), sizes)[at]
+            pos = at - (np.cumsum(sizes) - sizes)[row]
+            own = {c: b.column(c).take(pa.array(row)) for c in ("cls", "n", "prio")}
+            yield pa.RecordBatch.from_pydict({"gram": pa.array(grams[at]), "cls": own["cls"], "n": own["n"], "pos": pa.array(pos.astype(np.int32)), "prio": own["prio"]})
 
-    entries = lists.select(F.posexplode("grams").alias("pos", "gram"), "cls", "n", "prio")
-    hashed = entries.select("gram", "cls", "n", "pos", "prio", F.xxhash64("gram", F.lit(1)).alias("h1"), F.xxhash64("gram", F.lit(2)).alias("h2"))
-    some = hashed.mapInArrow(kept, "gram long, cls long, n int, pos int, prio int")
-    return cut(some.join(shared, "gram", "left_semi").distinct(), "entries")
+    some = lists.select("cls", "n", "prio", "grams").mapInArrow(kept, "gram long, cls long, n int, pos int, prio int")
+    return cut(some.join(shared.select("gram"), "gram", "left_semi").distinct(), "entries")
 
 
 def chosen(docs: DataFrame, wanted: DataFrame, text: str, doc_id: Column, run, schema: str) -> DataFrame:
     """run over the (id, text) batches of documents that are, or by a filter may be, wanted's rep."""
-    words = docs.sparkSession.sparkContext.broadcast(_filter_words(wanted.where("rep is not null"), "rep"))
+    words = docs.sparkSession.sparkContext.broadcast(bit_filter.build(wanted.where("rep is not null"), *_hashes("rep")))
     nulls = bool(wanted.where("rep is null").take(1))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = _maybe(words.value, b.column("h1").to_numpy(), b.column("h2").to_numpy())
+            keep = bit_filter.maybe(words.value, b.column("h1").to_numpy(), b.column("h2").to_numpy())
             keep |= nulls & b.column("id").is_null().to_numpy(zero_copy_only=False)
             yield b.filter(pa.array(keep))
 
@@ -293,8 +310,8 @@ def chosen(docs: DataFrame, wanted: DataFrame, text: str, doc_id: Column, run, s
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for text in (t for b in batches for t in slices(b.column("text"))):
-        sets = _gram_sets(text)
+    for raw, ends in (t for b in batches for t in slices(b.column("text"))):
+        sets = _gram_sets(raw, ends)
         yield pa.RecordBatch.from_pydict({"cls": pa.array([class_key(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()), "grams": pa.array([s.tobytes() for s in sets], pa.binary())})
 
 
@@ -359,12 +376,6 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def nearest_pairs(near: DataFrame) -> DataFrame:
-    """Each class's pair with least signature distance, from either side."""
-    best = lambda one, other: near.groupBy(one).agg(F.min(F.struct("far", other)).alias("p")).select(one, F.col(f"p.{other}").alias(other)).select("a", "b")
-    return best("a", "b").unionByName(best("b", "a")).distinct()
-
-
 class Verifier:
     """Decides pairs of classes; whole sets are fetched once, for pairs that signatures leave open."""
 
@@ -416,11 +427,11 @@ def leader_pairs(entries: DataFrame, orders: list[Column], leads: Column, others
 
 
 def spanning(entries: DataFrame, comps: DataFrame) -> DataFrame:
-    """Entries of lists that span several components, with comp and the list's main component."""
+    """Entries of lists of more than two classes that span several components, with comp and the list's main component."""
     e, c = entries.alias("e"), comps.alias("c")
     held = cut(e.join(c, F.col("e.cls") == F.col("c.node"), "left").select("e.*", F.coalesce("c.comp", "e.cls").alias("comp")), "by_component")
     per = held.groupBy("gram", "comp").agg(F.count("*").alias("k"))
-    per = per.groupBy("gram").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all")).where("comps > 1")
+    per = per.groupBy("gram").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all")).where("comps > 1 and all > 2")
     mixed = cut(per.select("gram", F.col("m.comp").alias("main"), (F.col("all") - F.col("m.k")).alias("rest"), "all"), "mixed")
     return cut(held.join(mixed, "gram"), "spanning")
 
@@ -430,39 +441,39 @@ def _seeded(number: int) -> list[Column]:
     return [F.xxhash64("cls", F.lit(number * LEADERS + k)) for k in range(LEADERS)]
 
 
-def _apart(near: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs whose classes are in different components."""
-    side = lambda k: comps.select(F.col("node").alias(k), F.col("comp").alias(f"comp_{k}"))
-    rows = near.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return rows.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
+def across_pairs(mixed: DataFrame) -> DataFrame:
+    """Every possible pair of a list whose classes are in different components.
+
+    Besides the gram a pair shares its class of size, in steps of a quarter, or has
+    neighbouring ones: of a long list only members of like size meet.
+    """
+    step = F.floor(F.log(F.col("n").cast("double")) / math.log(1.25)).cast("int")
+    q = mixed.withColumn("like", step).alias("q")
+    p = mixed.where("comp <> main").withColumn("like", F.explode(F.array(step - 1, step, step + 1))).alias("p")
+    other = (F.col("p.comp") != F.col("q.comp")) & ((F.col("q.comp") == F.col("q.main")) | (F.col("p.cls") < F.col("q.cls")))
+    return p.join(q, (F.col("p.gram") == F.col("q.gram")) & (F.col("p.like") == F.col("q.like")) & other & _possible("p", "q")).select(*_pair("p", "q")).distinct()
 
 
 def heavy_links(entries: DataFrame, verifier: Verifier) -> DataFrame:
     """Links that connect whatever links connect among the classes of the lists.
 
-    In a round each class is verified with its nearest leader only; pairs that this
-    passes over are among the last step's, unless their classes are joined by then.
+    The first round decides every list of two. Rounds go on while lists with more
+    span components and there is more to pair up than entries; a list that no longer
+    spans any is left behind.
     """
-    first = verifier.near(leader_pairs(entries, [F.col("prio")], F.lit(True), F.lit(True)))
-    edges, last = verifier.linked(cut(nearest_pairs(first), "nearest")), None
+    edges, last = verifier.linked(verifier.near(leader_pairs(entries, [F.col("prio")], F.lit(True), F.lit(True)))), None
+    mixed = entries
     for number in range(1, ROUNDS + 1):
-        mixed = spanning(entries, components(edges))
+        mixed = spanning(mixed.select(entries.columns), components(edges))
         work, n = mixed.agg(F.sum(F.when(F.col("comp") != F.col("main"), F.col("all"))), F.count("*")).first()
         if not n:
             return edges
         if work <= PAIRS_PER_ENTRY * n or last and 2 * work > last or number == ROUNDS:
             break
         last = work
-        more = verifier.near(leader_pairs(mixed, _seeded(number), F.expr("comp = main"), F.expr("comp <> main")))
-        edges = edges.unionByName(verifier.linked(cut(nearest_pairs(more), "nearest")))
-    p, q = mixed.where("comp <> main").alias("p"), mixed.alias("q")
-    across = (F.col("p.comp") != F.col("q.comp")) & ((F.col("q.comp") == F.col("q.main")) | (F.col("p.cls") < F.col("q.cls")))
-    pairs = p.join(q, (F.col("p.gram") == F.col("q.gram")) & across & _possible("p", "q")).select(*_pair("p", "q")).distinct()
-    near = verifier.near(pairs)
-    tried = cut(nearest_pairs(near), "nearest")
-    edges = edges.unionByName(verifier.linked(tried))
-    rest = cut(_apart(near.join(tried, ["a", "b"], "left_anti"), components(edges)), "rest")
-    return edges.unionByName(verifier.linked(rest)) if rest.take(1) else edges
+        more = leader_pairs(mixed, _seeded(number), F.expr("comp = main"), F.expr("comp <> main"))
+        edges = edges.unionByName(verifier.linked(verifier.near(more)))
+    return edges.unionByName(verifier.linked(verifier.near(across_pairs(mixed))))
 
 
 def light_links(subs: DataFrame) -> DataFrame:
@@ -497,11 +508,13 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str | Column = "doc_
     listed = cut(rows.mapInArrow(_listed(spark.sparkContext.broadcast(frequent), boundary), LISTED), "listed")
     classes = cut(held.where("n > 0").groupBy("cls", "n").agg(F.min("id").alias("rep"), F.count("*").alias("k")), "classes")
     lists = listed.where("kind = 0").select("cls", "n", "prio", "grams", "sign")
-    shared = shared_grams(lists)
+    sizes = held.where("n > 0").groupBy("n").agg(F.count("*").alias("k"))
+    entries = sizes.agg(F.sum(F.expr("k * (n - ceil(4 * n / 5) + 1)"))).first()[0] or 0
+    shared = shared_grams(lists, entries)
     crowd = shared.where(F.col("k") > CROWD).orderBy(F.desc("k"), "gram").limit(HEAVY).toPandas()
     if len(crowd):
         lists = relisted(docs, lists, crowd["gram"].to_numpy(np.int64), crowd["k"].to_numpy(np.int64), frequent, classes, boundary, text, doc_id)
-        shared = shared_grams(lists)
+        shared = shared_grams(lists, entries)
     entries = list_entries(lists, shared)
     signs = lists.select("cls", "n", "sign").join(entries.select("cls").distinct(), "cls", "left_semi")
     verifier = Verifier(docs, classes, cut(signs.dropDuplicates(["cls"]), "signatures"), text, doc_id)

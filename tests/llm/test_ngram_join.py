@@ -2,9 +2,11 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from cairn.llm import ngram_join as x
+from cairn.llm import words
 from tests.llm.rows import awkward, documents
 
 
@@ -61,8 +63,6 @@ def test_against_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(x, "HEAVY_COUNT", 2 + seed)
     monkeypatch.setattr(x, "PAIRS_PER_ENTRY", 0.2 * seed)
     monkeypatch.setattr(x, "CROWD", 2)
-    monkeypatch.setattr(x, "STEP_BYTES", 1000 * seed)
-    monkeypatch.setattr(x, "STEP_GRAMS", 700)
     rows = corpus(seed) + [(r[0] + 1000, *r[1:]) for r in awkward()]
     got = x.ngram_join(documents(spark, rows).repartition(3)).drop("class_id").collect()
     assert sorted(map(tuple, got)) == brute(rows)
@@ -84,3 +84,41 @@ def test_boundary_follows_cost():
 
 def test_empty_table(spark):
     assert x.ngram_join(documents(spark, [])).collect() == []
+
+
+def test_word_hashes_wherever_words_stand(monkeypatch):
+    rng = random.Random(6)
+    letters = "abcABCéß\U0001f600,.|\x1c\x85 \t\n\x0b\x0c\r"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["x" * 5000 + " Y" + "y" * 40, "", "  ", "ab\n", " ab"]
+    want, seen = [], {}
+    for t in texts:
+        want.append(re.findall(rb"[^\x20\x09-\x0D]+", re.sub(b"[A-Z]", lambda m: m[0].lower(), t.encode())))
+    for step, block in ((1 << 20, 1 << 20), (500, 1 << 20), (10, 64), (1 << 20, 50)):
+        monkeypatch.setattr(words, "STEP_BYTES", step)
+        monkeypatch.setattr(words, "BLOCK", block)
+        monkeypatch.setattr(words, "_POWERS", [])
+        got = []
+        for raw, ends in words.slices(pa.array(texts)):
+            hashes, edge = words.word_hashes(raw, ends)
+            got += [hashes[a:b].tolist() for a, b in zip(edge, edge[1:], strict=False)]
+        assert list(map(len, got)) == list(map(len, want))
+        for hs, ws in zip(got, want, strict=True):
+            for h, w in zip(hs, ws, strict=True):
+                assert block != 1 << 20 or seen.setdefault(w, h) == h
+        if block == 1 << 20:
+            assert len(set(seen.values())) == len(seen)
+        else:  # other powers, other hashes: equal words still have equal ones, others not
+            pairs = {(w, h) for hs, ws in zip(got, want, strict=True) for h, w in zip(hs, ws, strict=True)}
+            assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+
+
+def test_grams_are_counted_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(x, "BUCKET_ENTRIES", 3)
+    rng = random.Random(2)
+    rows = [(i, sorted({rng.randint(-(2**63), 2**63 - 1) if rng.random() < 0.5 else rng.randint(-5, 5) for _ in range(8)})) for i in range(50)]
+    count = defaultdict(int)
+    for _, grams in rows:
+        for g in grams:
+            count[g] += 1
+    got = {r.gram: r.k for r in x.shared_grams(spark.createDataFrame(rows, "cls long, grams array<long>").repartition(5), 400).collect()}
+    assert got == {g: k for g, k in count.items() if k > 1}
