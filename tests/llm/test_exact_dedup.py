@@ -36,25 +36,22 @@ def test_empty_table(spark):
     assert x.exact_dedup(documents(spark, [])).collect() == []
 
 
-def test_equal_fingerprints_of_different_texts_are_told_apart(spark, monkeypatch):
-    described = x._described
-    monkeypatch.setattr(x, "fingerprints", lambda docs, *_: flat(docs, described(False), "doc_id long, n_bytes long, fp long, text_sha256 string"))
-    monkeypatch.setattr(x, "_described", lambda with_text: flattened(described(with_text)))
-    rows = [(1, "ab", *[None] * 6), (2, "ba", *[None] * 6), (3, "ab", *[None] * 6)]
-    assert sorted(map(tuple, x.exact_dedup(documents(spark, rows)).collect())) == expected(rows)
+def test_equal_fingerprints_of_different_texts_are_told_apart(spark):
+    rows = [(1, "ab", *[None] * 6), (2, "ba", *[None] * 6), (3, "ab", *[None] * 6), (4, "ab" * 70_000, *[None] * 6), (5, "ba" * 70_000, *[None] * 6)]
+    for huge in (x.HUGE_BYTES, 10):
+        got = x.exact_dedup(documents(spark, rows), huge_bytes=huge, bases=(1, 1)).collect()  # sums of bytes
+        assert sorted(map(tuple, got)) == expected(rows)
 
 
-def flattened(run):
-    def same(batches):
-        import pyarrow as pa
+def test_huge_texts_by_chunks(spark):
+    rows = awkward() + [(2000, "é" * 3_000_000, *[None] * 6), (2001, "é" * 3_000_000, *[None] * 6), (2002, "é" * 2_999_999 + "ee", *[None] * 6)]
+    docs = documents(spark, rows)
+    whole, dealt = (sorted(map(tuple, x.fingerprints(docs, huge_bytes=n).collect()), key=str) for n in (x.HUGE_BYTES, 20))
+    assert whole == dealt
+    assert sorted(map(tuple, x.exact_dedup(docs, huge_bytes=20).collect())) == expected(rows)
 
-        for b in run(batches):
-            yield b.set_column(b.schema.get_field_index("fp"), "fp", pa.array([5] * len(b), pa.int64()))
 
-    return same
-
-
-def flat(docs, run, schema):
-    from pyspark.sql import functions as F
-
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(flattened(run), schema)
+def test_null_id(spark):
+    rows = [(None, "a", *[None] * 6), (3, "a", *[None] * 6), (None, "b", *[None] * 6)]
+    got = {(r.text_sha256[:4], r.doc_id): (r.keep_id, r.group_size, r.kept) for r in x.exact_dedup(documents(spark, rows)).collect()}
+    assert sorted(map(str, got.values())) == sorted(map(str, [(3, 2, False), (3, 2, True), (None, 1, True)]))
