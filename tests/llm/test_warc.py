@@ -1,7 +1,10 @@
 import base64
+import gzip
 import hashlib
 from collections import defaultdict
 
+import pytest
+
 from cairn.llm import warc
 
 SCHEMA = "page_id long, url string, html string, sha1 string, n_bytes long"
@@ -39,5 +42,24 @@ def test_chunks_rebuild_payloads(spark):
             assert all(len(r.data) <= 100_000 for r in rows)
 
 
+def test_file_begins_with_warcinfo_and_missing_chunks_are_told(spark):
+    folder, manifest = warc.write_archives(spark.createDataFrame(ROWS, SCHEMA), chunk_bytes=1000)
+    assert folder.startswith("file:/")
+    for row in manifest.collect():
+        with open(row.file, "rb") as f:
+            head = gzip.decompress(f.read())
+        assert head.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and head.count(b"WARC-Type: re") >= row.records
+    chunks = warc.read_archives(folder, manifest, chunk_bytes=1000)
+    assert warc.whole_records(chunks).count() == len(ROWS)
+    with pytest.raises(Exception, match="chunks are missing"):
+        warc.whole_records(chunks.where("chunk_no <> 7")).collect()
+
+
+def test_null_and_repeated_page_ids(spark):
+    rows = [(1, "u", "a", None, None), (1, "u", "a", None, None), (None, "u", "a", None, None), (None, "u", "b", None, None), (1, "u", "b", None, None)]
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.page_records(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == sorted([(1, 1, "response", None), (1, 1, "response", None), (None, 1, "revisit", 1), (None, 1, "revisit", 1), (1, 1, "response", None)], key=str)
+
+
 def test_empty_table(spark):
     assert warc.page_records(spark.createDataFrame([], SCHEMA)).collect() == []
