@@ -87,4 +87,4 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
 
 def oracle_sql() -> dict:
     """Query name to DuckDB SQL."""
-    return {"op2_exact_dedup": OP2_SQL, "op5_line_dedup": line_dedup.SQL, "op6_mixing": mixing.sql()}
+    return {"op2_exact_dedup": OP2_SQL, "op5_line_dedup": line_dedup.SQL, "op6_mixing": mixing.sql(), "op7_warc": warc.SQL, "op10_secret_scan": secret_scan.sql()}

@@ -1,9 +1,9 @@
 """Secret scans over an incremental blob ledger, in DataFrame operations only.
 
-Every version of a text is addressed by its SHA-256. A ledger lists which
-(blob, rule, rule version) triples were scanned before; a run scans only the
+Every version of a text is addressed by its SHA-256. A ledger kept under a path
+lists which (blob, rule, rule version) triples were scanned before; a run scans only the
 others, each blob once however many documents hold it, appends what it found, and
-joins all findings back to every document with that blob.
+joins all findings of the present rule versions back to every document with that blob.
 
 Positions come from marking: the matches of a rule are wrapped in marks, the text
 is split there, and running lengths of the pieces give code-point offsets.
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.session import cut
+from cairn.session import cut, scratch_path
 
 
 @dataclass(frozen=True)
@@ -83,8 +83,11 @@ class Ledger:
 
 
 def read_ledger(spark: SparkSession, path: str) -> Ledger:
-    """The ledger kept under path."""
-    return Ledger(spark.read.parquet(f"{path}/scanned"), spark.read.parquet(f"{path}/findings"))
+    """The ledger kept under path; an empty one where none is yet."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/scanned")
+    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+        return Ledger()
+    return Ledger(spark.read.parquet(f"{path}/scanned"), spark.read.schema(FINDINGS).parquet(f"{path}/findings"))
 
 
 def append_ledger(path: str, new: Ledger) -> None:
@@ -139,13 +142,43 @@ def document_findings(held: DataFrame, findings: DataFrame, rules: tuple[Rule, .
     return out.select("doc_id", *(F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in base), F.coalesce("base_sha256", none).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
-def secret_scan(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Scan what the ledger has not seen and report every document."""
-    ledger = ledger or Ledger()
-    held, new = update(docs, ledger, rules, text, doc_id)
-    findings = new.findings
-    if ledger.findings is not None:
-        now = {(r.kind, r.version) for r in rules}
-        known = ledger.findings.where(F.concat_ws("@", "kind", "version").isin([f"{k}@{v}" for k, v in now]))
-        findings = known.unionByName(findings).distinct()
-    return document_findings(held, findings, rules)
+def secret_scan(docs: DataFrame, path: str | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Scan what the ledger under path has not seen, append that to it, and report every document.
+
+    Without a path the ledger is a new one in the shared folder.
+    """
+    spark = docs.sparkSession
+    path = path or scratch_path(spark, "ledger")
+    held, new = update(docs, read_ledger(spark, path), rules, text, doc_id)
+    append_ledger(path, new)
+    now = spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")
+    known = read_ledger(spark, path).findings.join(F.broadcast(now), ["kind", "version"], "left_semi")  # a row a rule
+    return document_findings(held, known.distinct(), rules)
+
+
+def sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The report in DuckDB, from the same marking of matches."""
+    quote = lambda p: p.replace("'", "''")
+    marks = [f"chr({ord(c)})" for c in (OPEN, CLOSE, PART)]
+    marked = " UNION ALL ".join(
+        f"""SELECT doc_id, {i} AS rank, '{r.kind}' AS kind, {r.least} AS least,
+            string_split(regexp_replace(t, '{quote(r.pattern)}', {marks[0]} || '\\0' || {marks[2]} || '\\{r.group}' || {marks[1]}, 'g'), {marks[0]}) AS pieces
+            FROM d WHERE regexp_matches(t, '{quote(r.pattern)}')"""
+        for i, r in enumerate(rules)
+    )
+    base = ", ".join(f"'{r.kind}'" for r in rules if r.base)
+    counts = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in rules if r.base)
+    counted = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in rules if r.base)
+    return f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), {marks[0]} || {marks[1]} || {marks[2]}, repeat(chr({ord(OTHER)}), 3)) AS t FROM documents),
+m AS ({marked}),
+e AS (SELECT doc_id, rank, kind, least, unnest(pieces) AS piece, unnest(range(len(pieces))) AS n FROM m),
+l AS (SELECT doc_id, rank, kind, least, n,
+             CASE WHEN n = 0 THEN 0 ELSE length(split_part(piece, {marks[2]}, 1)) END AS len,
+             CASE WHEN n = 0 THEN -1 ELSE length(split_part(split_part(piece, {marks[2]}, 2), {marks[1]}, 1)) END AS part,
+             CASE WHEN n = 0 THEN length(piece) ELSE length(split_part(piece, {marks[1]}, 2)) END AS rest FROM e),
+s AS (SELECT *, coalesce(sum(len + rest) OVER (PARTITION BY doc_id, rank ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM l),
+f AS (SELECT doc_id, rank, kind, at, kind || ':' || CAST(at AS BIGINT) || ':' || CAST(at + len AS BIGINT) AS span FROM s WHERE n > 0 AND part >= least),
+g AS (SELECT doc_id, {counted}, string_agg(span, ',' ORDER BY at, rank) AS spans,
+             coalesce(string_agg(span, ',' ORDER BY at, rank) FILTER (kind IN ({base})), '') AS base FROM f GROUP BY doc_id)
+SELECT d.doc_id, {counts}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON d.doc_id = g.doc_id"""

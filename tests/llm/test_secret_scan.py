@@ -35,16 +35,30 @@ def test_against_brute_force(spark):
     assert got == sorted((r[0], *brute(r[1])) for r in rows())
 
 
-def test_only_unseen_pairs_are_scanned(spark):
-    some = rows()
-    before = documents(spark, some[::2])
-    _, new = x.update(before, x.Ledger(), x.RULES[:3])
-    ledger = x.Ledger(new.scanned, new.findings)
-    _, more = x.update(documents(spark, some), ledger, x.RULES[:3])
+def test_only_unseen_pairs_are_scanned(spark, tmp_path):
+    some, path = rows(), f"file://{tmp_path}/ledger"
+    x.secret_scan(documents(spark, some[::2]), path, x.RULES[:3]).collect()
     old = {(r[1] or "") for r in some[::2]}
+    _, more = x.update(documents(spark, some), x.read_ledger(spark, path), x.RULES[:3])
     assert more.scanned.select("blob").distinct().count() == len({(r[1] or "") for r in some} - old)
-    got = sorted(map(tuple, x.secret_scan(documents(spark, some), ledger).collect()))
+    got = sorted(map(tuple, x.secret_scan(documents(spark, some), path).collect()))
     assert got == sorted((r[0], *brute(r[1])) for r in some)
+    again = x.update(documents(spark, some), x.read_ledger(spark, path))[1]
+    assert again.scanned.count() == 0
+
+
+def test_a_new_rule_version_is_scanned_and_replaces_the_old(spark, tmp_path):
+    path, docs = f"file://{tmp_path}/ledger", documents(spark, [(1, "AKIA" + "B" * 13 + " zz", *[None] * 6)])
+    assert x.secret_scan(docs, path).first().spans == "access:0:17"
+    newer = (*x.RULES[:1], x.Rule("access", 2, r"zz", 1, 0, True), *x.RULES[2:])
+    assert x.secret_scan(docs, path, newer).first().spans == "access:18:20"
+    assert x.secret_scan(docs, path).first().spans == "access:0:17"
+
+
+def test_repeated_and_null_ids(spark):
+    text = "password=abcdefghij"
+    got = x.secret_scan(documents(spark, [(None, text, *[None] * 6), (7, text, *[None] * 6), (7, "plain", *[None] * 6)])).collect()
+    assert sorted((str(r.doc_id), r.n_assign) for r in got) == [("7", 0), ("7", 1), ("None", 1)]
 
 
 def test_empty_table(spark):
