@@ -3,10 +3,11 @@
 A run is a stretch of lines with words that has at least MIN_LINES lines or
 MIN_WORDS words. Every shortest stretch that makes a run (at most MIN_LINES lines) is
 a window; its least line hash is selected as fingerprint, so equal runs always share
-a selected fingerprint. Fingerprints at one position only are dropped; around the
-others the windows of every length on both sides are matched by content, the first
-of equal ones stays, and later ones extend and merge into maximal runs whose lines
-are deleted. A line is deleted exactly when it lies in a run that occurs earlier, in
+a selected fingerprint. Fingerprints at one position only are dropped; the positions of
+the others are joined by their window's content, each with the first of its kind. A
+match is extended both ways along its diagonal (one document, one earlier document,
+one distance between their lines) to its maximal length, and the lines of the later
+side are deleted. A line is deleted exactly when it lies in a run that occurs earlier, in
 the order of doc_id, then line.
 
 Defined cases: lines end at \\n only and are compared unchanged; lines without a word
@@ -17,7 +18,7 @@ alone; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.session import cut
@@ -49,37 +50,51 @@ def windows(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WO
 
 
 def repeated_windows(found: DataFrame) -> DataFrame:
-    """doc_id, mark, q, m, first, last of the windows whose content occurs earlier."""
+    """doc_id, mark, q, m, first, last and lead (doc_id, mark, q) of the windows whose content occurs earlier."""
     anchors = found.groupBy("anchor").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("mark").alias("m0"), F.max("mark").alias("m1"), F.min("at").alias("a0"), F.max("at").alias("a1"))
     anchors = cut(anchors.where("d0 <> d1 or m0 <> m1 or a0 <> a1").select("anchor"), "anchors")
     near = cut(found.join(anchors.hint("merge"), "anchor", "left_semi"), "near")
     lead = near.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "q")).alias("lead"))
     lead = cut(lead.where("n > 1").drop("n"), "first_windows")
     later = near.join(lead.hint("merge"), ["k1", "k2"]).where(F.struct("doc_id", "mark", "q") != F.col("lead"))
-    return later.select("doc_id", "mark", "q", "m", "first", "last")
+    return later.select("doc_id", "mark", "q", "m", "first", "last", "lead")
 
 
-def _runs() -> Column:
-    """Windows of a document, sorted, merged where they touch."""
-    merged = """aggregate(array_sort(ws), cast(array() as array<struct<a:int,b:int,first:int,last:int>>), (acc, w) ->
-      if(size(acc) > 0 and element_at(acc, -1).b >= w.q,
-         concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).a as a, greatest(element_at(acc, -1).b, w.q + w.m) as b, element_at(acc, -1).first as first, greatest(element_at(acc, -1).last, w.last) as last))),
-         concat(acc, array(struct(w.q as a, w.q + w.m as b, w.first as first, w.last as last)))))"""
-    return F.expr(merged)
+def _joined(stretches: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, a, b, first, last of stretches a .. b, those that overlap or touch being one."""
+    order = Window.partitionBy(*keys).orderBy("a", "b")
+    before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = stretches.withColumn("new", F.when(before >= F.col("a"), 0).otherwise(1))
+    marked = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(*keys, "island").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("first").alias("first"), F.max("last").alias("last")).drop("island")
+
+
+def matches(later: DataFrame) -> DataFrame:
+    """doc_id, mark, lead_doc, lead_mark, shift, a, b, first, last: maximal stretches equal to lines shift earlier of the lead.
+
+    Windows of a diagonal that overlap or touch carry the match on, to either side.
+    """
+    keys = ["doc_id", "mark", "lead_doc", "lead_mark", "shift"]
+    rows = later.select("doc_id", "mark", F.col("lead.doc_id").alias("lead_doc"), F.col("lead.mark").alias("lead_mark"), (F.col("q") - F.col("lead.q")).alias("shift"), F.col("q").alias("a"), (F.col("q") + F.col("m")).alias("b"), "first", "last")
+    once = rows.groupBy(*keys, "a").agg(F.max("b").alias("b"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return _joined(once.repartition("doc_id", "mark"), keys)
 
 
 def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Every row's doc_id, clean text, n_lines, n_removed and deleted runs (a:b of lines with words)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("mark", F.xxhash64("text"))
     found = cut(windows(rows, min_lines, min_words), "windows")
-    later = repeated_windows(found).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("q", "m", "first", "last")).alias("ws"))
-    later = cut(later.select("doc_id", "mark", _runs().alias("runs")), "runs")
-    r, d = later.hint("merge").alias("r"), rows.alias("d")
-    out = d.join(r, (F.col("d.doc_id") == F.col("r.doc_id")) & (F.col("d.mark") == F.col("r.mark")), "left").select("d.doc_id", "d.text", "r.runs")
-    lines = "split(text, '\\n')"
+    runs = _joined(matches(repeated_windows(found)), ["doc_id", "mark"])
+    runs = runs.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("a", "b", "first", "last"))).alias("runs"))
+    r, d = cut(runs, "runs").hint("merge").alias("r"), rows.alias("d")
+    out = d.join(r, (F.col("d.doc_id") == F.col("r.doc_id")) & (F.col("d.mark") == F.col("r.mark")), "left")
+    out = out.select("d.doc_id", "d.text", "r.runs", F.split("d.text", "\n").alias("lines"))
     has_word = "l rlike '[^\\\\x20\\\\x09-\\\\x0D]'"
-    clean = f"case when runs is null then text else array_join(filter({lines}, (l, i) -> not ({has_word} and exists(runs, r -> i between r.first and r.last))), '\\n') end"
-    n_lines = f"cast(case when text is null then 0 else size(filter({lines}, l -> {has_word})) end as bigint)"
+    # between runs lines stay, inside them those without a word
+    after = "slice(lines, r.last + 2, coalesce(get(runs, i + 1).first, size(lines)) - r.last - 1)"
+    parts = f"flatten(transform(runs, (r, i) -> array(filter(slice(lines, r.first + 1, r.last - r.first + 1), l -> not ({has_word})), {after})))"
+    clean = f"case when runs is null then text else array_join(flatten(concat(array(slice(lines, 1, runs[0].first)), {parts})), '\n') end"
+    n_lines = f"cast(case when text is null then 0 else size(filter(lines, l -> {has_word})) end as bigint)"
     removed = "cast(case when runs is null then 0 else aggregate(runs, 0, (s, r) -> s + r.b - r.a) end as bigint)"
     spans = "case when runs is null then '' else array_join(transform(runs, r -> concat_ws(':', cast(r.a as string), cast(r.b as string))), ',') end"
     return out.selectExpr("doc_id", f"{clean} as text", f"{n_lines} as n_lines", f"{removed} as n_removed", f"{spans} as runs")
