@@ -11,9 +11,10 @@ Among certified cutoffs the one that gains most bad documents for the good ones
 costs is used; where none gains, or none is certified, the rule rejects nothing.
 
 Defined cases: a null text has zero counts and fails the base; a null stratum is a
-stratum of its own; a document with several labels has the least; a null label is
-none; rows that repeat a doc_id are scored each; without labels the base decides;
-an empty table gives no rows; other columns are not read.
+stratum of its own, apart from an empty name; a document with several labels has the
+least; a null label is none; a null doc_id has no label; rows that repeat a doc_id are
+scored each; without labels the base decides; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -118,12 +119,12 @@ def cutoffs(stats: DataFrame, labels: DataFrame, limit: float = LIMIT, confidenc
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", doc_id: str = "doc_id", limit: float = LIMIT, confidence: float = CONFIDENCE, worth: float = WORTH) -> DataFrame:
     """Every row with its counts, base_failed, kept and the rule that rejects it, if any."""
-    stats = text_stats(docs, {"doc_id": F.col(doc_id).cast("long"), "stratum": F.coalesce(F.col(stratum).cast("string"), F.lit(""))}, text)
+    stats = text_stats(docs, {"doc_id": F.col(doc_id).cast("long"), "stratum": F.col(stratum).cast("string")}, text)
     stats = stats.withColumn("base_failed", F.expr(BASE_FAILED)).withColumns({f"step_{r}": _step(r) for r in RULES})
     stats = cut(stats, "stats")
     chosen = cut(cutoffs(stats, labels, limit, confidence, worth), "cutoffs")
     s, c = stats.alias("s"), chosen.alias("c")
     hit = lambda r: (F.col(f"c.{r}") > 0) & (F.col(f"s.step_{r}") >= F.col(f"c.{r}"))
     rejected = F.coalesce(*(F.when(hit(r), F.lit(r)) for r in RULES))
-    out = s.join(c, F.col("s.stratum") == F.col("c.stratum"), "left").select("s.doc_id", *(f"s.{n}" for n in NAMES), "s.base_failed", rejected.alias("rejected_by"))
+    out = s.join(c, F.col("s.stratum").eqNullSafe(F.col("c.stratum")), "left").select("s.doc_id", *(f"s.{n}" for n in NAMES), "s.base_failed", rejected.alias("rejected_by"))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())

@@ -51,5 +51,26 @@ def test_certified_cutoff_rejects_bad_documents_only(spark):
     assert got[9999].kept  # a stratum without labels has no certified cutoff
 
 
+def test_several_rules_are_certified_and_a_null_stratum_is_its_own(spark):
+    rng = random.Random(4)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randint(0, 9999))
+    good = ["\n".join(" ".join(word() for _ in range(10)) for _ in range(5)) for _ in range(6000)]
+    marked = [t.replace(" ", " ## ") for t in good[:250]]
+    lined = [t + "\nsame short line" * 4 for t in good[:250]]
+    loud = [t.upper() for t in good[:250]]
+    texts = [(t, 1, None) for t in good] + [(t, 0, k) for k, ts in (("symbols", marked), ("lines", lined), ("upper", loud)) for t in ts]
+    rows = [(i, t, None, *[None] * 5) for i, (t, _, _) in enumerate(texts)] + [(90_000, marked[0], "", *[None] * 5), (None, loud[0], None, *[None] * 5)]
+    labels = spark.createDataFrame([(i, q, 0) for i, (_, q, _) in enumerate(texts) if i % 3], LABELS)
+    got = x.quality_rules(documents(spark, rows), labels).collect()
+    told = {r.doc_id: r for r in got}
+    lost = sum(not told[i].kept for i, (_, q, _) in enumerate(texts) if q)
+    assert lost <= x.LIMIT * 6000
+    for i, (_, _, why) in enumerate(texts):
+        assert why is None or not told[i].kept, (i, why)
+    assert {told[i].rejected_by for i, (_, q, _) in enumerate(texts) if not q} == {"symbols", "lines", "upper"}
+    assert told[90_000].kept  # the empty name has no labels
+    assert not told[None].kept
+
+
 def test_empty_table(spark):
     assert x.quality_rules(documents(spark, []), spark.createDataFrame([], LABELS)).collect() == []
