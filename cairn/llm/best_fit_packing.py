@@ -14,7 +14,7 @@ length after the other: it takes the place of distributed sweeps and of conflict
 by rank, because its tables do not grow with the input beyond the 4096 lengths.
 
 Defined cases: a null text is empty, an empty document is the end id alone; rows that
-repeat a doc_id are packed each; ties go by doc_id and piece; an empty table gives
+repeat a doc_id, or have none, are packed each; ties go by doc_id and piece; an empty table gives
 no rows; other columns are not read.
 """
 

@@ -14,7 +14,8 @@ few of them borrows from neighbouring classes, then from its language, then from
 languages, so that there is a limit for every class at every size.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; a null
-language label is not learned from; rows that repeat a doc_id are predicted each;
+language label is not learned from, nor is a row with a null doc_id; rows that repeat
+a doc_id are predicted each;
 with nothing to learn from everything is `und`; with no calibration document at all
 only `und` is rejected; an empty table gives no rows; a very long text is read in pieces that overlap by two characters.
 """

@@ -7,7 +7,7 @@ in whole repetitions of all its documents plus a fractional one: documents in a
 seeded order while their midpoints fall below what is missing.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last
-in the order; rows that repeat a doc_id are documents of their own; a source of
+in the order; rows that repeat a doc_id, or have none, are documents of their own; a source of
 size 0 takes nothing; an empty table gives no rows; other columns are left alone.
 """
 

@@ -8,7 +8,8 @@ expression over the statistics, so scoring stays inside generated code.
 Defined cases: a null or empty text has zero counts and is scored like any other;
 a document with several labels has the least, a null label is none; with no
 labelled rows every score is 0.5, with one class only its smoothed share; rows that
-repeat a doc_id are scored each; an empty table gives no rows.
+repeat a doc_id are scored each, and so are null ones, which have no label and are not
+held out; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

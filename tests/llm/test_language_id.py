@@ -92,3 +92,66 @@ def test_more_trigrams_than_are_sent_change_nothing(spark, monkeypatch):
     for a, b in zip(whole, cut_off, strict=True):
         assert (a[0], a[1], a[3], a[5]) == (b[0], b[1], b[3], b[5])
         assert np.allclose([a[2], a[4]], [b[2], b[4]])
+
+
+def brute_probability(counts):
+    """Interpolated Kneser-Ney from the definition, with dicts."""
+    from collections import defaultdict
+
+    def discount(values):
+        one, two = sum(v == 1 for v in values), sum(v == 2 for v in values)
+        return min(0.95, max(0.1, one / (one + 2 * two))) if one else 0.5
+
+    pair = defaultdict(int)
+    for a, b, c in counts:
+        pair[b, c] += 1
+    uni = defaultdict(int)
+    for _, c in pair:
+        uni[c] += 1
+    d3, d2, d1 = (discount(list(v.values())) for v in (counts, pair, uni))
+    whole = sum(uni.values())
+    floor = d1 * len(uni) / whole / (len(uni) + 1000)
+
+    def p1(c):
+        return max(uni[c] - d1, 0) / whole + floor if c in uni else floor
+
+    def p2(b, c):
+        ends = {k: v for k, v in pair.items() if k[0] == b}
+        if not ends:
+            return p1(c)
+        total = sum(ends.values())
+        return max(pair.get((b, c), 0) - d2, 0) / total + d2 * len(ends) / total * p1(c)
+
+    def p3(a, b, c):
+        ends = {k: v for k, v in counts.items() if k[:2] == (a, b)}
+        if not ends:
+            return p2(b, c)
+        total = sum(ends.values())
+        return max(counts.get((a, b, c), 0) - d3, 0) / total + d3 * len(ends) / total * p2(b, c)
+
+    return p3
+
+
+def test_model_is_kneser_ney_by_its_definition(spark):
+    from collections import Counter
+
+    rows = [r for r in made(40) if r[2] == "cc"]
+    docs = documents(spark, rows)
+    model = x.fit_models(docs)[0]
+    counts = Counter()
+    for r in rows:
+        text = "".join(c if c.isalpha() else " " for c in r[1].lower())
+        for word in text.split():
+            padded = [0, 0, *map(ord, word), 0]
+            counts.update(zip(padded, padded[1:], padded[2:]))
+    p = brute_probability(dict(counts))
+    letters = sorted({c for k in counts for c in k} | {ord("ж")})
+    asked = [(a, b, c) for a in letters for b in letters for c in letters if (b or c) and (b or not a)]
+    got = model.log_probability(np.array([a << 42 | b << 21 | c for a, b, c in asked]))
+    assert np.allclose(got, [np.log(p(*k)) for k in asked])
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [*made(200), (None, "ka lo mi tu", "aa", *[None] * 5), (5, "schein verzig", None, *[None] * 5)]
+    got = x.language_id(documents(spark, rows)).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got if r.doc_id is None} == {"aa"} and "bb" in {r.lang_pred for r in got if r.doc_id == 5}
