@@ -17,6 +17,8 @@ one document from the second stage on; an empty table passes through.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +42,9 @@ def by_name(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 def row_id(doc_id: Column, digest: Column) -> Column:
     """doc_id, a null one last, then the leading bits of the text's SHA-256, as one number."""
-    number = F.coalesce(doc_id.cast("decimal(19,0)"), F.lit(1 << 63).cast("decimal(19,0)"))
+    number = F.coalesce(doc_id.cast("decimal(19,0)"), F.lit(Decimal(1 << 63)))
     low = F.conv(F.substring(digest, 1, DIGEST_BITS // 4), 16, 10).cast("decimal(19,0)")
-    return (number * F.lit(1 << DIGEST_BITS).cast("decimal(19,0)") + low).cast("decimal(38,0)")
+    return (number * F.lit(Decimal(1 << DIGEST_BITS)) + low).cast("decimal(38,0)")
 
 
 def digest(text: str) -> Column:
