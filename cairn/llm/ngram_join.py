@@ -30,9 +30,11 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ SIGN_BITS, MOST_SIGN_BITS = 1 << 10, 1 << 17
 #: Classes in a list from which its gram is ranked among the frequent ones.
 CROWD = 6
 #: Grams that a task counts at once, and entries of lists that a bucket of the distributed count holds about.
-STEP_GRAMS, BUCKET_ENTRIES = 1 << 20, 1 << 20
+STEP_GRAMS, BUCKET_ENTRIES = 1 << 19, 1 << 20
 #: Leader rounds go on while pairs across components outnumber list entries by this factor, up to so many rounds.
 PAIRS_PER_ENTRY, ROUNDS = 2.0, 6
 #: Leaders of a list in a round, in seeded orders; the first round has one more, the entry with fewest rare grams.
@@ -165,7 +167,7 @@ def choose_boundary(histogram: dict[int, int], entry_cost: float = ENTRY_COST) -
     return min(range(MOST_LIGHT + 1), key=lambda b: (cost(b), b))
 
 
-def _listed(shared, boundary: int):
+def _listed(shared, boundary: int, signed: bool = True):
     """kind 0: (class, size, share of rare grams, prefix, signature); kind 1: (class, size, subset key as two numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,8 +195,8 @@ def _listed(shared, boundary: int):
                     heavy = np.where(grams[at] == own, counts[at], 0) if at is not None else np.zeros(n, np.int64)
                     order = np.lexsort((own, heavy))[: prefix(n)]
                     rare = int((heavy[order] == 0).sum())
-                    add(0, mark[0], n, rare * 1000 // len(order), 0, 0, 0, own[order].astype(np.int64), signature(own))
-                for t in partners(n) if n <= 5 * boundary // 4 + 1 else ():
+                    add(0, mark[0], n, rare * 1000 // len(order), 0, 0, 0, own[order].astype(np.int64), signature(own) if signed else None)
+                for t in partners(n) if signed and n <= 5 * boundary // 4 + 1 else ():
                     if min(n, t) <= boundary:
                         low, high = min(n, t), max(n, t)
                         for chosen in itertools.combinations(range(n), overlap(n, t)):
@@ -224,6 +226,39 @@ def _distinct_counts(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
     return grams[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
 
+def _without(b: pa.RecordBatch, grams: np.ndarray) -> pa.RecordBatch:
+    """The lists that hold none of the (sorted) grams."""
+    return b.filter(pa.array(~_holding(b, grams))) if len(grams) else b
+
+
+def _holding(b: pa.RecordBatch, grams: np.ndarray) -> np.ndarray:
+    flat = b.column("grams").flatten().to_numpy()
+    at = np.minimum(np.searchsorted(grams, flat), len(grams) - 1)
+    ends = np.concatenate([[0], np.cumsum(grams[at] == flat)])
+    edge = b.column("grams").offsets.to_numpy() - b.column("grams").offsets[0].as_py()
+    return ends[edge[1:]] > ends[edge[:-1]]
+
+
+@dataclass(frozen=True)
+class Lists:
+    """Listed classes (cls, n, prio, grams): those of the first order without a crowded gram, and the others anew."""
+
+    first: DataFrame
+    crowded: Broadcast | None = None
+    again: DataFrame | None = None
+
+    def map(self, run, schema: str) -> DataFrame:
+        """run(batches) over all lists, whose lists with a crowded gram are passed over in the first order."""
+        crowded = self.crowded
+
+        def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return run(_without(b, crowded.value) for b in batches) if crowded is not None else run(batches)
+
+        names = ["cls", "n", "prio", "grams"]
+        out = self.first.select(*names).mapInArrow(first, schema)
+        return out if self.again is None else out.unionByName(self.again.select(*names).mapInArrow(run, schema))
+
+
 def _bucketed(buckets: int):
     """bucket, grams, counts: each task's distinct grams in sorted runs, a bucket for each range of their values.
 
@@ -243,7 +278,7 @@ def _bucketed(buckets: int):
         for b in batches:
             held.append(b.column("grams").flatten().to_numpy().view(np.uint64).copy())
             total += len(held[-1])
-            if total >= 4 * STEP_GRAMS:
+            if total >= STEP_GRAMS:
                 flat = np.concatenate(held)
                 yield rows(*_distinct_counts(flat, np.ones(len(flat), np.int64)))
                 held, total = [], 0
@@ -264,21 +299,20 @@ def _bucket_total(table: pa.Table) -> pa.Table:
     return pa.table({"gram": pa.array(grams[more].view(np.int64)), "k": pa.array(counts[more])})
 
 
-def shared_grams(lists: DataFrame, entries: int) -> DataFrame:
+def shared_grams(spark: SparkSession, lists: Lists, entries: int) -> DataFrame:
     """gram, k of the lists with more than one entry; a class that two tasks met counts twice.
 
     Tasks send sorted runs of their grams to buckets of some BUCKET_ENTRIES, where
     equal grams meet; how many buckets there are follows from the number of entries.
     """
-    spark = lists.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // BUCKET_ENTRIES)
-    runs = lists.select("grams").mapInArrow(_bucketed(buckets), "bucket int, grams binary, counts binary")
+    runs = lists.map(_bucketed(buckets), "bucket int, grams binary, counts binary")
     return cut(runs.groupBy("bucket").applyInArrow(_bucket_total, "gram long, k long"), "shared_grams")
 
 
-def list_entries(lists: DataFrame, shared: DataFrame) -> DataFrame:
+def list_entries(lists: Lists, shared: DataFrame) -> DataFrame:
     """gram, cls, n, pos, prio of the lists with more than one class."""
-    words = lists.sparkSession.sparkContext.broadcast(bit_filter.build(shared, F.col("gram"), F.shiftleft("gram", bit_filter.BITS)))
+    words = shared.sparkSession.sparkContext.broadcast(bit_filter.build(shared, F.col("gram"), F.shiftleft("gram", bit_filter.BITS)))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -290,7 +324,7 @@ def list_entries(lists: DataFrame, shared: DataFrame) -> DataFrame:
             own = {c: b.column(c).take(pa.array(row)) for c in ("cls", "n", "prio")}
             yield pa.RecordBatch.from_pydict({"gram": pa.array(grams[at]), "cls": own["cls"], "n": own["n"], "pos": pa.array(pos.astype(np.int32)), "prio": own["prio"]})
 
-    some = lists.select("cls", "n", "prio", "grams").mapInArrow(kept, "gram long, cls long, n int, pos int, prio int")
+    some = lists.map(kept, "gram long, cls long, n int, pos int, prio int")
     return cut(some.join(shared.select("gram"), "gram", "left_semi").distinct(), "entries")
 
 
@@ -321,36 +355,27 @@ def class_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: Column) ->
     return cut(found.join(wanted, ["cls", "n"], "left_semi").dropDuplicates(["cls"]).select("cls", "grams"), "class_sets")
 
 
-def _with_any(grams: np.ndarray, wanted: bool):
-    """Lists that hold one of the grams, or those that hold none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat = b.column("grams").flatten().to_numpy()
-            at = np.minimum(np.searchsorted(grams, flat), len(grams) - 1)
-            ends = np.concatenate([[0], np.cumsum(grams[at] == flat)])
-            edge = b.column("grams").offsets.to_numpy() - b.column("grams").offsets[0].as_py()
-            yield b.filter(pa.array((ends[edge[1:]] > ends[edge[:-1]]) == wanted))
-
-    return run
-
-
-def relisted(docs: DataFrame, lists: DataFrame, crowded: np.ndarray, counts: np.ndarray, heavy, classes: DataFrame, boundary: int, text: str, doc_id: Column) -> DataFrame:
+def relisted(docs: DataFrame, lists: DataFrame, crowded: np.ndarray, counts: np.ndarray, heavy, classes: DataFrame, boundary: int, text: str, doc_id: Column) -> Lists:
     """The lists after crowded grams were ranked among the frequent.
 
     Only classes with a crowded gram in their prefix change: without one, the rarer
     grams that make up a prefix are the same in both orders.
     """
     order = np.argsort(crowded)
-    grams, where = crowded[order], lists.sparkSession.sparkContext
-    changed = cut(lists.mapInArrow(_with_any(grams, True), lists.schema).select("cls", "n").distinct(), "changed")
+    where = lists.sparkSession.sparkContext
+    grams = where.broadcast(crowded[order])
+
+    def changing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_holding(b, grams.value))).select(["cls", "n"])
+
+    changed = cut(lists.select("cls", "n", "grams").mapInArrow(changing, "cls long, n int").distinct(), "changed")
     wanted = cut(classes.join(changed, ["cls", "n"], "left_semi").select("rep", "cls", "n"), "wanted")
-    every = np.concatenate([heavy[0], grams.view(np.uint64)])
+    every = np.concatenate([heavy[0], crowded[order].view(np.uint64)])
     found, first = np.unique(every, return_index=True)
     shared = where.broadcast((found, np.concatenate([heavy[1], counts[order]])[first]))
-    again = chosen(docs, wanted, text, doc_id, _listed(shared, boundary), LISTED).where("kind = 0")
-    again = cut(again.join(changed, ["cls", "n"], "left_semi"), "relisted")
-    return lists.mapInArrow(_with_any(grams, False), lists.schema).unionByName(again.select(lists.columns))
+    again = chosen(docs, wanted, text, doc_id, _listed(shared, boundary, False), LISTED).where("kind = 0").drop("sign")
+    return Lists(lists, grams, cut(again.join(changed, ["cls", "n"], "left_semi"), "relisted"))
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -507,16 +532,17 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str | Column = "doc_
     frequent = (grams[order], top["n"].to_numpy(np.int64)[order])
     listed = cut(rows.mapInArrow(_listed(spark.sparkContext.broadcast(frequent), boundary), LISTED), "listed")
     classes = cut(held.where("n > 0").groupBy("cls", "n").agg(F.min("id").alias("rep"), F.count("*").alias("k")), "classes")
-    lists = listed.where("kind = 0").select("cls", "n", "prio", "grams", "sign")
+    first = listed.where("kind = 0").select("cls", "n", "prio", "grams", "sign")
+    lists = Lists(first)
     sizes = held.where("n > 0").groupBy("n").agg(F.count("*").alias("k"))
     entries = sizes.agg(F.sum(F.expr("k * (n - ceil(4 * n / 5) + 1)"))).first()[0] or 0
-    shared = shared_grams(lists, entries)
+    shared = shared_grams(spark, lists, entries)
     crowd = shared.where(F.col("k") > CROWD).orderBy(F.desc("k"), "gram").limit(HEAVY).toPandas()
     if len(crowd):
-        lists = relisted(docs, lists, crowd["gram"].to_numpy(np.int64), crowd["k"].to_numpy(np.int64), frequent, classes, boundary, text, doc_id)
-        shared = shared_grams(lists, entries)
+        lists = relisted(docs, first, crowd["gram"].to_numpy(np.int64), crowd["k"].to_numpy(np.int64), frequent, classes, boundary, text, doc_id)
+        shared = shared_grams(spark, lists, entries)
     entries = list_entries(lists, shared)
-    signs = lists.select("cls", "n", "sign").join(entries.select("cls").distinct(), "cls", "left_semi")
+    signs = first.select("cls", "n", "sign").join(entries.select("cls").distinct(), "cls", "left_semi")
     verifier = Verifier(docs, classes, cut(signs.dropDuplicates(["cls"]), "signatures"), text, doc_id)
     edges = heavy_links(entries, verifier).unionByName(light_links(listed.where("kind = 1")))
     comps = cut(components(edges), "components")

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of texts that are taken at once, or a text that alone is larger; and bytes of a block of running sums.
-STEP_BYTES, BLOCK = 1 << 20, 1 << 20
+STEP_BYTES, BLOCK = 1 << 18, 1 << 18
 #: Bytes of the longest word whose hash comes from running sums.
 LONG = 32
 BASE = 0x9E3779B97F4A7C13  # 3 modulo 8

@@ -93,7 +93,7 @@ def test_word_hashes_wherever_words_stand(monkeypatch):
     want, seen = [], {}
     for t in texts:
         want.append(re.findall(rb"[^\x20\x09-\x0D]+", re.sub(b"[A-Z]", lambda m: m[0].lower(), t.encode())))
-    for step, block in ((1 << 20, 1 << 20), (500, 1 << 20), (10, 64), (1 << 20, 50)):
+    for step, block in ((1 << 18, 1 << 18), (500, 1 << 18), (10, 64), (1 << 18, 50)):
         monkeypatch.setattr(words, "STEP_BYTES", step)
         monkeypatch.setattr(words, "BLOCK", block)
         monkeypatch.setattr(words, "_POWERS", [])
@@ -104,8 +104,8 @@ def test_word_hashes_wherever_words_stand(monkeypatch):
         assert list(map(len, got)) == list(map(len, want))
         for hs, ws in zip(got, want, strict=True):
             for h, w in zip(hs, ws, strict=True):
-                assert block != 1 << 20 or seen.setdefault(w, h) == h
-        if block == 1 << 20:
+                assert block != 1 << 18 or seen.setdefault(w, h) == h
+        if block == 1 << 18:
             assert len(set(seen.values())) == len(seen)
         else:  # other powers, other hashes: equal words still have equal ones, others not
             pairs = {(w, h) for hs, ws in zip(got, want, strict=True) for h, w in zip(hs, ws, strict=True)}
@@ -120,5 +120,5 @@ def test_grams_are_counted_over_tasks(spark, monkeypatch):
     for _, grams in rows:
         for g in grams:
             count[g] += 1
-    got = {r.gram: r.k for r in x.shared_grams(spark.createDataFrame(rows, "cls long, grams array<long>").repartition(5), 400).collect()}
+    got = {r.gram: r.k for r in x.shared_grams(spark, x.Lists(spark.createDataFrame([(i, 8, 0, g) for i, g in rows], "cls long, n int, prio int, grams array<long>").repartition(5)), 400).collect()}
     assert got == {g: k for g, k in count.items() if k > 1}
