@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,7 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
 def qualified(spark: SparkSession, path: str) -> str:
     """path with the scheme and authority that Hadoop gives it, for libraries that have other defaults."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jpath).toString()
+    found = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jpath).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", found)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
