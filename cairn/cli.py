@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cairn.operators.annotations import scalebar_lengths
 from cairn.operators.grids import decimate, raster
 from cairn.operators.orient import orient
+from cairn.session import qualified
 from cairn.sources.ply import PlySource
 from cairn.sources.text import read_annotations
 
@@ -44,10 +45,12 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "scalebars":
         scalebar_lengths(read_annotations(spark, args.annotations)).write.mode("overwrite").option("header", True).csv(args.output)
         return 0
-    cloud = spark.read.format("ply").option("extras", "true").load(args.source)
+    source = qualified(spark, args.source)
     if args.command == "decimate":
-        decimate(cloud, args.k).orderBy("point_id").write.format("ply").mode("overwrite").save(args.target)
+        records = spark.read.format("ply").option("raw", "true").load(source)
+        decimate(records, args.k).orderBy("point_id").write.format("ply").option("like", source).mode("overwrite").save(qualified(spark, args.target))
         return 0
+    cloud = spark.read.format("ply").option("extras", "true").load(source)
     cloud = cloud if args.full else decimate(cloud, MOST_POINTS)
     cloud = orient(cloud) if args.auto_orient else cloud
     values = tuple(c for c in ("r", "g", "b") if c in cloud.columns)

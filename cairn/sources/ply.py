@@ -6,6 +6,11 @@ Writing: tasks write their records to part files beside the target, and the comm
 puts the header with the true number of records and the parts, in task order, into
 one file; parts of lost attempts are not in the commit's messages.
 
+With raw=true a row is point_id and the record's own bytes; written with
+like=<source file> under that file's format and properties, records stay as they are,
+byte for byte. A path without a scheme is a local one here; `cairn.session.qualified`
+gives a path the scheme that Hadoop would.
+
     spark.dataSource.register(PlySource)
     spark.read.format("ply").load(path)
     df.write.format("ply").mode("overwrite").save(path)
@@ -21,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
-from pyspark.sql.types import ByteType, DoubleType, FloatType, IntegerType, LongType, ShortType, StructField, StructType
+from pyspark.sql.types import BinaryType, ByteType, DoubleType, FloatType, IntegerType, LongType, ShortType, StructField, StructType
 
 #: Fixed values of the format: scalar names and their widths.
 SCALARS = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
@@ -40,6 +45,7 @@ class Header:
     kinds: tuple[str, ...]
     count: int
     length: int
+    properties: tuple[str, ...] = ()
 
     @property
     def dtype(self) -> np.dtype:
@@ -69,7 +75,7 @@ def read_header(path: str) -> Header:
     lines = [x.split() for x in text.decode("ascii").replace("\r", "").split("\n") if x.strip()]
     if lines[0] != ["ply"]:
         raise ValueError(f"{path} is not a PLY file")
-    order, element, count, names, kinds = None, None, 0, [], []
+    order, element, count, names, kinds, properties = None, None, 0, [], [], []
     for words in lines[1:]:
         if words[0] == "format":
             order = {"binary_little_endian": "<", "binary_big_endian": ">"}.get(words[1])
@@ -86,10 +92,11 @@ def read_header(path: str) -> Header:
             if words[1] not in SCALARS:
                 raise ValueError(f"unknown PLY type {words[1]}")
             kinds.append(SCALARS[words[1]])
+            properties.append(" ".join(words))
             names.append(words[2])
     if order is None or not {"x", "y", "z"} <= set(names):
         raise ValueError("a PLY cloud needs a binary format and x, y, z")
-    return Header(order, tuple(names), tuple(kinds), count, length)
+    return Header(order, tuple(names), tuple(kinds), count, length, tuple(properties))
 
 
 def fields(header: Header, extras: bool) -> list[tuple[str, str, str]]:
@@ -114,8 +121,8 @@ class _Range(InputPartition):
 class PlyReader(DataSourceReader):
     """Reads records first .. first + count - 1 of each range."""
 
-    def __init__(self, path: str, extras: bool, records: int):
-        self.path, self.extras, self.records = path, extras, records
+    def __init__(self, path: str, extras: bool, records: int, raw: bool = False):
+        self.path, self.extras, self.records, self.raw = path, extras, records, raw
         self.header = read_header(path)
         store, at = opened(path)
         size = store.get_file_info(at).size
@@ -133,7 +140,13 @@ class PlyReader(DataSourceReader):
             for k in range(partition.first, partition.first + partition.count, BATCH):
                 n = min(BATCH, partition.first + partition.count - k)
                 f.seek(self.header.length + k * dtype.itemsize)
-                rows = np.frombuffer(f.read(n * dtype.itemsize), dtype)
+                data = f.read(n * dtype.itemsize)
+                if self.raw:
+                    edges = pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(dtype.itemsize))
+                    records = pa.Array.from_buffers(pa.binary(), n, [None, edges, pa.py_buffer(data)])
+                    yield pa.RecordBatch.from_pydict({"point_id": pa.array(np.arange(k, k + n)), "record": records})
+                    continue
+                rows = np.frombuffer(data, dtype)
                 columns = {"point_id": pa.array(np.arange(k, k + n))}
                 for column, name, kind in made:
                     values = rows[name]
@@ -143,6 +156,14 @@ class PlyReader(DataSourceReader):
                 yield pa.RecordBatch.from_pydict(columns)
 
 
+def _joined(records: pa.Array, size: int) -> bytes:
+    """The bytes of records one after another."""
+    edges = np.frombuffer(records.buffers()[1], np.int32)[records.offset : records.offset + len(records) + 1]
+    if (np.diff(edges) != size).any():
+        raise ValueError(f"a record has {size} bytes")
+    return records.buffers()[2][int(edges[0]) : int(edges[-1])].to_pybytes() if len(records) else b""
+
+
 @dataclass
 class _Part(WriterCommitMessage):
     path: str
@@ -150,22 +171,27 @@ class _Part(WriterCommitMessage):
 
 
 class PlyWriter(DataSourceArrowWriter):
-    """Doubles for coordinates and normals, bytes for colours, whatever else as it is."""
+    """Doubles for coordinates and normals, bytes for colours, whatever else as it is; or records like another file's."""
 
-    def __init__(self, path: str, schema: StructType, overwrite: bool):
-        self.path, self.overwrite = path, overwrite
+    def __init__(self, path: str, schema: StructType, overwrite: bool, like: str | None = None):
+        self.path, self.overwrite, self.columns = path, overwrite, []
+        self.parts = f"{path}.parts-{uuid.uuid4().hex}"
+        store, at = opened(path)
+        if not overwrite and store.get_file_info(at).type != pafs.FileType.NotFound:
+            raise ValueError(f"{path} exists")
+        self.like = None if like is None else read_header(like)
+        if self.like is not None:
+            if schema["record"].dataType != BinaryType():
+                raise ValueError("records are bytes")
+            return
         names = [f.name for f in schema.fields if f.name != "point_id"]
         back = {v: k for k, v in COLOURS.items()}
-        kinds = {ByteType(): "i1", ShortType(): "i2", IntegerType(): "i4", FloatType(): "f4", DoubleType(): "f8"}
+        kinds = {ByteType(): "i1", ShortType(): "i2", IntegerType(): "i4", LongType(): "f8", FloatType(): "f4", DoubleType(): "f8"}  # PLY has no whole numbers of 64 bits
         types = {f.name: f.dataType for f in schema.fields}
         unknown = [n for n in names if n not in back and types[n] not in kinds]
         if unknown:
             raise ValueError(f"no PLY type for {unknown}")
         self.columns = [(n, back.get(n, n), "u1" if n in back else kinds[types[n]]) for n in names]
-        self.parts = f"{path}.parts-{uuid.uuid4().hex}"
-        store, at = opened(path)
-        if not overwrite and store.get_file_info(at).type != pafs.FileType.NotFound:
-            raise ValueError(f"{path} exists")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Part:
         from pyspark import TaskContext
@@ -177,18 +203,22 @@ class PlyWriter(DataSourceArrowWriter):
         dtype = np.dtype([(p, "<" + k) for _, p, k in self.columns])
         with store.open_output_stream(path) as out:
             for batch in iterator:
+                n += len(batch)
+                if self.like is not None:
+                    out.write(_joined(batch.column("record"), self.like.dtype.itemsize))
+                    continue
                 rows = np.zeros(len(batch), dtype)
                 for column, name, kind in self.columns:
                     values = batch.column(column).to_numpy(zero_copy_only=False)
                     rows[name] = np.clip(np.rint(values * 255), 0, 255) if kind == "u1" else values
                 out.write(rows.tobytes())
-                n += len(batch)
         return _Part(path, n)
 
     def commit(self, messages) -> None:
         parts = sorted((m for m in messages if m is not None), key=lambda m: m.path)
         names = {v: k for k, v in SCALARS.items() if k in ("char", "uchar", "short", "int", "float", "double")}
-        lines = ["ply", "format binary_little_endian 1.0", f"element vertex {sum(p.records for p in parts)}", *(f"property {names[k]} {p}" for _, p, k in self.columns), "end_header", ""]
+        order, properties = ("<", [f"property {names[k]} {p}" for _, p, k in self.columns]) if self.like is None else (self.like.order, self.like.properties)
+        lines = ["ply", f"format binary_{'little' if order == '<' else 'big'}_endian 1.0", f"element vertex {sum(p.records for p in parts)}", *properties, "end_header", ""]
         store, at = opened(self.path)
         with store.open_output_stream(at + ".new") as out:
             out.write("\n".join(lines).encode())
@@ -206,19 +236,24 @@ class PlyWriter(DataSourceArrowWriter):
 
 
 class PlySource(DataSource):
-    """Options: path; extras=true keeps other scalars; records sets the rows of a partition."""
+    """Options: path; extras=true keeps other scalars; raw=true gives whole records; records sets the rows of a partition; like, for writing, names the file whose records these are."""
 
     @classmethod
     def name(cls) -> str:
         return "ply"
 
+    def _says(self, option: str) -> bool:
+        return self.options.get(option, "false").lower() == "true"
+
     def schema(self) -> StructType:
-        extras = self.options.get("extras", "false").lower() == "true"
+        if self._says("raw"):
+            return StructType([StructField("point_id", LongType()), StructField("record", BinaryType())])
+        extras = self._says("extras")
         own = [StructField(c, SPARK[k]) for c, _, k in fields(read_header(self.options["path"]), extras)]
         return StructType([StructField("point_id", LongType()), *own])
 
     def reader(self, schema: StructType) -> PlyReader:
-        return PlyReader(self.options["path"], self.options.get("extras", "false").lower() == "true", int(self.options.get("records", 1 << 20)))
+        return PlyReader(self.options["path"], self._says("extras"), int(self.options.get("records", 1 << 20)), self._says("raw"))
 
     def writer(self, schema: StructType, overwrite: bool) -> PlyWriter:
-        return PlyWriter(self.options["path"], schema, overwrite)
+        return PlyWriter(self.options["path"], schema, overwrite, self.options.get("like"))

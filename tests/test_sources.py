@@ -64,6 +64,59 @@ def test_decimate_writes_exactly_k(ply, tmp_path, k):
     assert got.count() == min(k, 500)
 
 
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_decimate_keeps_records_byte_for_byte(spark, ply, tmp_path, order):
+    fields = (("x", "f4"), ("y", "f4"), ("z", "f8"), ("red", "u1"), ("green", "u1"), ("blue", "u1"), ("id", "u4"), ("kind", "i1"), ("quality", "u2"))
+    names = {"f4": "float", "f8": "double", "u1": "uchar", "u2": "uint16", "u4": "uint", "i1": "int8"}
+    rows = np.zeros(300, [(k, order + t) for k, t in fields])
+    rng = np.random.default_rng(1)
+    for k, t in fields:
+        rows[k] = rng.random(300) if t[0] == "f" else rng.integers(0, 100, 300)
+    rows["id"] = 4_000_000_000 + np.arange(300)
+    head = [f"property {names[t]} {k}" for k, t in fields]
+    (tmp_path / "a.ply").write_bytes("\n".join(["ply", f"format binary_{'little' if order == '<' else 'big'}_endian 1.0", "element vertex 300", *head, "end_header", ""]).encode() + rows.tobytes())
+    assert cli.main(["decimate", str(tmp_path / "a.ply"), str(tmp_path / "b.ply"), "40"]) == 0
+    text, _, body = (tmp_path / "b.ply").read_bytes().partition(b"end_header\n")
+    assert [x for x in text.decode().split("\n") if x.startswith("property")] == head and b"element vertex 40" in text
+    kept = np.frombuffer(body, rows.dtype)
+    assert kept.tobytes() == rows[kept["id"] - 4_000_000_000].tobytes() and len(kept) == 40 and (np.diff(kept["id"].astype(np.int64)) > 0).all()
+    got = ply.option("extras", "true").load(str(tmp_path / "a.ply")).write.format("ply").mode("overwrite")
+    got.save(str(tmp_path / "c.ply"))
+    assert spark.read.format("ply").option("extras", "true").load(str(tmp_path / "c.ply")).count() == 300
+
+
+def exif(order, taken, made):
+    """A JPEG head with an EXIF block."""
+    import struct
+
+    entries, blobs = [], b""
+    tiff = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 8)
+    n = (made is not None) + (taken is not None)
+    at = 8 + 2 + 12 * n + 4
+    if made is not None:
+        raw = made.encode() + b"\0"
+        entries.append(struct.pack(order + "HHII", 306, 2, len(raw), at))
+        blobs += raw
+    if taken is not None:
+        entries.append(struct.pack(order + "HHII", 34665, 4, 1, at + len(blobs)))
+        raw = taken.encode() + b"\0"
+        blobs += struct.pack(order + "H", 1) + struct.pack(order + "HHII", 36867, 2, len(raw), at + len(blobs) + 18) + struct.pack(order + "I", 0) + raw
+    tiff += struct.pack(order + "H", n) + b"".join(entries) + struct.pack(order + "I", 0) + blobs
+    body = b"Exif\0\0" + tiff
+    return b"\xff\xd8\xff\xe0\x00\x04ab\xff\xe1" + struct.pack(">H", len(body) + 2) + body + b"\xff\xd9"
+
+
+def test_picture_dates(spark, tmp_path):
+    from cairn.sources import images
+
+    files = {"a.jpg": exif("<", "2024:01:02 03:04:05", "2023:01:01 00:00:00"), "b.jpg": exif(">", None, "2023:01:01 00:00:00"), "c.jpg": exif("<", None, None), "d.jpg": b"none", "e.jpg": exif(">", "2024:01:02 03:04:05", None)[:60]}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.path[-5:]: r.datetime_raw for r in images.datetimes(spark, f"file://{tmp_path}").collect()}
+    assert got == {"a.jpg": "2024:01:02 03:04:05", "b.jpg": "2023:01:01 00:00:00", "c.jpg": None, "d.jpg": None, "e.jpg": None}
+    assert str(images.datetimes(spark, f"file://{tmp_path}/a.jpg").first().taken) == "2024-01-02 03:04:05"
+
+
 def test_views_and_scalebars(spark, ply, tmp_path):
     cloud(tmp_path / "reef_dec7.ply", 500)
     cli.main(["views", str(tmp_path / "reef_dec7.ply"), str(tmp_path / "out"), "--auto-orient", "--resolution", "0.1"])
