@@ -25,6 +25,19 @@ def rotate(matrix: Matrix, x: str = "nx", y: str = "ny", z: str = "nz") -> list[
     return affine([[*m[:3], 0.0] for m in matrix[:3]], x, y, z)
 
 
+def homogeneous(x: str = "x", y: str = "y", z: str = "z") -> Column:
+    """array(x, y, z, 1)."""
+    return F.array(F.col(x), F.col(y), F.col(z), F.lit(1.0))
+
+
+def on_plane(normal: tuple[float, float, float], names: str = "xyz") -> list[Column]:
+    """The coordinates without their part along a normal, which need not be a unit vector."""
+    size = math.sqrt(sum(k * k for k in normal))
+    unit = [k / size for k in normal]
+    along = sum(F.col(a) * F.lit(k) for a, k in zip(names, unit, strict=True))
+    return [F.col(a) - along * F.lit(k) for a, k in zip(names, unit, strict=True)]
+
+
 def held(rows, **columns: Column):
     """rows plus the columns, computed once: what is filtered later is not expanded into what comes before."""
     return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))

@@ -70,7 +70,6 @@ def axis_angle(axis, angle: float) -> Transform:
     """Right-handed turn about an axis."""
     u = np.asarray(axis, float)
     u = u / np.linalg.norm(u)
-    cross = np.cross(np.eye(3), u).T
     cross = np.array([[0, -u[2], u[1]], [u[2], 0, -u[0]], [-u[1], u[0], 0]])
     return Transform(math.cos(angle) * np.eye(3) + math.sin(angle) * cross + (1 - math.cos(angle)) * np.outer(u, u))
 
@@ -95,13 +94,26 @@ def align_x(vector) -> Transform:
     return axis_angle([0, 0, 1], -math.atan2(vector[1], vector[0]))
 
 
+def helper_axis(n: np.ndarray) -> np.ndarray:
+    """X, or Y for a unit vector that is nearly along X."""
+    return np.array([1.0, 0, 0]) if abs(n[0]) < 0.9 else np.array([0, 1.0, 0])
+
+
+def plane_axes(normal) -> tuple[np.ndarray, np.ndarray]:
+    """Two unit vectors across a normal: the helper axis laid into the plane, and what makes it right-handed."""
+    n = np.asarray(normal, float) / np.linalg.norm(normal)
+    a = helper_axis(n)
+    u = a - (a @ n) * n
+    u /= np.linalg.norm(u)
+    return u, np.cross(n, u)
+
+
 def align_normal_to_z(normal) -> Transform:
-    """A frame whose third axis is the normal."""
+    """A frame whose third axis is the normal; its first is level with the helper axis."""
     n = np.asarray(normal, float) / np.linalg.norm(normal)
-    helper = np.array([1.0, 0, 0]) if abs(n[0]) < 0.9 else np.array([0, 1.0, 0])
-    y = np.cross(n, helper)
-    y /= np.linalg.norm(y)
-    return Transform(np.stack([np.cross(y, n), y, n]))
+    first = np.cross(helper_axis(n), n)
+    first /= np.linalg.norm(first)
+    return Transform(np.stack([first, np.cross(n, first), n]))
 
 
 def half_turn() -> Transform:

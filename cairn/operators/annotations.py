@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.columns import dist3
@@ -32,15 +32,28 @@ def first(rows: DataFrame, n: int) -> DataFrame:
 
 
 def by_range(rows: DataFrame, start: int, stop: int) -> DataFrame:
-    """Positions start .. stop - 1 in order, as a slice."""
+    """Positions start .. stop - 1 in order, as a slice; negative ones count from the end."""
+    if start < 0 or stop < 0:
+        n = rows.count()
+        start, stop = (max(0, k + n) if k < 0 else k for k in (start, stop))
     return rows.orderBy("pos").offset(start).limit(max(0, stop - start))
 
 
 def random_subset(rows: DataFrame, n: int, seed: str = "1", key: str = "id") -> DataFrame:
-    """n rows in seeded order."""
+    """n rows in seeded order; an error if there are fewer."""
+    have = rows.limit(n).count()
+    if have < n:
+        raise ValueError(f"a sample of {n} from {have} rows")
     return rows.withColumn("h", seeded(key, seed=seed)).orderBy("h", key).limit(n).drop("h")
 
 
+def from_coords(spark: SparkSession, coords: dict | list) -> DataFrame:
+    """Annotations (id, pos, x, y, z) of a dict or list of coordinates; an entry that is None is left out but keeps its place."""
+    pairs = coords.items() if isinstance(coords, dict) else enumerate(coords)
+    rows = [(str(k), i, *map(float, c)) for i, (k, c) in enumerate(pairs) if c is not None]
+    return spark.createDataFrame(rows, "id string, pos long, x double, y double, z double")
+
+
 def next_id(rows: DataFrame, last: int = 0, default: str = "ann_") -> DataFrame:
     """The id after the greatest trailing number, with that id's prefix and width."""
     digits = F.regexp_extract("id", r"(\d+)$", 1)

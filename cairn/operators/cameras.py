@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.columns import dist3, held
+from cairn.functions.columns import affine, dist3, held
+from cairn.functions.transforms import Transform, plane_axes
 from cairn.operators.spatial import near, ray_intercept
 from cairn.session import cut
 
@@ -49,7 +51,7 @@ def distort(x: Column, y: Column, cal: Calibration) -> tuple[Column, Column]:
 def project(rows: DataFrame, cal: Calibration, x: str = "x", y: str = "y", z: str = "z", require_front: bool = False) -> DataFrame:
     """rows with pose columns plus u, v, depth, relevance; only what is in view remains.
 
-    Poses are rigid: the inverse rotation is the transpose. Pixels round half to even.
+    depth is negative behind the camera, where points still count as in view. Poses are rigid: the inverse rotation is the transpose. Pixels round half to even.
     """
     t = [F.col(c) - F.col(f"m{r}3") for r, c in enumerate((x, y, z))]
     q = [sum(F.col(f"m{r}{c}") * t[r] for r in range(3)) for c in range(3)]
@@ -62,7 +64,7 @@ def project(rows: DataFrame, cal: Calibration, x: str = "x", y: str = "y", z: st
     rows = rows.where(view & (F.col("q2") > 0) if require_front else view)
     d2 = sum(k * k for k in t)
     rank = F.abs((F.abs("q2") + d2) / (cal.fx * cal.fy)) * (10 + F.abs(F.col("u0") - cal.width / 2) + F.abs(F.col("v0") - cal.height / 2))
-    return rows.withColumns({"u": F.bround("u0").cast("int"), "v": F.bround("v0").cast("int"), "depth": F.abs("q2"), "relevance": rank}).drop("q0", "q1", "q2", "xn", "yn", "u0", "v0")
+    return rows.withColumns({"u": F.bround("u0").cast("int"), "v": F.bround("v0").cast("int"), "depth": F.col("q2"), "relevance": rank}).drop("q0", "q1", "q2", "xn", "yn", "u0", "v0")
 
 
 def undistort(xd: Column, yd: Column, cal: Calibration, rounds: int = 20) -> Column:
@@ -90,15 +92,70 @@ def pixel_rays(rows: DataFrame, cal: Calibration) -> DataFrame:
     return rows.withColumns({"rx": F.col("w0") / m, "ry": F.col("w1") / m, "rz": F.col("w2") / m}).drop("at", "w0", "w1", "w2")
 
 
-def candidates(annotations: DataFrame, cameras: DataFrame, cal: Calibration) -> DataFrame:
-    """Every annotation in every camera that sees it.
+def in_footprint(points: DataFrame, cameras: DataFrame, angle: float) -> DataFrame:
+    """points (x, y, z) beside cameras (with pose) whose axis may be within an angle in degrees of the line to them.
 
-    Poses of one survey are few and are broadcast by Spark when small; the projection
-    prunes at once, so the product is never stored.
+    An equi-join on cells in xy. A camera's reach is bounded by its tilt and by the
+    greatest height between it and the points; one that looks past the horizon reaches
+    all cells. Both directions of the axis count.
     """
+    size, heights = points.agg(*(f(a).alias(f"{a}{n}") for a in "xyz" for n, f in (("0", F.min), ("1", F.max)))).first(), None
+    if size.x0 is None:
+        return points.crossJoin(cameras)
+    tilt = F.acos(F.least(F.lit(1.0), F.abs("m22") / F.sqrt(sum(F.col(f"m{r}2") ** 2 for r in range(3)))))
+    wide = tilt + F.radians(F.lit(float(angle)))
+    heights = F.greatest(F.abs(F.lit(size.z0) - F.col("m23")), F.abs(F.lit(size.z1) - F.col("m23")))
+    seen = cameras.withColumn("reach", F.when(wide < F.radians(F.lit(89.9)), heights * F.tan(wide)))
+    extent = max(size.x1 - size.x0, size.y1 - size.y0, 1e-9)
+    width = seen.agg(F.avg(F.least("reach", F.lit(extent)))).first()[0] or extent
+    width = max(width / 2, extent / 1000)
+    cell = lambda c: F.floor(c / F.lit(float(width))).cast("int")
+
+    def cells(a: str, centre: str) -> Column:
+        low, high = getattr(size, f"{a}0"), getattr(size, f"{a}1")
+        reach = F.coalesce("reach", F.lit(1e18))
+        first, last = F.greatest(F.col(centre) - reach, F.lit(low)), F.least(F.col(centre) + reach, F.lit(high))
+        return F.when(first <= last, F.sequence(cell(first), cell(last)))
+
+    c = seen.withColumn("_i", F.explode(cells("x", "m03"))).withColumn("_j", F.explode(cells("y", "m13"))).drop("reach")
+    p = points.withColumns({"_i": cell(F.col("x")), "_j": cell(F.col("y"))})
+    return p.join(c, ["_i", "_j"]).drop("_i", "_j")
+
+
+def candidates(annotations: DataFrame, cameras: DataFrame, cal: Calibration) -> DataFrame:
+    """Every annotation in every camera that sees it."""
     a = annotations.select(F.col("id").alias("ann_id"), "x", "y", "z")
     c = cameras.select("cam_id", F.col("pos").alias("cam_pos"), *POSE)
-    return project(a.crossJoin(c), cal)
+    return project(in_footprint(a, c, view_angle(cal)), cal)
+
+
+def view_angle(cal: Calibration) -> float:
+    """Degrees from the axis beyond which nothing is in view."""
+    return math.degrees(math.atan(math.sqrt(1.01) * cal.width / cal.fx))
+
+
+def transform_poses(cameras: DataFrame, transform: Transform) -> DataFrame:
+    """cameras with centre and pose under a transform from the left."""
+    m = transform.rows()
+    pose = {f"m{r}{c}": sum(F.lit(m[r][k]) * F.col(f"m{k}{c}") for k in range(3)) + F.lit(m[r][3] if c == 3 else 0.0) for r in range(3) for c in range(4)}
+    return cameras.withColumns(pose | dict(zip(("cx", "cy", "cz"), affine(m, "cx", "cy", "cz"), strict=True)))
+
+
+def original_poses(cameras: DataFrame, transform: Transform) -> DataFrame:
+    """cameras plus orig_cx, orig_cy, orig_cz, their pose being what it was before the transform."""
+    back = transform_poses(cameras, transform.inverse())
+    return back.withColumnsRenamed({c: f"orig_{c}" for c in ("cx", "cy", "cz")}).withColumns(dict(zip(("cx", "cy", "cz"), affine(transform.rows(), "orig_cx", "orig_cy", "orig_cz"), strict=True)))
+
+
+def with_axis(cameras: DataFrame) -> DataFrame:
+    """cameras plus vx, vy, vz: the unit vector they look along."""
+    n = F.sqrt(sum(F.col(f"m{r}2") ** 2 for r in range(3)))
+    return cameras.withColumns({f"v{a}": F.try_divide(F.col(f"m{r}2"), n) for r, a in enumerate("xyz")})
+
+
+def pixels_per_mm(scale: str = "pixel_scale") -> Column:
+    """1 over metres a pixel times 1000; null for a scale of zero or none."""
+    return F.try_divide(F.lit(1.0), F.col(scale) * 1000)
 
 
 def reprojection(matches: DataFrame, points: DataFrame, cal: Calibration, radius: float = 0.005, most: float = 0.1, far: float = 5.0) -> DataFrame:
@@ -106,7 +163,7 @@ def reprojection(matches: DataFrame, points: DataFrame, cal: Calibration, radius
     rays = pixel_rays(matches, cal)
     rays = rays.withColumn("id", F.concat_ws("|", "ann_id", "cam_id"))
     ends = rays.select("id", *(F.col(f"m{r}3").alias(f"o{a}") for r, a in enumerate("xyz")), *((F.col(f"m{r}3") + F.col(f"r{a}") * far).alias(f"t{a}") for r, a in enumerate("xyz")))
-    hits = ray_intercept(points, ends, radius, most).select("id", *(F.col(a).alias(f"h{a}") for a in "xyz"))
+    hits = ray_intercept(points, ends, radius, most).select("id", F.col("point_id").alias("hit_id"), *(F.col(a).alias(f"h{a}") for a in "xyz"))
     return rays.join(hits, "id", "left").withColumn("reproj_error", dist3(("x", "y", "z"), ("hx", "hy", "hz"))).drop("id")
 
 
@@ -123,13 +180,7 @@ def ranked(matches: DataFrame, most: int | None = None, by: str = "ann_id", occl
 
 def crosshair(annotations: DataFrame, normal: tuple[float, float, float], offset: float = 0.01) -> DataFrame:
     """Four points about each annotation in the plane of a normal."""
-    import numpy as np
-
-    n = np.asarray(normal, float) / np.linalg.norm(normal)
-    helper = np.array([1.0, 0, 0]) if abs(n[0]) < 0.9 else np.array([0, 1.0, 0])
-    u = np.cross(n, helper)
-    u /= np.linalg.norm(u)
-    v = np.cross(n, u)
+    u, v = plane_axes(normal)
     arms = F.array(*(F.struct(F.lit(k).alias("k"), *(F.lit(float(w[i] * offset)).alias(a) for i, a in enumerate("xyz"))) for k, w in enumerate((u, -u, v, -v))))
     return annotations.withColumn("arm", F.explode(arms)).select("id", F.col("arm.k").alias("k"), *((F.col(a) + F.col(f"arm.{a}")).alias(a) for a in "xyz"))
 
@@ -160,7 +211,7 @@ def cam_distance(points: DataFrame, cameras: DataFrame, half_angle: float) -> Da
     axis = F.sqrt(sum(F.col(f"m{r}2") ** 2 for r in range(3)))
     d = F.sqrt(sum(k * k for k in t))
     cosine = F.try_divide(sum(k * F.col(f"m{r}2") for r, k in enumerate(t)), d * axis)
-    inside = points.crossJoin(c).select("cam_id", d.alias("d"), cosine.alias("cosine")).where(F.col("cosine") >= F.cos(F.radians(F.lit(float(half_angle)))))
+    inside = in_footprint(points.select(*"xyz"), c, half_angle).select("cam_id", d.alias("d"), cosine.alias("cosine")).where(F.col("cosine") >= F.cos(F.radians(F.lit(float(half_angle)))))
     mean = inside.groupBy("cam_id").agg(F.avg("d").alias("mean"), F.count("*").alias("n"))
     return c.select("cam_id").join(mean, "cam_id", "left").select("cam_id", F.coalesce("mean", F.lit(0.0)).alias("camdist"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
@@ -183,6 +234,19 @@ def depth_regression(cameras: DataFrame, depth: str = "depth") -> DataFrame:
     return stats.select("n", *(f"b_{a}" for a in names), (F.col(f"m_{depth}") - sum(F.col(f"b_{a}") * F.col(f"m_{a}") for a in names)).alias("intercept"), F.try_divide(explained, F.col("v")).alias("r2"))
 
 
+def depth_residuals(cameras: DataFrame, fit: DataFrame, depth: str = "depth") -> DataFrame:
+    """cameras plus depth_pred and depth_res under a one-row fit of depth_regression."""
+    rows = cameras.crossJoin(F.broadcast(fit.select("b_cx", "b_cy", "b_cz", "intercept")))  # one row
+    guess = F.col("intercept") + sum(F.col(f"b_{a}") * F.col(a) for a in ("cx", "cy", "cz"))
+    return rows.withColumn("depth_pred", guess).withColumn("depth_res", F.col(depth) - F.col("depth_pred")).drop("b_cx", "b_cy", "b_cz", "intercept")
+
+
+def residual_errors(cameras: DataFrame) -> DataFrame:
+    """mse, rmse, mae and the greatest absolute depth_res."""
+    out = cameras.where("depth_res is not null").agg(F.avg(F.col("depth_res") ** 2).alias("mse"), F.avg(F.abs("depth_res")).alias("mae"), F.max(F.abs("depth_res")).alias("most"))
+    return out.withColumn("rmse", F.sqrt("mse"))
+
+
 def by_filename(cameras: DataFrame, name: str) -> DataFrame:
     """The first camera by position whose file has the name, with or without .jpg."""
     return cameras.where(F.col("filename").isin(name, f"{name}.jpg")).orderBy("pos").limit(1)

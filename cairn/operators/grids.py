@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.graph import components
 
 
+#: Leading hex digits of a seeded order that make a bin.
+BIN_DIGITS = 4
+
+
 def _origin(points: DataFrame) -> DataFrame:
     return F.broadcast(points.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")))  # one row
 
@@ -19,9 +25,10 @@ def cell_index(points: DataFrame, size: float) -> DataFrame:
 
 def grid_cells(points: DataFrame, size: float) -> DataFrame:
     """All cells over the extent with their corners."""
-    n = lambda a: F.ceil((F.col(f"{a}1") - F.col(f"{a}0")) / size).cast("int")
-    rows = _origin(points).withColumn("i", F.explode(F.sequence(F.lit(0), n("x") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), n("y") - 1)))
-    low = lambda a, k: F.col(f"{a}0") + F.col(k) * size
+    o = _origin(points).first()
+    nx, ny = (0 if o.x0 is None else max(0, math.ceil((o[f"{a}1"] - o[f"{a}0"]) / size)) for a in "xy")
+    rows = points.sparkSession.range(nx * ny).select(F.expr(f"cast(id div {max(1, ny)} as int)").alias("i"), F.expr(f"cast(id % {max(1, ny)} as int)").alias("j"))  # numbered over all tasks
+    low = lambda a, k: F.lit(o[f"{a}0"]).cast("double") + F.col(k) * size
     return rows.select("i", "j", low("x", "i").alias("xmin"), low("y", "j").alias("ymin"), (low("x", "i") + size).alias("xmax"), (low("y", "j") + size).alias("ymax"))
 
 
@@ -104,6 +111,43 @@ def raster(points: DataFrame, size: float, values: tuple[str, ...] = ("r", "g",
     return rows.where(inside).groupBy(F.col("j").alias("iy"), F.col("i").alias("ix")).agg(F.count("*").alias("n"), *(F.avg(v).alias(v) for v in values))
 
 
+def camera_raster(points: DataFrame, resolution: float = 0.005, window: tuple[float, float, float, float] | None = None, least: int = 100) -> DataFrame:
+    """iy, ix, n and mean colours as bytes of an orthographic view, at least `least` pixels a side.
+
+    window (xmin, ymin, xmax, ymax) crops the view, as to a mask; one without points
+    falls back to the whole cloud.
+    """
+    box = points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    if box[0] is None:
+        window = (0.0, 0.0, 0.0, 0.0)
+
+    def drawn(x0: float, y0: float, x1: float, y1: float) -> DataFrame:
+        at = lambda c, low: F.floor((F.col(c) - F.lit(float(low))) / resolution).cast("int")
+        width, height = (max(math.ceil((b - a) / resolution), least) for a, b in ((x0, x1), (y0, y1)))
+        rows = points.withColumns({"ix": at("x", x0), "iy": at("y", y0)}).where(F.col("ix").between(0, width - 1) & F.col("iy").between(0, height - 1))
+        byte = lambda c: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg(c))) * 255).cast("int").alias(c)
+        return rows.groupBy("iy", "ix").agg(F.count("*").alias("n"), *(byte(c) for c in "rgb"))
+
+    if window is not None and (box[0] is None or drawn(*window).take(1)):
+        return drawn(*window)
+    return drawn(*box)
+
+
 def decimate(points: DataFrame, k: int, seed: str = "1", key: str = "point_id") -> DataFrame:
-    """Exactly min(k, n) points, the first k in seeded order."""
-    return points.withColumn("h", seeded(key, seed=seed)).orderBy("h", key).limit(k).drop("h")
+    """Exactly min(k, n) points, the first k in seeded order.
+
+    A histogram of the leading hex digits of the order tells where the k-th point lies;
+    all points before that bin are taken where they are, and only the bin itself is sorted.
+    """
+    rows = points.withColumn("_h", seeded(key, seed=seed)).withColumn("_bin", F.substring("_h", 1, BIN_DIGITS))
+    held = sorted((b, n) for b, n in rows.groupBy("_bin").count().collect())  # 16 ** BIN_DIGITS rows at most
+    taken, edge = 0, None
+    for b, n in held:
+        if taken + n > k:
+            edge = b
+            break
+        taken += n
+    if edge is None:
+        return points
+    rest = rows.where(F.col("_bin") == edge).orderBy("_h", key).limit(k - taken)
+    return rows.where(F.col("_bin") < edge).unionByName(rest).drop("_h", "_bin")

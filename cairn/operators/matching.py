@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ratio_matches(queries: DataFrame, targets: DataFrame, ratio: float = 0.75) -> DataFrame:
-    """Lowe's test: queries (id, vec) whose nearest target is nearer than ratio times the second.
+def nearest_two(queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """q_id, t_id, d1, d2: each query's nearest target and the distances of the two nearest.
 
     The query set is stated and small beside the targets, which are scanned in blocks.
     """
@@ -17,8 +17,17 @@ def ratio_matches(queries: DataFrame, targets: DataFrame, ratio: float = 0.75) -
     rows = q.crossJoin(t).where("q_id <> t_id").select("q_id", "t_id", gap.alias("d"))
     top = Window.partitionBy("q_id").orderBy("d", "t_id")
     rows = rows.withColumn("rank", F.row_number().over(top)).where("rank <= 2")
-    out = rows.groupBy("q_id").agg(F.min(F.when(F.col("rank") == 1, F.col("t_id"))).alias("t_id"), F.min(F.when(F.col("rank") == 1, F.col("d"))).alias("d1"), F.min(F.when(F.col("rank") == 2, F.col("d"))).alias("d2"))
-    return out.where(F.col("d1") < ratio * F.col("d2"))
+    return rows.groupBy("q_id").agg(F.min(F.when(F.col("rank") == 1, F.col("t_id"))).alias("t_id"), F.min(F.when(F.col("rank") == 1, F.col("d"))).alias("d1"), F.min(F.when(F.col("rank") == 2, F.col("d"))).alias("d2"))
+
+
+def passing(nearest: DataFrame, ratio: float = 0.75) -> DataFrame:
+    """Those whose nearest target is nearer than ratio times the second."""
+    return nearest.where(F.col("d1") < ratio * F.col("d2"))
+
+
+def ratio_matches(queries: DataFrame, targets: DataFrame, ratio: float = 0.75) -> DataFrame:
+    """Lowe's test of queries (id, vec) against targets (id, vec)."""
+    return passing(nearest_two(queries, targets), ratio)
 
 
 def best_match(counts: DataFrame) -> DataFrame:
@@ -36,7 +45,28 @@ def grid_heatmap(cameras: DataFrame, counts: DataFrame, cell: float) -> DataFram
     rows = heatmap(cameras, counts)
     low = F.broadcast(rows.agg((F.min("cx") - cell / 2).alias("x0"), (F.min("cy") - cell / 2).alias("y0")))  # one row
     rows = rows.crossJoin(low).withColumns({"i": F.floor((F.col("cx") - F.col("x0")) / cell).cast("int"), "j": F.floor((F.col("cy") - F.col("y0")) / cell).cast("int")})
-    return rows.groupBy("i", "j").agg(F.max("matches").alias("most"), F.count("*").alias("cameras"))
+    return rows.groupBy("i", "j").agg(F.max("matches").alias("most"), F.count("*").alias("cameras"), F.avg(F.when(F.col("matches") > 0, F.col("matches"))).alias("mean_positive"))
+
+
+def match_statistics(pairs: DataFrame, good: DataFrame) -> DataFrame:
+    """One row: keypoints on either side, all tested and good matches, and the share of good ones (0 if none was tested).
+
+    pairs (q_id, t_id) are the nearest pairs that were tested, good those that passed.
+    """
+    tested = pairs.agg(F.count_distinct("q_id").alias("queries"), F.count_distinct("t_id").alias("targets"), F.count("*").alias("total"))
+    out = tested.crossJoin(F.broadcast(good.agg(F.count("*").alias("good"))))  # one row each
+    return out.withColumn("ratio", F.coalesce(F.try_divide("good", "total"), F.lit(0.0)))
+
+
+def ranked_masks(masks: DataFrame, by: str = "image") -> DataFrame:
+    """Masks (by, mask, score) numbered from 0 by falling score."""
+    order = Window.partitionBy(by).orderBy(F.desc("score"), "mask")
+    return masks.withColumn("rank", F.row_number().over(order) - 1)
+
+
+def chosen_mask(masks: DataFrame, k: int, by: str = "image") -> DataFrame:
+    """The k-th mask of each image by falling score."""
+    return ranked_masks(masks, by).where(F.col("rank") == k)
 
 
 def top_labels(rows: DataFrame, n: int, value: str = "matches") -> DataFrame:

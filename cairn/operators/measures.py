@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cairn.functions.columns import clip, eigen3, eigenvector3
 from cairn.operators.graph import components
 from cairn.operators.spatial import near
+from cairn.session import cut
 
 INLIER_RANGE = 0.01
 CANOPY_SPACING = 0.01
@@ -31,15 +32,24 @@ def planes(points: DataFrame, by: str = "q_id", inlier: float = INLIER_RANGE, al
     The normal is the least eigenvector; with align it points to the side of the mean
     normal of its inliers.
     """
+    stats = plane_fits(points, by)
+    return _about_planes(points.join(stats, by), by, [k for k in stats.columns if k != by], inlier, align)
+
+
+def plane_fits(points: DataFrame, by: str = "q_id") -> DataFrame:
+    """n, means, eigenvalues and the plane (pa, pb, pc, pd) of each group."""
     stats = covariance(points, by)
     c = [F.col(k) for k in ("cxx", "cyy", "czz", "cxy", "cxz", "cyz")]
     l1, l2, l3 = eigen3(*c)
     stats = stats.withColumns({"l1": l1, "l2": l2, "l3": l3}).withColumn("v", eigenvector3(F.col("l3"), *c))
     stats = stats.select(by, "n", "mx", "my", "mz", "l1", "l2", "l3", F.col("v.x").alias("pa"), F.col("v.y").alias("pb"), F.col("v.z").alias("pc"))
-    stats = stats.withColumn("pd", -(F.col("pa") * F.col("mx") + F.col("pb") * F.col("my") + F.col("pc") * F.col("mz")))
+    return stats.withColumn("pd", -(F.col("pa") * F.col("mx") + F.col("pb") * F.col("my") + F.col("pc") * F.col("mz")))
+
+
+def _about_planes(points: DataFrame, by: str, keep: list[str], inlier: float, align: bool) -> DataFrame:
+    """What points that carry their group's plane say about it."""
     away = F.abs(F.col("pa") * F.col("x") + F.col("pb") * F.col("y") + F.col("pc") * F.col("z") + F.col("pd"))
-    keep = [k for k in stats.columns if k != by]
-    joined = points.join(stats, by).withColumn("away", away).withColumn("inlier", F.col("away") <= inlier)
+    joined = points.withColumn("away", away).withColumn("inlier", F.col("away") <= inlier)
     mean = [F.avg(F.when(F.col("inlier"), F.col(k))).alias(f"i{k}") for k in ("nx", "ny", "nz")] if align else []
     out = joined.groupBy(by, *keep).agg(F.avg("away").alias("rugosity"), F.count(F.when(F.col("inlier"), 1)).alias("inliers"), *mean)
     if align:
@@ -48,6 +58,38 @@ def planes(points: DataFrame, by: str = "q_id", inlier: float = INLIER_RANGE, al
     return out.withColumnsRenamed({f"p{k}": k for k in "abcd"})
 
 
+def planes_at(points: DataFrame, queries: DataFrame, radius: float, inlier: float = INLIER_RANGE) -> DataFrame:
+    """planes of the points within radius of each query (id, x, y, z).
+
+    The planes go back to the queries before the points are met a second time, so that
+    the pairs are only ever summed where they arise and never move.
+    """
+    points = points.select("point_id", *"xyz", "nx", "ny", "nz")
+    fitted = cut(plane_fits(near(points, queries, radius)).withColumnRenamed("q_id", "id"), "planes")
+    keep = [c for c in fitted.columns if c != "id"]
+    again = near(points, queries.select("id", *"xyz").join(fitted, "id"), radius)
+    return _about_planes(again.withColumnsRenamed({f"q_{c}": c for c in keep}), "q_id", keep, inlier, True)
+
+
+def principal_axis(points: DataFrame, plane: str = "xy") -> DataFrame:
+    """One row ax, ay, az: the direction of most spread, laid into a plane (not lengthened again).
+
+    Its largest part is positive, as a direction has two signs.
+    """
+    if plane.lower() not in ("xy", "xz", "yz"):
+        raise ValueError("plane must be 'xy', 'xz' or 'yz'")
+    fitted = covariance(points.withColumn("_all", F.lit(1)), "_all")
+    c = [F.col(k) for k in ("cxx", "cyy", "czz", "cxy", "cxz", "cyz")]
+    fitted = fitted.withColumn("l1", eigen3(*c)[0]).withColumn("v", eigenvector3(F.col("l1"), *c))
+    sign = F.when(F.greatest(*(F.abs(f"v.{a}") for a in "xyz")) == F.greatest(*(F.col(f"v.{a}") for a in "xyz")), 1.0).otherwise(-1.0)
+    return fitted.select(*((F.col(f"v.{a}") * sign if a in plane.lower() else F.lit(0.0)).alias(f"a{a}") for a in "xyz"))
+
+
+def rugosity_3d(area_2d: Column, area_3d: Column) -> Column:
+    """Area of the surface over that of its outline; null for an outline without area."""
+    return F.try_divide(area_3d, area_2d)
+
+
 def plane_angles(fitted: DataFrame) -> DataFrame:
     """theta, psi, azimuth and elevation in degrees beside a plane's columns."""
     flat = (F.abs("a") < 1e-12) & (F.abs("b") < 1e-12)
@@ -72,9 +114,11 @@ def rgb_stats(points: DataFrame, by: str = "q_id") -> DataFrame:
 def fractal_dimension(points: DataFrame, iterations: int = 10) -> DataFrame:
     """Box-counting dimension of one cloud: slope of ln(boxes) on ln(1 / size) while the size halves."""
     box = points.agg(*(F.min(a).alias(f"{a}0") for a in "xyz"), F.greatest(*(F.max(a) - F.min(a) for a in "xyz")).alias("extent"))
-    rows = points.crossJoin(F.broadcast(box)).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    size = F.col("extent") * 1.0001 / F.pow(F.lit(2.0), F.col("level"))
-    rows = rows.select("level", size.alias("size"), *(F.floor((F.col(a) - F.col(f"{a}0")) / size).alias(f"i{a}") for a in "xyz"))
+    finest = F.col("extent") * 1.0001 / 2.0 ** (iterations - 1)
+    cells = points.crossJoin(F.broadcast(box)).select("extent", *(F.floor((F.col(a) - F.col(f"{a}0")) / finest).alias(f"i{a}") for a in "xyz")).distinct()  # one row beside
+    # a box of each coarser level is eight of the finer: only the finest level looks at points
+    rows = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    rows = rows.select("level", (F.col("extent") * 1.0001 / F.pow(F.lit(2.0), F.col("level"))).alias("size"), *(F.expr(f"shiftright(i{a}, cast({iterations - 1} - level as int))").alias(f"i{a}") for a in "xyz"))
     counts = rows.distinct().groupBy("level", "size").agg(F.count("*").alias("boxes"))
     return counts.agg(F.regr_slope(F.log(F.col("boxes").cast("double")), -F.log("size")).alias("dimension"), F.max("boxes").alias("most"))
 
@@ -159,8 +203,16 @@ def ransac_plane(points: DataFrame, iterations: int = 1000, inlier: float = INLI
 REGISTRY = {"gap_fraction": gap_fraction, "rgb": rgb_stats, "rugosity": planes, "dispersion": vector_dispersion, "plane_angles": lambda p: plane_angles(planes(p))}
 
 
+def register(name: str, build) -> None:
+    """Add a measurement of one's own: build(pairs) gives a table keyed by q_id."""
+    REGISTRY[name] = build
+
+
 def measure(pairs: DataFrame, names: list[str]) -> DataFrame:
     """Several named measurements side by side."""
+    unknown = [n for n in names if n not in REGISTRY]
+    if unknown:
+        raise ValueError(f"no measurement named {unknown}; there are {sorted(REGISTRY)}")
     out = None
     for name in names:
         table = REGISTRY[name](pairs)

@@ -20,6 +20,22 @@ def transform_points(points: DataFrame, transform: Transform) -> DataFrame:
     return points.withColumns(new)
 
 
+def centroid_shift(points: DataFrame) -> DataFrame:
+    """points about their centroid."""
+    c = F.broadcast(points.agg(*(F.avg(a).alias(f"_m{a}") for a in "xyz")))  # one row
+    return points.crossJoin(c).withColumns({a: F.col(a) - F.col(f"_m{a}") for a in "xyz"}).drop("_mx", "_my", "_mz")
+
+
+def original_coords(rows: DataFrame, transform: Transform) -> DataFrame:
+    """rows plus orig_x, orig_y, orig_z: where they were before the transform."""
+    return rows.withColumns({f"orig_{a}": c for a, c in zip("xyz", affine(transform.inverse().rows()), strict=True)})
+
+
+def turn_to(points: DataFrame, vector) -> DataFrame:
+    """points turned so that the vector points up."""
+    return transform_points(points, up_vector(vector))
+
+
 def orientation(points: DataFrame, scale: float | None = None, up=None, depth: float | None = None, z_half_turn: bool = False) -> Transform:
     """scale, up vector, depth, principal axis along X, +Y upslope, positive xy, half turn.
 

@@ -9,11 +9,13 @@ a point more than two cells away.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.columns import dist3
+from cairn.operators.orient import turn_to
 from cairn.session import cut
 
 
@@ -21,20 +23,27 @@ def _cell(c: str | Column, width: float) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / F.lit(float(width))).cast("long")
 
 
-def near(points: DataFrame, queries: DataFrame, radius: float, flat: bool = False, width: float | None = None) -> DataFrame:
+def _shifted(cell: Column, steps: Column) -> Column:
+    return F.transform(steps, lambda s: cell + s)
+
+
+def near(points: DataFrame, queries: DataFrame, radius: float, flat: bool = False, width: float | None = None, deep: bool = False) -> DataFrame:
     """Pairs within radius: the queries' columns as q_*, the points' as they are, and d.
 
-    flat measures in xy only. Distances equal to the radius count.
+    flat measures in xy only; deep has cells in z too, for queries that lie far above
+    or below most points. Distances equal to the radius count.
     """
     width = width or radius
     reach = math.ceil(radius / width - 1e-12)
     steps = F.sequence(F.lit(-reach), F.lit(reach))
     q = queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns))
-    q = q.withColumn("i", F.explode(F.transform(steps, lambda s: _cell("q_x", width) + s))).withColumn("j", F.explode(F.transform(steps, lambda s: _cell("q_y", width) + s)))
-    p = points.withColumns({"i": _cell("x", width), "j": _cell("y", width)})
+    cells = {"_i": "x", "_j": "y"} | ({"_k": "z"} if deep and not flat else {})
+    for name, a in cells.items():
+        q = q.withColumn(name, F.explode(_shifted(_cell(f"q_{a}", width), steps)))
+    p = points.withColumns({name: _cell(a, width) for name, a in cells.items()})
     axes = "xy" if flat else "xyz"
     d = dist3(tuple(axes), tuple(f"q_{a}" for a in axes))
-    return p.join(q, ["i", "j"]).withColumn("d", d).where(F.col("d") <= F.lit(float(radius))).drop("i", "j")
+    return p.join(q, [*cells]).withColumn("d", d).where(F.col("d") <= F.lit(float(radius))).drop(*cells)
 
 
 def radius_join(points: DataFrame, queries: DataFrame, radius: float, drop_nearest: bool = False) -> DataFrame:
@@ -63,6 +72,8 @@ def nearest(points: DataFrame, queries: DataFrame, start: float, key: list[str],
         if not left.take(1):
             break
         radius *= 2
+    else:
+        raise RuntimeError(f"queries without a nearest point after {rounds} rounds, at a radius of {radius}")
     return found
 
 
@@ -89,10 +100,12 @@ def z_intercept_always(points: DataFrame, queries: DataFrame, radius: float) ->
     if not open_.take(1):
         return hit.select("id", "x", "y", "z", F.lit(False).alias("is_extrapolated"))
     far = nearest(points, open_.withColumn("z", F.lit(0.0)), 2 * radius, ["id"], flat=True)
-    wide = cut(open_.join(far.select("id", growing_radius(F.col("d"), radius).alias("reach")), "id"), "reaches")
-    top = wide.agg(F.max("reach")).first()[0]
-    pairs = near(points, wide.withColumn("z", F.lit(0.0)), top, flat=True).where("d <= q_reach")
-    more = pairs.groupBy("q_id", "q_x", "q_y").agg(F.median("z").alias("z"))
+    wide = open_.join(far.select("id", growing_radius(F.col("d"), radius).alias("reach")), "id")
+    wide = cut(wide.withColumn("level", F.ceil(F.log2(F.col("reach") / radius) - 1e-9).cast("int")), "reaches")
+    levels = sorted(row[0] for row in wide.select("level").distinct().collect())  # powers of two: a few dozen at most
+    pairs = [near(points, wide.where(F.col("level") == k).withColumn("z", F.lit(0.0)), radius * 2.0**k, flat=True).where("d <= q_reach") for k in levels]
+    more = reduce(DataFrame.unionByName, pairs)
+    more = more.groupBy("q_id", "q_x", "q_y").agg(F.median("z").alias("z"))
     more = more.select(F.col("q_id").alias("id"), F.col("q_x").alias("x"), F.col("q_y").alias("y"), "z", F.lit(True).alias("is_extrapolated"))
     return hit.select("id", "x", "y", "z", F.lit(False).alias("is_extrapolated")).unionByName(more)
 
@@ -117,24 +130,43 @@ def line_samples(rays: DataFrame, step: float) -> DataFrame:
     return rows.select("id", "sample", at("x").alias("x"), at("y").alias("y"), at("z").alias("z"))
 
 
+def near_points(queries: DataFrame, points: DataFrame, radius: float) -> DataFrame:
+    """The queries whose cell or a neighbour of it holds a point: whole cells are looked up, not points."""
+    steps = F.array(*(F.lit(k) for k in (-1, 0, 1)))
+    own = {f"_{n}": _cell(a, radius) for n, a in zip("ijk", "xyz", strict=True)}
+    cells = points.select(*(c.alias(n) for n, c in own.items())).distinct()
+    for n in own:
+        cells = cells.withColumn(n, F.explode(_shifted(F.col(n), steps)))
+    return queries.withColumns(own).join(cells.distinct(), [*own], "left_semi").drop(*own)
+
+
 def ray_intercept(points: DataFrame, rays: DataFrame, radius: float, most: float = 0.1, grow: bool = True) -> DataFrame:
     """The point a ray meets: at the least search radius that any sample needs, the earliest sample's nearest point.
 
-    Without grow only the first radius counts. Rays that meet nothing give no row.
+    Without grow only the first radius counts. Rays that meet nothing give no row. Most
+    rays meet something at the first radius; only the others are searched at the last.
     """
     radii = search_radii(radius, most) if grow else [radius]
-    samples = line_samples(rays, radius)
-    hits = near(points, samples, radii[-1])
-    hits = hits.groupBy("q_id", "q_sample").agg(F.min(F.struct("d", "point_id", "x", "y", "z")).alias("b"))
-    level = F.size(F.filter(F.array(*map(F.lit, radii)), lambda r: r < F.col("b.d")))
-    best = hits.groupBy("q_id").agg(F.min(F.struct(level.alias("level"), F.col("q_sample").alias("sample"), F.col("b").alias("b"))).alias("h"))
-    return best.select(F.col("q_id").alias("id"), "h.level", "h.sample", "h.b.d", "h.b.point_id", "h.b.x", "h.b.y", "h.b.z")
+
+    def met(some: DataFrame, reach: float) -> DataFrame:
+        level = F.size(F.filter(F.array(*map(F.lit, radii)), lambda r: r < F.col("d")))
+        hits = near(points.select("point_id", *"xyz"), near_points(line_samples(some, radius), points, reach), reach, deep=True)
+        best = hits.groupBy("q_id").agg(F.min(F.struct(level.alias("level"), F.col("q_sample").alias("sample"), "d", "point_id", "x", "y", "z")).alias("h"))
+        return best.select(F.col("q_id").alias("id"), "h.level", "h.sample", "h.d", "h.point_id", "h.x", "h.y", "h.z")
+
+    if len(radii) == 1:
+        return met(rays, radii[0])
+    rays = cut(rays, "rays")
+    first = cut(met(rays, radii[0]), "ray_hits")
+    return first.unionByName(met(rays.join(first.select("id"), "id", "left_anti"), radii[-1]))
 
 
 def grid_nodes(bounds: DataFrame, step: float) -> DataFrame:
     """Nodes (id, ix, iy, x, y, z) over a one-row xmin..ymax, zmax; upper ends are left out, z is above all."""
-    count = lambda a: F.ceil((F.col(f"{a}max") - F.col(f"{a}min")) / step).cast("int")
-    rows = bounds.withColumn("ix", F.explode(F.sequence(F.lit(0), count("x") - 1))).withColumn("iy", F.explode(F.sequence(F.lit(0), count("y") - 1)))
+    box = bounds.first()
+    nx, ny = (0 if box.xmin is None else max(0, math.ceil((box[f"{a}max"] - box[f"{a}min"]) / step)) for a in "xy")
+    # numbered over all tasks, with the bounds beside each number
+    rows = bounds.sparkSession.range(nx * ny).select(F.expr(f"cast(id div {max(1, ny)} as int)").alias("ix"), F.expr(f"cast(id % {max(1, ny)} as int)").alias("iy"), *(F.lit(box[c]).cast("double").alias(c) for c in ("xmin", "ymin", "zmax")))
     return rows.select("ix", "iy", (F.col("xmin") + F.col("ix") * step).alias("x"), (F.col("ymin") + F.col("iy") * step).alias("y"), (F.col("zmax") + step).alias("z"))
 
 
@@ -164,6 +196,42 @@ def transect_sample(points: DataFrame, markers: DataFrame, step: float, reach: f
     return close.groupBy("ix", "iy").agg(F.first("point_id").alias("point_id"), F.min("d").alias("d"))
 
 
+def grid_raycast(points: DataFrame, step: float, vector: tuple[float, float, float] = (0.0, 0.0, 1.0), cap: float | None = None, bounds: DataFrame | None = None) -> DataFrame:
+    """For each grid node the point nearest to the line through it along a vector, within cap (half a step by default).
+
+    The grid lies over the bounds (the cloud's own by default) and is turned to the
+    vector; turning the points back instead makes the distance to a line one in xy.
+    """
+    nodes = grid_nodes(bounding_box(points) if bounds is None else bounds, step)
+    turned = turn_to(points.select("point_id", *"xyz"), vector)
+    hits = nearest_within(turned, nodes, cap or step / 2, ["ix", "iy"], flat=True)
+    return hits.select("ix", "iy", "d", "point_id").join(points, "point_id")
+
+
+def along_transect(hits: DataFrame, markers: DataFrame, reach: float, vector: tuple[float, float, float] = (0.0, 0.0, 1.0)) -> DataFrame:
+    """hits (ix, iy, point_id, x, y, z) within reach of the transect, seen along the vector, and how far, d."""
+    line = turn_to(transect_points(markers), vector).withColumn("id", F.concat_ws("-", "pos", "k"))
+    flat = turn_to(hits.select("ix", "iy", "point_id", *"xyz"), vector)
+    close = near(flat, line.select("id", *"xyz"), reach, flat=True)
+    return close.groupBy("ix", "iy", "point_id").agg(F.min("d").alias("d"))
+
+
+def transect_raycast(points: DataFrame, markers: DataFrame, step: float, reach: float, vector: tuple[float, float, float] = (0.0, 0.0, 1.0)) -> DataFrame:
+    """Rays of a grid over the markers' box, meeting points up to a step away, kept within reach of the transect."""
+    return along_transect(grid_raycast(points, step, vector, step, bounding_box(markers)), markers, reach, vector)
+
+
+def transect_nearest(points: DataFrame, markers: DataFrame, step: float, reach: float, cap: float = 0.01) -> DataFrame:
+    """Points within cap in xy of the nodes of a grid over the cloud, kept within reach of the transect."""
+    return along_transect(grid_intercept(points, step, cap), markers, reach)
+
+
+def snapped(points: DataFrame, places: DataFrame, surface: float, snap: float = 0.01) -> DataFrame:
+    """Places (id, x, y) dropped onto the surface of points within `surface` in xy, and the nearest point if within snap of that."""
+    down = z_intercept(points, places.select("id", "x", "y"), surface).select("id", F.col("median_z").alias("z"))
+    return nearest_within(points, places.select("id", "x", "y").join(down, "id"), snap, ["id"])
+
+
 def distance_matrix(rows: DataFrame, key: str = "id") -> DataFrame:
     """All ordered pairs with their distance; meant for sets of annotations, the right side is broadcast when small."""
     a = rows.select(F.col(key).alias("a"), *(F.col(c).alias(f"a{c}") for c in "xyz"))

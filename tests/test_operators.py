@@ -21,7 +21,11 @@ def test_transforms():
         m = t.up_vector(up)
         assert np.allclose(m.apply(np.array(up) / np.linalg.norm(up)), [0, 0, 1]) and np.allclose(m.mat[:3, :3] @ m.mat[:3, :3].T, np.eye(3))
     n = np.array([0.2, -0.5, 0.8])
-    assert np.allclose(t.align_normal_to_z(n).apply(n / np.linalg.norm(n)), [0, 0, 1])
+    n /= np.linalg.norm(n)
+    first = np.cross([1, 0, 0], n) / np.linalg.norm(np.cross([1, 0, 0], n))
+    assert np.allclose(t.align_normal_to_z(n).mat[:3, :3], [first, np.cross(n, first), n])
+    steep = np.array([0.95, 0.2, 0.1]) / np.linalg.norm([0.95, 0.2, 0.1])
+    assert np.allclose(t.align_normal_to_z(steep).mat[0, :3], np.cross([0, 1, 0], steep) / np.linalg.norm(np.cross([0, 1, 0], steep)))
     assert np.allclose(t.align_x((3, 4)).apply([3, 4, 9]), [5, 0, 9])
     both = t.euler(0.1, 0.2, 0.3).then(t.translation(1, 2, 3))
     assert np.allclose(both.then(both.inverse()).apply(p), p)
@@ -144,3 +148,177 @@ def test_random_in_cells(spark):
 def test_triangle_area(spark):
     row = spark.createDataFrame([(0.0, 0.0, 0.0, 3.0, 0.0, 0.0, 0.0, 4.0, 0.0)], "ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double")
     assert math.isclose(row.select(measures.triangle_area("a", "b", "c")).first()[0], 6.0)
+
+
+def test_crosshair_points_in_order(spark):
+    n = np.array([0.3, -0.2, 0.9]) / np.linalg.norm([0.3, -0.2, 0.9])
+    u = np.array([1.0, 0, 0]) - n[0] * n
+    u /= np.linalg.norm(u)
+    v = np.cross(n, u)
+    row = spark.createDataFrame([("a", 1.0, 2.0, 3.0)], "id string, x double, y double, z double")
+    got = np.array([[r.x, r.y, r.z] for r in cam.crosshair(row, (0.3, -0.2, 0.9), 0.02).orderBy("k").collect()])
+    assert np.allclose(got, np.array([1, 2, 3]) + 0.02 * np.array([u, -u, v, -v]))
+
+
+def test_depth_has_a_sign(spark):
+    rows = spark.createDataFrame([(1, 0.1, 0.1, -2.0, 0.0, 0.0, 4.0), (2, 0.1, 0.1, 9.0, 0.0, 0.0, 4.0)], "id int, x double, y double, z double, cx double, cy double, cz double")
+    down = [[1, 0, 0], [0, -1, 0], [0, 0, -1]]
+    got = {r.id: r.depth for r in cam.project(cam.with_pose(rows, down), CAL).collect()}
+    assert got == {1: 6.0, 2: -5.0}
+    assert cam.project(cam.with_pose(rows, down), CAL, require_front=True).count() == 1
+
+
+CAL = cam.Calibration(3000.0, 3000.0, 2000.0, 1500.0, 4000, 3000)
+DOWN = np.diag([1.0, -1.0, -1.0])
+
+
+def tilted(k):
+    return t.axis_angle([0, 1, 0], [0.0, 0.5, -1.2, 1.7][k % 4]).mat[:3, :3] @ DOWN
+
+
+def cameras_of(spark, centres):
+    rows = [(f"c{k}", k, *map(float, c), *(float(v) for r in range(3) for v in (*tilted(k)[r], c[r]))) for k, c in enumerate(centres)]
+    return spark.createDataFrame(rows, "cam_id string, pos int, cx double, cy double, cz double, " + ", ".join(f"{p} double" for p in cam.POSE))
+
+
+def pixel(p, k, centre):
+    q = tilted(k).T @ (np.asarray(p) - centre)
+    if q[2] == 0:
+        return None
+    x, y = q[:2] / q[2]
+    u, v = 3000 * x + 2000, 3000 * y + 1500
+    if (x * x + y * y) * 9e6 < 1.01 * 16e6 and 0 <= u <= 4000 and 0 <= v <= 3000:
+        return round(u), round(v), q[2], abs((abs(q[2]) + np.sum((centre - p) ** 2)) / 9e6) * (10 + abs(u - 2000) + abs(v - 1500))
+
+
+def surface(n, seed):
+    rng = np.random.default_rng(seed)
+    xy = rng.random((n, 2)) * [3, 2]
+    return np.c_[xy, 0.2 * xy[:, 0] + rng.random(n) * 0.6]
+
+
+CENTRES = np.array([[0.5, 0.5, 3], [2.5, 1.5, 3.2], [1.0, 1.0, 2.8], [2.0, 0.4, 3.1], [30.0, 0.0, 3.0]])
+
+
+def test_footprints_lose_no_match(spark):
+    pts = surface(40, 4)
+    anns = spark.createDataFrame([(f"a{i}", *map(float, p)) for i, p in enumerate(pts)], "id string, x double, y double, z double")
+    got = {(r.ann_id, r.cam_id): (r.u, r.v) for r in cam.candidates(anns, cameras_of(spark, CENTRES), CAL).collect()}
+    want = {(f"a{i}", f"c{k}"): pixel(p, k, c)[:2] for i, p in enumerate(pts) for k, c in enumerate(CENTRES) if pixel(p, k, c)}
+    assert got == want and len(want) > 40
+    axis = DOWN[:, 2]
+    dist = {r.cam_id: (r.n, r.camdist) for r in cam.cam_distance(anns, cameras_of(spark, CENTRES[:1]), 12.0).collect()}
+    gaps = [np.linalg.norm(p - CENTRES[0]) for p in pts if (p - CENTRES[0]) @ axis / np.linalg.norm(p - CENTRES[0]) >= math.cos(math.radians(12))]
+    assert dist["c0"][0] == len(gaps) and math.isclose(dist["c0"][1], np.mean(gaps) if gaps else 0.0)
+
+
+def hit_of(pts, u, v, k, centre, radius, most, far):
+    way = tilted(k) @ np.array([(u - 2000) / 3000, (v - 1500) / 3000, 1.0])
+    way /= np.linalg.norm(way)
+    return literal_ray(pts, centre, centre + far * way, radius, most)
+
+
+def test_occlusion_and_pixels_against_the_literal_loop(spark):
+    pts = surface(150, 6)
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], POINT)
+    marks = pts[:12] + np.where(np.arange(12)[:, None] % 3, [0, 0, 0.002], [0.08, 0.05, 0])
+    anns = spark.createDataFrame([(f"a{i:02d}", *map(float, p)) for i, p in enumerate(marks)], "id string, x double, y double, z double")
+    cams = cameras_of(spark, CENTRES)
+    found = cam.reprojection(cam.candidates(anns, cams, CAL), points, CAL, 0.05, 0.2, 6.0)
+    got = [(r.ann_id, r.cam_id, r.obstructed) for r in cam.ranked(found, occlusion=True).orderBy("ann_id", "rank").collect()]
+    want = []
+    for i, p in enumerate(marks):
+        rows = []
+        for k, c in enumerate(CENTRES):
+            at = pixel(p, k, c)
+            hit = at and hit_of(pts, at[0], at[1], k, c, 0.05, 0.2, 6.0)
+            if hit is not None and at and np.linalg.norm(pts[hit] - p) <= 0.5:
+                rows.append((bool(np.linalg.norm(pts[hit] - p) >= 0.01), at[3], k))
+        want += [(f"a{i:02d}", f"c{k}", far) for far, _, k in sorted(rows)]
+    assert got == want and len({r[2] for r in got}) == 2
+    pixels = [(f"{k}-{u}", u, v, k) for k in range(5) for u, v in ((900, 800), (2000, 1500), (3100, 2300))]
+    at = spark.createDataFrame([r[:3] + (f"c{r[3]}",) for r in pixels], "id string, u int, v int, cam_id string").join(cams.select("cam_id", *cam.POSE), "cam_id")
+    got = {r.id: r.point_id for r in cam.pixel_points(at, points, CAL, 0.05, 0.2, 6.0).collect()}
+    want = {name: hit_of(pts, u, v, k, CENTRES[k], 0.05, 0.2, 6.0) for name, u, v, k in pixels}
+    assert got == {n: h for n, h in want.items() if h is not None and pixel(pts[h], int(n[0]), CENTRES[int(n[0])])}
+
+
+def test_visible_intercepts(spark):
+    pts = np.array([[1.0, 1.0, 0.0], [1.0, 1.01, 0.5], [1.01, 1.0, 0.1], [2.0, 1.0, 0.3]])
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], POINT)
+    queries = spark.createDataFrame([("q", 1.0, 1.0), ("r", 2.0, 1.0), ("s", 9.0, 9.0)], "id string, x double, y double")
+    up = spark.createDataFrame([("c0", 0, 1.0, 1.0, 3.0, *(float(v) for r, c in zip(DOWN, [1.0, 1.0, 3.0], strict=True) for v in (*r, c)))], "cam_id string, pos int, cx double, cy double, cz double, " + ", ".join(f"{p} double" for p in cam.POSE))
+    got = {r.id: (r.point_id, r.is_seen) for r in cam.visible_intercepts(points, queries, up, CAL, 0.1).collect()}
+    assert set(got) == {"q", "r"} and got["r"] == (3, True) and got["q"][1]
+    away = up.withColumn("m03", up.m03 + 500.0)
+    assert {r.id: (r.point_id, r.is_seen) for r in cam.visible_intercepts(points, queries, away, CAL, 0.1).collect()} == {"q": (1, False), "r": (3, False)}
+
+
+def test_nearest_gives_up_with_an_error(spark):
+    points = spark.createDataFrame([(0, 100.0, 0.0, 0.0)], POINT)
+    queries = spark.createDataFrame([(0, 0.0, 0.0, 0.0)], POINT.replace("point_id", "id"))
+    with pytest.raises(RuntimeError, match="after 2 rounds"):
+        spatial.nearest(points, queries, 0.05, ["id"], rounds=2)
+
+
+def test_planes_at_equal_planes_of_pairs(spark):
+    pts = surface(300, 9)
+    points = spark.createDataFrame([(i, *map(float, p), 0.1, 0.0, 1.0) for i, p in enumerate(pts)], POINT + ", nx double, ny double, nz double")
+    queries = spark.createDataFrame([(f"q{i}", *map(float, p)) for i, p in enumerate(pts[:8])], "id string, x double, y double, z double")
+    a = {r.q_id: (r.n, r.inliers, r.a, r.d, r.rugosity) for r in measures.planes(spatial.near(points, queries, 0.6)).collect()}
+    b = {r.q_id: (r.n, r.inliers, r.a, r.d, r.rugosity) for r in measures.planes_at(points, queries, 0.6).collect()}
+    assert set(a) == set(b) and all(np.allclose(a[k], b[k]) for k in a)
+    deep = {(r.q_id, r.point_id) for r in spatial.near(points, queries, 0.3, deep=True).collect()}
+    assert deep == {(r.q_id, r.point_id) for r in spatial.near(points, queries, 0.3).collect()}
+
+
+def test_decimate_takes_the_first_in_seeded_order(spark):
+    points = spark.range(500).withColumnRenamed("id", "point_id")
+    order = [r.point_id for r in points.withColumn("h", grids.seeded("point_id")).orderBy("h", "point_id").collect()]
+    for k in (0, 1, 77, 499, 500, 600):
+        assert sorted(r.point_id for r in grids.decimate(points, k).collect()) == sorted(order[:k])
+
+
+def literal_fill(pixels, n):
+    r = n // 2
+    image = np.array([[2 if (x, y) in pixels else int((x - r) ** 2 + (y - r) ** 2 <= r * r) for y in range(n)] for x in range(n)])
+    for seed in ((r, r), (r, r // 2)):
+        own, edge = image[seed], {seed}
+        while edge:
+            for i, j in edge:
+                image[i, j] = 3 if own != 3 else image[i, j]
+            edge = {(i + a, j + b) for i, j in edge for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1)) if 0 <= i + a < n and 0 <= j + b < n and image[i + a, j + b] == own and own != 3}
+    return int((image == 3).sum())
+
+
+def test_gap_fill_against_a_literal_fill(spark):
+    from cairn.operators import images
+
+    rng = np.random.default_rng(3)
+    pts = rng.random((900, 3)) * [1, 1, 0.5] - [0.5, 0.5, 0]
+    pairs = spark.createDataFrame([("q", i, *map(float, p), 0.0, 0.0, 0.0) for i, p in enumerate(pts)], "q_id string, point_id int, x double, y double, z double, q_x double, q_y double, q_z double")
+    for n in (20, 40):
+        pixels = {(r.px, r.py) for r in measures.gap_pixels(pairs, n).collect()}
+        assert images.gap_fill(pairs, n).first().filled == literal_fill(pixels, n)
+
+
+def test_from_coords_and_samples(spark):
+    got = an.from_coords(spark, {"p": (1, 2, 3), "none": None, "q": (4, 5, 6)}).orderBy("pos").collect()
+    assert [(r.id, r.pos, r.z) for r in got] == [("p", 0, 3.0), ("q", 2, 6.0)]
+    assert [r.id for r in an.from_coords(spark, [(0, 0, 0), None, (1, 1, 1)]).orderBy("pos").collect()] == ["0", "2"]
+    with pytest.raises(ValueError, match="sample of 3"):
+        an.random_subset(an.from_coords(spark, [(0, 0, 0)]), 3)
+
+
+def test_measurements_by_name(spark):
+    pairs = spark.createDataFrame([("q", 0, 0.0, 0.0, 1.0)], "q_id string, point_id int, nx double, ny double, nz double")
+    measures.register("points", lambda p: p.groupBy("q_id").count())
+    assert measures.measure(pairs, ["points"]).first().points_count == 1
+    with pytest.raises(ValueError, match="no measurement"):
+        measures.measure(pairs, ["nothing"])
+
+
+def test_cell_area(spark):
+    rows = [(i * 40 + j, i / 40, j / 40, 0.0, 0.0, 0.0, 1.0) for i in range(40) for j in range(40)]
+    area = measures.cell_area(spark.createDataFrame(rows, POINT + ", nx double, ny double, nz double"), 0.1).first().area
+    assert abs(area - 1.0) < 0.25
