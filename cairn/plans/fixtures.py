@@ -17,7 +17,7 @@ ANNOTATIONS = ["concat('ann_', lpad(cast(c_custkey as string), 6, '0')) AS id",
 CAMERAS = ["concat('cam_', lpad(cast(s_suppkey as string), 4, '0')) AS cam_id", "s_suppkey AS pos", "(s_suppkey%20)*5e-1 AS cx", "(s_suppkey%5)*1e0 AS cy", "6e0 AS cz"]
 FRAMES = ["cast(row_number() over (order by ts, event_id) - 1 as bigint) AS frame_number", "value AS brightness"]
 TARGETS = ["concat('target ', cast(p_partkey as string)) AS label", "p_partkey AS pos", "((p_partkey*613)%997)/1e2 AS x", "((p_partkey*389)%491)/1e2 AS y", "((p_partkey*31)%97)/1e2 AS z"]
-TABLES = {"fx_points": ("orders", POINTS, ""), "fx_annotations": ("customer", ANNOTATIONS, "c_custkey % 10 = 0"), "fx_cameras": ("supplier", CAMERAS, ""), "fx_frames": ("events", FRAMES, ""), "fx_targets": ("part", TARGETS, "")}
+TABLES = {"fx_points": ("orders", POINTS, ""), "fx_annotations": ("customer", ANNOTATIONS, ""), "fx_cameras": ("supplier", CAMERAS, ""), "fx_frames": ("events", FRAMES, ""), "fx_targets": ("part", TARGETS, "")}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

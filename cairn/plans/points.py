@@ -7,9 +7,9 @@ import math
 from pyspark.sql import functions as F
 
 from cairn.functions import transforms as t
-from cairn.functions.columns import affine, clip, radius_from_area
+from cairn.functions.columns import affine, clip, homogeneous, on_plane, radius_from_area, rotate
 from cairn.operators import annotations as an
-from cairn.operators import grids, measures, spatial
+from cairn.operators import grids, measures, orient, spatial
 from cairn.plans.fixtures import load, sql
 
 R = 0.5
@@ -59,8 +59,7 @@ SELECT q_id AS id, n, inliers, round(degrees(acos(greatest(-1e0, least(1e0, pc*t
 @query(COMPLEXITY, "fx_points", "fx_annotations")
 def complexity_by_annotation(points, anns):
     """Plane angles and rugosity of the points around each annotation."""
-    pairs = spatial.radius_join(points, anns, R)
-    out = measures.plane_angles(measures.planes(pairs)).where("n >= 10")
+    out = measures.plane_angles(measures.planes_at(points, anns, R)).where("n >= 10")
     return out.select(F.col("q_id").alias("id"), "n", "inliers", *(r(F.col(c), 3).alias(c) for c in ("elevation", "azimuth", "theta", "psi")), r(F.col("rugosity"), 5).alias("rugosity"))
 
 
@@ -86,8 +85,7 @@ def bounding_box(points):
 @query("SELECT point_id, round(x - avg(x) OVER (), 4) + 0e0 AS x, round(y - avg(y) OVER (), 4) + 0e0 AS y, round(z - avg(z) OVER (), 4) + 0e0 AS z FROM fx_points", "fx_points")
 def centroid_shift(points):
     """Points about their centroid."""
-    c = F.broadcast(points.agg(*(F.avg(a).alias(f"m{a}") for a in "xyz")))  # one row
-    return points.crossJoin(c).select("point_id", *(r(F.col(a) - F.col(f"m{a}")).alias(a) for a in "xyz"))
+    return orient.centroid_shift(points).select("point_id", *(r(F.col(a)).alias(a) for a in "xyz"))
 
 
 @query("WITH s AS (SELECT point_id, x - 5e0 AS x, y - 2e0 AS y FROM fx_points) SELECT point_id, round(x - least(0e0, min(x) OVER ()), 6) + 0e0 AS x, round(y - least(0e0, min(y) OVER ()), 6) + 0e0 AS y FROM s", "fx_points")
@@ -104,8 +102,6 @@ def apply_affine(points):
     """A chain of turn, scale and shift as one projection; normals only turn."""
     turn = t.axis_angle([0, 0, 1], 0.3)
     m = turn.then(t.scaling(2.0)).then(t.translation(1.0, -2.0, 0.5)).rows()
-    from cairn.functions.columns import rotate
-
     return points.select("point_id", *(r(c).alias(a) for a, c in zip("xyz", affine(m), strict=True)), r(rotate(turn.rows())[0]).alias("nx"))
 
 
@@ -113,9 +109,8 @@ def apply_affine(points):
 SELECT point_id, round(x - (x*ka+y*kb+z*kc)*ka, 4) + 0e0 AS x, round(y - (x*ka+y*kb+z*kc)*kb, 4) + 0e0 AS y, round(z - (x*ka+y*kb+z*kc)*kc, 4) + 0e0 AS z FROM p""", "fx_points")
 def project_on_plane(points):
     """Points projected onto a plane through the origin."""
-    n = (0.3, 0.2, math.sqrt(0.87))
-    dot = sum(F.col(a) * k for a, k in zip("xyz", n, strict=True))
-    return points.select("point_id", *(r(F.col(a) - dot * k).alias(a) for a, k in zip("xyz", n, strict=True)))
+    flat = on_plane((0.3, 0.2, math.sqrt(0.87)))
+    return points.select("point_id", *(r(c).alias(a) for a, c in zip("xyz", flat, strict=True)))
 
 
 @query("""WITH p AS (SELECT point_id, nx/sqrt(nx*nx+ny*ny+nz*nz) AS x, ny/sqrt(nx*nx+ny*ny+nz*nz) AS y, nz/sqrt(nx*nx+ny*ny+nz*nz) AS z FROM fx_points)
@@ -133,9 +128,7 @@ u AS (SELECT CASE WHEN corr(y, z) < 0 THEN -1e0 ELSE 1e0 END AS k FROM p), q AS
 SELECT point_id, round(x - least(0e0, min(x) OVER ()), 5) + 0e0 AS x, round(y - least(0e0, min(y) OVER ()), 5) + 0e0 AS y, round(z, 5) + 0e0 AS z FROM q""", "fx_points")
 def orient_cloud(points):
     """Principal axis along X, +Y upslope, out of negative xy: one statistics pass, one bounds pass."""
-    from cairn.operators.orient import orient
-
-    return orient(points).select("point_id", *(r(F.col(a), 5).alias(a) for a in "xyz"))
+    return orient.orient(points).select("point_id", *(r(F.col(a), 5).alias(a) for a in "xyz"))
 
 
 @query(f"""WITH {PAIRS}, m AS (SELECT q_id, count(*) AS n, median(r) AS r, median(g) AS g, median(b) AS b FROM pairs GROUP BY q_id)
@@ -183,21 +176,17 @@ def pixel_colours(points, anns):
 
 
 @query(f"""WITH {PAIRS}, s AS (SELECT q_id, dx/sqrt(dx*dx+dy*dy+dz*dz)/(1+dz/sqrt(dx*dx+dy*dy+dz*dz))*5e-1 AS sx, dy/sqrt(dx*dx+dy*dy+dz*dz)/(1+dz/sqrt(dx*dx+dy*dy+dz*dz))*5e-1 AS sy FROM pairs WHERE dz > 0),
-k AS (SELECT i, j, -5e-1 + i*5e-2 AS x, -5e-1 + j*5e-2 AS y FROM range(21) a(i), range(21) b(j)), n AS (SELECT * FROM k WHERE x*x+y*y <= 25e-2 + 1e-12),
-c AS (SELECT DISTINCT q_id, i, j FROM s JOIN n ON (x-sx)*(x-sx)+(y-sy)*(y-sy) <= 25e-4), t AS (SELECT count(*) AS total FROM n)
+k AS (SELECT i, j, -5e-1 + i*1e-2 AS x, -5e-1 + j*1e-2 AS y FROM range(101) a(i), range(101) b(j)), n AS (SELECT * FROM k WHERE x*x+y*y <= 25e-2 + 1e-12),
+w AS (SELECT DISTINCT q_id, CAST(round((sx + 5e-1)/1e-2) AS INT) + u.di AS i, CAST(round((sy + 5e-1)/1e-2) AS INT) + v.dj AS j, sx, sy FROM s, (VALUES (-1), (0), (1)) u(di), (VALUES (-1), (0), (1)) v(dj)),
+c AS (SELECT DISTINCT q_id, n.i, n.j FROM w JOIN n ON n.i = w.i AND n.j = w.j AND (x-sx)*(x-sx)+(y-sy)*(y-sy) <= 1e-4), t AS (SELECT count(*) AS total FROM n)
 SELECT a.id, t.total, count(c.i) AS covered, round(count(c.i)/(t.total*1e0), 6) AS cover FROM fx_annotations a CROSS JOIN t LEFT JOIN c ON a.id = c.q_id GROUP BY a.id, t.total""", "fx_points", "fx_annotations")
 def canopy_cover(points, anns):
     """Share of the hemisphere's base grid near a projected point."""
-    return measures.canopy_cover(points, anns, R, 0.05).select("id", "total", "covered", r(F.col("cover"), 6).alias("cover"))
+    return measures.canopy_cover(points, anns, R, measures.CANOPY_SPACING).select("id", "total", "covered", r(F.col("cover"), 6).alias("cover"))
 
 
-@query(f"""WITH {PAIRS}, s AS (SELECT q_id, dx/sqrt(dx*dx+dy*dy+dz*dz)/(1+dz/sqrt(dx*dx+dy*dy+dz*dz))*5e-1 AS sx, dy/sqrt(dx*dx+dy*dy+dz*dz)/(1+dz/sqrt(dx*dx+dy*dy+dz*dz))*5e-1 AS sy FROM pairs WHERE dz > 0),
-k AS (SELECT i, j, -5e-1 + i*1e-2 AS x, -5e-1 + j*1e-2 AS y FROM range(101) a(i), range(101) b(j)), n AS (SELECT * FROM k WHERE x*x+y*y <= 25e-2 + 1e-12),
-c AS (SELECT DISTINCT q_id, i, j FROM s JOIN n ON (x-sx)*(x-sx)+(y-sy)*(y-sy) <= 1e-4), t AS (SELECT count(*) AS total FROM n)
-SELECT a.id, t.total, count(c.i) AS covered, round(count(c.i)/(t.total*1e0), 6) AS cover FROM fx_annotations a CROSS JOIN t LEFT JOIN c ON a.id = c.q_id GROUP BY a.id, t.total""", "fx_points", "fx_annotations")
-def canopy_cover_fine(points, anns):
-    """The same at the operator's own spacing."""
-    return measures.canopy_cover(points, anns, R, measures.CANOPY_SPACING).select("id", "total", "covered", r(F.col("cover"), 6).alias("cover"))
+# the same query by its name of the last round
+QUERIES["canopy_cover_fine"], SQL["canopy_cover_fine"] = QUERIES["canopy_cover"], SQL["canopy_cover"]
 
 
 ZC = "zc AS (SELECT a.id, a.x AS ax, a.y AS ay, p.point_id, p.x, p.y, p.z, median(p.z) OVER (PARTITION BY a.id) AS mz, count(*) OVER (PARTITION BY a.id) AS n FROM fx_annotations a JOIN fx_points p ON sqrt((p.x-a.x)*(p.x-a.x)+(p.y-a.y)*(p.y-a.y)) <= {r})"
@@ -401,3 +390,137 @@ def plane_inliers(points):
     """Points within a hundredth of a given plane, with a clipped normal."""
     away = F.abs(-0.3 * F.col("x") - 0.1 * F.col("y") + F.col("z") - 0.05)
     return points.where(away <= 0.01).select("point_id", r(clip(F.col("nx"), -0.1, 0.1), 5).alias("c"))
+
+
+def lit(v: float) -> str:
+    """A number that both engines read as a double."""
+    return f"({v:.17e})"
+
+
+LEAN = (0.2, -0.1, 0.95)
+_TURN = t.up_vector(LEAN).rows()
+_TURNED = "tp AS (SELECT *, " + ", ".join(f"{lit(m[0])}*x + {lit(m[1])}*y + {lit(m[2])}*z AS p{a}" for a, m in zip("xy", _TURN, strict=False)) + " FROM fx_points)"
+
+
+def nodes(table: str, step: str) -> str:
+    """CTE `n`: nodes of a grid over a table's box."""
+    return f"""b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM {table}),
+n AS (SELECT CAST(i AS INT) AS ix, CAST(j AS INT) AS iy, x0 + i*{step} AS gx, y0 + j*{step} AS gy FROM b, range(50) a(i), range(50) c(j) WHERE i < ceil((x1-x0)/{step}) AND j < ceil((y1-y0)/{step}))"""
+
+
+@query(f"""WITH {_TURNED}, {nodes("fx_points", "5e-1")}, d AS (SELECT ix, iy, point_id, sqrt((px-gx)*(px-gx)+(py-gy)*(py-gy)) AS d FROM n JOIN tp ON sqrt((px-gx)*(px-gx)+(py-gy)*(py-gy)) <= 25e-2),
+k AS (SELECT *, row_number() OVER (PARTITION BY ix, iy ORDER BY d, point_id) AS rk FROM d) SELECT ix, iy, point_id, round(d, 5) AS d FROM k WHERE rk = 1""", "fx_points")
+def grid_raycast(points):
+    """The point nearest to each slanted ray of a grid."""
+    return spatial.grid_raycast(points, 0.5, LEAN).select("ix", "iy", "point_id", r(F.col("d"), 5).alias("d"))
+
+
+_LINE = """sg AS (SELECT *, lead(x) OVER (ORDER BY pos) AS x2, lead(y) OVER (ORDER BY pos) AS y2, lead(z) OVER (ORDER BY pos) AS z2 FROM fx_annotations),
+tl AS (SELECT x + (x2-x)*k/49 AS tx, y + (y2-y)*k/49 AS ty, z + (z2-z)*k/49 AS tz FROM sg, range(50) t(k) WHERE x2 IS NOT NULL)"""
+
+
+@query(f"""WITH {_LINE}, {nodes("fx_annotations", "5e-1")}, d AS (SELECT ix, iy, point_id, x, y, sqrt((x-gx)*(x-gx)+(y-gy)*(y-gy)) AS d FROM n JOIN fx_points ON sqrt((x-gx)*(x-gx)+(y-gy)*(y-gy)) <= 5e-1),
+k AS (SELECT *, row_number() OVER (PARTITION BY ix, iy ORDER BY d, point_id) AS rk FROM d)
+SELECT ix, iy, point_id, round(min(sqrt((x-tx)*(x-tx)+(y-ty)*(y-ty))), 5) AS d FROM k, tl WHERE rk = 1 AND sqrt((x-tx)*(x-tx)+(y-ty)*(y-ty)) <= 3e-2 GROUP BY ix, iy, point_id""", "fx_points", "fx_annotations")
+def transect_raycast(points, anns):
+    """Rays over the markers' box that meet a point within a step, near the transect."""
+    return spatial.transect_raycast(points, anns, 0.5, 0.03).select("ix", "iy", "point_id", r(F.col("d"), 5).alias("d"))
+
+
+@query(f"""WITH {_LINE}, {nodes("fx_points", "25e-2")}, d AS (SELECT ix, iy, point_id, x, y, sqrt((x-gx)*(x-gx)+(y-gy)*(y-gy)) AS d FROM n JOIN fx_points ON sqrt((x-gx)*(x-gx)+(y-gy)*(y-gy)) <= 1e-2),
+k AS (SELECT *, row_number() OVER (PARTITION BY ix, iy ORDER BY d, point_id) AS rk FROM d)
+SELECT ix, iy, point_id, round(min(sqrt((x-tx)*(x-tx)+(y-ty)*(y-ty))), 5) AS d FROM k, tl WHERE rk = 1 AND sqrt((x-tx)*(x-tx)+(y-ty)*(y-ty)) <= 3e-2 GROUP BY ix, iy, point_id""", "fx_points", "fx_annotations")
+def transect_nearest(points, anns):
+    """Points within a centimetre of a grid's nodes, near the transect."""
+    return spatial.transect_nearest(points, anns, 0.25, 0.03).select("ix", "iy", "point_id", r(F.col("d"), 5).alias("d"))
+
+
+@query("""WITH o AS (SELECT min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM fx_points),
+h AS (SELECT i, j, k, x0 + i*1e0 AS xl, y0 + j*1e0 AS yl, md5(i || ':' || j || ':' || k || ':1') AS h FROM o, range(20) a(i), range(20) b(j), range(20) c(k) WHERE i < ceil(x1-x0) AND j < ceil(y1-y0)),
+pl AS (SELECT i || '-' || j || '-' || k AS id, xl + CAST('0x' || substr(h, 1, 8) AS BIGINT)/4294967296e0*((xl+1e0)-xl) AS ax, yl + CAST('0x' || substr(h, 9, 8) AS BIGINT)/4294967296e0*((yl+1e0)-yl) AS ay FROM h),
+s AS (SELECT id, ax, ay, median(z) AS az FROM pl JOIN fx_points ON sqrt((x-ax)*(x-ax)+(y-ay)*(y-ay)) <= 1e-1 GROUP BY id, ax, ay),
+d AS (SELECT id, point_id, sqrt((x-ax)*(x-ax)+(y-ay)*(y-ay)+(z-az)*(z-az)) AS d FROM s JOIN fx_points ON abs(x-ax) <= 5e-2 AND sqrt((x-ax)*(x-ax)+(y-ay)*(y-ay)+(z-az)*(z-az)) <= 5e-2),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, point_id) AS rk FROM d) SELECT id, point_id, round(d, 5) AS d FROM k WHERE rk = 1""", "fx_points")
+def stratified_raycast(points):
+    """Random places of every cell dropped onto the surface and snapped to the nearest point."""
+    places = grids.random_in_cells(grids.grid_cells(points, 1.0), 20).withColumn("id", F.concat_ws("-", "i", "j", "k"))
+    return spatial.snapped(points, places, 0.1, 0.05).select("id", "point_id", r(F.col("d"), 5).alias("d"))
+
+
+@query("""WITH s AS (SELECT covar_samp(x,x) AS cxx, covar_samp(y,y) AS cyy, covar_samp(z,z) AS czz, covar_samp(x,y) AS cxy, covar_samp(x,z) AS cxz, covar_samp(y,z) AS cyz FROM fx_points),
+e1 AS (SELECT *, (cxx+cyy+czz)/3 AS q FROM s), e2 AS (SELECT *, sqrt(((cxx-q)*(cxx-q)+(cyy-q)*(cyy-q)+(czz-q)*(czz-q)+2*(cxy*cxy+cxz*cxz+cyz*cyz))/6) AS p FROM e1),
+e3 AS (SELECT *, ((cxx-q)*((cyy-q)*(czz-q)-cyz*cyz) - cxy*(cxy*(czz-q)-cyz*cxz) + cxz*(cxy*cyz-(cyy-q)*cxz))/(2*p*p*p) AS rr FROM e2),
+e4 AS (SELECT *, q + 2*p*cos(acos(greatest(-1e0, least(1e0, rr)))/3) AS l FROM e3),
+e5 AS (SELECT cyz*cxy - cxz*(cyy-l) AS vx, cxz*cxy - (cxx-l)*cyz AS vy, (cxx-l)*(cyy-l) - cxy*cxy AS vz FROM e4),
+e6 AS (SELECT vx/sqrt(vx*vx+vy*vy+vz*vz) AS x, vy/sqrt(vx*vx+vy*vy+vz*vz) AS y, vz/sqrt(vx*vx+vy*vy+vz*vz) AS z FROM e5),
+g AS (SELECT *, CASE WHEN greatest(abs(x), abs(y), abs(z)) = greatest(x, y, z) THEN 1e0 ELSE -1e0 END AS k FROM e6)
+SELECT 'xy' AS plane, round(x*k, 5) + 0e0 AS ax, round(y*k, 5) + 0e0 AS ay, 0e0 AS az FROM g UNION ALL SELECT 'xz', round(x*k, 5) + 0e0, 0e0, round(z*k, 5) + 0e0 FROM g UNION ALL SELECT 'yz', 0e0, round(y*k, 5) + 0e0, round(z*k, 5) + 0e0 FROM g""", "fx_points")
+def principal_axis(points):
+    """The cloud's direction of most spread in the three planes."""
+    of = lambda plane: measures.principal_axis(points, plane).select(F.lit(plane).alias("plane"), *(r(F.col(f"a{a}"), 5).alias(f"a{a}") for a in "xyz"))
+    return of("xy").unionByName(of("xz")).unionByName(of("yz"))
+
+
+@query("""WITH o AS (SELECT min(x) AS x0, min(y) AS y0 FROM fx_points)
+SELECT CAST(floor((y-y0)/25e-2) AS INT) AS iy, CAST(floor((x-x0)/25e-2) AS INT) AS ix, count(*) AS n, CAST(floor(avg(r)*255) AS INT) AS r, CAST(floor(avg(g)*255) AS INT) AS g, CAST(floor(avg(b)*255) AS INT) AS b FROM fx_points, o GROUP BY ALL""", "fx_points")
+def camera_raster(points):
+    """The cloud as an orthographic picture."""
+    return grids.camera_raster(points, 0.25)
+
+
+@query("""WITH p AS (SELECT *, CAST(floor((x-2e0)/5e-2) AS INT) AS ix, CAST(floor((y-1e0)/5e-2) AS INT) AS iy FROM fx_points)
+SELECT iy, ix, count(*) AS n, CAST(floor(avg(r)*255) AS INT) AS r, CAST(floor(avg(g)*255) AS INT) AS g, CAST(floor(avg(b)*255) AS INT) AS b FROM p WHERE ix BETWEEN 0 AND 99 AND iy BETWEEN 0 AND 99 GROUP BY ALL""", "fx_points")
+def camera_raster_cropped(points):
+    """The same cropped to a window, at least a hundred pixels a side."""
+    return grids.camera_raster(points, 0.05, (2.0, 1.0, 5.0, 3.0))
+
+
+_BACK = t.euler(0.1, -0.2, 0.3).then(t.scaling(1.5)).then(t.translation(1.0, 2.0, 3.0))
+
+
+@query("SELECT point_id, x, y, z, 1e0 AS w, " + ", ".join(f"round({lit(m[0])}*x + {lit(m[1])}*y + {lit(m[2])}*z + {lit(m[3])}, 5) + 0e0 AS orig_{a}" for a, m in zip("xyz", _BACK.inverse().rows(), strict=False)) + " FROM fx_points", "fx_points")
+def original_coords(points):
+    """Where points were before a transform, and their homogeneous coordinates."""
+    h = homogeneous()
+    return orient.original_coords(points, _BACK).select("point_id", *(h[i].alias(a) for i, a in enumerate("xyzw")), *(r(F.col(f"orig_{a}"), 5).alias(f"orig_{a}") for a in "xyz"))
+
+
+@query("SELECT point_id, " + ", ".join(f"round({lit(m[0])}*x + {lit(m[1])}*y + {lit(m[2])}*z, 5) + 0e0 AS {a}" for a, m in zip("xyz", _TURN, strict=False)) + " FROM fx_points", "fx_points")
+def turn_to_vector(points):
+    """Points turned so that a vector points up."""
+    return orient.turn_to(points, LEAN).select("point_id", *(r(F.col(a), 5).alias(a) for a in "xyz"))
+
+
+@query(COMPLEXITY.replace("SELECT q_id AS id, n, inliers,", "SELECT q_id AS id, n,").split("round(degrees(acos")[0] + f"""round(rugosity, 5) AS rugosity, round(dispersion, 5) AS dispersion, round(lum, 5) AS luminance FROM g JOIN
+ (SELECT q_id AS qd, (count(*) - sqrt(pow(sum(nx/sqrt(nx*nx+ny*ny+nz*nz)), 2)+pow(sum(ny/sqrt(nx*nx+ny*ny+nz*nz)), 2)+pow(sum(nz/sqrt(nx*nx+ny*ny+nz*nz)), 2)))/nullif(count(*)-1, 0) AS dispersion,
+  2126e-4*median(r) + 7152e-4*median(g) + 722e-4*median(b) AS lum FROM pairs GROUP BY q_id) m ON m.qd = g.q_id""", "fx_points", "fx_annotations")
+def measure_all(points, anns):
+    """Several measurements of each annotation's points, assigned to the annotations."""
+    got = measures.measure(spatial.radius_join(points, anns, R), ["rugosity", "dispersion", "rgb"])
+    out = anns.join(got, F.col("id") == F.col("q_id")).where("rugosity_n >= 10")
+    return out.select("id", F.col("rugosity_n").alias("n"), r(F.col("rugosity_rugosity"), 5).alias("rugosity"), r(F.col("dispersion_dispersion"), 5).alias("dispersion"), r(F.col("rgb_luminance"), 5).alias("luminance"))
+
+
+@query("SELECT id FROM fx_annotations ORDER BY pos LIMIT 12", "fx_annotations")
+def subset_first(anns):
+    """The first twelve annotations."""
+    return an.first(anns, 12).select("id")
+
+
+@query("SELECT id FROM (SELECT id, row_number() OVER (ORDER BY pos DESC) AS k FROM fx_annotations) WHERE k BETWEEN 3 AND 9", "fx_annotations")
+def subset_slice_from_the_end(anns):
+    """Annotations by a slice that counts from the end."""
+    return an.by_range(anns, -9, -2).select("id")
+
+
+@query("""WITH o AS (SELECT min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM fx_points), e AS (SELECT (x1-x0)*(y1-y0) AS flat FROM o),
+tr AS (SELECT point_id AS a, point_id + 1 AS b, point_id + 2 AS c FROM fx_points), v AS (SELECT q.x-p.x AS ux, q.y-p.y AS uy, q.z-p.z AS uz, w.x-p.x AS vx, w.y-p.y AS vy, w.z-p.z AS vz
+ FROM tr JOIN fx_points p ON p.point_id = tr.a JOIN fx_points q ON q.point_id = tr.b JOIN fx_points w ON w.point_id = tr.c)
+SELECT round(sum(sqrt((uy*vz-uz*vy)*(uy*vz-uz*vy)+(uz*vx-ux*vz)*(uz*vx-ux*vz)+(ux*vy-uy*vx)*(ux*vy-uy*vx))/2)/nullif(max(flat), 0), 4) AS rugosity FROM v, e""", "fx_points")
+def rugosity_3d(points):
+    """A mesh's area over that of the box it lies on."""
+    tri = points.selectExpr("point_id AS t", "point_id AS a", "point_id + 1 AS b", "point_id + 2 AS c")
+    area = measures.mesh_area(points.withColumnRenamed("point_id", "v"), tri)
+    box = F.broadcast(spatial.bounding_box(points))  # one row
+    flat = (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))
+    return area.crossJoin(box).select(r(measures.rugosity_3d(flat, F.col("area"))).alias("rugosity"))

@@ -38,5 +38,14 @@ def test_twin(spark, db, name):
     assert table(got.columns, got.collect()) == want
 
 
-def test_every_query_has_a_twin():
-    assert set(catalog.queries()) == set(catalog.oracle_sql())
+#: Too slow in SQL over whole tables; against literal loops in test_operators.
+WITHOUT = {"gap_fraction_fill", "image_match_visible", "pixel_points"}
+
+
+def test_every_other_query_has_a_twin():
+    assert set(catalog.queries()) - WITHOUT == set(catalog.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(WITHOUT))
+def test_without_a_twin(spark, name):
+    assert catalog.queries()[name](spark, SF).count() > 0
