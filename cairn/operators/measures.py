@@ -170,14 +170,19 @@ def canopy_cover(points: DataFrame, queries: DataFrame, radius: float = 0.2, ste
     dx, dy, dz = (F.col(a) - F.col(f"q_{a}") for a in "xyz")
     norm = F.sqrt(dx * dx + dy * dy + dz * dz)
     flat = lambda d: F.try_divide(d, norm + dz) * radius  # noqa: E731  direction over one plus its height
-    shadow = pairs.where(dz > 0).select("q_id", "point_id", flat(dx).alias("x"), flat(dy).alias("y"), F.lit(0.0).alias("z"))
-    nodes = filled_circle(queries.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z")), radius, step)
-    cells = nodes.withColumns({"a": F.explode(F.array(*(F.floor(F.col("x") / step) + k for k in (-1, 0, 1))))}).withColumn("b", F.explode(F.array(*(F.floor(F.col("y") / step) + k for k in (-1, 0, 1)))))
-    shadow = shadow.select(F.col("q_id").alias("sid"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.floor(F.col("x") / step).alias("sa"), F.floor(F.col("y") / step).alias("sb"))
-    hit = (F.col("id") == F.col("sid")) & (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb")) & ((F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2 <= step * step)
-    covered = cells.join(shadow, hit, "left_semi").select("id", "i", "j").distinct().groupBy("id").agg(F.count("*").alias("covered"))
-    total = nodes.groupBy("id").agg(F.count("*").alias("total"))
-    return total.join(covered, "id", "left").select("id", "total", F.coalesce("covered", F.lit(0)).alias("covered"), (F.coalesce("covered", F.lit(0)) / F.col("total")).alias("cover"))
+    shadow = pairs.where(dz > 0).select("q_id", flat(dx).alias("sx"), flat(dy).alias("sy"))
+    # a point covers nodes next to it only: its node by rounding, and those around that
+    at = lambda c, k: F.explode(F.array(*(F.round((F.col(c) + F.lit(radius)) / step).cast("int") + d for d in (-1, 0, 1)))).alias(k)
+    hits = shadow.select("q_id", "sx", "sy", at("sx", "i")).select("q_id", "sx", "sy", "i", at("sy", "j"))
+    x, y = F.lit(-radius) + F.col("i") * step, F.lit(-radius) + F.col("j") * step
+    n = math.ceil((2 * radius + step) / step - 1e-9)
+    inside = F.col("i").between(0, n - 1) & F.col("j").between(0, n - 1) & (x * x + y * y <= radius * radius + 1e-12)
+    near_node = (x - F.col("sx")) ** 2 + (y - F.col("sy")) ** 2 <= step * step
+    covered = hits.where(inside & near_node).select("q_id", "i", "j").distinct().groupBy("q_id").agg(F.count("*").alias("covered"))
+    one = queries.sparkSession.createDataFrame([("all", 0.0, 0.0, 0.0)], "id string, x double, y double, z double")
+    total = F.lit(filled_circle(one, radius, step).count())
+    out = queries.select("id").join(covered, F.col("id") == F.col("q_id"), "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+    return out.select("id", total.alias("total"), "covered", (F.col("covered") / total).alias("cover"))
 
 
 def ransac_plane(points: DataFrame, iterations: int = 1000, inlier: float = INLIER_RANGE, seed: int = 1) -> DataFrame:

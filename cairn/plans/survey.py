@@ -372,14 +372,6 @@ def depth_residuals(suppliers):
     return out.select("n", r(F.col("mse"), 7).alias("mse"), *(r(F.col(c), 6).alias(c) for c in ("rmse", "mae", "most")))
 
 
-@query(None, "fx_points", "fx_annotations", "fx_cameras")
-def image_match_visible(points, anns, cams):
-    """Each annotation's matches, those far from what their ray meets left out and unsure ones last."""
-    found = cut(matches(anns, cams), "matches")
-    rows = cam.ranked(cam.reprojection(found, points, PLAIN, 0.05, 0.2, 7.0), occlusion=True)
-    return rows.select("ann_id", "cam_id", "rank", "obstructed", F.col("hit_id").alias("point_id"), r(F.col("reproj_error"), 5).alias("reproj_error"))
-
-
 @query(None, "fx_points", "fx_cameras")
 def pixel_points(points, cams):
     """The points that three pixels of every camera look at."""
