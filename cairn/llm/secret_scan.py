@@ -177,8 +177,8 @@ l AS (SELECT doc_id, rank, kind, least, n,
              CASE WHEN n = 0 THEN 0 ELSE length(split_part(piece, {marks[2]}, 1)) END AS len,
              CASE WHEN n = 0 THEN -1 ELSE length(split_part(split_part(piece, {marks[2]}, 2), {marks[1]}, 1)) END AS part,
              CASE WHEN n = 0 THEN length(piece) ELSE length(split_part(piece, {marks[1]}, 2)) END AS rest FROM e),
-s AS (SELECT *, coalesce(sum(len + rest) OVER (PARTITION BY doc_id, rank ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM l),
-f AS (SELECT doc_id, rank, kind, at, kind || ':' || CAST(at AS BIGINT) || ':' || CAST(at + len AS BIGINT) AS span FROM s WHERE n > 0 AND part >= least),
-g AS (SELECT doc_id, {counted}, string_agg(span, ',' ORDER BY at, rank) AS spans,
-             coalesce(string_agg(span, ',' ORDER BY at, rank) FILTER (kind IN ({base})), '') AS base FROM f GROUP BY doc_id)
+s AS (SELECT *, coalesce(sum(len + rest) OVER (PARTITION BY doc_id, rank ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM l),
+f AS (SELECT doc_id, rank, kind, place, kind || ':' || CAST(place AS BIGINT) || ':' || CAST(place + len AS BIGINT) AS span FROM s WHERE n > 0 AND part >= least),
+g AS (SELECT doc_id, {counted}, string_agg(span, ',' ORDER BY place, rank) AS spans,
+             coalesce(string_agg(span, ',' ORDER BY place, rank) FILTER (kind IN ({base})), '') AS base FROM f GROUP BY doc_id)
 SELECT d.doc_id, {counts}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON d.doc_id = g.doc_id"""

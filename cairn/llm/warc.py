@@ -273,7 +273,7 @@ SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 g AS (SELECT page_id, strlen(h) AS n, sha1(h) AS s, min(page_id) OVER (PARTITION BY h) AS f FROM p)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
-       array_to_string(list_transform(range(8), k -> array_to_string(list_transform(range(4), j ->
+       array_to_string(list_transform(range(8), lambda k: array_to_string(list_transform(range(4), lambda j:
          substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(s, CAST(5 * k + 1 AS INTEGER), 5) AS BIGINT) >> (15 - 5 * j)) & 31) + 1 AS INTEGER), 1)), '')), '') AS payload_digest,
        CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = f THEN NULL ELSE f END AS refers_to
