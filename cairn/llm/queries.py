@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import best_fit_packing, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, warc
+from cairn.llm import best_fit_packing, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, source_divergence, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ, and the terms that each overuses."""
+    return source_divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over documents."""
     import corpus_pipeline
@@ -76,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Query name to callable(spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_best_fit_packing, op4_ngram_join, op5_line_dedup, op6_mixing, op7_warc, op8_language_id, op9_quality_classifier, op10_secret_scan, pipeline)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_best_fit_packing, op4_ngram_join, op5_line_dedup, op6_mixing, op7_warc, op8_language_id, op9_quality_classifier, op10_secret_scan, op11_source_divergence, pipeline)}
 
 
 OP2_SQL = """
@@ -87,4 +92,4 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
 
 def oracle_sql() -> dict:
     """Query name to DuckDB SQL."""
-    return {"op2_exact_dedup": OP2_SQL, "op5_line_dedup": line_dedup.SQL, "op6_mixing": mixing.sql(), "op7_warc": warc.SQL, "op10_secret_scan": secret_scan.sql()}
+    return {"op2_exact_dedup": OP2_SQL, "op5_line_dedup": line_dedup.SQL, "op6_mixing": mixing.sql(), "op7_warc": warc.SQL, "op10_secret_scan": secret_scan.sql(), "op11_source_divergence": source_divergence.SQL}
