@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import best_fit_packing, decontamination, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, source_divergence, warc
+from cairn.llm import best_fit_packing, decontamination, exact_dedup, language_id, line_dedup, mixing, ngram_join, prefix_trie, quality_classifier, quality_rules, secret_scan, source_divergence, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,11 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digests(decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of beginnings of conversations, rebuilt to share their starts."""
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"), prefix_trie.with_shared_starts)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over documents."""
     import corpus_pipeline
@@ -86,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Query name to callable(spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_best_fit_packing, op4_ngram_join, op5_line_dedup, op6_mixing, op7_warc, op8_language_id, op9_quality_classifier, op10_secret_scan, op11_source_divergence, op12_decontamination, pipeline)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_best_fit_packing, op4_ngram_join, op5_line_dedup, op6_mixing, op7_warc, op8_language_id, op9_quality_classifier, op10_secret_scan, op11_source_divergence, op12_decontamination, op13_prefix_trie, pipeline)}
 
 
 OP2_SQL = """
@@ -97,4 +102,4 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
 
 def oracle_sql() -> dict:
     """Query name to DuckDB SQL."""
-    return {"op2_exact_dedup": OP2_SQL, "op5_line_dedup": line_dedup.SQL, "op6_mixing": mixing.sql(), "op7_warc": warc.SQL, "op10_secret_scan": secret_scan.sql(), "op11_source_divergence": source_divergence.SQL, "op12_decontamination": decontamination.SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op5_line_dedup": line_dedup.SQL, "op6_mixing": mixing.sql(), "op7_warc": warc.SQL, "op10_secret_scan": secret_scan.sql(), "op11_source_divergence": source_divergence.SQL, "op12_decontamination": decontamination.SQL, "op13_prefix_trie": "WITH RECURSIVE" + prefix_trie.SQL.strip().removeprefix("WITH")}
