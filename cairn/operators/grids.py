@@ -125,7 +125,8 @@ def camera_raster(points: DataFrame, resolution: float = 0.005, window: tuple[fl
         at = lambda c, low: F.floor((F.col(c) - F.lit(float(low))) / resolution).cast("int")
         width, height = (max(math.ceil((b - a) / resolution), least) for a, b in ((x0, x1), (y0, y1)))
         rows = points.withColumns({"ix": at("x", x0), "iy": at("y", y0)}).where(F.col("ix").between(0, width - 1) & F.col("iy").between(0, height - 1))
-        byte = lambda c: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg(c))) * 255).cast("int").alias(c)
+        # rounded first: a mean that is a whole number of bytes must not depend on the order of summation
+        byte = lambda c: F.floor(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg(c))) * 255, 6)).cast("int").alias(c)
         return rows.groupBy("iy", "ix").agg(F.count("*").alias("n"), *(byte(c) for c in "rgb"))
 
     if window is not None and (box[0] is None or drawn(*window).take(1)):

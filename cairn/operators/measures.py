@@ -139,10 +139,17 @@ def disc_pixels(resolution: int = 200) -> int:
     return sum((x - r) ** 2 + (y - r) ** 2 <= r * r for x in range(resolution) for y in range(resolution))
 
 
-def gap_fraction(pairs: DataFrame, resolution: int = 200) -> DataFrame:
-    """q_id, covered pixels and the share of the disc without any."""
+def within_xy(pairs: DataFrame, radius: float | None) -> DataFrame:
+    """Pairs no farther apart than radius in xy; all without one."""
+    return pairs if radius is None else pairs.where(F.hypot(F.col("x") - F.col("q_x"), F.col("y") - F.col("q_y")) <= F.lit(float(radius)))
+
+
+def gap_fraction(pairs: DataFrame, resolution: int = 200, queries: DataFrame | None = None, max_radius: float | None = None) -> DataFrame:
+    """q_id, covered pixels and the share of the disc without any; with queries (id) also those under an open sky."""
     area = disc_pixels(resolution)
-    out = gap_pixels(pairs, resolution).select("q_id", "px", "py").distinct().groupBy("q_id").agg(F.count("*").alias("covered"))
+    out = gap_pixels(within_xy(pairs, max_radius), resolution).select("q_id", "px", "py").distinct().groupBy("q_id").agg(F.count("*").alias("covered"))
+    if queries is not None:
+        out = queries.select(F.col("id").alias("q_id")).join(out, "q_id", "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
     return out.withColumn("gap_raw", (F.lit(area) - F.col("covered")) / F.lit(float(area)))
 
 

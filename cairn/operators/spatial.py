@@ -176,9 +176,11 @@ def bounding_box(points: DataFrame) -> DataFrame:
 
 
 def grid_intercept(points: DataFrame, step: float, cap: float | None = None) -> DataFrame:
-    """For each grid node the nearest point in xy within cap (half a step by default)."""
+    """For every grid node the nearest point in xy, however far; with a cap only nodes that have one within it."""
     nodes = grid_nodes(bounding_box(points), step)
-    return nearest_within(points, nodes, cap or step / 2, ["ix", "iy"], flat=True)
+    if cap is None:
+        return nearest(points, nodes, step / 2, ["ix", "iy"], flat=True)
+    return nearest_within(points, nodes, cap, ["ix", "iy"], flat=True)
 
 
 def transect_points(markers: DataFrame, n: int = 50) -> DataFrame:
@@ -190,8 +192,8 @@ def transect_points(markers: DataFrame, n: int = 50) -> DataFrame:
 
 
 def transect_sample(points: DataFrame, markers: DataFrame, step: float, reach: float) -> DataFrame:
-    """Grid intercepts within reach in xy of the transect."""
-    hits = grid_intercept(points, step)
+    """Grid intercepts up to half a step away, within reach in xy of the transect."""
+    hits = grid_intercept(points, step, step / 2)
     close = near(hits, transect_points(markers).withColumn("id", F.concat_ws("-", "pos", "k")), reach, flat=True)
     return close.groupBy("ix", "iy").agg(F.first("point_id").alias("point_id"), F.min("d").alias("d"))
 

@@ -161,10 +161,18 @@ px AS (SELECT *, greatest(0, least(199, CAST(trunc((ph*cos(th)+pi()/2)/pi()*200)
 
 
 @query(f"""WITH {GAP}, area AS (SELECT count(*) AS n FROM range(200) a(x), range(200) b(y) WHERE (x-100)*(x-100)+(y-100)*(y-100) <= 10000)
-SELECT q_id AS id, count(DISTINCT px*1000+py) AS covered, round((max(area.n) - count(DISTINCT px*1000+py))/(max(area.n)*1e0), 6) AS gap_raw FROM px, area GROUP BY q_id""", "fx_points", "fx_annotations")
+SELECT a.id, count(DISTINCT px*1000+py) AS covered, round((max(area.n) - count(DISTINCT px*1000+py))/(max(area.n)*1e0), 6) AS gap_raw FROM fx_annotations a CROSS JOIN area LEFT JOIN px ON px.q_id = a.id GROUP BY a.id""", "fx_points", "fx_annotations")
 def gap_fraction_raw(points, anns):
-    """Share of the sky image that no point covers."""
-    out = measures.gap_fraction(spatial.radius_join(points, anns, R))
+    """Share of the sky image that no point covers; of an open sky that is all of it."""
+    out = measures.gap_fraction(spatial.radius_join(points, anns, R), queries=anns)
+    return out.select(F.col("q_id").alias("id"), "covered", r(F.col("gap_raw"), 6).alias("gap_raw"))
+
+
+@query(f"""WITH {GAP}, area AS (SELECT count(*) AS n FROM range(200) a(x), range(200) b(y) WHERE (x-100)*(x-100)+(y-100)*(y-100) <= 10000)
+SELECT a.id, count(DISTINCT px*1000+py) AS covered, round((max(area.n) - count(DISTINCT px*1000+py))/(max(area.n)*1e0), 6) AS gap_raw FROM fx_annotations a CROSS JOIN area LEFT JOIN px ON px.q_id = a.id AND sqrt(px.dx*px.dx+px.dy*px.dy) <= 15e-2 GROUP BY a.id""", "fx_points", "fx_annotations")
+def gap_fraction_within(points, anns):
+    """The same over points within 15 cm in xy of each annotation."""
+    out = measures.gap_fraction(spatial.radius_join(points, anns, R), queries=anns, max_radius=0.15)
     return out.select(F.col("q_id").alias("id"), "covered", r(F.col("gap_raw"), 6).alias("gap_raw"))
 
 
@@ -212,11 +220,11 @@ def z_intercept_extrapolated(points, anns):
 
 @query("""WITH b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM fx_points),
 n AS (SELECT i AS ix, j AS iy, x0 + i*5e-1 AS nx, y0 + j*5e-1 AS ny FROM b, range(30) a(i), range(30) c(j) WHERE i < ceil((x1-x0)/5e-1) AND j < ceil((y1-y0)/5e-1)),
-d AS (SELECT ix, iy, point_id, sqrt((x-n.nx)*(x-n.nx)+(y-n.ny)*(y-n.ny)) AS d FROM n JOIN fx_points p ON sqrt((x-n.nx)*(x-n.nx)+(y-n.ny)*(y-n.ny)) <= 25e-2),
+d AS (SELECT ix, iy, point_id, sqrt((x-n.nx)*(x-n.nx)+(y-n.ny)*(y-n.ny)) AS d FROM n, fx_points p),
 k AS (SELECT *, row_number() OVER (PARTITION BY ix, iy ORDER BY d, point_id) AS rk FROM d)
 SELECT CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, point_id, round(d, 5) AS d FROM k WHERE rk = 1""", "fx_points")
 def grid_intercept(points):
-    """The nearest point to each vertical ray of a grid."""
+    """The nearest point to every vertical ray of a grid, however far."""
     return spatial.grid_intercept(points, 0.5).select("ix", "iy", "point_id", r(F.col("d"), 5).alias("d"))
 
 
@@ -462,14 +470,14 @@ def principal_axis(points):
 
 
 @query("""WITH o AS (SELECT min(x) AS x0, min(y) AS y0 FROM fx_points)
-SELECT CAST(floor((y-y0)/25e-2) AS INT) AS iy, CAST(floor((x-x0)/25e-2) AS INT) AS ix, count(*) AS n, CAST(floor(avg(r)*255) AS INT) AS r, CAST(floor(avg(g)*255) AS INT) AS g, CAST(floor(avg(b)*255) AS INT) AS b FROM fx_points, o GROUP BY ALL""", "fx_points")
+SELECT CAST(floor((y-y0)/25e-2) AS INT) AS iy, CAST(floor((x-x0)/25e-2) AS INT) AS ix, count(*) AS n, CAST(floor(round(avg(r)*255, 6)) AS INT) AS r, CAST(floor(round(avg(g)*255, 6)) AS INT) AS g, CAST(floor(round(avg(b)*255, 6)) AS INT) AS b FROM fx_points, o GROUP BY ALL""", "fx_points")
 def camera_raster(points):
     """The cloud as an orthographic picture."""
     return grids.camera_raster(points, 0.25)
 
 
 @query("""WITH p AS (SELECT *, CAST(floor((x-2e0)/5e-2) AS INT) AS ix, CAST(floor((y-1e0)/5e-2) AS INT) AS iy FROM fx_points)
-SELECT iy, ix, count(*) AS n, CAST(floor(avg(r)*255) AS INT) AS r, CAST(floor(avg(g)*255) AS INT) AS g, CAST(floor(avg(b)*255) AS INT) AS b FROM p WHERE ix BETWEEN 0 AND 99 AND iy BETWEEN 0 AND 99 GROUP BY ALL""", "fx_points")
+SELECT iy, ix, count(*) AS n, CAST(floor(round(avg(r)*255, 6)) AS INT) AS r, CAST(floor(round(avg(g)*255, 6)) AS INT) AS g, CAST(floor(round(avg(b)*255, 6)) AS INT) AS b FROM p WHERE ix BETWEEN 0 AND 99 AND iy BETWEEN 0 AND 99 GROUP BY ALL""", "fx_points")
 def camera_raster_cropped(points):
     """The same cropped to a window, at least a hundred pixels a side."""
     return grids.camera_raster(points, 0.05, (2.0, 1.0, 5.0, 3.0))

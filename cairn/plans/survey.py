@@ -110,12 +110,12 @@ def pixel_scale(anns, cams):
 
 @query(f"""WITH {proj()}, s AS (SELECT *, abs(q2)/3e3 AS ps FROM m), b AS (SELECT *, greatest(0, u - floor(round(1e-1/ps)/2)) AS x1, least(4000, u + floor(round(1e-1/ps)/2)) AS x2,
  greatest(0, v - floor(round(6e-2/ps)/2)) AS y1, least(3000, v + floor(round(6e-2/ps)/2)) AS y2 FROM s)
-SELECT ann_id, cam_id, CAST((x2-x1)*(y2-y1) AS BIGINT) AS area_px, round((x2-x1)*(y2-y1)*ps*ps*1e4, 4) AS area_cm2 FROM b""", "fx_annotations", "fx_cameras")
+SELECT ann_id, cam_id, CAST((x2-x1)*(y2-y1) AS BIGINT) AS area_px, floor((x2-x1)*(y2-y1)*ps*ps*1e4*1e4 + 5e-1)/1e4 AS area_cm2 FROM b""", "fx_annotations", "fx_cameras")
 def mask_area(anns, cams):
     """Area of a rectangle about each match."""
     rows = matches(anns, cams).withColumn("pixel_scale", F.abs("depth") / 3000.0)
     out = cam.rectangular_mask(rows, 0.1, 0.06, PLAIN)
-    return out.select("ann_id", "cam_id", F.col("area_px").cast("long").alias("area_px"), r(F.col("area_cm2")).alias("area_cm2"))
+    return out.select("ann_id", "cam_id", F.col("area_px").cast("long").alias("area_px"), (F.floor(F.col("area_cm2") * 1e4 + 0.5) / 1e4).alias("area_cm2"))  # rounded alike by any engine
 
 
 @query("""WITH d AS (SELECT c.cam_id, sqrt((p.x-c.cx)*(p.x-c.cx)+(p.y-c.cy)*(p.y-c.cy)+(p.z-c.cz)*(p.z-c.cz)) AS d, -(p.z-c.cz) AS h FROM fx_points p, fx_cameras c),
@@ -306,7 +306,7 @@ def center_crop(suppliers):
 @query(None, "fx_points", "fx_annotations")
 def gap_fraction_fill(points, anns):
     """Share of the sky image that a fill from the centre and from upslope reaches."""
-    out = images.gap_fill(spatial.radius_join(points, anns, R))
+    out = images.gap_fill(spatial.radius_join(points, anns, R), queries=anns)
     return out.select(F.col("q_id").alias("id"), "filled", r(F.col("gap_fill"), 6).alias("gap_fill"))
 
 

@@ -322,3 +322,22 @@ def test_cell_area(spark):
     rows = [(i * 40 + j, i / 40, j / 40, 0.0, 0.0, 0.0, 1.0) for i in range(40) for j in range(40)]
     area = measures.cell_area(spark.createDataFrame(rows, POINT + ", nx double, ny double, nz double"), 0.1).first().area
     assert abs(area - 1.0) < 0.25
+
+
+def test_an_open_sky_is_all_gap(spark):
+    anns = spark.createDataFrame([("low", 0.0, 0.0, -1.0), ("high", 0.0, 0.0, 5.0)], "id string, x double, y double, z double")
+    points = spark.createDataFrame([(1, 0.3, 0.0, 0.0, 0.0, 0.0, 1.0)], "point_id long, x double, y double, z double, nx double, ny double, nz double")
+    pairs = spatial.radius_join(points, anns, 2.0)
+    got = {r.q_id: r for r in measures.gap_fraction(pairs, 20, anns).collect()}
+    assert got["high"].gap_raw == 1.0 and got["high"].covered == 0 and got["low"].covered == 1
+    near = {r.q_id: r.gap_raw for r in measures.gap_fraction(pairs, 20, anns, max_radius=0.1).collect()}
+    assert near == {"low": 1.0, "high": 1.0}
+    filled = {r.q_id: r.filled for r in images.gap_fill(pairs, 20, anns).collect()}
+    assert filled["high"] == measures.disc_pixels(20) == filled["low"] + 1
+
+
+def test_every_grid_node_has_an_intercept(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 10.0, 10.0, 0.0)], "point_id long, x double, y double, z double")
+    got = spatial.grid_intercept(points, 1.0).collect()
+    assert len(got) == 100 and {r.point_id for r in got if r.ix + r.iy < 10} == {1}
+    assert spatial.grid_intercept(points, 1.0, 0.5).count() == 1
