@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cairn.functions import transforms as t
 from cairn.operators import cameras as cam
 from cairn.operators import frames as fr
-from cairn.operators import images, matching, measures, spatial
+from cairn.operators import images, matching, measures, spatial, triangulation
 from cairn.plans.fixtures import load, sql
 from cairn.plans.points import R, lit, r
 from cairn.session import cut
@@ -441,3 +441,11 @@ def camera_by_filename(suppliers):
     """The first camera whose file has a name."""
     rows = suppliers.select(F.col("s_suppkey").alias("pos"), F.concat(F.lit("img"), (F.col("s_suppkey") % 5).cast("string"), F.lit(".jpg")).alias("filename"))
     return cam.by_filename(rows, "img3").select("pos")
+
+
+@query(None, "fx_points", "fx_annotations")
+def alpha_area(points, anns):
+    """Area of the alpha shape of the points around each annotation, along their own plane."""
+    pairs = spatial.radius_join(points.select("point_id", *"xyz"), anns.select("id", *"xyz"), R)
+    out = triangulation.alpha_area(pairs, 10.0)
+    return out.select(F.col("q_id").alias("id"), "triangles", r(F.col("area"), 6).alias("area"))

@@ -39,7 +39,7 @@ def test_twin(spark, db, name):
 
 
 #: Too slow in SQL over whole tables; against literal loops in test_operators.
-WITHOUT = {"gap_fraction_fill", "pixel_points"}
+WITHOUT = {"alpha_area", "gap_fraction_fill", "pixel_points"}
 
 
 def test_every_other_query_has_a_twin():

@@ -8,7 +8,7 @@ import pytest
 from cairn.functions import transforms as t
 from cairn.operators import annotations as an
 from cairn.operators import cameras as cam
-from cairn.operators import grids, measures, orient, spatial
+from cairn.operators import grids, images, measures, orient, spatial
 from cairn.operators.graph import components
 
 POINT = "point_id long, x double, y double, z double"
@@ -292,7 +292,6 @@ def literal_fill(pixels, n):
 
 
 def test_gap_fill_against_a_literal_fill(spark):
-    from cairn.operators import images
 
     rng = np.random.default_rng(3)
     pts = rng.random((900, 3)) * [1, 1, 0.5] - [0.5, 0.5, 0]
