@@ -274,19 +274,32 @@ def pixel_points(pixels: DataFrame, points: DataFrame, cal: Calibration, radius:
     return back.select("id", "point_id", "x", "y", "z", "pixel_error")
 
 
-def visible_intercepts(points: DataFrame, queries: DataFrame, cameras: DataFrame, cal: Calibration, radius: float, clear: float = UNCERTAIN) -> DataFrame:
+def visible_intercepts(points: DataFrame, queries: DataFrame, cameras: DataFrame, cal: Calibration, radius: float, clear: float = UNCERTAIN, ray: float = 0.005, most: float = MAX_RADIUS, far: float = FAR) -> DataFrame:
     """Queries (id, x, y): of the points within radius in xy, in order of distance from (x, y, median z),
     the first that some camera sees unobstructed; where none is, the one nearest to the greatest z.
+
+    Rays are cast for the next candidates of open queries only, one in the first round and
+    twice as many in each further one.
     """
     pairs = near(points, queries.withColumn("z", F.lit(0.0)), radius, flat=True)
-    bounds = pairs.groupBy("q_id").agg(F.median("z").alias("mid"), F.max("z").alias("top"))
+    bounds = cut(pairs.groupBy("q_id").agg(F.median("z").alias("mid"), F.max("z").alias("top")), "medians")
     pairs = pairs.join(bounds, "q_id")
     gap = lambda z: F.sqrt(F.pow(F.col("x") - F.col("q_x"), 2) + F.pow(F.col("y") - F.col("q_y"), 2) + F.pow(F.col("z") - F.col(z), 2))
-    pairs = cut(pairs.select("q_id", "point_id", "x", "y", "z", gap("mid").alias("to_mid"), gap("top").alias("to_top")), "candidates")
-    named = pairs.select(F.concat_ws("#", "q_id", "point_id").alias("id"), "x", "y", "z")
-    seen = reprojection(candidates(named, cameras, cal), points, cal).where(F.col("reproj_error") <= clear)
-    seen = seen.select(F.col("ann_id").alias("name")).distinct()
-    marked = pairs.join(seen, F.concat_ws("#", "q_id", "point_id") == F.col("name"), "left").withColumn("hidden", F.col("name").isNull())
-    order = F.struct("hidden", F.when(F.col("hidden"), F.col("to_top")).otherwise(F.col("to_mid")).alias("gap"), "point_id", "x", "y", "z")
-    best = marked.groupBy("q_id").agg(F.min(order).alias("b"))
-    return best.select(F.col("q_id").alias("id"), "b.point_id", "b.x", "b.y", "b.z", (~F.col("b.hidden")).alias("is_seen"))
+    pairs = pairs.select("q_id", "point_id", "x", "y", "z", gap("mid").alias("to_mid"), gap("top").alias("to_top"))
+    pairs = cut(pairs.withColumn("turn", F.row_number().over(Window.partitionBy("q_id").orderBy("to_mid", "point_id"))), "candidates")
+    left, settled, before, size = cut(pairs.select("q_id").distinct(), "open_queries"), None, 0, 1
+    while left.take(1):
+        batch = cut(pairs.where(F.col("turn").between(before + 1, before + size)).join(left, "q_id", "left_semi"), "batch")
+        if not batch.take(1):
+            break
+        named = batch.select(F.concat_ws("#", "q_id", "point_id").alias("id"), "x", "y", "z")
+        seen = reprojection(cut(candidates(named, cameras, cal), "matches"), points, cal, ray, most, far).where(F.col("reproj_error") <= clear)
+        seen = seen.select(F.col("ann_id").alias("name")).distinct()
+        met = batch.join(seen, F.concat_ws("#", "q_id", "point_id") == F.col("name"))
+        found = cut(met.groupBy("q_id").agg(F.min(F.struct("turn", "point_id", "x", "y", "z")).alias("b")), "settled")
+        settled = found if settled is None else settled.unionByName(found)
+        left = cut(left.join(found.select("q_id"), "q_id", "left_anti"), "open_queries")
+        before, size = before + size, 2 * size
+    hidden = pairs.join(left, "q_id", "left_semi").groupBy("q_id").agg(F.min(F.struct("to_top", "point_id", "x", "y", "z")).alias("b"))
+    told = lambda rows, is_seen: rows.select(F.col("q_id").alias("id"), "b.point_id", "b.x", "b.y", "b.z", F.lit(is_seen).alias("is_seen"))
+    return told(hidden, False) if settled is None else told(settled, True).unionByName(told(hidden, False))

@@ -118,16 +118,57 @@ def search_radii(radius: float, most: float) -> list[float]:
     return out
 
 
+def _sampled(rays: DataFrame, step: float) -> DataFrame:
+    """Rays (id, ox, oy, oz, tx, ty, tz) plus len, n (whole steps) and samples: how many places are tried."""
+    rows = rays.withColumn("len", dist3(("ox", "oy", "oz"), ("tx", "ty", "tz")))
+    rows = rows.withColumn("n", F.greatest(F.floor(F.col("len") / step), F.lit(1)).cast("long"))
+    ends_early = (F.col("len") >= step) & ((F.col("n") - 1) * F.lit(float(step)) < F.col("len"))
+    return rows.withColumn("samples", F.col("n") + ends_early.cast("long"))
+
+
+def _along(t: Column) -> dict[str, Column]:
+    """Coordinates at a distance t from a ray's origin."""
+    return {a: F.col(f"o{a}") + t * F.coalesce(F.try_divide(F.col(f"t{a}") - F.col(f"o{a}"), F.col("len")), F.lit(0.0)) for a in "xyz"}
+
+
+def _placed(rows: DataFrame, step: float) -> DataFrame:
+    """id, sample, x, y, z; the sample after all whole steps is the target."""
+    t = F.when(F.col("sample") < F.col("n"), F.col("sample") * F.lit(float(step))).otherwise(F.col("len"))
+    return rows.select("id", "sample", *(c.alias(a) for a, c in _along(t).items()))
+
+
 def line_samples(rays: DataFrame, step: float) -> DataFrame:
     """Rays (id, ox, oy, oz, tx, ty, tz) sampled every step from origin to target; the target itself is last."""
-    d = dist3(("ox", "oy", "oz"), ("tx", "ty", "tz"))
-    rows = rays.withColumn("len", d).withColumn("n", F.floor(F.col("len") / step).cast("long"))
-    offsets = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0).cast("long"))), lambda k: k * F.lit(float(step)))
-    last = F.element_at(offsets, -1)
-    offsets = F.when(F.col("len") < step, F.array(F.lit(0.0))).otherwise(F.concat(offsets, F.when(last < F.col("len"), F.array("len")).otherwise(F.array().cast("array<double>"))))
-    rows = rows.select(*rays.columns, "len", F.posexplode(offsets).alias("sample", "t"))
-    at = lambda a: F.col(f"o{a}") + F.col("t") * F.coalesce(F.try_divide(F.col(f"t{a}") - F.col(f"o{a}"), F.col("len")), F.lit(0.0))
-    return rows.select("id", "sample", at("x").alias("x"), at("y").alias("y"), at("z").alias("z"))
+    rows = _sampled(rays, step).withColumn("sample", F.explode(F.sequence(F.lit(0).cast("long"), F.col("samples") - 1)))
+    return _placed(rows, step)
+
+
+#: How many parts a stretch of a ray is cut into where points are near.
+PARTS = 16
+
+
+def samples_near(rays: DataFrame, step: float, points: DataFrame, reach: float) -> DataFrame:
+    """The line_samples that may have a point within reach, by a pyramid of occupied cells.
+
+    Long stretches of rays meet coarse cells first. A stretch without a point near its
+    middle is dropped whole, any other cut into parts that meet finer cells.
+    """
+    rows = _sampled(rays, step)
+    longest = rows.agg(F.max("samples")).first()[0] or 0
+    size = 1
+    while size * PARTS < longest:
+        size *= PARTS
+    rows = rows.withColumn("sample", F.explode(F.sequence(F.lit(0).cast("long"), F.col("samples") - 1, F.lit(size).cast("long"))))
+    while size > 1:
+        # nothing of the stretch is farther from its middle than half of it, or a step more where the target ends it
+        middle = F.least((F.col("sample") + (size - 1) / 2) * F.lit(float(step)), F.col("len"))
+        wide = (size / 2 + 2) * step + reach
+        rows = near_points(rows.withColumns(_along(middle)), points, wide).drop(*"xyz")
+        part = size // PARTS
+        last = F.least(F.col("samples"), F.col("sample") + size) - 1
+        rows = rows.withColumn("sample", F.explode(F.sequence(F.col("sample"), last, F.lit(part).cast("long"))))
+        size = part
+    return near_points(_placed(rows, step), points, reach)
 
 
 def near_points(queries: DataFrame, points: DataFrame, radius: float) -> DataFrame:
@@ -150,7 +191,7 @@ def ray_intercept(points: DataFrame, rays: DataFrame, radius: float, most: float
 
     def met(some: DataFrame, reach: float) -> DataFrame:
         level = F.size(F.filter(F.array(*map(F.lit, radii)), lambda r: r < F.col("d")))
-        hits = near(points.select("point_id", *"xyz"), near_points(line_samples(some, radius), points, reach), reach, deep=True)
+        hits = near(points.select("point_id", *"xyz"), samples_near(some, radius, points, reach), reach, deep=True)
         best = hits.groupBy("q_id").agg(F.min(F.struct(level.alias("level"), F.col("q_sample").alias("sample"), "d", "point_id", "x", "y", "z")).alias("h"))
         return best.select(F.col("q_id").alias("id"), "h.level", "h.sample", "h.d", "h.point_id", "h.x", "h.y", "h.z")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cairn.functions import transforms as t
 from cairn.operators import cameras as cam
 from cairn.operators import frames as fr
-from cairn.operators import images, matching, measures, spatial, triangulation
+from cairn.operators import grids, images, matching, measures, mesh, pivoting, reconstruct, spatial, triangulation
 from cairn.plans.fixtures import load, sql
 from cairn.plans.points import R, lit, r
 from cairn.session import cut
@@ -449,3 +449,72 @@ def alpha_area(points, anns):
     pairs = spatial.radius_join(points.select("point_id", *"xyz"), anns.select("id", *"xyz"), R)
     out = triangulation.alpha_area(pairs, 10.0)
     return out.select(F.col("q_id").alias("id"), "triangles", r(F.col("area"), 6).alias("area"))
+
+
+def _mesh(points):
+    """The mesh of mesh_area: three points in a row of their ids are a triangle."""
+    tri = points.select(F.col("point_id").alias("t"), F.col("point_id").alias("a"), (F.col("point_id") + 1).alias("b"), (F.col("point_id") + 2).alias("c"))
+    return mesh.with_corners(tri, points.select(F.col("point_id").alias("v"), *"xyz"))
+
+
+def _places(points):
+    """Twenty random places in each square metre."""
+    return grids.random_in_cells(grids.grid_cells(points, 1.0), 20).withColumn("id", F.concat_ws("-", "i", "j", "k"))
+
+
+_PLACES = """o AS (SELECT min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM fx_points),
+hh AS (SELECT i, j, k, x0 + i*1e0 AS xl, y0 + j*1e0 AS yl, md5(i || ':' || j || ':' || k || ':1') AS h FROM o, range(20) a(i), range(20) b(j), range(20) c(k) WHERE i < ceil(x1-x0) AND j < ceil(y1-y0)),
+pl AS (SELECT i || '-' || j || '-' || k AS id, xl + CAST('0x' || substr(h, 1, 8) AS BIGINT)/4294967296e0*((xl+1e0)-xl) AS x, yl + CAST('0x' || substr(h, 9, 8) AS BIGINT)/4294967296e0*((yl+1e0)-yl) AS y FROM hh)"""
+_CAST = f"""{_PLACES}, tr AS ({_TRI}), m AS (SELECT tr.t, p.x AS ax, p.y AS ay, p.z AS az, q.x AS bx, q.y AS by_, q.z AS bz, w.x AS cx, w.y AS cy, w.z AS cz
+ FROM tr JOIN fx_points p ON p.point_id = tr.a JOIN fx_points q ON q.point_id = tr.b JOIN fx_points w ON w.point_id = tr.c),
+l AS (SELECT pl.id, pl.x, pl.y, m.*, ((by_-cy)*(pl.x-cx)+(cx-bx)*(pl.y-cy))/nullif((by_-cy)*(ax-cx)+(cx-bx)*(ay-cy), 0) AS l1, ((cy-ay)*(pl.x-cx)+(ax-cx)*(pl.y-cy))/nullif((by_-cy)*(ax-cx)+(cx-bx)*(ay-cy), 0) AS l2
+ FROM pl JOIN m ON pl.x BETWEEN least(ax, bx, cx) AND greatest(ax, bx, cx) AND pl.y BETWEEN least(ay, by_, cy) AND greatest(ay, by_, cy)),
+h AS (SELECT *, l1*az + l2*bz + (1-l1-l2)*cz AS z FROM l WHERE l1 >= 0 AND l2 >= 0 AND 1-l1-l2 >= 0), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY z DESC, t) AS rk FROM h) WHERE rk = 1)"""
+
+
+@query(f"WITH {_CAST} SELECT id, t, round(z, 5) + 0e0 AS z FROM f", "fx_points")
+def mesh_raycast(points):
+    """The highest triangle under random places of every cell."""
+    rays = _places(points).select("id", "x", "y", F.lit(float("inf")).alias("z"))
+    return mesh.cast_down(_mesh(points), rays).select("id", "t", r(F.col("z"), 5).alias("z"))
+
+
+@query(f"""WITH {_CAST}, d AS (SELECT f.id, p.point_id, sqrt((p.x-f.x)*(p.x-f.x)+(p.y-f.y)*(p.y-f.y)+(p.z-f.z)*(p.z-f.z)) AS d FROM f JOIN fx_points p ON abs(p.x-f.x) <= 2e-1 AND abs(p.y-f.y) <= 2e-1),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, point_id) AS rk FROM d WHERE d <= 2e-1) SELECT id, point_id, round(d, 5) AS d FROM k WHERE rk = 1""", "fx_points")
+def mesh_raycast_snapped(points):
+    """The same, and the nearest point where one is near."""
+    return mesh.mesh_snapped(points, _mesh(points), _places(points), 0.2).select("id", "point_id", r(F.col("d"), 5).alias("d"))
+
+
+@query(None, "fx_points")
+def mesh_sample(points):
+    """As many points spread over the mesh as it has."""
+    return mesh.sample_uniform(_mesh(points), points.count()).select("k", "t", *(r(F.col(a), 5).alias(a) for a in "xyz"))
+
+
+@query(None, "fx_points")
+def poisson_mesh(points):
+    """Triangles of the surface reconstructed from the points and their normals."""
+    return reconstruct.poisson_mesh(points, 6).select(*"abc", *(r(F.col(f"{k}{a}")).alias(f"{k}{a}") for k in "abc" for a in "xyz"))
+
+
+@query(None, "fx_points")
+def ball_rests(points):
+    """Triangles on which balls of one radius rest, over the points and their normals."""
+    out = pivoting.resting_places(points, pivoting.STEP * pivoting.mean_spacing(points))
+    return out.select("a", "b", "c", r(F.col("circumradius"), 6).alias("circumradius"))
+
+
+@query(None, "fx_points", "fx_annotations", "fx_cameras")
+def image_match_occluded(points, anns, cams):
+    """Each annotation's five best cameras by what their pixel rays meet, obstructed ones last."""
+    rows = cam.reprojection(cut(matches(anns, cams), "matches"), points, PLAIN, 0.02, 0.1, 7.0)
+    out = cam.ranked(rows, 5, occlusion=True)
+    return out.select("ann_id", "cam_id", "rank", "obstructed", r(F.col("reproj_error"), 5).alias("reproj_error"))
+
+
+@query(None, "fx_points", "fx_annotations", "fx_cameras")
+def visible_intercepts(points, anns, cams):
+    """The point at each annotation's xy that some camera sees unobstructed."""
+    out = cam.visible_intercepts(points, anns.select("id", "x", "y"), cam.with_pose(cams, DOWN), PLAIN, 0.1, 0.02, 0.02, 0.1, 7.0)
+    return out.select("id", "point_id", "is_seen", *(r(F.col(a), 5).alias(a) for a in "xyz"))
