@@ -1,10 +1,164 @@
-"""Descriptor matching and match heat maps."""
+"""Descriptor matching, homographies and match heat maps."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.grids import decimate
+from cairn.session import cut
+
+#: Vectors of a block, 1 MB at 32 dimensions in double.
+BLOCK = 4096
+#: Matches that quadruples are drawn from, and quadruples.
+DRAWN, QUADRUPLES = 4096, 2000
+
+
+def _packed(rows: DataFrame, block: int, name: str) -> DataFrame:
+    """Vectors (id, vec) as rows of a block each: name, ids and the values one after another, as bytes."""
+    n = max(1, -(-rows.count() // block))
+
+    def run(key, pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("id")
+        return pd.DataFrame({name: [key[0]], f"{name}_ids": [pdf["id"].to_numpy(np.int64).tobytes()], f"{name}_values": [np.stack(pdf["vec"].to_numpy()).astype(np.float64).tobytes()]})
+
+    dealt = rows.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(n)).alias(name))
+    return cut(dealt.groupBy(name).applyInPandas(run, f"{name} long, {name}_ids binary, {name}_values binary"), "blocks")
+
+
+def _two_nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each pair of blocks: every query's two nearest targets among it.
+
+    A matrix product ranks them; those that rounding could confuse with the second are measured again.
+    """
+    kinds = {"q_id": pa.int64(), "t_id": pa.int64(), "d": pa.float64()}
+    for b in batches:
+        for q_ids, q, t_ids, t in zip(*(b.column(c).to_pylist() for c in ("q_ids", "q_values", "t_ids", "t_values")), strict=True):
+            q_ids, t_ids = np.frombuffer(q_ids, np.int64), np.frombuffer(t_ids, np.int64)
+            q, t = np.frombuffer(q, np.float64).reshape(len(q_ids), -1), np.frombuffer(t, np.float64).reshape(len(t_ids), -1)
+            sizes = np.einsum("ij,ij->i", t, t)
+            for at in range(0, len(q), 256):
+                some = q[at : at + 256]
+                own = np.einsum("ij,ij->i", some, some)
+                square = own[:, None] + sizes - 2 * some @ t.T
+                square[q_ids[at : at + 256, None] == t_ids] = np.inf
+                second = np.partition(square, 1, axis=1)[:, 1] if len(t) > 1 else square[:, 0]
+                slack = 1e-12 * (own + sizes.max())
+                i, j = np.nonzero((square <= (second + slack)[:, None]) & np.isfinite(square))
+                d = np.sqrt(((some[i] - t[j]) ** 2).sum(1))
+                order = np.lexsort((t_ids[j], d, i))
+                i, j, d = i[order], j[order], d[order]
+                first = np.searchsorted(i, i)
+                near = np.arange(len(i)) - first < 2
+                yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) for k, v in (("q_id", q_ids[at + i[near]]), ("t_id", t_ids[j[near]]), ("d", d[near]))})
+
+
+def nearest_two_of_all(queries: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """q_id, t_id, d1, d2 as nearest_two, for any number of queries (id long, vec): blocks meet blocks as matrices, and a query has two rows a block of targets.
+
+    Every block of targets moves once for each block of queries; vectors of one length.
+    A query without a second target has a null d2, one without any has no row.
+    """
+    q, t = _packed(queries, block, "q"), _packed(targets, block, "t")
+    pairs = q.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(t.agg(F.max("t")).first()[0] or 0).cast("long")))).join(t, "t")
+    rows = pairs.repartition("q", "t").mapInArrow(_two_nearest, "q_id long, t_id long, d double")
+    two = F.slice(F.array_sort(F.collect_list(F.struct("d", "t_id"))), 1, 2).alias("two")  # two rows a block
+    best = rows.groupBy("q_id").agg(two)
+    return best.select("q_id", F.col("two")[0]["t_id"].alias("t_id"), F.col("two")[0]["d"].alias("d1"), F.try_element_at("two", F.lit(2))["d"].alias("d2"))
+
+
+def solved_homographies(quads: np.ndarray) -> np.ndarray:
+    """The 3 x 3 matrices that take the four (x, y) of each quadruple (n, 4, 4) to its (u, v); those of three points on a line are left out."""
+    x, y, u, v = (quads[:, :, k] for k in range(4))
+    zero, one = np.zeros_like(x), np.ones_like(x)
+    a = np.concatenate([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y], 2), np.stack([zero, zero, zero, x, y, one, -v * x, -v * y], 2)], 1)
+    b = np.concatenate([u, v], 1)
+    corners = [(0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3)]
+    turn = lambda p, q, k: (p[:, k[1]] - p[:, k[0]]) * (q[:, k[2]] - q[:, k[0]]) - (p[:, k[2]] - p[:, k[0]]) * (q[:, k[1]] - q[:, k[0]])
+    spread = np.min([np.abs(turn(p, q, k)) / (np.ptp(p, axis=1) * np.ptp(q, axis=1) + 1e-300) for k in corners for p, q in ((x, y), (u, v))], axis=0)
+    good = (spread > 1e-6) & (np.abs(np.linalg.det(a)) > 0)
+    h = np.linalg.solve(a[good], b[good][:, :, None])[:, :, 0]
+    return np.concatenate([h, np.ones((len(h), 1))], 1).reshape(-1, 3, 3)
+
+
+def projected(h: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where matrices (.., 3, 3) take points; behind the horizon at infinity."""
+    w = h[..., 2, 0, None] * x + h[..., 2, 1, None] * y + h[..., 2, 2, None]
+    w = np.where(np.abs(w) < 1e-12, np.nan, w)
+    return (h[..., 0, 0, None] * x + h[..., 0, 1, None] * y + h[..., 0, 2, None]) / w, (h[..., 1, 0, None] * x + h[..., 1, 1, None] * y + h[..., 1, 2, None]) / w
+
+
+def homography(matches: DataFrame, threshold: float = 5.0, seed: int = 1, refits: int = 3) -> np.ndarray:
+    """The 3 x 3 matrix that takes (x, y) to (u, v) of most matches (k, x, y, u, v) within a threshold in pixels.
+
+    Quadruples are drawn from the first DRAWN matches in seeded order, a documented bound;
+    each scan of all matches counts what agrees with every hypothesis, and the best one is
+    fitted again to all that agree, by sums that tasks add up. Fewer than four matches are
+    an error.
+    """
+    rows = matches.select("k", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "u", "v"))).dropna()
+    held = decimate(rows, DRAWN, str(seed), "k").orderBy("k").select("x", "y", "u", "v").toPandas().to_numpy()
+    if len(held) < 4:
+        raise ValueError(f"a homography takes four matches, there are {len(held)}")
+    rng = np.random.default_rng(seed)
+    hypotheses = solved_homographies(held[np.argsort(rng.random((QUADRUPLES, len(held))), axis=1)[:, :4]] if len(held) < 64 else held[rng.integers(0, len(held), (QUADRUPLES, 4))])
+    if not len(hypotheses):
+        raise ValueError("no four matches in general position")
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(hypotheses), np.int64)
+        for b in batches:
+            x, y, u, v = (b.column(c).to_numpy() for c in ("x", "y", "u", "v"))
+            for at in range(0, len(x), 512):
+                part = slice(at, at + 512)
+                p, q = projected(hypotheses, x[part], y[part])
+                total += (np.hypot(p - u[part], q - v[part]) <= threshold).sum(1)
+        yield pa.RecordBatch.from_pydict({"h": pa.array(np.arange(len(total)), pa.int64()), "n": pa.array(total)})
+
+    counted = rows.mapInArrow(votes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    best = hypotheses[counted.orderBy(F.desc("n"), "h").first()["h"]]
+    low, high = held.min(0), held.max(0)
+    middle, scale = (low + high) / 2, np.maximum(high - low, 1e-9) / 2
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((9, 9))
+        for b in batches:
+            at = np.stack([b.column(c).to_numpy() for c in ("x", "y", "u", "v")])
+            p, q = projected(best, at[0], at[1])
+            at = (at[:, np.hypot(p - at[2], q - at[3]) <= threshold] - middle[:, None]) / scale[:, None]
+            zero, one = np.zeros(at.shape[1]), np.ones(at.shape[1])
+            x, y, u, v = at
+            a = np.concatenate([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y, -u], 1), np.stack([zero, zero, zero, x, y, one, -v * x, -v * y, -v], 1)])
+            total += a.T @ a
+        yield pa.RecordBatch.from_pydict({"part": [total.tobytes()]})
+
+    into = lambda c: np.array([[1 / scale[c], 0, -middle[c] / scale[c]], [0, 1 / scale[c + 1], -middle[c + 1] / scale[c + 1]], [0, 0, 1]])
+    for _ in range(refits):
+        whole = sum(np.frombuffer(r.part).reshape(9, 9) for r in rows.mapInArrow(sums, "part binary").collect())  # 81 numbers a task
+        found = np.linalg.inv(into(2)) @ np.linalg.eigh(whole)[1][:, 0].reshape(3, 3) @ into(0)
+        best = found / found[2, 2]
+    return best
+
+
+def with_reprojection(matches: DataFrame, h: np.ndarray) -> DataFrame:
+    """matches plus pu, pv, where a homography takes (x, y), and error, how far that is from (u, v)."""
+    m = [[F.lit(float(c)) for c in row] for row in h]
+    line = lambda k: m[k][0] * F.col("x") + m[k][1] * F.col("y") + m[k][2]
+    rows = matches.withColumns({"pu": F.try_divide(line(0), line(2)), "pv": F.try_divide(line(1), line(2))})
+    return rows.withColumn("error", F.hypot(F.col("pu") - F.col("u"), F.col("pv") - F.col("v")))
+
+
+def frame_corners(h: np.ndarray, width: int, height: int) -> list[tuple[int, int]]:
+    """Where the corners of a frame lie, in whole pixels, towards zero."""
+    u, v = projected(h, np.array([0.0, width, width, 0.0]), np.array([0.0, 0.0, height, height]))
+    return [(int(a), int(b)) for a, b in zip(u, v, strict=True)]
+
 
 def nearest_two(queries: DataFrame, targets: DataFrame) -> DataFrame:
     """q_id, t_id, d1, d2: each query's nearest target and the distances of the two nearest.

@@ -518,3 +518,27 @@ def visible_intercepts(points, anns, cams):
     """The point at each annotation's xy that some camera sees unobstructed."""
     out = cam.visible_intercepts(points, anns.select("id", "x", "y"), cam.with_pose(cams, DOWN), PLAIN, 0.1, 0.02, 0.02, 0.1, 7.0)
     return out.select("id", "point_id", "is_seen", *(r(F.col(a), 5).alias(a) for a in "xyz"))
+
+
+@query("""WITH d AS (SELECT a.vec_id AS q_id, b.vec_id AS t_id, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d, t_id) AS rk, lead(d) OVER (PARTITION BY q_id ORDER BY d, t_id) AS d2 FROM d) SELECT q_id, t_id, round(d, 5) AS d1, round(d2, 5) AS d2 FROM k WHERE rk = 1""", table="embeddings")
+def nearest_of_all(vectors):
+    """Every vector's nearest other one and the distances of its two nearest."""
+    rows = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return matching.nearest_two_of_all(rows, rows).select("q_id", "t_id", r(F.col("d1"), 5).alias("d1"), r(F.col("d2"), 5).alias("d2"))
+
+
+_H = ((1.2, 0.1, 300.0), (-0.05, 0.9, 200.0), (1e-5, -2e-5, 1.0))
+_HX, _HY, _HW = (f"({lit(m[0])}*x + {lit(m[1])}*y + {lit(m[2])})" for m in _H)
+#: Two sevenths of the matches are wrong.
+_PAIRS = f"SELECT point_id, x, y, CASE WHEN point_id % 7 < 2 THEN (point_id*7919) % 4001 ELSE {_HX}/{_HW} END AS u, CASE WHEN point_id % 7 < 2 THEN (point_id*104729) % 3001 ELSE {_HY}/{_HW} END AS v FROM (SELECT point_id, x*1e2 AS x, y*1e2 AS y FROM fx_points)"
+
+
+@query(f"WITH pr AS ({_PAIRS}) SELECT point_id, sqrt(pow({_HX}/{_HW} - u, 2) + pow({_HY}/{_HW} - v, 2)) <= 5 AS agrees, round({_HX}/{_HW}, 3) + 0e0 AS pu, round({_HY}/{_HW}, 3) + 0e0 AS pv FROM pr", "fx_points")
+def homography_matches(points):
+    """Matches of which many are wrong, told apart by the homography that most agree on."""
+    at = points.selectExpr("point_id", "x*1e2 AS x", "y*1e2 AS y")
+    pairs = at.selectExpr("point_id", "x", "y", f"CASE WHEN point_id % 7 < 2 THEN cast((point_id*7919) % 4001 as double) ELSE {_HX}/{_HW} END AS u", f"CASE WHEN point_id % 7 < 2 THEN cast((point_id*104729) % 3001 as double) ELSE {_HY}/{_HW} END AS v")
+    found = matching.homography(pairs.withColumnRenamed("point_id", "k"))
+    out = matching.with_reprojection(pairs, found)
+    return out.select("point_id", (F.col("error") <= 5).alias("agrees"), r(F.col("pu"), 3).alias("pu"), r(F.col("pv"), 3).alias("pv"))
