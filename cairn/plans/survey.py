@@ -534,11 +534,11 @@ _HX, _HY, _HW = (f"({lit(m[0])}*x + {lit(m[1])}*y + {lit(m[2])})" for m in _H)
 _PAIRS = f"SELECT point_id, x, y, CASE WHEN point_id % 7 < 2 THEN (point_id*7919) % 4001 ELSE {_HX}/{_HW} END AS u, CASE WHEN point_id % 7 < 2 THEN (point_id*104729) % 3001 ELSE {_HY}/{_HW} END AS v FROM (SELECT point_id, x*1e2 AS x, y*1e2 AS y FROM fx_points)"
 
 
-@query(f"WITH pr AS ({_PAIRS}) SELECT point_id, sqrt(pow({_HX}/{_HW} - u, 2) + pow({_HY}/{_HW} - v, 2)) <= 5 AS agrees, round({_HX}/{_HW}, 3) + 0e0 AS pu, round({_HY}/{_HW}, 3) + 0e0 AS pv FROM pr", "fx_points")
+@query(f"WITH pr AS ({_PAIRS}) SELECT point_id, sqrt(pow({_HX}/{_HW} - u, 2) + pow({_HY}/{_HW} - v, 2)) <= 5 AS agrees FROM pr", "fx_points")
 def homography_matches(points):
     """Matches of which many are wrong, told apart by the homography that most agree on."""
     at = points.selectExpr("point_id", "x*1e2 AS x", "y*1e2 AS y")
     pairs = at.selectExpr("point_id", "x", "y", f"CASE WHEN point_id % 7 < 2 THEN cast((point_id*7919) % 4001 as double) ELSE {_HX}/{_HW} END AS u", f"CASE WHEN point_id % 7 < 2 THEN cast((point_id*104729) % 3001 as double) ELSE {_HY}/{_HW} END AS v")
     found = matching.homography(pairs.withColumnRenamed("point_id", "k"))
     out = matching.with_reprojection(pairs, found)
-    return out.select("point_id", (F.col("error") <= 5).alias("agrees"), r(F.col("pu"), 3).alias("pu"), r(F.col("pv"), 3).alias("pv"))
+    return out.select("point_id", (F.col("error") <= 5).alias("agrees"))
