@@ -26,6 +26,11 @@ def by_label(rows: DataFrame, label: str) -> DataFrame:
     return rows.where(F.col("label") == label)
 
 
+def with_match(rows: DataFrame, column: str = "cam_id") -> DataFrame:
+    """Those that have an image match, in order of id."""
+    return rows.where(F.col(column).isNotNull()).orderBy("id")
+
+
 def first(rows: DataFrame, n: int) -> DataFrame:
     """The first n by position."""
     return rows.orderBy("pos").limit(n)

@@ -211,8 +211,16 @@ def ransac_plane(points: DataFrame, iterations: int = 1000, inlier: float = INLI
     return scored.orderBy(F.desc("inliers"), "k").limit(1)
 
 
-#: name -> builder(grouped point pairs) of a table keyed by q_id.
-REGISTRY = {"gap_fraction": gap_fraction, "rgb": rgb_stats, "rugosity": planes, "dispersion": vector_dispersion, "plane_angles": lambda p: plane_angles(planes(p))}
+def mask_areas(masks: DataFrame) -> DataFrame:
+    """The area of each annotation's chosen mask; masks has q_id and area_cm2."""
+    return masks.groupBy("q_id").agg(F.first("area_cm2").alias("cm2"))
+
+
+#: name -> builder(grouped point pairs) of a table keyed by q_id; MASKED ones get the masks instead.
+REGISTRY = {"gap_fraction": gap_fraction, "rgb": rgb_stats, "rugosity": planes, "dispersion": vector_dispersion, "mask_area": mask_areas, "plane_angles": lambda p: plane_angles(planes(p))}
+MASKED = {"mask_area"}
+#: Measurements that come from one plane of the neighbourhood.
+PLANAR = {"rugosity": planes, "plane_angles": plane_angles}
 
 
 def register(name: str, build) -> None:
@@ -220,14 +228,23 @@ def register(name: str, build) -> None:
     REGISTRY[name] = build
 
 
-def measure(pairs: DataFrame, names: list[str]) -> DataFrame:
-    """Several named measurements side by side."""
+def measure(pairs: DataFrame, names: list[str], masks: DataFrame | None = None) -> DataFrame:
+    """Several named measurements side by side; planes are fitted once for all that need them.
+
+    mask_area takes masks: one row (q_id, area_cm2) for each annotation that has one.
+    """
     unknown = [n for n in names if n not in REGISTRY]
     if unknown:
         raise ValueError(f"no measurement named {unknown}; there are {sorted(REGISTRY)}")
+    if masks is None and (wanted := MASKED & set(names)):
+        raise ValueError(f"{sorted(wanted)} take masks")
+    fitted = cut(planes(pairs), "planes") if len(PLANAR.keys() & set(names)) > 1 else None
     out = None
     for name in names:
-        table = REGISTRY[name](pairs)
+        if fitted is not None and name in PLANAR:
+            table = fitted if PLANAR[name] is planes else PLANAR[name](fitted)
+        else:
+            table = REGISTRY[name](masks if name in MASKED else pairs)
         table = table.select("q_id", *(F.col(c).alias(f"{name}_{c}") for c in table.columns if c != "q_id"))
         out = table if out is None else out.join(table, "q_id", "outer")
     return out

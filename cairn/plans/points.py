@@ -532,3 +532,17 @@ def rugosity_3d(points):
     box = F.broadcast(spatial.bounding_box(points))  # one row
     flat = (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))
     return area.crossJoin(box).select(r(measures.rugosity_3d(flat, F.col("area"))).alias("rugosity"))
+
+
+def _part(name: str) -> str:
+    """The twin of another query, to be joined to."""
+    return SQL[name]
+
+
+@query("SELECT c.id, c.elevation, c.theta, c.psi, c.rugosity, g.gap_raw, m.luminance, m.dispersion, k.cm2 FROM (" + _part("complexity_by_annotation") + ") c LEFT JOIN (" + _part("gap_fraction_raw") + ") g USING (id) LEFT JOIN (" + _part("measure_all") + ") m USING (id) LEFT JOIN (SELECT id, round(pos/1e2, 4) AS cm2 FROM fx_annotations WHERE pos % 3 <> 0) k USING (id)", "fx_points", "fx_annotations")
+def measure_by_name(points, anns):
+    """All six measurements of the points around each annotation, by their names."""
+    masks = anns.where("pos % 3 <> 0").select(F.col("id").alias("q_id"), (F.col("pos") / 1e2).alias("area_cm2"))
+    got = measures.measure(spatial.radius_join(points, anns.select("id", *"xyz"), R), ["gap_fraction", "rgb", "rugosity", "dispersion", "mask_area", "plane_angles"], masks)
+    got = anns.select("id").join(got.withColumnRenamed("q_id", "id"), "id").where("rugosity_n >= 10")
+    return got.select("id", *(r(F.col(f"plane_angles_{c}"), 3).alias(c) for c in ("elevation", "theta", "psi")), r(F.col("rugosity_rugosity"), 5).alias("rugosity"), r(F.col("gap_fraction_gap_raw"), 6).alias("gap_raw"), r(F.col("rgb_luminance"), 5).alias("luminance"), r(F.col("dispersion_dispersion"), 5).alias("dispersion"), r(F.col("mask_area_cm2")).alias("cm2"))

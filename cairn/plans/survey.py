@@ -542,3 +542,24 @@ def homography_matches(points):
     found = matching.homography(pairs.withColumnRenamed("point_id", "k"))
     out = matching.with_reprojection(pairs, found)
     return out.select("point_id", (F.col("error") <= 5).alias("agrees"))
+
+
+@query("""WITH p AS (SELECT s_nationkey AS mask, CAST(s_suppkey*37 % 900 AS INT) AS px, CAST(s_suppkey*53 % 700 AS INT) AS py FROM supplier), b AS (SELECT mask, min(px) AS l, max(px) AS r, min(py) AS t, max(py) AS b FROM p GROUP BY mask),
+a AS (SELECT *, r-l+1 AS w, b-t+1 AS h FROM b), e AS (SELECT *, w/(h*1e0) < 16e-1 AS wider, CAST(ceil(h*16e-1) AS BIGINT) AS nw, CAST(ceil(w/16e-1) AS BIGINT) AS nh FROM a),
+f AS (SELECT mask, CASE WHEN wider THEN (l+r)//2 - nw//2 ELSE l END AS x0, CASE WHEN wider THEN (l+r)//2 - nw//2 + nw - 1 ELSE r END AS x1, CASE WHEN wider THEN t ELSE (t+b)//2 - nh//2 END AS y0, CASE WHEN wider THEN b ELSE (t+b)//2 - nh//2 + nh - 1 END AS y1 FROM e),
+g AS (SELECT *, CAST(round_even(least(x1-x0+1, y1-y0+1)*1e-1, 0) AS BIGINT) AS pad FROM f)
+SELECT mask, CAST(greatest(0, least(899, x0-pad)) AS INT) AS "left", CAST(greatest(0, least(699, y0-pad)) AS INT) AS top, CAST(greatest(0, least(899, x1+pad)) AS INT) AS "right", CAST(greatest(0, least(699, y1+pad)) AS INT) AS bottom FROM g""", table="supplier")
+def mask_crops(suppliers):
+    """Boxes of masks widened to an aspect, with a margin, inside their images."""
+    pixels = suppliers.selectExpr("s_nationkey AS mask", "cast(s_suppkey*37 % 900 AS int) AS px", "cast(s_suppkey*53 % 700 AS int) AS py")
+    boxes = images.mask_box(pixels, "mask").withColumns({"w": F.lit(900), "h": F.lit(700)})
+    return images.mask_crop(boxes, 1600, 1000, 0.1).select("mask", "left", "top", "right", "bottom")
+
+
+@query(f"WITH {proj()}, b AS (SELECT ann_id, min(cam_id) AS cam_id FROM m GROUP BY ann_id) SELECT id, cam_id FROM fx_annotations JOIN b ON b.ann_id = id", "fx_annotations", "fx_cameras")
+def annotations_matched(anns, cams):
+    """Annotations that some camera sees."""
+    from cairn.operators import annotations as an
+
+    seen = matches(anns, cams).groupBy(F.col("ann_id").alias("id")).agg(F.min("cam_id").alias("cam_id"))
+    return an.with_match(anns.select("id").join(seen, "id", "left"))

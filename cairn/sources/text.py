@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,13 +35,29 @@ def _ordered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def annotations_from_rows(lines: DataFrame, header: list[str] | None, orig_coords_only: bool = False) -> DataFrame:
     """Lines (pos, line) split at plain commas into the annotation schema."""
+    return annotations_from_cells(lines.select("pos", F.split("line", ",").alias("cells")), header, orig_coords_only)
+
+
+def annotations_from_cells(rows: DataFrame, header: list[str] | None, orig_coords_only: bool = False) -> DataFrame:
+    """Rows (pos, cells), as of a worksheet, into the annotation schema; cells are text and may hold commas.
+
+    Null cells, and those beyond the end of a short row, are null.
+    """
     places, rest = resolve(header)
-    cells = lines.select(F.col("pos").cast("long").alias("pos"), F.split("line", ",").alias("c"))
-    at = lambda n: F.get("c", F.lit(places[n])) if n in places else F.lit(None).cast("string")
+    at = lambda n: F.get("cells", F.lit(places[n])) if n in places else F.lit(None).cast("string")
     number = lambda n: at(n).try_cast("double")
     world = [F.lit(None).cast("double") if orig_coords_only else number(f"world_{a}") for a in "xyz"]
-    out = cells.select(F.trim(at("id")).alias("id"), "pos", *(number(f"orig_{a}").alias(f"orig_{a}") for a in "xyz"), *(F.coalesce(w, number(f"orig_{a}")).alias(a) for a, w in zip("xyz", world, strict=True)), F.trim(at("label")).alias("label"), number("label_conf").alias("label_conf"), F.array(*(F.get("c", F.lit(i)) for i in rest)).cast("array<string>").alias("other"))
-    return out
+    return rows.select(F.trim(at("id")).alias("id"), F.col("pos").cast("long").alias("pos"), *(number(f"orig_{a}").alias(f"orig_{a}") for a in "xyz"), *(F.coalesce(w, number(f"orig_{a}")).alias(a) for a, w in zip("xyz", world, strict=True)), F.trim(at("label")).alias("label"), number("label_conf").alias("label_conf"), F.array(*(F.get("cells", F.lit(i)) for i in rest)).cast("array<string>").alias("other"))
+
+
+def worksheet_annotations(spark: SparkSession, rows: Iterable[Iterable], header: bool = True, orig_coords_only: bool = False) -> DataFrame:
+    """Annotations of any iterable of rows of cells, the first one a header unless told otherwise; empty rows are left out."""
+    held = [[None if c is None else str(c) for c in row] for row in rows]
+    held = [row for row in held if any(c is not None and c.strip() for c in row)]
+    names = [c or "" for c in held.pop(0)] if header and held else None
+    if header and names is None:
+        raise ValueError("a worksheet with a header has at least one row")
+    return annotations_from_cells(spark.createDataFrame(list(enumerate(held)), "pos long, cells array<string>"), names, orig_coords_only)
 
 
 def read_annotations(spark: SparkSession, path: str, header: bool = True, orig_coords_only: bool = False) -> DataFrame:

@@ -340,3 +340,11 @@ def test_every_grid_node_has_an_intercept(spark):
     got = spatial.grid_intercept(points, 1.0).collect()
     assert len(got) == 100 and {r.point_id for r in got if r.ix + r.iy < 10} == {1}
     assert spatial.grid_intercept(points, 1.0, 0.5).count() == 1
+
+
+def test_a_pixel_in_a_widened_crop(spark):
+    boxes = spark.createDataFrame([(10, 20, 29, 29, 100, 60, 15, 25)], "left int, top int, right int, bottom int, w int, h int, u int, v int")
+    r = images.in_crop(images.mask_crop(boxes, 100, 100), 100, 100).first()
+    assert (r.left, r.top, r.right, r.bottom, r.cu, r.cv) == (10, 14, 29, 33, 25, 55)
+    with pytest.raises(ValueError):
+        measures.measure(boxes, ["mask_area"])

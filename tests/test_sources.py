@@ -158,3 +158,15 @@ def test_cameras(spark, tmp_path):
     assert unknown == 1 and row.camdist == 1.5 and row.path == "a/b\\c.jpg" and row.depth is None
     text.save_camera_attributes(updated, f"{tmp_path}/saved")
     assert spark.read.option("header", True).csv(f"{tmp_path}/saved").select(F.col("cam_id")).first()[0] == "k1"
+
+
+def test_annotations_of_a_worksheet(spark):
+    from cairn.sources.text import worksheet_annotations
+
+    sheet = [["id", "x", "y", "z", "label", "note"], ["a1", 1, "2.5", 3, "coral, hard", "n"], [], [None, " "], ["a2", "0", "0", "bad", " sand "]]
+    got = worksheet_annotations(spark, sheet).orderBy("pos").collect()
+    assert [(r.id, r.x, r.y, r.z, r.label, list(r.other)) for r in got] == [("a1", 1.0, 2.5, 3.0, "coral, hard", ["n"]), ("a2", 0.0, 0.0, None, "sand", [None])]
+    assert worksheet_annotations(spark, [["b", 1, 2, 3, "c"]], header=False).first().label == "c"
+    for bad in ([], [["id", "x", "y"]]):
+        with pytest.raises(ValueError):
+            worksheet_annotations(spark, bad)
