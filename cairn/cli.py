@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators.annotations import scalebar_lengths
-from cairn.operators.grids import decimate, raster
+from cairn.operators.grids import raster
 from cairn.operators.orient import orient
 from cairn.session import qualified
 from cairn.sources.ply import PlySource
@@ -47,11 +47,11 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     source = qualified(spark, args.source)
     if args.command == "decimate":
-        records = spark.read.format("ply").option("raw", "true").load(source)
-        decimate(records, args.k).orderBy("point_id").write.format("ply").option("like", source).mode("overwrite").save(qualified(spark, args.target))
+        # partitions of the source, and so the parts, are in the order of the file
+        spark.read.format("ply").option("raw", "true").option("sample", args.k).load(source).write.format("ply").option("like", source).mode("overwrite").save(qualified(spark, args.target))
         return 0
-    cloud = spark.read.format("ply").option("extras", "true").load(source)
-    cloud = cloud if args.full else decimate(cloud, MOST_POINTS)
+    reader = spark.read.format("ply").option("extras", "true")
+    cloud = (reader if args.full else reader.option("sample", MOST_POINTS)).load(source)
     cloud = orient(cloud) if args.auto_orient else cloud
     values = tuple(c for c in ("r", "g", "b") if c in cloud.columns)
     for name, (a, b) in {"top": ("x", "y"), "front": ("x", "z"), "side": ("y", "z")}.items():

@@ -112,6 +112,30 @@ def fields(header: Header, extras: bool) -> list[tuple[str, str, str]]:
     return out
 
 
+def seeded_places(ids: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """The place of each of 0 .. n - 1 in an order that a seed sets: a permutation, so any task knows it for any record.
+
+    Rounds that swap and mix the halves of a number permute the next power of four; numbers
+    that leave 0 .. n - 1 go through again until they are back.
+    """
+    half = np.uint64(max(1, (max(n - 1, 1).bit_length() + 1) // 2))
+    low = np.uint64((1 << int(half)) - 1)
+    keys = np.random.default_rng(seed).integers(0, 1 << 64, 6, dtype=np.uint64)
+
+    def once(v: np.ndarray) -> np.ndarray:
+        left, right = v >> half, v & low
+        for k in keys:
+            h = (right + k) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            left, right = right, left ^ ((h ^ (h >> np.uint64(32))) & low)
+        return (left << half) | right
+
+    out = once(ids.astype(np.uint64))
+    while len(outside := np.flatnonzero(out >= n)):
+        out[outside] = once(out[outside])
+    return out.astype(np.int64)
+
+
 @dataclass
 class _Range(InputPartition):
     first: int
@@ -119,10 +143,10 @@ class _Range(InputPartition):
 
 
 class PlyReader(DataSourceReader):
-    """Reads records first .. first + count - 1 of each range."""
+    """Reads records first .. first + count - 1 of each range; of a sample only those whose seeded place is below it, exactly as many in all."""
 
-    def __init__(self, path: str, extras: bool, records: int, raw: bool = False):
-        self.path, self.extras, self.records, self.raw = path, extras, records, raw
+    def __init__(self, path: str, extras: bool, records: int, raw: bool = False, sample: int | None = None, seed: int = 1):
+        self.path, self.extras, self.records, self.raw, self.sample, self.seed = path, extras, records, raw, sample, seed
         self.header = read_header(path)
         store, at = opened(path)
         size = store.get_file_info(at).size
@@ -140,14 +164,17 @@ class PlyReader(DataSourceReader):
             for k in range(partition.first, partition.first + partition.count, BATCH):
                 n = min(BATCH, partition.first + partition.count - k)
                 f.seek(self.header.length + k * dtype.itemsize)
-                data = f.read(n * dtype.itemsize)
+                data, ids = f.read(n * dtype.itemsize), np.arange(k, k + n)
+                if self.sample is not None and self.sample < self.header.count:
+                    own = np.flatnonzero(seeded_places(ids, self.header.count, self.seed) < self.sample)
+                    data, ids, n = np.frombuffer(data, f"V{dtype.itemsize}")[own].tobytes(), ids[own], len(own)
                 if self.raw:
                     edges = pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(dtype.itemsize))
                     records = pa.Array.from_buffers(pa.binary(), n, [None, edges, pa.py_buffer(data)])
-                    yield pa.RecordBatch.from_pydict({"point_id": pa.array(np.arange(k, k + n)), "record": records})
+                    yield pa.RecordBatch.from_pydict({"point_id": pa.array(ids), "record": records})
                     continue
                 rows = np.frombuffer(data, dtype)
-                columns = {"point_id": pa.array(np.arange(k, k + n))}
+                columns = {"point_id": pa.array(ids)}
                 for column, name, kind in made:
                     values = rows[name]
                     if column in COLOURS.values():
@@ -236,7 +263,7 @@ class PlyWriter(DataSourceArrowWriter):
 
 
 class PlySource(DataSource):
-    """Options: path; extras=true keeps other scalars; raw=true gives whole records; records sets the rows of a partition; like, for writing, names the file whose records these are."""
+    """Options: path; extras=true keeps other scalars; raw=true gives whole records; records sets the rows of a partition; sample gives exactly so many records (all, if there are fewer) in one scan, chosen by seed; like, for writing, names the file whose records these are."""
 
     @classmethod
     def name(cls) -> str:
@@ -253,7 +280,7 @@ class PlySource(DataSource):
         return StructType([StructField("point_id", LongType()), *own])
 
     def reader(self, schema: StructType) -> PlyReader:
-        return PlyReader(self.options["path"], self._says("extras"), int(self.options.get("records", 1 << 20)), self._says("raw"))
+        return PlyReader(self.options["path"], self._says("extras"), int(self.options.get("records", 1 << 20)), self._says("raw"), None if (k := self.options.get("sample")) is None else int(k), int(self.options.get("seed", 1)))
 
     def writer(self, schema: StructType, overwrite: bool) -> PlyWriter:
         return PlyWriter(self.options["path"], schema, overwrite, self.options.get("like"))

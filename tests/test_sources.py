@@ -170,3 +170,20 @@ def test_annotations_of_a_worksheet(spark):
     for bad in ([], [["id", "x", "y"]]):
         with pytest.raises(ValueError):
             worksheet_annotations(spark, bad)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000, 4097])
+def test_seeded_places_are_an_order(n):
+    from cairn.sources.ply import seeded_places
+
+    assert sorted(seeded_places(np.arange(n), n, 1).tolist()) == list(range(n))
+    if n > 60:
+        assert (seeded_places(np.arange(n), n, 1) != seeded_places(np.arange(n), n, 2)).any()
+        chosen = np.flatnonzero(seeded_places(np.arange(n), n, 3) < n // 2)
+        assert 0.3 * n < chosen.mean() < 0.7 * n
+
+
+def test_a_sample_is_the_same_however_the_file_is_cut(ply, tmp_path):
+    cloud(tmp_path / "a.ply", 500)
+    got = [sorted(r.point_id for r in ply.option("sample", "123").option("records", size).load(str(tmp_path / "a.ply")).collect()) for size in ("40", "1000")]
+    assert len(got[0]) == 123 and got[0] == got[1]
