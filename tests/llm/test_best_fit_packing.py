@@ -88,3 +88,9 @@ def test_awkward_rows_in_many_blocks(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert x.best_fit_packing(documents(spark, [])).collect() == []
+
+
+def test_rows_without_an_id(spark, monkeypatch):
+    monkeypatch.setattr(x, "BLOCK_ROWS", 2)
+    rows = awkward(n=10) + [(None, t, *[None] * 6) for t in (None, "", ODD[0], ODD[0], "long " * 500)]
+    check(x.best_fit_packing(documents(spark, rows), 100).collect(), rows, 100)

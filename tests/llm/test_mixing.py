@@ -40,3 +40,18 @@ def test_reruns_agree_and_empty(spark):
     a, b = (sorted(map(str, mixing.mix(documents(spark).repartition(k)).collect())) for k in (2, 7))
     assert a == b
     assert mixing.mix(documents(spark, [])).collect() == []
+
+
+def test_rows_without_an_id(spark):
+    rows = awkward(n=10) + [(None, t, "en", s, *[None] * 4) for t in (None, "", "a b c", "a b c", "d " * 500) for s in ("a", None)]
+    runs = [mixing.mix(documents(spark, rows).repartition(k)).collect() for k in (1, 5)]
+    assert sorted(map(str, runs[0])) == sorted(map(str, runs[1]))
+    assert sorted((str(r.doc_id), r.size) for r in runs[0]) == sorted((str(r[0]), len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))) for r in rows)
+    taken, target, largest = defaultdict(int), {}, defaultdict(int)
+    for r in runs[0]:
+        assert 0 <= r.taken <= 2 * r["size"]
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        largest[r.source] = max(largest[r.source], r["size"])
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= largest[s]

@@ -68,6 +68,16 @@ def test_against_brute_force(spark, monkeypatch, seed):
     assert sorted(map(tuple, got)) == brute(rows)
 
 
+def test_rows_without_an_id(spark, monkeypatch):
+    monkeypatch.setattr(x, "REMEMBERED", 2)  # sets take over one another's slots
+    rows = corpus(3, 40)
+    rows += [(None, t, *[None] * 6) for t in (None, "", rows[0][1], rows[0][1], rows[39][1] + " more", "alone here", "alone here")]
+    ids = [(i if r[0] is None else r[0], *r[1:]) for i, r in enumerate(rows, 1000)]
+    want = [(None if i >= 1000 else i, n, None if c >= 1000 else c) for i, n, c in brute(ids)]
+    got = x.ngram_join(documents(spark, rows).repartition(3)).drop("class_id").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_overlap_is_exact():
     for s in range(1, 60):
         assert set(x.partners(s)) == {t for t in range(1, 90) if 5 * min(s, t) >= 4 * max(s, t)}
