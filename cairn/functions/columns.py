@@ -73,6 +73,33 @@ def eigenvector3(value: Column, cxx: Column, cyy: Column, czz: Column, cxy: Colu
     return F.struct(*(F.try_divide(best[k], n).alias(k) for k in "xyz"))
 
 
+def dot3(a: tuple, b: tuple) -> Column:
+    """Dot product of two vectors given as three columns each."""
+    return sum(F.col(p) * F.col(q) for p, q in zip(a, b, strict=True))
+
+
+def dot4(a: tuple, b: tuple) -> Column:
+    """Dot product of the homogeneous forms, whose fourth components are 1."""
+    return dot3(a, b) + F.lit(1.0)
+
+
+def zyx_angles(x: str, y: str, z: str) -> list[Column]:
+    """Angles about z, y, x of a direction, which need not be a unit vector."""
+    return [F.lit(0.0), F.atan2(x, z), -F.atan2(y, F.hypot(x, z))]
+
+
+def vector_angle(y: str, x: str) -> Column:
+    """Degrees of atan2."""
+    return F.degrees(F.atan2(y, x))
+
+
+def from_plane(plane: tuple, names: str = "xyz") -> Column:
+    """abs(a x + b y + c z + d) of a plane given as four columns or numbers."""
+    a, b, c, d = (F.col(k) if isinstance(k, str) else F.lit(float(k)) for k in plane)
+    x, y, z = (F.col(n) for n in names)
+    return F.abs(a * x + b * y + c * z + d)
+
+
 def radius_from_area(cm2: Column) -> Column:
     """Radius in metres of a disc of the given area in square centimetres."""
     return F.sqrt(cm2 / math.pi) / 100

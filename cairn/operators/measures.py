@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.columns import clip, eigen3, eigenvector3
+from cairn.functions.columns import clip, eigen3, eigenvector3, from_plane
 from cairn.operators.graph import components
 from cairn.operators.spatial import near
 from cairn.session import cut
@@ -46,10 +46,14 @@ def plane_fits(points: DataFrame, by: str = "q_id") -> DataFrame:
     return stats.withColumn("pd", -(F.col("pa") * F.col("mx") + F.col("pb") * F.col("my") + F.col("pc") * F.col("mz")))
 
 
+def plane_inliers(points: DataFrame, plane: tuple, inlier: float = INLIER_RANGE) -> DataFrame:
+    """The points at most inlier away from a plane (a, b, c, d), given as numbers or as names of columns."""
+    return points.where(from_plane(plane) <= inlier)
+
+
 def _about_planes(points: DataFrame, by: str, keep: list[str], inlier: float, align: bool) -> DataFrame:
     """What points that carry their group's plane say about it."""
-    away = F.abs(F.col("pa") * F.col("x") + F.col("pb") * F.col("y") + F.col("pc") * F.col("z") + F.col("pd"))
-    joined = points.withColumn("away", away).withColumn("inlier", F.col("away") <= inlier)
+    joined = points.withColumn("away", from_plane(("pa", "pb", "pc", "pd"))).withColumn("inlier", F.col("away") <= inlier)
     mean = [F.avg(F.when(F.col("inlier"), F.col(k))).alias(f"i{k}") for k in ("nx", "ny", "nz")] if align else []
     out = joined.groupBy(by, *keep).agg(F.avg("away").alias("rugosity"), F.count(F.when(F.col("inlier"), 1)).alias("inliers"), *mean)
     if align:

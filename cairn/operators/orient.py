@@ -36,6 +36,12 @@ def turn_to(points: DataFrame, vector) -> DataFrame:
     return transform_points(points, up_vector(vector))
 
 
+def positive_xy(points: DataFrame) -> Transform:
+    """The shift that takes points out of negative x and y; none for an empty cloud."""
+    low = points.agg(F.min("x").alias("x"), F.min("y").alias("y")).first()
+    return identity() if low.x is None else translation(-min(0.0, low.x), -min(0.0, low.y), 0.0)
+
+
 def orientation(points: DataFrame, scale: float | None = None, up=None, depth: float | None = None, z_half_turn: bool = False) -> Transform:
     """scale, up vector, depth, principal axis along X, +Y upslope, positive xy, half turn.
 
@@ -61,9 +67,7 @@ def orientation(points: DataFrame, scale: float | None = None, up=None, depth: f
         c = turn.mat[:3, :3] @ c @ turn.mat[:3, :3].T
         if c[1, 2] < 0:
             whole = whole.then(half_turn())
-    low = transform_points(points.select("x", "y", "z"), whole).agg(F.min("x").alias("x"), F.min("y").alias("y")).first()
-    if low.x is not None:
-        whole = whole.then(translation(-min(0.0, low.x), -min(0.0, low.y), 0.0))
+    whole = whole.then(positive_xy(transform_points(points.select("x", "y", "z"), whole)))
     return whole.then(half_turn()) if z_half_turn else whole
 
 

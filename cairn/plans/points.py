@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from cairn.functions import transforms as t
-from cairn.functions.columns import affine, clip, homogeneous, on_plane, radius_from_area, rotate
+from cairn.functions.columns import affine, clip, dot3, dot4, homogeneous, on_plane, radius_from_area, rotate, vector_angle, zyx_angles
 from cairn.operators import annotations as an
 from cairn.operators import grids, measures, orient, spatial
 from cairn.plans.fixtures import load, sql
@@ -92,8 +92,8 @@ def centroid_shift(points):
 def positive_xy_shift(points):
     """Points moved out of negative x and y."""
     moved = points.select("point_id", (F.col("x") - 5e0).alias("x"), (F.col("y") - 2e0).alias("y"))
-    low = F.broadcast(moved.agg(F.least(F.lit(0.0), F.min("x")).alias("lx"), F.least(F.lit(0.0), F.min("y")).alias("ly")))  # one row
-    return moved.crossJoin(low).select("point_id", r(F.col("x") - F.col("lx"), 6).alias("x"), r(F.col("y") - F.col("ly"), 6).alias("y"))
+    moved = moved.withColumn("z", F.lit(0.0))
+    return orient.transform_points(moved, orient.positive_xy(moved)).select("point_id", *(r(F.col(a), 6).alias(a) for a in "xy"))
 
 
 @query("""SELECT point_id, round(2e0*(cos(3e-1)*x - sin(3e-1)*y) + 1e0, 4) + 0e0 AS x, round(2e0*(sin(3e-1)*x + cos(3e-1)*y) - 2e0, 4) + 0e0 AS y,
@@ -105,6 +105,27 @@ def apply_affine(points):
     return points.select("point_id", *(r(c).alias(a) for a, c in zip("xyz", affine(m), strict=True)), r(rotate(turn.rows())[0]).alias("nx"))
 
 
+@query("""WITH a AS (SELECT *, cos(3e-1)*x - sin(3e-1)*y AS x1, sin(3e-1)*x + cos(3e-1)*y AS y1 FROM fx_points),
+b AS (SELECT *, cos(2e-1)*x1 + sin(2e-1)*z AS x2, cos(2e-1)*z - sin(2e-1)*x1 AS z2 FROM a),
+c AS (SELECT *, cos(1e-1)*y1 - sin(1e-1)*z2 AS y3, sin(1e-1)*y1 + cos(1e-1)*z2 AS z3 FROM b),
+d AS (SELECT *, 15e-1*x2 - 2e0 AS x4, 15e-1*y3 + 1e0 AS y4, 15e-1*z3 - 125e-2 AS z4, 3e-1 AS ka, 2e-1 AS kb, sqrt(87e-2) AS kc, sqrt(91e-2) AS ks FROM c)
+SELECT point_id, round((kb*z4 - kc*y4)/ks, 5) + 0e0 AS x, round(ks*x4 - (ka*kb*y4 + ka*kc*z4)/ks, 5) + 0e0 AS y, round(ka*x4 + kb*y4 + kc*z4, 5) + 0e0 AS z,
+  round(x, 5) + 0e0 AS back_x, round(y, 5) + 0e0 AS back_y, round(z, 5) + 0e0 AS back_z FROM d""", "fx_points")
+def transform_chain(points):
+    """Turned by three angles, scaled, sunk by a depth, moved to an origin, a normal laid along z; and back by the inverse."""
+    whole = t.identity().then(t.euler(0.1, 0.2, 0.3)).then(t.scaling(1.5)).then(t.depth_offset(1.25)).then(t.xy_origin(2.0, -1.0))
+    whole = whole.then(t.align_normal_to_z((0.3, 0.2, math.sqrt(0.87))))
+    moved = orient.transform_points(points, whole)
+    return orient.original_coords(moved, whole).select("point_id", *(r(F.col(a), 5).alias(a) for a in "xyz"), *(r(F.col(f"orig_{a}"), 5).alias(f"back_{a}") for a in "xyz"))
+
+
+@query("SELECT point_id, round(x*nx + y*ny + z*nz, 5) + 0e0 AS dot3, round(x*nx + y*ny + z*nz + 1e0, 5) + 0e0 AS dot4 FROM fx_points", "fx_points")
+def vector_products(points):
+    """Dot products of places and normals, plain and homogeneous."""
+    a, b = ("x", "y", "z"), ("nx", "ny", "nz")
+    return points.select("point_id", r(dot3(a, b), 5).alias("dot3"), r(dot4(a, b), 5).alias("dot4"))
+
+
 @query("""WITH p AS (SELECT *, 3e-1 AS ka, 2e-1 AS kb, sqrt(87e-2) AS kc FROM fx_points)
 SELECT point_id, round(x - (x*ka+y*kb+z*kc)*ka, 4) + 0e0 AS x, round(y - (x*ka+y*kb+z*kc)*kb, 4) + 0e0 AS y, round(z - (x*ka+y*kb+z*kc)*kc, 4) + 0e0 AS z FROM p""", "fx_points")
 def project_on_plane(points):
@@ -119,7 +140,8 @@ def vector_angles(points):
     """Angles of the normals."""
     n = F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2)
     u = points.select("point_id", *((F.col(f"n{a}") / n).alias(a) for a in "xyz"))
-    return u.select("point_id", r(F.atan2("x", "z"), 5).alias("beta"), r(-F.atan2("y", F.hypot("x", "z")), 5).alias("gamma"), r(F.degrees(F.atan2("y", "x"))).alias("angle"))
+    _, beta, gamma = zyx_angles("x", "y", "z")
+    return u.select("point_id", r(beta, 5).alias("beta"), r(gamma, 5).alias("gamma"), r(vector_angle("y", "x")).alias("angle"))
 
 
 @query("""WITH s AS (SELECT 5e-1*atan2(2*covar_samp(x,y), covar_samp(x,x)-covar_samp(y,y)) AS a FROM fx_points),
@@ -253,6 +275,12 @@ def distance_matrix(anns):
     return spatial.distance_matrix(anns).select("a", "b", r(F.col("d"), 5).alias("d"))
 
 
+@query("SELECT cam_id, cx FROM fx_cameras WHERE starts_with(cam_id, 'cam_000')", "fx_cameras")
+def cameras_by_prefix(cams):
+    """Cameras by the beginning of their file name."""
+    return an.by_prefix(cams, "cam_000", "cam_id").select("cam_id", "cx")
+
+
 @query("SELECT id FROM fx_annotations WHERE starts_with(id, 'ann_0001')", "fx_annotations")
 def subset_prefix(anns):
     """Annotations by id prefix."""
@@ -396,8 +424,7 @@ def radius_from_surface(anns):
 @query("SELECT point_id, round(greatest(-1e-1, least(1e-1, nx)), 5) + 0e0 AS c FROM fx_points WHERE abs(-3e-1*x - 1e-1*y + z - 5e-2) <= 1e-2", "fx_points")
 def plane_inliers(points):
     """Points within a hundredth of a given plane, with a clipped normal."""
-    away = F.abs(-0.3 * F.col("x") - 0.1 * F.col("y") + F.col("z") - 0.05)
-    return points.where(away <= 0.01).select("point_id", r(clip(F.col("nx"), -0.1, 0.1), 5).alias("c"))
+    return measures.plane_inliers(points, (-0.3, -0.1, 1.0, -0.05), 0.01).select("point_id", r(clip(F.col("nx"), -0.1, 0.1), 5).alias("c"))
 
 
 def lit(v: float) -> str:

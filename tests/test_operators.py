@@ -348,3 +348,12 @@ def test_a_pixel_in_a_widened_crop(spark):
     assert (r.left, r.top, r.right, r.bottom, r.cu, r.cv) == (10, 14, 29, 33, 25, 55)
     with pytest.raises(ValueError):
         measures.measure(boxes, ["mask_area"])
+
+
+def test_positive_xy_and_plane_inliers(spark):
+    rows = spark.createDataFrame([(-2.0, 3.0, 1.0), (1.0, 4.0, -1.0), (0.0, 5.0, 1.5)], "x double, y double, z double")
+    assert orient.positive_xy(rows).mat[:3, 3].tolist() == [2.0, 0.0, 0.0]
+    assert orient.positive_xy(rows.where("x > 5")).mat.tolist() == orient.identity().mat.tolist()
+    assert [tuple(r) for r in measures.plane_inliers(rows, (0.0, 0.0, 1.0, -1.0), 0.5).collect()] == [(-2.0, 3.0, 1.0), (0.0, 5.0, 1.5)]
+    own = rows.selectExpr("*", "0D as a", "0D as b", "1D as c", "-z as d")
+    assert measures.plane_inliers(own, ("a", "b", "c", "d"), 0.0).count() == 3
