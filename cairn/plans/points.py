@@ -380,10 +380,12 @@ def largest_component(points):
     return grids.largest_component(cut(grids.spread_filter(points, 1.0, 4, 1, 0.5), "cells"))
 
 
-@query(f"WITH {CELLS} SELECT 0 AS box, CAST(i AS INT) AS i, CAST(j AS INT) AS j, i*25e-2 AS cxmin, j*25e-2 AS cymin FROM range(8) a(i), range(4) b(j)", "fx_points")
-def subdivide(points):
-    """A box of 2 x 1 m cut into quarters of a metre."""
-    boxes = points.sparkSession.createDataFrame([(0, 0.0, 0.0, 2.0, 1.0)], "box int, xmin double, ymin double, xmax double, ymax double")
+@query("""SELECT pos AS box, CAST(i AS INT) AS i, CAST(j AS INT) AS j, floor(x) + i*25e-2 AS cxmin, floor(y) + j*25e-2 AS cymin
+FROM fx_annotations, range(8) a(i), range(4) b(j)""", "fx_annotations")
+def subdivide(anns):
+    """A box of 2 x 1 m at each annotation cut into quarters of a metre."""
+    low = {a: F.floor(a).cast("double") for a in "xy"}
+    boxes = anns.select(F.col("pos").alias("box"), low["x"].alias("xmin"), low["y"].alias("ymin"), (low["x"] + 2.0).alias("xmax"), (low["y"] + 1.0).alias("ymax"))
     return grids.subdivide(boxes, 0.25).select("box", "i", "j", "cxmin", "cymin")
 
 
