@@ -275,6 +275,12 @@ def distance_matrix(anns):
     return spatial.distance_matrix(anns).select("a", "b", r(F.col("d"), 5).alias("d"))
 
 
+@query("SELECT id, x, y FROM fx_annotations UNION ALL SELECT label AS id, x, y FROM fx_targets", "fx_annotations", "fx_targets")
+def appended(anns, targets):
+    """Annotations and targets as one set; an id in both would be an error."""
+    return an.append(anns.select("id", "x", "y"), targets.select(F.col("label").alias("id"), "x", "y"))
+
+
 @query("SELECT cam_id, cx FROM fx_cameras WHERE starts_with(cam_id, 'cam_000')", "fx_cameras")
 def cameras_by_prefix(cams):
     """Cameras by the beginning of their file name."""
