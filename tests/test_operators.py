@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.functions import transforms as t
 from cairn.operators import annotations as an
@@ -301,6 +302,24 @@ def test_gap_fill_against_a_literal_fill(spark):
         assert images.gap_fill(pairs, n).first().filled == literal_fill(pixels, n)
 
 
+def test_gap_fill_of_many_images_at_once(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k, (count, height) in enumerate([(1, 0.9), (12, 0.2), (60, 0.5), (200, 0.3), (600, 0.6), (3000, 1.0)]):
+        pts = rng.random((count, 3)) * [1, 1, height] - [0.5, 0.5, 0]
+        rows += [(f"q{k}", i, *map(float, p), 0.0, 0.0, 0.0) for i, p in enumerate(pts)]
+    rows += [("seed", 0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0), ("seed", 1, 0.0, 0.0, 2.0, 0.0, 0.0, 0.0)]  # the middle itself is covered
+    pairs = spark.createDataFrame(rows, "q_id string, point_id int, x double, y double, z double, q_x double, q_y double, q_z double")
+    for n in (21, 30):
+        pixels = {}
+        for p in measures.gap_pixels(pairs, n).select("q_id", "px", "py").collect():
+            pixels.setdefault(p.q_id, set()).add((p.px, p.py))
+        got = {p.q_id: p.filled for p in images.gap_fill(pairs, n).collect()}
+        assert got == {q: literal_fill(own, n) for q, own in pixels.items()}
+        runs = images.sky_runs(measures.gap_pixels(pairs, n), n).groupBy("q_id", "class").agg(F.sum("size").alias("size")).collect()
+        assert {r.q_id: r["size"] for r in runs if r["class"] == images.COVERED} == {q: len(own) for q, own in pixels.items()}
+
+
 def test_from_coords_and_samples(spark):
     got = an.from_coords(spark, {"p": (1, 2, 3), "none": None, "q": (4, 5, 6)}).orderBy("pos").collect()
     assert [(r.id, r.pos, r.z) for r in got] == [("p", 0, 3.0), ("q", 2, 6.0)]
