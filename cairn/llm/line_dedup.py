@@ -23,9 +23,6 @@ from pyspark.sql import functions as F
 
 from cairn.session import cut
 
-# Joins are sort-merge at every size: what is deleted grows with the corpus, and
-# skewed keys are split by the planner.
-
 MIN_LINES, MIN_WORDS = 3, 50
 WORD = r"[^\\x20\\x09-\\x0D]+"
 
@@ -53,10 +50,10 @@ def repeated_windows(found: DataFrame) -> DataFrame:
     """doc_id, mark, q, m, first, last and lead (doc_id, mark, q) of the windows whose content occurs earlier."""
     anchors = found.groupBy("anchor").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("mark").alias("m0"), F.max("mark").alias("m1"), F.min("at").alias("a0"), F.max("at").alias("a1"))
     anchors = cut(anchors.where("d0 <> d1 or m0 <> m1 or a0 <> a1").select("anchor"), "anchors")
-    near = cut(found.join(anchors.hint("merge"), "anchor", "left_semi"), "near")
+    near = cut(found.join(anchors, "anchor", "left_semi"), "near")
     lead = near.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "q")).alias("lead"))
     lead = cut(lead.where("n > 1").drop("n"), "first_windows")
-    later = near.join(lead.hint("merge"), ["k1", "k2"]).where(F.struct("doc_id", "mark", "q") != F.col("lead"))
+    later = near.join(lead, ["k1", "k2"]).where(F.struct("doc_id", "mark", "q") != F.col("lead"))
     return later.select("doc_id", "mark", "q", "m", "first", "last", "lead")
 
 
@@ -86,7 +83,7 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN
     found = cut(windows(rows, min_lines, min_words), "windows")
     runs = _joined(matches(repeated_windows(found)), ["doc_id", "mark"])
     runs = runs.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("a", "b", "first", "last"))).alias("runs"))
-    r, d = cut(runs, "runs").hint("merge").alias("r"), rows.alias("d")
+    r, d = cut(runs, "runs").alias("r"), rows.alias("d")
     out = d.join(r, (F.col("d.doc_id") == F.col("r.doc_id")) & (F.col("d.mark") == F.col("r.mark")), "left")
     out = out.select("d.doc_id", "d.text", "r.runs", F.split("d.text", "\n").alias("lines"))
     has_word = "l rlike '[^\\\\x20\\\\x09-\\\\x0D]'"
