@@ -3,8 +3,8 @@
 Text is lower-cased; every run of non-letters is one boundary. A trigram is one
 63-bit number (three code points of 21 bits), and each language's model is a set of
 sorted arrays of such numbers with log probabilities beside them: interpolated
-trigrams and bigrams, back-off weights, and unigrams. A language with more trigrams
-than can be sent keeps them all in tables: the fit is made of grouped sums, the
+trigrams and bigrams, back-off weights, and unigrams. Languages with more trigrams
+than can be sent, all counted together, keep them all in tables: the fit is made of grouped sums, the
 frequent trigrams are sent with their probabilities, and documents' other trigrams
 are looked up by joins. A document gets the language of the least cross-entropy per
 character. Rejection is calibrated on labelled
@@ -38,8 +38,8 @@ UNKNOWN = "und"
 TOLD = "lang_pred string, cross_entropy double, letters long, score double"
 #: Characters held at once; longer texts and batches are read in pieces.
 PIECE = 1 << 19
-#: Trigrams of a language up to which models are broadcast whole; beyond it they stay in tables, and as many numbers for each of four languages are broadcast.
-MODEL_NGRAMS = 1_000_000
+#: Trigrams of all languages together up to which models are broadcast whole; beyond it they stay in tables, and as many numbers are broadcast.
+MODEL_NGRAMS = 4_000_000
 #: Share of a language's documents that calibration lets be rejected, and standard errors by which what it estimates is raised.
 FALSE_REJECTION, ERRORS = 0.001, 3.0
 #: Width of the calibration histogram in nats, documents that a length class needs to borrow none, and the last class (by powers of two of letters).
@@ -266,10 +266,10 @@ def probabilities(keys: DataFrame, t: Tables) -> DataFrame:
 
 
 def fit_models(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = MODEL_NGRAMS) -> list[Model] | Tables:
-    """A model for each language of docs, from all its texts; tables where a language has over `most` trigrams."""
+    """A model for each language of docs, from all its texts; tables where all languages together have over `most` trigrams."""
     counts = cut(count_trigrams(docs, lang, text), "counts")
     types = {r.lang: r["count"] for r in counts.groupBy("lang").count().collect()}
-    if max(types.values(), default=0) > most:
+    if sum(types.values()) > most:
         return fit_tables(counts, sorted(types))
     return [fit_model(name, own["key"].to_numpy(), own["n"].to_numpy()) for name, own in counts.toPandas().groupby("lang")]
 
@@ -353,9 +353,9 @@ def _teller(langs: list[str], names: list[str]):
 
 
 def _score_by_tables(rows: DataFrame, t: Tables, names: list[str], fields: str, most: int) -> DataFrame:
-    """Frequent trigrams by a broadcast of 4 * most numbers, all others by joins on their distinct keys."""
+    """Frequent trigrams by a broadcast of `most` numbers, at least one a language, all others by joins on their distinct keys."""
     logs = [f"l{j}" for j in range(len(t.names))]
-    top = t.counts.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(max(1, 4 * most // len(logs))).select("key")
+    top = t.counts.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(max(1, most // len(logs))).select("key")
     head = probabilities(cut(top, "top"), t).orderBy("key").toArrow()
     shared = rows.sparkSession.sparkContext.broadcast((head["key"].to_numpy(), [head[c].to_numpy() for c in logs]))
     summed = rows.mapInArrow(_head_scorer(shared, names), fields + ", sums array<double>, letters long, rest array<struct<key: long, n: long>>")
@@ -377,7 +377,7 @@ def score(docs: DataFrame, models: list[Model] | Tables, keys: dict[str, Column]
         return _score_by_tables(rows, models, keys, fields, most)
     if not models:
         return rows.select(*keys).withColumns({"lang_pred": F.lit(UNKNOWN), "cross_entropy": F.lit(0.0), "letters": F.lit(0).cast("long"), "score": F.lit(0.0)})
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by MODEL_NGRAMS a language
+    shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by MODEL_NGRAMS in all
     return rows.mapInArrow(_scorer(shared, keys), f"{fields}, {TOLD}")
 
 

@@ -155,3 +155,10 @@ def test_null_and_repeated_ids(spark):
     rows = [*made(200), (None, "ka lo mi tu", "aa", *[None] * 5), (5, "schein verzig", None, *[None] * 5)]
     got = x.language_id(documents(spark, rows)).collect()
     assert len(got) == len(rows) and {r.lang_pred for r in got if r.doc_id is None} == {"aa"} and "bb" in {r.lang_pred for r in got if r.doc_id == 5}
+
+
+def test_what_is_sent_is_bounded_over_all_languages(spark):
+    docs = spark.createDataFrame([(f"l{k}", f"some words of language {k} " + chr(97 + k) * 3) for k in range(6)], "lang string, text string")
+    one = max(r["count"] for r in x.count_trigrams(docs).groupBy("lang").count().collect())
+    assert isinstance(x.fit_models(docs, most=2 * one), x.Tables)
+    assert len(x.fit_models(docs, most=6 * one)) == 6
