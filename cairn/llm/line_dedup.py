@@ -18,12 +18,14 @@ alone; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.session import cut
 
 MIN_LINES, MIN_WORDS = 3, 50
+#: Bits of the filters that keep rows without a partner from being shuffled, as a power of two: 262,144 words at most.
+FILTER_BITS = 24
 WORD = r"[^\\x20\\x09-\\x0D]+"
 
 
@@ -46,11 +48,28 @@ def windows(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WO
     return rows.selectExpr("doc_id", "mark", f"inline({every})")
 
 
+def _bit(key: Column) -> Column:
+    return F.shiftright(key, 64 - FILTER_BITS).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+
+
+def marked(rows: DataFrame, key: Column, held: DataFrame) -> DataFrame:
+    """rows plus maybe: false where the 64-bit key is surely none of held.key.
+
+    The filter is a broadcast table of 64-bit words, of fixed size whatever it holds; one
+    that is full rules nothing out, and the exact join that follows decides.
+    """
+    bits = held.select(_bit(F.col("key")).alias("p")).selectExpr("shiftright(p, 6) as word", "shiftleft(1L, cast(p & 63 as int)) as bit")
+    words = cut(bits.groupBy("word").agg(F.bit_or("bit").alias("word_bits")), "filter")
+    found = rows.withColumn("p", _bit(key)).join(F.broadcast(words), F.shiftright("p", 6) == F.col("word"), "left")
+    return found.withColumn("maybe", F.coalesce(F.expr("getbit(word_bits, cast(p & 63 as int)) = 1"), F.lit(False))).drop("p", "word", "word_bits")
+
+
 def repeated_windows(found: DataFrame) -> DataFrame:
     """doc_id, mark, q, m, first, last and lead (doc_id, mark, q) of the windows whose content occurs earlier."""
     anchors = found.groupBy("anchor").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("mark").alias("m0"), F.max("mark").alias("m1"), F.min("at").alias("a0"), F.max("at").alias("a1"))
     anchors = cut(anchors.where("d0 <> d1 or m0 <> m1 or a0 <> a1").select("anchor"), "anchors")
-    near = cut(found.join(anchors, "anchor", "left_semi"), "near")
+    near = marked(found, F.col("anchor"), anchors.withColumnRenamed("anchor", "key")).where("maybe").drop("maybe")
+    near = cut(near.join(anchors, "anchor", "left_semi"), "near")
     lead = near.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "q")).alias("lead"))
     lead = cut(lead.where("n > 1").drop("n"), "first_windows")
     later = near.join(lead, ["k1", "k2"]).where(F.struct("doc_id", "mark", "q") != F.col("lead"))
@@ -83,9 +102,14 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN
     found = cut(windows(rows, min_lines, min_words), "windows")
     runs = _joined(matches(repeated_windows(found)), ["doc_id", "mark"])
     runs = runs.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("a", "b", "first", "last"))).alias("runs"))
-    r, d = cut(runs, "runs").alias("r"), rows.alias("d")
-    out = d.join(r, (F.col("d.doc_id") == F.col("r.doc_id")) & (F.col("d.mark") == F.col("r.mark")), "left")
-    out = out.select("d.doc_id", "d.text", "r.runs", F.split("d.text", "\n").alias("lines"))
+    runs = cut(runs, "runs")
+    key = F.xxhash64("doc_id", "mark")
+    # texts without a run stay where they are; only the others travel to their runs
+    told = marked(rows, key, runs.select(key.alias("key")))
+    d, r = told.where("maybe").alias("d"), runs.alias("r")
+    out = d.join(r, (F.col("d.doc_id") == F.col("r.doc_id")) & (F.col("d.mark") == F.col("r.mark")), "left").select("d.doc_id", "d.text", "r.runs")
+    out = out.unionByName(told.where("not maybe").select("doc_id", "text", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs")))
+    out = out.withColumn("lines", F.split("text", "\n"))
     has_word = "l rlike '[^\\\\x20\\\\x09-\\\\x0D]'"
     # between runs lines stay, inside them those without a word
     after = "slice(lines, r.last + 2, coalesce(get(runs, i + 1).first, size(lines)) - r.last - 1)"
