@@ -213,6 +213,25 @@ def test_footprints_lose_no_match(spark):
     assert dist["c0"][0] == len(gaps) and math.isclose(dist["c0"][1], np.mean(gaps) if gaps else 0.0)
 
 
+def test_cameras_of_one_pose_are_met_once(spark):
+    pts = surface(20, 7)
+    anns = spark.createDataFrame([(f"a{i:02d}", *map(float, p)) for i, p in enumerate(pts)], "id string, x double, y double, z double")
+    one = cameras_of(spark, CENTRES)
+    twins = one.unionByName(one.withColumns({"cam_id": F.concat("cam_id", F.lit("_twin")), "pos": F.col("pos") + 7})).unionByName(one.withColumns({"cam_id": F.concat("cam_id", F.lit("_third")), "pos": F.col("pos") - 9}))
+    assert cam.poses(twins).count() == 5 and cam.leading(twins, 2).count() == 10
+    assert cam.pose_candidates(anns, twins, CAL).count() * 3 == cam.candidates(anns, twins, CAL).count()
+    told = lambda rows: [(r.ann_id, r["rank"], r.cam_id, r.u, r.v) for r in rows.orderBy("ann_id", "rank").collect()]
+    assert told(cam.best_candidates(anns, twins, CAL, 4)) == told(cam.ranked(cam.candidates(anns, twins, CAL), 4))
+    want = {r.cam_id: (r.n, r.first) for r in cam.candidates(anns, twins, CAL).groupBy("cam_id").agg(F.count("*").alias("n"), F.min("ann_id").alias("first")).collect()}
+    assert {r.cam_id: (r.n, r.first_id) for r in cam.seen_by_camera(anns, twins, CAL).collect()} == want and len(want) >= 9
+    dist = {r.cam_id: (r.n, r.camdist) for r in cam.cam_distance(anns, twins, 12.0).collect()}
+    assert len(dist) == 15 and dist["c0"] == dist["c0_twin"] == dist["c0_third"] and dist["c0"][0] > 0
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(surface(60, 6))], POINT)
+    anns = anns.where("id < 'a03'")
+    all_rays = cam.reprojection(cam.candidates(anns, twins, CAL), points, CAL, 0.05, 0.2, 6.0)
+    assert told(cam.occluded_candidates(anns, twins, points, CAL, 4, 0.05, 0.2, 6.0)) == told(cam.ranked(all_rays, 4, occlusion=True))
+
+
 def hit_of(pts, u, v, k, centre, radius, most, far):
     way = tilted(k) @ np.array([(u - 2000) / 3000, (v - 1500) / 3000, 1.0])
     way /= np.linalg.norm(way)
