@@ -395,3 +395,19 @@ def test_positive_xy_and_plane_inliers(spark):
     assert [tuple(r) for r in measures.plane_inliers(rows, (0.0, 0.0, 1.0, -1.0), 0.5).collect()] == [(-2.0, 3.0, 1.0), (0.0, 5.0, 1.5)]
     own = rows.selectExpr("*", "0D as a", "0D as b", "1D as c", "-z as d")
     assert measures.plane_inliers(own, ("a", "b", "c", "d"), 0.0).count() == 3
+
+
+def test_pairs_at_home_stay_in_their_task(spark):
+    rng = np.random.default_rng(3)
+    rows = lambda n: [(i, *map(float, p)) for i, p in enumerate(rng.random((n, 3)) * [3, 2, 0.6] - 1)]
+    points = spark.createDataFrame(rows(300), POINT)
+    queries = spark.createDataFrame(rows(30), POINT.replace("point_id", "id"))
+    for flat, width in ((False, None), (True, 0.3), (False, 0.11)):
+        got = {(r.q_id, r.point_id, r.d) for r in spatial.near_at_home(points, queries, 0.3, flat, width).collect()}
+        assert got == {(r.q_id, r.point_id, r.d) for r in spatial.near(points, queries, 0.3, flat).collect()} and len(got) > 30
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    pairs = spatial.near_at_home(points, queries, 0.3)
+    counted = pairs.groupBy(*spatial.by_query(pairs)).agg(F.median("z"))
+    assert plan(counted).count("Exchange hashpartitioning") == 2 and "Broadcast" not in plan(counted)
+    # what is repeated to 27 cells each is never broadcast
+    assert "Broadcast" not in plan(spatial.near(points, queries, 0.3, deep=True)) and "Broadcast" not in plan(spatial.near_points(queries, points, 0.3))
