@@ -411,3 +411,20 @@ def test_pairs_at_home_stay_in_their_task(spark):
     assert plan(counted).count("Exchange hashpartitioning") == 2 and "Broadcast" not in plan(counted)
     # what is repeated to 27 cells each is never broadcast
     assert "Broadcast" not in plan(spatial.near(points, queries, 0.3, deep=True)) and "Broadcast" not in plan(spatial.near_points(queries, points, 0.3))
+
+
+def test_edges_in_order_are_contracted_before_the_rounds(spark):
+    from cairn.operators.graph import contracted
+
+    rng = np.random.default_rng(5)
+    chain = [(k, k + 1) for k in range(3000) if k % 700]
+    loose = [(int(a), int(b)) for a, b in rng.integers(5000, 9000, (1500, 2))]
+    edges = spark.createDataFrame(chain + loose + [(10, 6000)], "a long, b long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = {(r.node, r.comp) for r in components(edges, in_order=True).collect()}
+        pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <= 3000")
+        assert contracted(pairs)[1].count() < 300
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(r.node, r.comp) for r in components(edges).collect()} and len(got) > 4000
