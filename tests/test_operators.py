@@ -428,3 +428,13 @@ def test_edges_in_order_are_contracted_before_the_rounds(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {(r.node, r.comp) for r in components(edges).collect()} and len(got) > 4000
+
+
+def test_transect_points_over_ranges_of_markers(spark):
+    rows = [(k, float(k % 7), float(k % 5), float(k % 3)) for k in range(101)]
+    markers = spark.createDataFrame(rows[::-1], "pos long, x double, y double, z double")
+    plan = spatial.transect_points(markers, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lead(x" not in plan or "windowspecdefinition(pos" not in plan  # no task orders all markers
+    got = {(p.pos, p.k): (p.x, p.y, p.z) for p in spatial.transect_points(markers, 3).collect()}
+    want = {(a[0], k): tuple(u + (v - u) * k / 2 for u, v in zip(a[1:], b[1:], strict=True)) for a, b in zip(rows, rows[1:], strict=False) for k in range(3)}
+    assert got == want
