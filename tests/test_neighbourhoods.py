@@ -122,3 +122,13 @@ def test_several_measures_in_one_pass(tables):
     key = [c for c in want.columns if c != "q_id" and not c.startswith("gap")]
     rows = lambda df: {p.q_id: tuple(p[c] for c in key) for p in df.collect()}
     same(rows(got), rows(want))
+
+
+def test_lengths_round_without_decimals(spark):
+    from pyspark.sql import functions as F
+
+    from cairn.plans.points import scaled_round
+
+    rows = spark.range(2000).select((F.rand(3) * 9).alias("d"))
+    assert "round(" not in plan(rows.select(scaled_round(F.col("d"), 5).alias("v"))).lower()
+    assert all(p.v == round(p.d, 5) for p in rows.select("d", scaled_round(F.col("d"), 5).alias("v")).collect())
