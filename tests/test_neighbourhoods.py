@@ -132,3 +132,16 @@ def test_lengths_round_without_decimals(spark):
     rows = spark.range(2000).select((F.rand(3) * 9).alias("d"))
     assert "round(" not in plan(rows.select(scaled_round(F.col("d"), 5).alias("v"))).lower()
     assert all(p.v == round(p.d, 5) for p in rows.select("d", scaled_round(F.col("d"), 5).alias("v")).collect())
+
+
+def test_null_colours_and_normals_are_left_out(tables):
+    from pyspark.sql import functions as F
+
+    points, queries = tables
+    odd = F.col("point_id") % 3 == 0
+    some = points.withColumns({c: F.when(~odd, F.col(c)) for c in ("r", "nx", "ny", "nz")})
+    pairs = spatial.near(some, queries, 0.7)
+    rows = lambda df, *c: {p.q_id: tuple(p[k] for k in c) for p in df.collect()}
+    same(rows(measures.rgb_stats_at(some, queries, 0.7), "n", "r", "g"), rows(measures.rgb_stats(pairs), "n", "r", "g"))
+    same(rows(measures.vector_dispersion_at(some, queries, 0.7), "n", "dispersion"), rows(measures.vector_dispersion(pairs), "n", "dispersion"))
+    same(rows(measures.planes_at(some, queries, 0.7), "n", "a", "b", "inliers"), rows(measures.planes(pairs), "n", "a", "b", "inliers"))
